@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe
+from graphloom.llm import bpe, mixing, sharding
 from graphloom.llm.common import read
 
 
+def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
+def op8_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(read(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -16,7 +24,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op5_byte_bpe": op5_byte_bpe}
+    return {
+        "op1_sampled_splitters": op1_sampled_splitters,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op8_source_schedule": op8_source_schedule,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
