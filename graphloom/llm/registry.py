@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, mixing, quality_rules, sharding
+from graphloom.llm import bpe, mixing, quality_rules, secret_scan, sharding
 from graphloom.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(read(spark, sf_dir, "documents"))
+
+
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), "doc_id").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -31,10 +35,11 @@ def queries() -> dict:
     return {
         "op1_sampled_splitters": op1_sampled_splitters,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_trigram_secrets": op6_trigram_secrets,
         "op7_robust_outliers": op7_robust_outliers,
         "op8_source_schedule": op8_source_schedule,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_trigram_secrets": secret_scan.oracle()}
