@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, mixing, near_dedup, quality_rules, secret_scan, sharding
+from graphloom.llm import bpe, brown_lm, mixing, near_dedup, quality_rules, secret_scan, sharding
 from graphloom.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op8_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read(spark, sf_dir, "documents"))
 
 
+def op2_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components_of(read(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_sampled_splitters": op1_sampled_splitters,
+        "op2_brown_classes": op2_brown_classes,
         "op4_fast_sketch_dedup": op4_fast_sketch_dedup,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_trigram_secrets": op6_trigram_secrets,
