@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, brown_lm, mixing, near_dedup, quality_rules, secret_scan, sharding
+from graphloom.llm import bpe, brown_lm, mixing, near_dedup, neighbour_vote, quality_rules, secret_scan, sharding, toxicity_chain
 from graphloom.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op2_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_vote.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components_of(read(spark, sf_dir, "documents"))
 
@@ -39,15 +43,21 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded)
 
 
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_chain.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_sampled_splitters": op1_sampled_splitters,
         "op2_brown_classes": op2_brown_classes,
+        "op3_neighbour_vote": op3_neighbour_vote,
         "op4_fast_sketch_dedup": op4_fast_sketch_dedup,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_trigram_secrets": op6_trigram_secrets,
         "op7_robust_outliers": op7_robust_outliers,
         "op8_source_schedule": op8_source_schedule,
+        "op10_toxicity_chain": op10_toxicity_chain,
     }
 
 
