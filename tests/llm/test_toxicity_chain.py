@@ -15,8 +15,8 @@ def table(n=700, seed=9):
     for i in range(n):
         words, good, toxic = [word() for _ in range(rng.randrange(5, 80))], rng.random() < 0.8, rng.random() < 0.2
         if toxic:
-            words[rng.randrange(len(words))] = rng.choice(BAD).capitalize() + ","
-        data.append((i, " ".join(w if good else w + "%%%" for w in words), int(good), int(toxic)))
+            words[rng.randrange(len(words))] = rng.choice(BAD)
+        data.append((i, " ".join(rng.choice([w, w, w.capitalize() + ","]) if good else w + "%%%" for w in words), int(good), int(toxic)))
     return data
 
 
