@@ -192,7 +192,7 @@ def _may_link(x: str, y: str) -> Column:
     c = lambda side, name: F.col(f"{side}_{name}")
     shared = F.least(c(x, "n") - c(x, "alone"), c(y, "n") - c(y, "alone"))
     differ = sum((F.bit_count(F.get(c(x, "bits"), F.lit(i)).bitwiseXOR(F.get(c(y, "bits"), F.lit(i)))) for i in range(3)), F.lit(0))
-    return (100 * shared >= PERCENT * F.greatest(c(x, "n"), c(y, "n"))) & (differ <= MOST_BITS)
+    return (100 * shared >= PERCENT * (c(x, "n") + c(y, "n") - shared)) & (differ <= MOST_BITS)
 
 
 def components_of(docs: DataFrame) -> DataFrame:
