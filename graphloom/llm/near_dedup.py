@@ -31,10 +31,11 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.durable import durable
 from graphloom.llm import exchange
-from graphloom.llm.common import rows, small_batches, word_bytes
+from graphloom.llm.common import WORD, rows, small_batches, word_bytes
 from graphloom.llm.components import components
 
 WORDS = 5
@@ -195,8 +196,8 @@ def _may_link(x: str, y: str) -> Column:
     return (100 * shared >= PERCENT * (c(x, "n") + c(y, "n") - shared)) & (differ <= MOST_BITS)
 
 
-def components_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles and label, the component's name, of every document."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -237,13 +238,23 @@ def components_of(docs: DataFrame) -> DataFrame:
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
-    named = sketched.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return sketched.select("doc_id", "text_hash", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
+
+
+def components_of(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    named = labelled(docs)
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("_least"))
     return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all columns; those without words all stay."""
-    tagged = durable(docs.withColumn("_tag", F.monotonically_increasing_id()), "near-documents")
-    found = components_of(tagged.select(F.col("_tag").alias("doc_id"), "text"))
-    return tagged.join(found.filter("kept").select(F.col("doc_id").alias("_tag")), "_tag", "left_semi").select(*docs.columns)
+    """One document of each group, that of least id, with all columns; those without words all stay."""
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    blank = F.col("text").isNull() | ~F.col("text").rlike(WORD)
+    first = labelled(docs).filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
+    first = first.select(F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_of"))
+    chosen = keyed.filter(~blank).join(first, (F.col("_hash") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    copies = Window.partitionBy("doc_id", "_hash").orderBy("_hash")
+    one = chosen.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1")
+    return one.select(*docs.columns).unionByName(docs.filter(blank))

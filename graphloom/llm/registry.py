@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, brown_lm, mixing, near_dedup, neighbour_vote, quality_rules, secret_scan, sharding, toxicity_chain
+from graphloom.llm import bpe, brown_lm, merkle, mixing, near_dedup, neighbour_vote, quality_rules, secret_scan, sharding, toxicity_chain
 from graphloom.llm.common import read
 
 
@@ -43,6 +44,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded)
 
 
+def op9_merkle_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_chain.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -57,9 +62,14 @@ def queries() -> dict:
         "op6_trigram_secrets": op6_trigram_secrets,
         "op7_robust_outliers": op7_robust_outliers,
         "op8_source_schedule": op8_source_schedule,
+        "op9_merkle_trees": op9_merkle_trees,
         "op10_toxicity_chain": op10_toxicity_chain,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_trigram_secrets": secret_scan.oracle()}
+    found = {"op6_trigram_secrets": secret_scan.oracle()}
+    if corpus_pipeline.ORACLE_SQL is not None:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
