@@ -15,8 +15,7 @@ bucket. Then, exactly and without listing the pairs of a group:
 3. Components of these links are formed, and only pairs of a bucket that lie in different
    components are verified further. Any link left out joins what is joined already.
 
-Sketches also spare pairs whose bits differ too much: beyond six standard deviations of
-what a linked pair shows. Documents without words are linked with nothing. Null ids form
+Sketches also spare pairs whose bits differ more than a linked pair's do but for one in a million. Documents without words are linked with nothing. Null ids form
 their own rows with a null component id where no member has an id; repeated rows are
 copies; extra columns play no part; an empty table gives no rows.
 """
@@ -43,8 +42,9 @@ PERCENT = 85
 BANDS = 32
 BAND_ROWS = 6
 SEED = 0x51D
-#: Bits in which the sketches of a linked pair may differ: 192 * 0.075 plus six deviations.
-MOST_BITS = 37
+#: Bits in which the sketches of a linked pair may differ: at the least similarity, 192 * 0.075 on
+#: average, and more than this many in about one pair of a million.
+MOST_BITS = 34
 BLOCK_BYTES = 4 << 20
 KNOWN_WORDS = 400_000
 
@@ -206,7 +206,7 @@ def labelled(docs: DataFrame) -> DataFrame:
 
     # a node is found again by the id and text hash of one of its documents
     nodes = sketched.filter("n_shingles > 0").groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("one"))
-    members = nodes.select("node", "bits", F.explode("bands").alias("band"))
+    members = nodes.select("node", "bits", F.posexplode("bands").alias("place", "band"))
     crowded = members.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("band")
     members = durable(members.join(crowded, "band", "left_semi"), "near-buckets")
 
@@ -230,10 +230,13 @@ def labelled(docs: DataFrame) -> DataFrame:
     labels = components(links)
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_up = labelled.groupBy("band").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).filter("_least <> _most").select("band")
-    open_ = durable(labelled.join(mixed_up, "band", "left_semi"), "near-open")
-    side = lambda s: open_.select("band", *[F.col(k).alias(f"{s}_{k}") for k in ("node", "label", "n", "alone", "bits")])
-    across = side("x").join(side("y"), "band").filter((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & _may_link("x", "y"))
-    rest = across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    open_ = durable(labelled.join(mixed_up, "band", "left_semi").join(nodes.select("node", "bands"), "node"), "near-open")
+    side = lambda s: open_.select("band", *[F.col(k).alias(f"{s}_{k}") for k in ("node", "label", "place", "n", "alone", "bits", "bands")])
+    # a pair is met once, in the first band that it shares
+    earlier = lambda s: F.slice(f"{s}_bands", F.lit(1), F.col("x_place"))
+    first = ~F.exists(F.zip_with(earlier("x"), earlier("y"), lambda a, b: a == b), lambda same: same)
+    across = side("x").join(side("y"), "band").filter((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & _may_link("x", "y") & first)
+    rest = durable(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).join(pairs, ["a", "b"], "left_anti"), "near-rest")
     more = _links(rest, alive)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
