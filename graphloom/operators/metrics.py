@@ -1,0 +1,88 @@
+"""The readiness scorecard of a code graph: five metrics of weighted factors, notes and a grade."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.functions.text import basename, dirname
+from graphloom.operators import graph
+from graphloom.operators.scorecard import WEIGHTS, cryptic, grade, p95
+from graphloom.sources.index import CodeGraph
+
+INDEX_FILES = ("index.html", "main.py", "app.py", "index.js", "index.ts", "main.go", "main.rs", "package.json", "pyproject.toml", "Cargo.toml", "go.mod", "pom.xml")
+
+
+def _le(x: float, good: float, bad: float) -> float:
+    return max(0.0, min(100.0, (bad - x) / (bad - good) * 100))
+
+
+def _ge(x: float, bad: float, good: float) -> float:
+    return max(0.0, min(100.0, (x - bad) / (good - bad) * 100))
+
+
+def _band(x: float, low: float, high: float, least: float, most: float) -> float:
+    if low <= x <= high:
+        return 100.0
+    edge = (x - least) / (low - least) if x < low else (most - x) / (most - high)
+    return max(0.0, min(100.0, edge * 100))
+
+
+def statistics(g: CodeGraph) -> dict:
+    """Every number that a factor needs; each is one distributed aggregate."""
+    code = g.files.filter("kind = 'code'")
+    symbols = g.nodes.filter(F.col("kind").isin("Class", "Function"))
+    functions = symbols.filter("kind = 'Function'")
+    one = lambda df, **aggs: df.agg(*[a.alias(n) for n, a in aggs.items()]).first().asDict()
+    out = one(code, files=F.count(F.lit(1)), loc=F.avg("loc"), large=F.count_if(F.col("loc") > 600), nesting=F.avg("max_nesting"), code=F.sum("code_lines"), comment=F.sum("comment_lines"), typed=F.avg(F.col("has_types").cast("int")), file_complexity=F.avg("complexity"))
+    names = symbols.select("name").union(code.select(F.regexp_extract(basename(F.col("path")), r"^([^.]*)", 1).alias("name")))
+    out |= one(names.filter("name <> ''"), cryptic=F.avg(cryptic(F.col("name")).cast("int")))
+    shape = code.groupBy(dirname(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+    out |= one(shape, per_dir=F.avg("n"), depth=F.max(F.when(F.col("dir") == "", 0).otherwise(F.length(F.regexp_replace("dir", "[^/]", "")) + 1)))
+    out |= one(g.files.filter(F.instr("path", "/") == 0), readme=F.coalesce(F.max(F.lower("path").startswith("readme")), F.lit(False)), entry=F.coalesce(F.max(F.col("path").isin(*INDEX_FILES)), F.lit(False)))
+    out |= one(g.files.filter("kind = 'doc'"), docs=F.count(F.lit(1)))
+    out |= one(functions, functions=F.count(F.lit(1)), length=F.avg("length"), long=F.count_if(F.col("length") > 80), complexity=F.avg("complexity"), tangled=F.count_if(F.col("complexity") > 15))
+    out |= one(symbols, documented=F.avg(F.col("documented").cast("int")))
+    per_file = symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    out |= one(per_file, cohesion=F.avg("n"))
+    signature = code.join(per_file, "path", "left").groupBy("code_lines", "complexity", F.coalesce("n", F.lit(0)).alias("n")).agg(F.count(F.lit(1)).alias("c"))
+    out |= one(signature, twins=F.coalesce(F.sum(F.col("c") - 1), F.lit(0)))
+    imports = g.edges.filter((F.col("kind") == "imports") & F.col("dst").startswith("f:"))
+    out |= one(imports.groupBy("src").agg(F.countDistinct("dst").alias("n")), links=F.coalesce(F.sum("n"), F.lit(0)))
+    out |= one(imports.groupBy("dst").agg(F.countDistinct("src").alias("n")), risky=F.count_if(F.col("n") > 12))
+    out |= one(g.nodes, file_nodes=F.count_if(F.col("kind") == "File"), libraries=F.count_if(F.col("kind") == "Library"))
+    out["cycles"] = graph.strong_components(imports).select("component").distinct().count()
+    worst = p95(functions, "complexity").first()
+    out["p95"] = worst["p95"] if worst else None
+    return {k: v if v is not None else 0 for k, v in out.items()}
+
+
+def scorecard(s: dict) -> dict:
+    """Factors, metrics, notes and grade from the statistics; rounded here, as Python rounds."""
+    n = max(1, s["files"])
+    fan_out = s["links"] / max(1, s["file_nodes"])
+    density = s["comment"] / max(1, s["code"] + s["comment"])
+    body = bool(s["functions"])
+    factors = {
+        "navigability": {"file_size": (_le(s["loc"], 200, 700), 0.30), "naming_clarity": (_le(s["cryptic"], 0.05, 0.4), 0.28), "directory_shape": (0.5 * _band(s["per_dir"], 2, 12, 1, 40) + 0.5 * _le(s["depth"], 5, 12), 0.22), "entry_points": (60.0 * bool(s["readme"]) + 40.0 * bool(s["entry"]), 0.20)},
+        "modularity": {"function_length": (_le(s["length"], 25, 120) if body else 100.0, 0.34), "file_cohesion": (_band(s["cohesion"], 1, 12, 0, 45), 0.22), "duplication": (_le(s["twins"] / n, 0.02, 0.3), 0.22), "load_size": (_le(s["loc"], 150, 600), 0.22)},
+        "architecture": {"coupling": (_le(fan_out, 4, 20), 0.34), "acyclicity": (_le(s["cycles"], 0, max(3, 0.1 * n)), 0.30), "hub_risk": (_le(s["risky"], 0, max(2, 0.08 * n)), 0.20), "dependency_spread": (_le(s["libraries"], 25, 200), 0.16)},
+        "complexity": {"avg_complexity": (_le(s["complexity"] if body else s["file_complexity"], 4, 20), 0.45), "worst_case": (_le(s["p95"], 12, 45), 0.30), "nesting": (_le(s["nesting"], 3, 9 if body else 8), 0.25)},
+        "documentation": {"comment_density": (_band(density, 0.08, 0.35, 0, 0.7), 0.28), "docstring_coverage": (_ge(s["documented"], 0.05, 0.6), 0.30), "type_hints": (_ge(s["typed"], 0.1, 0.7), 0.22), "project_docs": (55.0 * bool(s["readme"]) + min(45, 9 * s["docs"]), 0.20)},
+    }
+    metrics = {m: round(sum(v * w for v, w in f.values()) / sum(w for _, w in f.values()), 1) for m, f in factors.items()}
+    mean = sum(metrics[m] * w for m, w in WEIGHTS.items())
+    notes = [text for hit, text in ((s["large"], f"{s['large']} files over 600 lines"), (s["long"], f"{s['long']} functions over 80 lines"), (s["tangled"], f"{s['tangled']} functions of complexity over 15"), (s["cycles"], f"{s['cycles']} import cycles"), (s["risky"], f"{s['risky']} files with more than 12 importers"), (not s["readme"], "no README at the root")) if hit]
+    return {"score": round(mean, 1), "grade": grade(mean), "metrics": metrics, "factors": {m: {k: round(v, 1) for k, (v, _) in f.items()} for m, f in factors.items()}, "notes": notes[:5]}
+
+
+def readiness(g: CodeGraph) -> dict:
+    return scorecard(statistics(g))
+
+
+def drawing(g: CodeGraph, limit: int = 2500) -> tuple[DataFrame, DataFrame]:
+    """Nodes with degree and size, and edges, of the map of a graph, pruned to a limit."""
+    ids = F.when(F.col("kind") == "Dir", "Module").otherwise(F.col("kind"))
+    edges = graph.from_index(g.nodes, g.edges)
+    nodes = g.nodes.select("id", ids.alias("kind"), "name", "path").join(graph.map_sizes(edges), "id", "left").fillna({"degree": 0, "size": 1.0})
+    return graph.prune(nodes, edges, limit)
