@@ -30,8 +30,7 @@ class Terms(dict):
         if len(self) >= KNOWN_WORDS:
             self.clear()
         text = word.decode("utf-8", "surrogatepass")
-        bare = _EDGE.sub("", text).lower()
-        value = self[word] = xxhash.xxh32_intdigest(bare.encode("utf-8", "surrogatepass")) << 31 | xxhash.xxh32_intdigest(shape(text).encode("utf-8", "surrogatepass")) >> 1
+        value = self[word] = xxhash.xxh32_intdigest(bare_word(text).encode("utf-8", "surrogatepass")) << 31 | xxhash.xxh32_intdigest(shape(text).encode("utf-8", "surrogatepass")) >> 1
         return value
 
     def of(self, text: str | None) -> np.ndarray:
@@ -40,6 +39,11 @@ class Terms(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def bare_word(text: str) -> str:
+    """A word without the punctuation around it, in lower case."""
+    return _EDGE.sub("", text).lower()
+
+
 def bare(packed: np.ndarray) -> np.ndarray:
     return packed >> 31
 

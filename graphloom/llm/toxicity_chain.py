@@ -1,8 +1,8 @@
 """Toxicity categories by a classifier chain of sparse linear models.
 
 The categories are predicted in a fixed order. Each is a logistic regression with an L1
-penalty over the hashed words and word shapes that a text holds, and over the log odds of
-all categories before it. While training, those odds come from models that have not seen
+penalty over the hashed words, word beginnings and word shapes that a text holds, and over
+the log odds of all categories before it. While training, those odds come from models that have not seen
 the row (out of fold), so later models learn from odds as uncertain as they will meet.
 
 The labels give `toxic` and `quality`; the chain is: toxic at all, toxic in a text of low
@@ -16,18 +16,21 @@ columns play no part; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import small_batches
-from graphloom.llm.text_features import Terms, bare, held_out, labelled_sample, shapes
+from graphloom.llm.text_features import KNOWN_WORDS, bare_word, held_out, labelled_sample, shape
 
-SAMPLE = 16_384
+SAMPLE = 8_192
 CHAIN = ("toxic", "toxic_junk", "toxic_prose")
 FOLDS_OUT = 4
 DEVIATIONS = 6.0
@@ -36,15 +39,39 @@ ENTRIES = 8
 RIDGE = 0.05
 #: A column needs this many rows, and this share of the rows of the category.
 SUPPORT, SUPPORT_SHARE = 5, 0.02
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 WORD_BITS = 22
 SHAPE_BITS = 12
+#: Lengths of word beginnings: stems tell what compounds hide.
+PREFIXES = (4, 5, 6, 7)
+#: How many words of a text must begin so, for a term of its own each.
+TIMES = (1, 2, 3, 5)
+
+
+class Terms(dict):
+    """Term numbers of a word: itself, what it begins with, and its shape."""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        text = word.decode("utf-8", "surrogatepass")
+        bare = bare_word(text)
+        number = lambda t: xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass"))
+        begins = (number(bare[:k]) % (1 << WORD_BITS) + (1 << WORD_BITS) for k in PREFIXES if len(bare) >= k)
+        value = self[word] = (number(bare) % (1 << WORD_BITS), *begins, number(shape(text)) % (1 << SHAPE_BITS) + ((1 + len(TIMES)) << WORD_BITS))
+        return value
 
 
 def terms_of(text: str | None, terms: Terms) -> np.ndarray:
-    """The distinct term numbers of a text: words, and shapes after them."""
-    packed = terms.of(text)
-    return np.concatenate([np.unique(bare(packed) % (1 << WORD_BITS)), np.unique(shapes(packed) % (1 << SHAPE_BITS)) + (1 << WORD_BITS)]).astype(np.int32)
+    """The distinct term numbers of a text, in order; a beginning once more for each count it reaches."""
+    words = Counter(text.encode("utf-8", "surrogatepass").split()) if text else {}
+    each = list(map(terms.__getitem__, words))
+    every = np.fromiter(chain.from_iterable(each), np.int64)
+    unique, where = np.unique(every, return_inverse=True)
+    count = np.bincount(where, weights=np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(e) for e in each]), minlength=len(unique))
+    begins = (unique >> WORD_BITS) == 1
+    more = [unique[begins & (count >= n)] + (i << WORD_BITS) for i, n in enumerate(TIMES) if i]
+    return np.concatenate([unique, *more]).astype(np.int32)
 
 
 @dataclass
@@ -132,10 +159,10 @@ def train(rows: np.ndarray, columns: np.ndarray, n: int, odds: np.ndarray, y: np
 
 def fit_chain(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
     """One model for each column of labels; earlier odds are predicted out of fold."""
-    n, chain, odds = len(labels), [], np.zeros((len(labels), 0))
+    n, models, odds = len(labels), [], np.zeros((len(labels), 0))
     for c in range(labels.shape[1]):
         y = labels[:, c]
-        chain.append(train(rows, columns, n, odds, y))
+        models.append(train(rows, columns, n, odds, y))
         if c + 1 == labels.shape[1]:
             break
         out = np.zeros(n)
@@ -147,13 +174,13 @@ def fit_chain(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, folds:
             back = np.cumsum(inside) - 1
             out[inside] = model.logits(back[rows[other]], columns[other], int(inside.sum()), odds[inside])
         odds = np.hstack([odds, np.clip(out, -8, 8)[:, None]])
-    return chain
+    return models
 
 
-def predict(chain: list[Linear], rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+def predict(models: list[Linear], rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
     """The probability of each category, predicted in order."""
     odds = np.zeros((n, 0))
-    for model in chain:
+    for model in models:
         odds = np.hstack([odds, np.clip(model.logits(rows, columns, n, odds), -8, 8)[:, None]])
     return sigmoid(odds)
 
@@ -182,7 +209,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
     """doc_id, held_out, score (of toxic), predicted, toxic and the probability of each category."""
     spark = docs.sparkSession
     small_batches(spark)
-    chain = spark.sparkContext.broadcast(fit(docs, labels, sample))
+    models = spark.sparkContext.broadcast(fit(docs, labels, sample))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -190,7 +217,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
             ids = batch.column("doc_id")
             columns = [terms_of(t, terms) for t in batch.column("text").to_pylist()]
             rows = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-            p = predict(chain.value, rows, np.concatenate([np.zeros(0, np.int32), *columns]), len(columns))
+            p = predict(models.value, rows, np.concatenate([np.zeros(0, np.int32), *columns]), len(columns))
             verdict = p[:, 0] >= threshold
             yield pa.RecordBatch.from_arrays([ids, pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_()), pa.array(p[:, 0], pa.float64()), pa.array(verdict.astype(np.int32), pa.int32()), pa.array(verdict, pa.bool_()), *(pa.array(p[:, i], pa.float64()) for i in range(len(CHAIN)))], names=["doc_id", "held_out", "score", "predicted", "toxic", *(f"p_{c}" for c in CHAIN)])
 

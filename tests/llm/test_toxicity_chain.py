@@ -3,7 +3,6 @@ import random
 import numpy as np
 
 from graphloom.llm import toxicity_chain as c
-from graphloom.llm.text_features import Terms
 
 BAD = ["grub", "fie", "pox"]
 
@@ -62,4 +61,4 @@ def test_no_labels_and_no_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.score < 1e-3 for r in c.score_documents(docs, labels).collect())
     assert c.score_documents(docs.limit(0), labels).collect() == []
-    assert len(c.terms_of(None, Terms())) == 0
+    assert len(c.terms_of(None, c.Terms())) == 0
