@@ -1,8 +1,8 @@
 """Import resolution: ordered candidates looked up by equi-joins, ambiguity rejected.
 
 imports: path, raw. files: path, lang. An import resolves to the first candidate that is a
-file by exact key (full path first, then extensionless or dotted path of the first file,
-then package directory), is not the importer and speaks a compatible language; else, for
+file by exact key (full path first, then extensionless or dotted path of the first file
+by path, then package directory), is not the importer and speaks a compatible language; else, for
 dotted names, to the only file that ends in them; else to the only file of that base name;
 else to a library by name. Relative imports never go past the first step.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.functions.text import basename, dirname, library_name, normalised
 
@@ -27,17 +26,17 @@ def family(lang):
 
 
 def keys(files: DataFrame) -> DataFrame:
-    """key, kind (exact, suffix, base), prio, ord and the file each names."""
+    """key, kind (exact, suffix, base), prio and the file each names."""
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
     package = F.when(F.col("path").rlike(PACKAGES), dirname(F.col("path")))
     parts = F.split(stem, "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    base = files.withColumn("ord", F.row_number().over(Window.orderBy("path"))).withColumn("fam", family(F.col("lang")))
+    base = files.withColumn("fam", family(F.col("lang")))
     row = lambda key, kind, prio: F.struct(key.alias("key"), F.lit(kind).alias("kind"), F.lit(prio).alias("prio"))
     exact = [row(F.col("path"), "exact", 0), row(stem, "exact", 1), row(F.regexp_replace(stem, "/", "."), "exact", 1), row(package, "exact", 2), row(basename(stem), "base", 0), row(basename(package), "base", 0)]
-    plain = base.select(F.col("path").alias("file"), "fam", "ord", F.explode(F.array(*exact)).alias("k"))
-    suffix = base.select(F.col("path").alias("file"), "fam", "ord", F.explode(F.transform(tails, lambda t: row(t, "suffix", 0))).alias("k"))
-    return plain.unionByName(suffix).select("file", "fam", "ord", "k.*").filter("key is not null and key <> ''").distinct()
+    plain = base.select(F.col("path").alias("file"), "fam", F.explode(F.array(*exact)).alias("k"))
+    suffix = base.select(F.col("path").alias("file"), "fam", F.explode(F.transform(tails, lambda t: row(t, "suffix", 0))).alias("k"))
+    return plain.unionByName(suffix).select("file", "fam", "k.*").filter("key is not null and key <> ''").distinct()
 
 
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -53,8 +52,8 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     plain = F.when(F.col("imp").rlike(r"^\.{1,2}/"), F.array(at(F.col("imp")))).when(F.col("level") > 0, F.array(at(dotted))).otherwise(F.array(at(F.col("name")), at(dotted), F.col("name"), dotted))
     tried = asked.filter("name <> ''").select("path", "raw", "own", F.posexplode(plain).alias("pos", "key"))
     fits = (F.col("file") != F.col("path")) & (F.col("fam").isNull() | F.col("own").isNull() | (F.col("fam") == F.col("own")))
-    exact = tried.join(known.filter("kind = 'exact'"), "key").filter(fits).groupBy("path", "raw").agg(F.min(F.struct("pos", "prio", "ord", "file")).alias("b")).select("path", "raw", F.col("b.file").alias("f_exact"))
+    exact = tried.join(known.filter("kind = 'exact'"), "key").filter(fits).groupBy("path", "raw").agg(F.min(F.struct("pos", "prio", "file")).alias("b")).select("path", "raw", F.col("b.file").alias("f_exact"))
     loose = asked.filter("name <> '' and level = 0").select("path", "raw", "own", F.when(F.instr("name", ".") > 0, F.struct(F.lit("suffix").alias("kind"), dotted.alias("key"))).otherwise(F.struct(F.lit("base").alias("kind"), basename(F.col("name")).alias("key"))).alias("k")).select("path", "raw", "own", "k.*")
-    only = loose.join(known.drop("prio", "ord").distinct(), ["kind", "key"]).filter(fits).groupBy("path", "raw").agg(F.countDistinct("file").alias("n"), F.min("file").alias("f_only")).filter("n = 1").drop("n")
+    only = loose.join(known.drop("prio").distinct(), ["kind", "key"]).filter(fits).groupBy("path", "raw").agg(F.countDistinct("file").alias("n"), F.min("file").alias("f_only")).filter("n = 1").drop("n")
     joined = asked.join(exact, ["path", "raw"], "left").join(only, ["path", "raw"], "left").withColumn("resolved", F.coalesce("f_exact", "f_only"))
     return joined.select("path", "raw", "resolved", F.when(F.col("resolved").isNull() & (F.col("level") == 0), library_name(F.col("raw"))).alias("library"))

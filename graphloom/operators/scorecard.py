@@ -27,16 +27,26 @@ def band(x: Column, low: float, high: float, least: float, most: float) -> Colum
     return F.when((x >= low) & (x <= high), 100.0).otherwise(F.greatest(F.lit(0.0), F.when(x < low, below).otherwise(above)))
 
 
-def p95(values: DataFrame, column: str) -> DataFrame:
+def p95(values: DataFrame, column: str, bins: int = 4096, few: int = 100_000) -> DataFrame:
     """One row: the value at place int(0.95 n) of the sorted values (from 1), the largest for five or fewer.
 
-    The place is found from counts per value, so no list of values meets in one task.
+    Counts per bin of the value range narrow the place down until the bin that holds it has
+    few distinct values; only that bin is sorted. At most `bins` counts reach the driver.
     """
-    per = values.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    known = values.filter(F.col(column).isNotNull()).select(F.col(column))
+    n, low, high = known.agg(F.count(F.lit(1)), F.min(column).cast("double"), F.max(column).cast("double")).first()
+    place, inside = (int(n * 0.95) if n > 5 else n), known
+    while n and high > low and inside.select(F.approx_count_distinct(column)).first()[0] > few:
+        bin_ = F.least(F.lit(bins - 1), F.floor((F.col(column).cast("double") - low) / (high - low) * bins))
+        counts = sorted(inside.groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high")).collect(), key=lambda r: r["b"])
+        for r in counts:
+            if place <= r["n"]:
+                break
+            place -= r["n"]
+        inside, low, high = inside.filter(F.col(column).cast("double").between(r["low"], r["high"])), r["low"], r["high"]
+    per = inside.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = per.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    place = F.when(F.col("total") > 5, F.floor(F.col("total") * 0.95)).otherwise(F.col("total"))
-    return ranked.filter(F.col("upto") >= place).agg(F.min(column).alias("p95"))
+    return per.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") >= place).agg(F.min(column).alias("p95"))
 
 
 def duplication(files: DataFrame) -> DataFrame:
