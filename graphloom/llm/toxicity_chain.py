@@ -199,7 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Linear
     got = chosen.mapInArrow(found, f"doc_id {kind}, toxic double, quality double, terms binary").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("toxic", "quality", "terms")]).collect()
     got.sort(key=lambda r: r["doc_id"])
     columns = [np.frombuffer(r["terms"], "<i4") for r in got]
-    rows = np.repeat(np.arange(len(got)), [len(c) for c in columns])
+    held = np.zeros(((1 + len(TIMES)) << WORD_BITS) + (1 << SHAPE_BITS), np.uint16)
+    for c in columns:
+        held[c] += 1
+    columns = [c[held[c] >= SUPPORT] for c in columns]  # no model takes a column with fewer rows
+    rows = np.repeat(np.arange(len(got), dtype=np.int32), [len(c) for c in columns])
     toxic, good = (np.array([r[c] >= 0.5 for r in got], bool) for c in ("toxic", "quality"))
     y = np.stack([toxic, toxic & ~good, toxic & good], axis=1).astype(float).reshape(-1, len(CHAIN))
     return fit_chain(rows, np.concatenate([np.zeros(0, np.int32), *columns]), y, np.arange(len(got)) % FOLDS_OUT)
