@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import text as T
-from graphloom.operators import calls, graph, rollup, scorecard, search
+from graphloom.operators import calls, commands, graph, layout, rollup, scorecard, search
 from graphloom.operators import imports as import_rules
 from graphloom.sources import adapters as A
 
@@ -304,7 +304,50 @@ def top_per_module(s, d):
     return hubs.withColumn("r", F.row_number().over(order)).filter("r <= 12").select("module", "id", "r")
 
 
-_QUERIES = (degrees, map_sizes, hubs_files, hubs_top, dir_rollup, dir_collapse, one_hop_in, one_hop_out, bfs_depth3_out, bfs_depth3_in, bfs_depth2_both, impact_by_file, deps_transitive, neighbors, subgraph_multi_seed, scc, cycles, call_resolution, call_unbound, call_counters, who_calls_verdict, conf_tags, resolve_target, resolve_exact_name, like_escape_ci, library_names, import_resolution, text_facts, branch_count, dup_signature, duplication_factor, p95_index, scorecard_factors, naming_clarity, module_pair_weights, budget_cut, prune_topk, hash_incremental, event_flow, nearest_line, entry_points, union_pools, not_imported, kind_counts, stable_ids, top_per_module)
+def path_predicates(s, d):
+    path = F.regexp_replace("url", "^https?://", "")
+    return A.table(s, d, "pages").select("page_id", path.rlike(commands.LAUNCHER).alias("launcher"), path.rlike(commands.TEST_PATH).alias("test"))
+
+
+def unbound_named(s, d):
+    found, symbols = _resolved(s, d)
+    named = calls.unbound(found).join(symbols.select(F.col("id").alias("src"), F.col("name").alias("caller")), "src", "left")
+    return named.groupBy(F.coalesce("caller", "path").alias("caller")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def set_difference(s, d):
+    large = A.table(s, d, "orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("id"))
+    return A.table(s, d, "customer").select(F.col("c_custkey").alias("id")).subtract(large)
+
+
+def edge_kind_filter(s, d):
+    every = A.trade_edges(s, d).unionByName(A.event_steps(s, d).withColumn("kind", F.lit("calls")))
+    return graph.of_kinds(every, ["CALLS", "nothing"]).groupBy("kind", "src").agg(F.count(F.lit(1)).alias("n"))
+
+
+def grid_layout(s, d):
+    deg = graph.map_sizes(A.trade_edges(s, d)).select("id", "degree")
+    return layout.grid(_nodes(s, d).join(deg, "id", "left").fillna({"degree": 0})).select("id", F.col("column").alias("grid_column"), F.col("row").alias("grid_row"))
+
+
+def coverage_by_path(s, d):
+    sites = _resolved(s, d)[0].groupBy("path").agg(F.count_if(F.col("verdict") == "bound").alias("bound"), F.count_if(F.col("verdict") == "ambiguous").alias("ambiguous"))
+    return sites.withColumn("coverage", F.call_function("div", 100 * F.col("bound"), F.greatest(F.col("bound") + F.col("ambiguous"), F.lit(1))))
+
+
+def undirected_neighbors(s, d):
+    edges = A.nation_edges(s, d)
+    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    degree = graph.map_sizes(edges).select(F.col("id").alias("dst"), "degree")
+    order = Window.partitionBy("src").orderBy(F.desc("degree"), "dst")
+    return both.join(degree, "dst").withColumn("r", F.row_number().over(order)).filter("r <= 12").select("src", "dst", "r")
+
+
+def fan_totals(s, d):
+    return graph.degrees(_nodes(s, d).select("id"), A.trade_edges(s, d)).agg(F.coalesce(F.sum("indeg"), F.lit(0)).alias("total_in"), F.max("outdeg").alias("most_out"), F.count_if(F.col("indeg") > 12).alias("hubs"))
+
+
+_QUERIES = (path_predicates, unbound_named, set_difference, edge_kind_filter, grid_layout, coverage_by_path, undirected_neighbors, fan_totals, degrees, map_sizes, hubs_files, hubs_top, dir_rollup, dir_collapse, one_hop_in, one_hop_out, bfs_depth3_out, bfs_depth3_in, bfs_depth2_both, impact_by_file, deps_transitive, neighbors, subgraph_multi_seed, scc, cycles, call_resolution, call_unbound, call_counters, who_calls_verdict, conf_tags, resolve_target, resolve_exact_name, like_escape_ci, library_names, import_resolution, text_facts, branch_count, dup_signature, duplication_factor, p95_index, scorecard_factors, naming_clarity, module_pair_weights, budget_cut, prune_topk, hash_incremental, event_flow, nearest_line, entry_points, union_pools, not_imported, kind_counts, stable_ids, top_per_module)
 
 _BRANCH = T.BRANCH
 _LINES = "ln AS (SELECT doc_id, text, source, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END ls FROM documents)"
@@ -326,6 +369,14 @@ def _sql() -> dict[str, str]:
     found = lambda t: f"WITH {named}, ti AS (SELECT *, {tiers(t)} tier FROM nm), f AS (SELECT * FROM ti WHERE tier = (SELECT min(tier) FROM ti)) SELECT id, tier, (SELECT count(*) FROM f) total FROM f ORDER BY indeg DESC, id LIMIT 25"
     prune_kind = "CASE WHEN id LIKE 'f:s%' THEN 'File' WHEN right(id, 1) IN ('1', '2', '3') THEN 'Class' ELSE 'Function' END"
     return {
+        "path_predicates": f"SELECT page_id, regexp_matches(p, '{commands.LAUNCHER}') launcher, regexp_matches(p, '{commands.TEST_PATH}') test FROM (SELECT page_id, regexp_replace(url, '^https?://', '') p FROM pages)",
+        "unbound_named": f"WITH {CALLS} SELECT coalesce(sym.name, res.path) caller, count(*) n FROM res LEFT JOIN sym ON sym.id = res.src WHERE verdict = 'ambiguous' GROUP BY 1",
+        "set_difference": "SELECT c_custkey id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 450000",
+        "edge_kind_filter": "SELECT 'calls' kind, src, count(*) n FROM (SELECT event_type src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) dst FROM events) WHERE dst IS NOT NULL GROUP BY src",
+        "grid_layout": f"WITH {TRADE}, {FILES}, g AS (SELECT id, module, (SELECT count(*) FROM trade WHERE src = f.id OR dst = f.id) degree FROM files f), p AS (SELECT id, row_number() OVER (PARTITION BY module ORDER BY degree DESC, id) - 1 i, ceil(sqrt(count(*) OVER (PARTITION BY module)))::int w FROM g) SELECT id, i % w grid_column, i // w grid_row FROM p",
+        "coverage_by_path": f"WITH {CALLS}, c AS (SELECT path, count(*) FILTER (verdict = 'bound') bound, count(*) FILTER (verdict = 'ambiguous') ambiguous FROM res GROUP BY 1) SELECT *, 100 * bound // greatest(1, bound + ambiguous) coverage FROM c",
+        "undirected_neighbors": f"WITH {NATIONS}, b AS {_both('nations')}, g AS (SELECT id, count(*) degree FROM (SELECT src id FROM nations UNION ALL SELECT dst FROM nations) GROUP BY id) SELECT src, dst, r FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY degree DESC, dst)::int r FROM b JOIN g ON g.id = dst) WHERE r <= 12",
+        "fan_totals": f"WITH {TRADE}, {FILES}, g AS (SELECT (SELECT count(*) FROM trade WHERE dst = f.id) i, (SELECT count(*) FROM trade WHERE src = f.id) o FROM files f) SELECT sum(i)::bigint total_in, max(o) most_out, count(*) FILTER (i > 12) hubs FROM g",
         "degrees": f"WITH {TRADE}, {FILES} SELECT id, coalesce((SELECT count(*) FROM trade WHERE dst = id), 0) indeg, coalesce((SELECT count(*) FROM trade WHERE src = id), 0) outdeg FROM files",
         "map_sizes": f"WITH {TRADE} SELECT id, count(*) degree, 1.0::double + sqrt(least(count(*), 40)::double) size FROM (SELECT src id FROM trade UNION ALL SELECT dst FROM trade) GROUP BY id",
         "hubs_files": f"WITH {TRADE}, {_HUBS} SELECT * FROM hubs",
