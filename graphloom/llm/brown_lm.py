@@ -5,16 +5,19 @@ the texts of the training fold and gives each text the log10 probability of its
 
     P(w | v) = P(class(w) | class(v)) * P(w | class(w))
 
-Words whose share of the training tokens is at least `SHARE` (so at most 1 / SHARE words,
-whatever the corpus) are clustered by exchange: each word moves to the class that raises
-the likelihood of the class bigrams most, half of the words in each round, with counts over
-the whole corpus. All other words, and words never seen, fall into fixed classes by their
-last letters; there a seen word is emitted by its own count and all unseen words of the
-class share the mass that words seen once suggest. Transitions are smoothed towards class
-frequencies. The end is a class of its own and stands before every first word.
-
-Counts of every word are kept and looked up in bulk by blocks of texts; only tables bounded
-by 1 / SHARE and by the number of classes travel to the driver or to all tasks.
+Words with at least `LEAST` training tokens are clustered by exchange (fewer tokens are enough
+where `SHARE` asks for less), so the clustered vocabulary grows with the corpus. First the
+words whose share is at least `SHARE` (so at most 1 / SHARE words) settle among themselves:
+each moves to the class that raises the likelihood of the class bigrams most, half of the
+words in each round. Then all others move in the same way, `DEALS` times, on counts of the
+classes beside them over the whole corpus. Rarer words, and words never seen, fall into fixed
+classes by their last letters; there a seen word is emitted by its own count and all unseen
+words of the class share the mass that words seen once suggest. Transitions are smoothed
+towards class frequencies. The end is a class of its own and stands before every first word.
+
+Counts and classes of words are kept in parts by key and looked up in bulk by blocks of
+texts; only tables bounded by 1 / SHARE and by the number of classes travel to the driver or
+to all tasks.
 
 Null and empty texts hold only their end. Null ids train (their id is empty text). Repeated
 rows count and score as they come; extra columns play no part; an empty table gives no rows.
@@ -36,17 +39,18 @@ from pyspark.sql import functions as F
 
 from graphloom.durable import durable
 from graphloom.llm import exchange
-from graphloom.llm.common import id_crc, rows, small_batches, word_bytes
+from graphloom.llm.common import id_crc, small_batches, word_bytes
 
 FOLDS, HELD_OUT = 7, 2
 SHARE = 5e-5
+LEAST = 5
+DEALS = 2
 CLASSES = 64
 SHAPES = 16
 ROUNDS = 8
 SMOOTH = 20.0
 BLOCK_BYTES = 8 << 20
 PAIR_TOKENS = 4 << 20
-KNOWN_WORDS = 400_000
 
 _SHAPE = np.uint64(SHAPES - 1)
 
@@ -105,71 +109,131 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 NAMES = ["block", "doc_id", "text", "keys", "weights", "tokens", "docs"]
 
 
+CODED = "block long, ids array<{id}>, lengths binary, train binary, codes binary, keys binary, weights binary, tokens long, docs long"
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of _blocks(): its texts as places of their words among the block's keys."""
+    held: dict[int, tuple[list, list, defaultdict]] = {}
+    for batch in batches:
+        kind = batch.column("doc_id").type
+        for block, doc_id, text, keys, weights, tokens, docs in zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True):
+            if block not in held:
+                held[block] = ([], [], defaultdict())
+                held[block][2].default_factory = held[block][2].__len__
+            ids, codes, words = held[block]
+            if keys is None:
+                found = word_bytes(text)
+                ids.append(doc_id)
+                codes.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+                continue
+            del held[block]
+            place = np.searchsorted(np.frombuffer(keys, "<u8"), np.fromiter(map(word_key, words), np.uint64, len(words))).astype("<u4")
+            every = place[np.concatenate([np.zeros(0, np.int32), *codes])]
+            # low halves, then high halves, which are zero but for few words
+            packed = np.concatenate([every & 0xFFFF, every >> 16]).astype("<u2")
+            lengths = np.array([len(c) for c in codes], "<i4")
+            train = np.array([not held_out(i) for i in ids], bool)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(kind)), *(pa.array([x.tobytes()], pa.binary()) for x in (lengths, train, packed)), pa.array([keys], pa.binary()), pa.array([weights], pa.binary()), pa.array([tokens], pa.int64()), pa.array([docs], pa.int64())], names=["block", "ids", "lengths", "train", "codes", "keys", "weights", "tokens", "docs"])
+    if held:
+        raise ValueError("a block of texts came without its words")
+
+
+def _laid(lengths: np.ndarray, codes: np.ndarray, ending: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all texts with an ending after each, and where the endings are."""
+    is_end = np.zeros(len(codes) + len(lengths), bool)
+    is_end[np.cumsum(lengths + 1) - 1] = True
+    out = np.full(len(is_end), ending, np.int64)
+    out[~is_end] = codes
+    return out, is_end
+
+
+class _Block:
+    """A coded block: keys, and places of the tokens of its texts, each text closed by place len(keys)."""
+
+    def __init__(self, row: dict) -> None:
+        self.keys = np.frombuffer(row["keys"], "<u8")
+        self.lengths = np.frombuffer(row["lengths"], "<i4").astype(np.int64)
+        self.train = np.frombuffer(row["train"], bool)
+        halves = np.frombuffer(row["codes"], "<u2").astype(np.int64).reshape(2, -1)
+        self.at, self.is_end = _laid(self.lengths, halves[0] | halves[1] << 16, len(self.keys))
+        self.text = np.repeat(np.arange(len(self.lengths)), self.lengths + 1)
+
+    def training(self) -> np.ndarray:
+        """Places of the training texts, after a first end."""
+        return np.concatenate([[len(self.keys)], self.at[self.train[self.text]]])
+
+
 @dataclass
 class Vocabulary:
-    """Sorted keys and counts of the clustered words; tokens, words and unseen mass of the rest by shape."""
+    """Sorted keys and counts of the first words; tokens and words of the later ones; the rare by shape.
+
+    shape_dealt: tokens by shape of the later words, which leave their shape when dealt.
+    """
 
     keys: np.ndarray
     counts: np.ndarray
     shape_tokens: np.ndarray
     shape_words: np.ndarray
     shape_once: np.ndarray
+    shape_dealt: np.ndarray
+    dealt_words: int
+    least: float
+    often: float
     tokens: int
     docs: int
 
     @property
     def distinct(self) -> int:
-        return len(self.keys) + int(self.shape_words.sum()) + (self.docs > 0)
+        return len(self.keys) + self.dealt_words + int(self.shape_words.sum()) + (self.docs > 0)
 
     @property
     def symbols(self) -> int:
-        """Clustered words, then shapes, then the end."""
+        """First words, then shapes, then the end."""
         return len(self.keys) + SHAPES + 1
 
+    def symbol(self, keys: np.ndarray) -> np.ndarray:
+        """The place among the first words, or the shape after them, of each key; the end at last."""
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        first = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        return np.append(np.where(first, place, len(self.keys) + (keys & _SHAPE).astype(np.int64)), self.symbols - 1)
+
+    def unseen(self) -> np.ndarray:
+        """The mass of unseen words in each shape."""
+        return np.where(self.shape_words > 0, (self.shape_once + 0.5) / (self.shape_tokens + 1.0), 1.0)
 
-def _part_stats(least: float):
+
+def _part_stats(least: float, often: float):
     def stats(keys: np.ndarray, total: np.ndarray) -> bytes:
-        often = total >= least
+        first, rare = total >= often, total < least
+        later = ~first & ~rare
         shape = (keys & _SHAPE).astype(np.int64)
-        by = [np.bincount(shape[m], weights=w[m], minlength=SHAPES).astype("<i8") for m, w in ((~often, total), (~often & (total > 0), np.ones(len(keys))), (~often & (total == 1), np.ones(len(keys))))]
-        return b"".join(x.tobytes() for x in (*by, keys[often].astype("<u8"), total[often].astype("<i8")))
+        one = np.ones(len(keys))
+        by = [np.bincount(shape[m], weights=w[m], minlength=SHAPES).astype("<i8") for m, w in ((rare, total), (rare & (total > 0), one), (rare & (total == 1), one), (later, total), (later, one))]
+        return b"".join(x.tobytes() for x in (*by, keys[first].astype("<u8"), total[first].astype("<i8")))
 
     return stats
 
 
-def _vocabulary(stats: list[bytes], tokens: int, docs: int) -> Vocabulary:
-    shapes, keys, counts = np.zeros((3, SHAPES), np.int64), [np.zeros(0, "<u8")], [np.zeros(0, "<i8")]
+def _vocabulary(stats: list[bytes], least: float, often: float, tokens: int, docs: int) -> Vocabulary:
+    shapes, keys, counts = np.zeros((5, SHAPES), np.int64), [np.zeros(0, "<u8")], [np.zeros(0, "<i8")]
     for blob in stats:
-        head = 3 * SHAPES * 8
-        shapes += np.frombuffer(blob[:head], "<i8").reshape(3, SHAPES)
+        head = 5 * SHAPES * 8
+        shapes += np.frombuffer(blob[:head], "<i8").reshape(5, SHAPES)
         half = head + (len(blob) - head) // 2
         keys.append(np.frombuffer(blob[head:half], "<u8"))
         counts.append(np.frombuffer(blob[half:], "<i8"))
     every, count = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(every)
-    return Vocabulary(every[order], count[order], *shapes, tokens, docs)
-
-
-class _Symbols(dict):
-    """Symbols of words: the place among the clustered, or the shape after them."""
+    return Vocabulary(every[order], count[order], *shapes[:4], int(shapes[4].sum()), least, often, tokens, docs)
 
-    def __init__(self, keys: np.ndarray) -> None:
-        self.places, self.n = {int(k): i for i, k in enumerate(keys)}, len(keys)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        key = word_key(word)
-        value = self[word] = self.places.get(key, self.n + key % SHAPES)
-        return value
-
-
-def _pairs(keys, parts: int):
+def _pairs(vocabulary, parts: int):
     """Counts of adjacent symbols, by either of the two: part, side, and arrays of word, other and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Symbols(keys.value)
-        end, n = known.n + SHAPES, known.n + SHAPES + 1
+        v: Vocabulary = vocabulary.value
+        n = v.symbols
         held: list[np.ndarray] = []
         tokens = 0
 
@@ -184,13 +248,9 @@ def _pairs(keys, parts: int):
                 cut = lambda a, kind: pa.array([a[order[edges[i] : edges[i + 1]]].astype(kind).tobytes() for i in own], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([side] * len(own), pa.int64()), cut(word, "<i4"), cut(other, "<i4"), cut(count, "<i8")], names=["part", "side", "word", "other", "count"])
 
-        for doc_id, text in rows(batches, "doc_id", "text"):
-            if held_out(doc_id):
-                continue
-            found = word_bytes(text)
-            s = np.empty(len(found) + 2, np.int64)
-            s[0] = s[-1] = end
-            s[1:-1] = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            block = _Block(row)
+            s = v.symbol(block.keys)[block.training()]
             held.append(s[:-1] * n + s[1:])
             tokens += len(s)
             if tokens >= PAIR_TOKENS:
@@ -278,13 +338,14 @@ def _round(state, parts: int):
 
 @dataclass
 class Model:
-    """Symbol classes, log10 transitions and log10 emissions by symbol; the vocabulary."""
+    """Classes and log10 emissions by symbol; log10 transitions and counts of classes; the vocabulary."""
 
     vocabulary: Vocabulary
     classes: np.ndarray
     transitions: np.ndarray
     emissions: np.ndarray
     likelihoods: list[float]
+    sums: np.ndarray
 
 
 def cluster(pairs: DataFrame, vocabulary: Vocabulary, parts: int, rounds: int = ROUNDS, most: int = CLASSES) -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -298,7 +359,7 @@ def cluster(pairs: DataFrame, vocabulary: Vocabulary, parts: int, rounds: int =
     rank = np.empty(k, np.int64)
     rank[np.lexsort((vocabulary.keys, -vocabulary.counts))] = np.arange(k)
     classes = np.concatenate([rank % most, most + np.arange(SHAPES + 1)])
-    counts = np.concatenate([vocabulary.counts, vocabulary.shape_tokens, [vocabulary.docs]]).astype(float)
+    counts = np.concatenate([vocabulary.counts, vocabulary.shape_tokens + vocabulary.shape_dealt, [vocabulary.docs]]).astype(float)
     c, best, seen = most + SHAPES + 1, None, []
 
     def pass_(matrix: np.ndarray | None, turn: int) -> tuple[np.ndarray, np.ndarray]:
@@ -321,83 +382,251 @@ def cluster(pairs: DataFrame, vocabulary: Vocabulary, parts: int, rounds: int =
     return best[1], best[2], seen
 
 
-def fit(blocked: DataFrame, rounds: int = ROUNDS, most: int = CLASSES) -> tuple[Model, DataFrame, int]:
-    """The model, the answers with the count of every word of every block, and their parts."""
+BESIDES = "part long, block long, keys binary, home binary, counts binary, times binary, before binary, after binary, again binary, bigrams binary"
+TEXTS = "doc_id {id}, held_out boolean, n_tokens long, n_known long, base_score double, known double, classes binary, block long, bigrams binary"
+
+
+def _arrow(fields: str, kind: pa.DataType | None = None) -> pa.Schema:
+    of = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "{id}": kind}
+    return pa.schema([(name, of[t]) for name, t in map(str.split, fields.split(", "))])
+
+
+def _read(answers: pa.Table, column: str, kind: str, keys: np.ndarray, parts: int) -> np.ndarray:
+    """What the parts say of a block's keys, in the order of the keys."""
+    own = answers.filter(pc.is_valid(answers.column(column)))
+    out, p = np.zeros(len(keys), kind), exchange.part_of(keys, parts)
+    order = np.argsort(p, kind="stable")
+    edges = np.searchsorted(p[order], np.arange(parts + 1))
+    for part, blob in zip(own.column("part").to_pylist(), own.column(column).to_pylist(), strict=True):
+        out[order[edges[part] : edges[part + 1]]] = np.frombuffer(blob, kind)
+    return out
+
+
+def _known(block: _Block, v: Vocabulary, first: np.ndarray, answers: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, class and whether it is dealt of each key of a block; the end's class at last."""
+    count = _read(answers, "totals", "<i8", block.keys, parts)
+    later = (count >= v.least) & (count < v.often)
+    classes = first[v.symbol(block.keys)]
+    if answers.column("classes").null_count < len(answers):
+        classes[:-1][later] = _read(answers, "classes", "u1", block.keys[later], parts)
+    return count, classes, later
+
+
+def _bigrams(classes: np.ndarray, c: int) -> bytes:
+    return np.bincount(classes[:-1] * c + classes[1:], minlength=c * c).astype("<i8").tobytes()
+
+
+def _gather(state, parts: int):
+    """Of each block its class bigrams, and to each part the later words with the classes beside them."""
+
+    def run(coded: pa.Table, answers: pa.Table) -> pa.Table:
+        v, first, c = state.value
+        out = [_arrow(BESIDES).empty_table()]
+        for row in coded.to_pylist():
+            block = _Block(row)
+            count, classes, later = _known(block, v, first, answers, parts)
+            t = block.training()
+            beside = classes[t]
+            keys = block.keys[later]
+            p = exchange.part_of(keys, parts)
+            order = np.argsort(p, kind="stable")
+            # words in the order in which they are sent, and their tokens in that order
+            rank = np.full(len(block.keys) + 1, -1)
+            rank[np.flatnonzero(later)[order]] = np.arange(len(keys))
+            at = np.flatnonzero(rank[t] >= 0)
+            at = at[np.argsort(rank[t[at]], kind="stable")]
+            times = np.bincount(rank[t[at]], minlength=len(keys))
+            words = np.searchsorted(p[order], np.arange(parts + 1))
+            tokens = np.concatenate([[0], np.cumsum(times)])[words]
+            own = [i for i in range(parts) if words[i] < words[i + 1]]
+            cut = lambda a, edges, kind: [a[edges[i] : edges[i + 1]].astype(kind).tobytes() for i in own]  # noqa: E731, B023
+            sent = {"part": own, "block": [row["block"]] * len(own)}
+            for name, a, kind in (("keys", keys[order], "<u8"), ("home", classes[:-1][later][order], "u1"), ("counts", count[later][order], "<i8"), ("times", times, "<i4")):
+                sent[name] = cut(a, words, kind)
+            for name, a, kind in (("before", beside[at - 1], "u1"), ("after", beside[np.minimum(at + 1, len(t) - 1)], "u1"), ("again", t[np.minimum(at + 1, len(t) - 1)] == t[at], "u1")):
+                sent[name] = cut(a, tokens, kind)
+            out.append(pa.table({**sent, "bigrams": [None] * len(own)}, schema=_arrow(BESIDES)))
+            out.append(pa.Table.from_pylist([{"block": row["block"], "bigrams": _bigrams(beside, c)}], schema=_arrow(BESIDES)))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _deal(state):
+    """The class of each later word of a part, for every block in the order in which it sent them."""
+
+    def run(group: pa.Table) -> pa.Table:
+        matrix, sums, most = state.value
+        c = len(sums)
+        column = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
+        lengths = [len(k) // 8 for k in group.column("keys").to_pylist()]
+        unique, one, where = np.unique(column("keys", "<u8"), return_index=True, return_inverse=True)
+        home, count = column("home", "u1")[one].astype(np.int64), column("counts", "<i8")[one].astype(float)
+        word = np.repeat(where, column("times", "<i4"))
+        order = np.argsort(word, kind="stable")
+        edges = np.searchsorted(word[order], np.arange(len(unique) + 1))
+        before, after, again = (column(name, "u1")[order] for name in ("before", "after", "again"))
+        new = np.empty(len(unique), "u1")
+        for i in range(len(unique)):
+            own = slice(edges[i], edges[i + 1])
+            new[i] = best_class(np.bincount(after[own], minlength=c), np.bincount(before[own], minlength=c), int(again[own].sum()), count[i], int(home[i]), matrix, sums, most)
+        cuts = np.concatenate([[0], np.cumsum(lengths)])
+        return pa.table({"block": group.column("block"), "part": group.column("part"), "classes": pa.array([new[where[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+    return run
+
+
+def best_class(right: np.ndarray, left: np.ndarray, own: int, total: float, home: int, matrix: np.ndarray, sums: np.ndarray, classes: int) -> int:
+    """The class best_move() finds, from the rows and columns a word touches only."""
+    r, l = right.astype(float), left.astype(float)
+    r[home] -= own
+    l[home] -= own
+    m_right, m_left = np.flatnonzero(r), np.flatnonzero(l)
+    out, into = matrix[:classes][:, m_right].copy(), matrix[m_left][:, :classes].T.copy()
+    # the word leaves its home first
+    if home < classes:
+        out[home] -= r[m_right]
+        into[home] -= l[m_left]
+    out[:, m_right == home] -= l[:classes, None]
+    into[:, m_left == home] -= r[:classes, None]
+    if home < classes:
+        out[home, m_right == home] -= own
+        into[home, m_left == home] -= own
+    corner = matrix[np.arange(classes), np.arange(classes)].copy()
+    if home < classes:
+        corner[home] -= r[home] + l[home] + own
+    s = sums[:classes].copy()
+    if home < classes:
+        s[home] -= total
+    gain = (_xlogx(out + r[m_right]) - _xlogx(out)).sum(1) + (_xlogx(into + l[m_left]) - _xlogx(into)).sum(1)
+    each = np.arange(classes)
+    # where the word meets the class itself, both sides change one cell
+    gain -= _xlogx(corner + r[:classes]) + _xlogx(corner + l[:classes]) - 2 * _xlogx(corner)
+    gain += _xlogx(corner + r[:classes] + l[:classes] + own) - _xlogx(corner)
+    gain -= 2 * (_xlogx(s + total) - _xlogx(s))
+    return int(each[np.argmax(gain)])
+
+
+def _texts(state, parts: int, kind: str):
+    """Each text with its base score, the logs of its words' counts and its classes; of each block its class bigrams.
+
+    After the classes of the model stand those of the unseen words, by shape.
+    """
+
+    def run(coded: pa.Table, answers: pa.Table) -> pa.Table:
+        v, first, c = state.value
+        schema = _arrow(TEXTS, coded.schema.field("ids").type.value_type)
+        out = [schema.empty_table()]
+        for row in coded.to_pylist():
+            block = _Block(row)
+            count, classes, _ = _known(block, v, first, answers, parts)
+            told = np.where(np.append(count > 0, True), classes, classes - (c - 1 - SHAPES) + c)
+            counts = np.append(count, v.docs)
+            logs = np.append(np.where(count > 0, np.log10(np.maximum(count, 1)), 0.0), 0.0)
+            n = len(block.lengths)
+            total = lambda x: np.bincount(block.text, weights=x[block.at], minlength=n)  # noqa: E731, B023
+            codes = told[block.at].astype("u1")
+            begins = np.concatenate([[0], np.cumsum(block.lengths + 1)])
+            out.append(pa.table({"doc_id": row["ids"], "held_out": ~block.train, "n_tokens": block.lengths + 1, "n_known": total((counts > 0).astype(float)).astype(np.int64), "base_score": total(np.log10((counts + 1) / (v.tokens + v.distinct + 1))), "known": total(logs), "classes": [codes[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)], "block": pa.nulls(n, pa.int64()), "bigrams": pa.nulls(n, pa.binary())}, schema=schema))
+            out.append(pa.Table.from_pylist([{"block": row["block"], "bigrams": _bigrams(classes[block.training()], c)}], schema=schema))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _summed(found: DataFrame, c: int) -> np.ndarray:
+    """The class bigrams of all blocks, summed on few rows before they travel."""
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum((np.frombuffer(b, "<i8") for b in group.column("bigrams").to_pylist()), np.zeros(c * c, "<i8"))
+        return pa.table({"bigrams": pa.array([total.tobytes()], pa.binary())})
+
+    rows_ = found.filter("bigrams is not null").select((F.xxhash64("block") % 32).alias("to"), "bigrams").groupBy("to").applyInArrow(add, "bigrams binary").collect()
+    return sum((np.frombuffer(r["bigrams"], "<i8") for r in rows_), np.zeros(c * c, "<i8")).reshape(c, c).astype(float)
+
+
+def fit(blocked: DataFrame, rounds: int = ROUNDS, most: int = CLASSES, deals: int = DEALS) -> tuple[Model, DataFrame, int]:
+    """The model, the texts with their classes, and the parts of the words. blocked: what _blocks() or _coded() gives."""
     spark = blocked.sparkSession
-    words = blocked.filter("keys is not null")
-    tokens, docs, size = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("tokens"), F.col("docs"), F.octet_length("keys"))]).first()
+    coded = blocked
+    if "codes" not in blocked.columns:
+        coded = durable(blocked.mapInArrow(_coded, CODED.format(id=blocked.schema["doc_id"].dataType.simpleString())), "lm-coded")
+    kind = coded.schema["ids"].dataType.elementType.simpleString()
+    tokens, docs, size = coded.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("tokens"), F.col("docs"), F.octet_length("keys"))]).first()
     parts = exchange.parts_for(spark, int(size))
-    answers = durable(exchange.totals(words, parts, _part_stats(max(2.0, SHARE * tokens))), "word-totals")
-    vocabulary = _vocabulary([bytes(r["totals"]) for r in answers.filter(F.col("block") == exchange.STATS).select("totals").collect()], int(tokens), int(docs))
-    keys = spark.sparkContext.broadcast(vocabulary.keys)
+    often = max(2.0, SHARE * tokens)
+    least = min(often, max(2.0, LEAST))
+    answers = durable(exchange.totals(coded, parts, _part_stats(least, often)), "word-totals")
+    v = _vocabulary([bytes(r["totals"]) for r in answers.filter(F.col("block") == exchange.STATS).select("totals").collect()], least, often, int(tokens), int(docs))
+    answers = answers.filter(F.col("block") != exchange.STATS)
+    shared = spark.sparkContext.broadcast(v)
     pair_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = durable(blocked.filter("keys is null").select("doc_id", "text").mapInArrow(_pairs(keys, pair_parts), "part long, side long, word binary, other binary, count binary").groupBy("part").applyInArrow(_merged, PAIRS), "word-pairs")
-    classes, matrix, seen = cluster(pairs, vocabulary, pair_parts, rounds, most)
+    texts = coded.select("block", "ids", "lengths", "train", "codes", "keys")
+    pairs = durable(texts.drop("ids").mapInArrow(_pairs(shared, pair_parts), "part long, side long, word binary, other binary, count binary").groupBy("part").applyInArrow(_merged, PAIRS), "word-pairs")
+    classes, matrix, seen = cluster(pairs, v, pair_parts, rounds, most)
     c = len(matrix)
-    counts = np.concatenate([vocabulary.counts, vocabulary.shape_tokens, [vocabulary.docs]]).astype(float)
-    sums = np.bincount(classes, weights=counts, minlength=c)
+    state = spark.sparkContext.broadcast((v, classes, c))
+
+    def by_block(run, dealt: DataFrame | None, schema: str) -> DataFrame:
+        known = answers.withColumn("classes", F.lit(None).cast("binary"))
+        if dealt is not None:
+            known = known.unionByName(dealt, allowMissingColumns=True)
+        return durable(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema), "lm-classes")
+
+    dealt, tables = None, []
+    for _ in range(deals if v.dealt_words else 0):
+        found = by_block(_gather(state, parts), dealt, BESIDES)
+        matrix = _summed(found, c)
+        if dealt is not None:
+            tables.append((likelihood(matrix, matrix.sum(0)), dealt))
+        now = spark.sparkContext.broadcast((matrix, matrix.sum(0), most))
+        dealt = durable(found.filter("part is not null").drop("bigrams").groupBy("part").applyInArrow(_deal(now), "block long, part long, classes binary"), "word-classes")
+    told = by_block(_texts(state, parts, kind), dealt, TEXTS.format(id=kind))
+    matrix = _summed(told, c)
+    levels = [level for level, _ in tables]
+    if dealt is not None:
+        levels.append(likelihood(matrix, matrix.sum(0)))
+    if levels and max(levels) > levels[-1]:
+        # words move side by side, so a deal can lose
+        told = by_block(_texts(state, parts, kind), tables[int(np.argmax(levels[:-1]))][1], TEXTS.format(id=kind))
+        matrix = _summed(told, c)
+    sums = matrix.sum(0)
     unigram = (sums + 1) / (sums.sum() + c)
     transitions = np.log10((matrix + SMOOTH * unigram[None, :]) / (matrix.sum(1, keepdims=True) + SMOOTH))
-    with np.errstate(divide="ignore"):
-        emissions = np.log10(np.maximum(counts, 1e-300) / np.maximum(sums[classes], 1e-300))
-    return Model(vocabulary, classes, transitions, emissions, seen), answers, parts
+    counts = np.concatenate([v.counts, v.shape_tokens, [v.docs]]).astype(float)
+    emissions = np.log10(np.maximum(counts, 1e-300) / np.maximum(sums[classes], 1e-300))
+    return Model(v, classes, transitions, emissions, [*seen, *levels], sums), told, parts
 
 
-def _score(model, parts: int):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+def _score(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        v = m.vocabulary
-        words: defaultdict = defaultdict()
-        words.default_factory = words.__len__
-        found = [word_bytes(t) for t in texts.column("text").to_pylist()]
-        lengths = np.array([len(f) for f in found], np.int64)
-        at = np.concatenate([np.fromiter(map(words.__getitem__, f), np.int64, len(f)) for f in found]) if found else np.zeros(0, np.int64)
-        keys = np.fromiter(map(word_key, words), np.uint64, len(words))
-        unique, where = np.unique(keys, return_inverse=True)
-        count = exchange.answered(unique, parts, answers)[where]
-        place = np.minimum(np.searchsorted(v.keys, keys), max(0, len(v.keys) - 1))
-        often = v.keys[place] == keys if len(v.keys) else np.zeros(len(keys), bool)
-        shape = (keys & _SHAPE).astype(np.int64)
-        symbol = np.where(often, place, len(v.keys) + shape)
-        unseen = np.where(v.shape_words > 0, (v.shape_once + 0.5) / (v.shape_tokens + 1.0), 1.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rare = np.where(count > 0, np.log10(1 - unseen[shape]) + np.log10(count / np.maximum(v.shape_tokens[shape], 1)), np.log10(unseen[shape]))
-        emission = np.where(often, m.emissions[symbol], rare)
-        # every text as its words and its end, after an end
-        end = v.symbols - 1
-        begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-        is_end = np.zeros(begins[-1], bool)
-        is_end[begins[1:] - 1] = True
-        flat = lambda by_word, ending, kind: _laid(by_word[at], ending, is_end, kind)
-        cls = flat(m.classes[symbol], m.classes[end], np.int64)
-        before = np.concatenate([[m.classes[end]], cls[:-1]])
-        score = flat(emission, 0.0, float) + m.transitions[before, cls]
-        counts = flat(count, v.docs, np.int64)
-        base = np.log10((counts + 1) / (v.tokens + v.distinct + 1))
-        text = np.repeat(np.arange(len(lengths)), lengths + 1)
-        total = lambda x: np.bincount(text, weights=x, minlength=len(lengths))
-        ids = texts.column("doc_id")
-        n = len(ids)
-        return pa.table({"doc_id": ids, "held_out": pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_()), "n_tokens": pa.array(lengths + 1, pa.int64()), "n_known": pa.array(total(counts > 0).astype(np.int64), pa.int64()), "train_tokens": pa.array(np.full(n, v.tokens), pa.int64()), "base_score": pa.array(total(base), pa.float64()), "score": pa.array(total(score), pa.float64())})
+        v, c = m.vocabulary, len(m.transitions)
+        end, shapes = c - 1, c - 1 - SHAPES
+        unseen = v.unseen()
+        with np.errstate(divide="ignore"):
+            emission = np.concatenate([-np.log10(np.maximum(m.sums[:shapes], 1)), np.log10(1 - unseen) - np.log10(np.maximum(v.shape_tokens, 1)), [0.0], np.log10(unseen)])
+        cls = np.concatenate([np.arange(c), shapes + np.arange(SHAPES)])
+        for batch in batches:
+            scores = []
+            for known, classes in zip(batch.column("known").to_pylist(), batch.column("classes").to_pylist(), strict=True):
+                codes = np.frombuffer(classes, "u1")
+                own = cls[codes]
+                scores.append(known + emission[codes].sum() + m.transitions[np.concatenate([[end], own[:-1]]), own].sum())
+            n = len(batch)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array([v.tokens] * n, pa.int64()), batch.column("base_score"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def _laid(words: np.ndarray, ending, is_end: np.ndarray, kind) -> np.ndarray:
-    out = np.full(len(is_end), ending, kind)
-    out[~is_end] = words
-    return out
-
-
-def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS, deals: int = DEALS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocked = durable(docs.mapInArrow(_blocks, f"block long, doc_id {kind}, text string, keys binary, weights binary, tokens long, docs long"), "lm-blocks")
-    model, answers, parts = fit(blocked, rounds=rounds)
+    coded = durable(docs.select("doc_id", "text").mapInArrow(lambda batches: _coded(_blocks(batches)), CODED.format(id=kind)), "lm-coded")
+    model, told, _ = fit(coded, rounds=rounds, deals=deals)
     shared = spark.sparkContext.broadcast(model)
-    texts = blocked.filter("keys is null").select("block", "doc_id", "text")
-    scored = texts.groupBy("block").cogroup(answers.filter(F.col("block") != exchange.STATS).groupBy("block")).applyInArrow(_score(shared, parts), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts = told.filter("classes is not null").select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "known", "classes")
+    scored = texts.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -84,3 +84,37 @@ def test_a_move_gains_what_it_says():
 
 def test_empty(spark):
     assert b.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_of_small_share_are_clustered(spark, monkeypatch):
+    # with a share that few words reach, the others must still find the classes of their kind
+    monkeypatch.setattr(b, "SHARE", 0.05)
+    rng = random.Random(4)
+    data = [(i, " ".join(rng.choice(("the", "a")) + f" n{rng.randrange(40)} " + rng.choice(("is", "was")) + f" v{rng.randrange(40)}" for _ in range(30))) for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    levels = {}
+    for deals in (0, 2):
+        rows = b.score_documents(docs, rounds=3, deals=deals).collect()
+        assert len(rows) == len(data)
+        levels[deals] = sum(r.score for r in rows if r.held_out) / sum(r.n_tokens for r in rows if r.held_out)
+    assert levels[2] > levels[0] + 0.05
+    model, told, _ = b.fit(spark.createDataFrame(data, "doc_id long, text string").mapInArrow(lambda x: b._coded(b._blocks(x)), b.CODED.format(id="long")), rounds=3)
+    assert model.vocabulary.dealt_words == 80 and model.vocabulary.shape_words.sum() == 0
+    codes = {c for r in told.filter("classes is not null").collect() for c in r.classes}
+    assert codes <= {*range(b.CLASSES), b.CLASSES + b.SHAPES}
+
+
+def test_best_class_is_the_best_move():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        c, most = 9, 6
+        home = int(rng.integers(0, c - 1))
+        right, left = rng.integers(0, 4, (2, c)) * rng.integers(0, 2, (2, c))
+        own = int(min(right[home], left[home], rng.integers(0, 2)))
+        matrix = rng.integers(0, 30, (c, c)).astype(float) + 10
+        matrix[home] += right
+        matrix[:, home] += left
+        sums = matrix.sum(0) + 20
+        total = float(right.sum())
+        to, _ = b.best_move(right.astype(float), left.astype(float), own, total, home, matrix, sums, most)
+        assert b.best_class(right, left, own, total, home, matrix, sums, most) == to
