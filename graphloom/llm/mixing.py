@@ -1,10 +1,12 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
 Slot k of the schedule takes the point k * g mod 1 (g: the golden ratio's fraction, in
-31-bit arithmetic, where it runs through every value once) and the source whose interval
-of the cumulative weights holds it. Slots are ranked within their source; the documents of
-a source, shuffled by hash, are cut into blocks of equal word counts; and the slot of rank
-j takes block j, starting over after the last block.
+61-bit arithmetic) and the source whose interval of the cumulative weights holds it. Slots
+are ranked within their source; the documents of a source, shuffled by hash, are cut into
+blocks of equal word counts; and the slot of rank j takes block j, starting over after the
+last block. A source has `LEAST_BLOCKS` blocks or one for each word at least, however large
+the others are. Slots beyond a source's target fall away and missing ones follow at the end,
+so each source comes within half a block of its target.
 
 Targets share a budget of words by weight; a target stops at `most` times the words of its
 source and what is left is shared again by weight. Null texts have no words, a null source
@@ -15,7 +17,7 @@ The result depends only on the rows, never on how they are partitioned.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,13 +29,17 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2
 SEED = 29
-#: The schedule has about this many slots at most; blocks grow with the corpus instead.
+#: The schedule has about this many slots, and some more for each small source; blocks of large
+#: sources grow with the corpus instead.
 SLOTS = 1 << 20
 LEAST_BLOCK = 16
+LEAST_BLOCKS = 64
 BUCKETS = 1_024
-CELLS = 1 << 12
-UNIT = 1 << 31
-GOLDEN = 1_327_217_885  # round(UNIT * (sqrt(5) - 1) / 2), odd
+CELL_BITS = 12
+UNIT_BITS = 61
+UNIT = 1 << UNIT_BITS
+GOLDEN = 1_425_089_352_415_399_811  # UNIT * (sqrt(5) - 1) / 2, odd
+LOW_BITS = 31
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
@@ -56,25 +62,40 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
 
 
 def _intervals(plan: DataFrame) -> DataFrame:
-    """lo and hi of each source on 0 to UNIT, by the slots its target needs, and the slots in all."""
+    """lo and hi of each source on 0 to UNIT, the slots its target needs (want), and the slots in all."""
     slots = F.col("target") / (F.col("source_size") / F.col("blocks"))
-    along = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.orderBy("s")
     every = Window.partitionBy()
-    cut = plan.filter(F.col("source_size") > 0).withColumn("_slots", slots).withColumn("_to", F.sum("_slots").over(along)).withColumn("_all", F.sum("_slots").over(every))
-    at = lambda c: F.round(c / F.col("_all") * UNIT).cast("long")
-    return cut.select("s", "blocks", at(F.col("_to") - F.col("_slots")).alias("lo"), at(F.col("_to")).alias("hi"), F.round("_all").cast("long").alias("slots"))
+    cut = plan.filter(F.col("source_size") > 0).withColumn("_slots", slots).withColumn("_to", F.sum("_slots").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_all", F.sum("_slots").over(every))
+    # each begins where the one before it ends, and the last ends at UNIT
+    end = F.when(F.lead("s").over(order).isNull(), F.lit(UNIT)).otherwise(F.least(F.round(F.col("_to") / F.col("_all") * UNIT).cast("long"), F.lit(UNIT)))
+    cut = cut.withColumn("hi", end).withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0).cast("long")))
+    return cut.select("s", "blocks", "lo", "hi", F.round("_slots").cast("long").alias("want"), F.round("_all").cast("long").alias("slots"))
+
+
+def _point(slot: Column) -> Column:
+    """slot * GOLDEN mod UNIT, for slots below 2 ** 32, without leaving 63 bits."""
+    high, low = GOLDEN >> LOW_BITS, GOLDEN & ((1 << LOW_BITS) - 1)
+    return F.pmod(F.pmod(slot * F.lit(high), F.lit(1 << (UNIT_BITS - LOW_BITS))) * F.lit(1 << LOW_BITS) + F.pmod(slot * F.lit(low), F.lit(UNIT)), F.lit(UNIT))
 
 
 def schedule(intervals: DataFrame, slots: int) -> DataFrame:
     """slot, s, rank, pass and block: which block of which source each slot takes."""
-    width = UNIT // CELLS
-    cells = intervals.withColumn("cell", F.explode(F.sequence((F.col("lo") / width).cast("long"), F.greatest((F.col("lo") / width).cast("long"), ((F.col("hi") - 1) / width).cast("long")))))
+    cell = lambda c: F.shiftright(c, UNIT_BITS - CELL_BITS)
+    cells = intervals.filter("lo < hi").withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
     spark = intervals.sparkSession
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * GOLDEN, F.lit(UNIT)).alias("u"))
-    points = points.withColumn("cell", F.floor(F.col("u") / width))
-    chosen = points.join(cells, "cell").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "s", "blocks", F.floor(F.col("slot") / 4096).alias("run"))
-    ranked = running(chosen, "s", "run", ["slot"], F.lit(1), "rank")
-    return ranked.select("slot", "s", "rank", F.floor(F.col("rank") / F.col("blocks")).cast("int").alias("pass"), (F.col("rank") % F.col("blocks")).alias("block"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), _point(F.col("id")).alias("u"))
+    points = points.withColumn("cell", cell(F.col("u")))
+    chosen = points.join(cells, "cell").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "s", "blocks", "want", F.floor(F.col("slot") / 4096).alias("run"))
+    ranked = running(chosen, "s", "run", ["slot"], F.lit(1), "rank").filter(F.col("rank") < F.col("want")).select("slot", "s", "blocks", "rank")
+    # what the points leave short of a target follows after them
+    got = chosen.groupBy("s").agg(F.count(F.lit(1)).alias("got"))
+    short = intervals.join(got, "s", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long"))).filter("got < want")
+    late = short.select("s", "blocks", "got", F.explode(F.sequence(F.col("got"), F.col("want") - 1)).alias("rank"))
+    last = F.max("s").over(Window.partitionBy()) + 1
+    late = late.withColumn("slot", F.lit(slots) + (F.col("rank") - F.col("got")) * last + F.col("s")).select("slot", "s", "blocks", F.col("rank"))
+    every = ranked.unionByName(late)
+    return every.select("slot", "s", "rank", F.floor(F.col("rank") / F.col("blocks")).cast("int").alias("pass"), (F.col("rank") % F.col("blocks")).alias("block"))
 
 
 def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -86,8 +107,9 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BU
     plan = targets(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, budget, most)
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     block = max(LEAST_BLOCK, -(-int(total * budget) // SLOTS))
-    plan = durable(plan.withColumn("blocks", F.ceil(F.col("source_size") / block)), "mix-plan")
-    intervals = _intervals(plan)
+    blocks = F.greatest(F.ceil(F.col("source_size") / block), F.least(F.col("source_size"), F.lit(LEAST_BLOCKS)))
+    plan = durable(plan.withColumn("blocks", blocks), "mix-plan")
+    intervals = durable(_intervals(plan), "mix-intervals")
     slots = intervals.agg(F.coalesce(F.max("slots"), F.lit(0))).first()[0]
     timetable = schedule(intervals, int(slots)).filter(F.col("pass") < most)
 

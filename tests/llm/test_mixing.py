@@ -83,3 +83,24 @@ def test_empty(spark):
     assert mixing.taken_words(docs).collect() == [] and mixing.mix_documents(docs).collect() == []
     none = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(r.size, r.taken) for r in mixing.taken_words(none).collect()] == [(0, 0), (0, 0)]
+
+
+def test_small_sources_reach_their_targets_beside_large_ones(spark, monkeypatch):
+    # few slots make blocks as large as some billions of words do: more than a small source has
+    monkeypatch.setattr(mixing, "SLOTS", 1 << 12)
+    sized = spark.createDataFrame([(f"L{i:02d}", j, 50_000) for i in range(20) for j in range(20)] + [(f"S{i:03d}", j, 100) for i in range(100) for j in range(30)], "source string, id long, size long")
+    taken, _ = mixing.mix(sized.withColumn("h", mixing.F.xxhash64("source", "id")))
+    got = {}
+    for r in taken.collect():
+        size, target, words = got.get(r.source, (r.source_size, r.target, 0))
+        got[r.source] = (size, target, words + r.taken)
+    assert len(got) == 120
+    for size, target, words in got.values():
+        assert abs(words - target) <= max(size / mixing.LEAST_BLOCKS, 7_500)
+        assert abs(words - target) <= 0.02 * target
+
+
+def test_points_are_exact(spark):
+    ids = [0, 1, 2, 12345, 46_368, (1 << 20) + 1, (1 << 32) - 1]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long").select("id", mixing._point(mixing.F.col("id")).alias("u")).collect()
+    assert {r.id: r.u for r in rows} == {i: i * mixing.GOLDEN % mixing.UNIT for i in ids}
