@@ -13,6 +13,10 @@ from graphloom.durable import durable
 from graphloom.llm import bpe, mixing, near_dedup, quality_rules, secret_scan
 
 
+#: Shared five-word shingles of 100 that make two documents near-duplicates.
+SIMILAR_PERCENT = 80
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.keep_documents(docs)
@@ -20,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return near_dedup.keep_documents(docs)
+    return near_dedup.keep_documents(docs, SIMILAR_PERCENT)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,19 +9,23 @@ Equal sets become one node first. Nodes that agree in all coordinates of a band
 bucket. Then, exactly and without listing the pairs of a group:
 
 1. A shingle that only one candidate has cannot be shared. A node where more than
-   100 - PERCENT of 100 shingles are such has no link and goes.
+   100 - percent of 100 shingles are such has no link and goes.
 2. In each bucket the node with the smallest share of unshared shingles leads, and every
    other member is verified against it on full sets: linear in the size of the bucket.
 3. Components of these links are formed, and only pairs of a bucket that lie in different
    components are verified further. Any link left out joins what is joined already.
 
-Sketches also spare pairs whose bits differ more than a linked pair's do but for one in a million. Documents without words are linked with nothing. Null ids form
+Sketches also spare pairs whose bits differ more than a linked pair's do but for one in a
+million. Bands and the bound on bits follow from the similarity that a link asks (percent).
+
+Documents without words are linked with nothing. Null ids form
 their own rows with a null component id where no member has an id; repeated rows are
 copies; extra columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,21 +43,20 @@ from graphloom.llm.components import components
 
 WORDS = 5
 PERCENT = 85
-BANDS = 32
-BAND_ROWS = 6
+COORDINATES = 192
 SEED = 0x51D
-#: Bits in which the sketches of a linked pair may differ: at the least similarity, 192 * 0.075 on
-#: average, and more than this many in about one pair of a million.
-MOST_BITS = 34
+#: Linked pairs that bands may miss, and that the bound on bits may miss, at the least similarity.
+MISSED = 1e-6
+MISSED_BY_BITS = 1e-6
 BLOCK_BYTES = 4 << 20
 KNOWN_WORDS = 400_000
 
-_T = BANDS * BAND_ROWS
+_T = COORDINATES
 _MASK = np.uint64((1 << 40) - 1)
 _rng = np.random.default_rng(SEED)
 _ROUND = _rng.integers(1, 1 << 63, 2 * _T, dtype=np.uint64)
 _PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
-_BAND = _rng.integers(1, 1 << 63, (BANDS, BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+_BAND = _rng.integers(1, 1 << 63, _T, dtype=np.uint64) | np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -101,9 +104,27 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return bins
 
 
-def band_keys(bins: np.ndarray) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Coordinates of a band: as many as still miss few enough linked pairs."""
+    return max((r for r in range(1, 9) if (1 - (percent / 100) ** r) ** (_T // r) <= MISSED), default=1)
+
+
+def most_bits(percent: int) -> int:
+    """Bits in which the sketches of a linked pair may differ: more than this many differ in few enough pairs."""
+    p = (1 - percent / 100) / 2
+    tail = 1.0
+    for n in range(_T + 1):
+        tail -= math.comb(_T, n) * p**n * (1 - p) ** (_T - n)
+        if tail <= MISSED_BY_BITS:
+            return n
+    return _T
+
+
+def band_keys(bins: np.ndarray, rows_: int) -> np.ndarray:
     """One key for each band."""
-    return mixed((bins.reshape(BANDS, BAND_ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    bands = _T // rows_
+    used = (bins * _BAND)[: bands * rows_].reshape(bands, rows_)
+    return mixed(used.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def bits(bins: np.ndarray) -> np.ndarray:
@@ -118,15 +139,18 @@ def digest(elements: np.ndarray) -> bytes:
 SKETCHED = "doc_id {id}, text_hash long, n_shingles long, node binary, bands array<long>, bits array<long>"
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Words()
-    for batch in batches:
-        sets = [shingles(word_bytes(t), known) for t in batch.column("text").to_pylist()]
-        bins = [sketch(s) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, sets), pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([None if b is None else band_keys(b) for b in bins], pa.list_(pa.int64())), pa.array([None if b is None else bits(b) for b in bins], pa.list_(pa.int64()))],
-            names=["doc_id", "text_hash", "n_shingles", "node", "bands", "bits"],
-        )
+def _sketched(rows_: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in batches:
+            sets = [shingles(word_bytes(t), known) for t in batch.column("text").to_pylist()]
+            bins = [sketch(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, sets), pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([None if b is None else band_keys(b, rows_) for b in bins], pa.list_(pa.int64())), pa.array([None if b is None else bits(b) for b in bins], pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "node", "bands", "bits"],
+            )
+
+    return run
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +177,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _survivors(parts: int):
+def _survivors(parts: int, percent: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {"node": [], "n": [], "alone": [], "elements": []}
         for nodes, sizes, elements, keys in zip(*(blocks.column(c).to_pylist() for c in ("nodes", "sizes", "elements", "keys")), strict=True):
@@ -162,7 +186,7 @@ def _survivors(parts: int):
             at = 0
             for i, size in enumerate(np.frombuffer(sizes, "<i8").tolist()):
                 u = int(alone[at : at + size].sum())
-                if 100 * (size - u) >= PERCENT * size:
+                if 100 * (size - u) >= percent * size:
                     for name, value in zip(out, (nodes[16 * i : 16 * i + 16], size, u, every[at : at + size].tobytes()), strict=True):
                         out[name].append(value)
                 at += size
@@ -171,38 +195,41 @@ def _survivors(parts: int):
     return run
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sets are as similar as a link asks, on full sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _verified(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"set_{c}"))
-    return durable(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a binary, b binary"), "near-links")
+    return durable(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a binary, b binary"), "near-links")
 
 
-def _may_link(x: str, y: str) -> Column:
+def _may_link(x: str, y: str, percent: int) -> Column:
     """Bounds by set sizes and unshared shingles, and by the bits of the sketches."""
     c = lambda side, name: F.col(f"{side}_{name}")
     shared = F.least(c(x, "n") - c(x, "alone"), c(y, "n") - c(y, "alone"))
     differ = sum((F.bit_count(F.get(c(x, "bits"), F.lit(i)).bitwiseXOR(F.get(c(y, "bits"), F.lit(i)))) for i in range(3)), F.lit(0))
-    return (100 * shared >= PERCENT * (c(x, "n") + c(y, "n") - shared)) & (differ <= MOST_BITS)
+    return (100 * shared >= percent * (c(x, "n") + c(y, "n") - shared)) & (differ <= most_bits(percent))
 
 
-def labelled(docs: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles and label, the component's name, of every document."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = durable(docs.mapInArrow(_sketched, SKETCHED.format(id=kind)), "near-sketches")
+    sketched = durable(docs.mapInArrow(_sketched(band_rows(percent)), SKETCHED.format(id=kind)), "near-sketches")
 
     # a node is found again by the id and text hash of one of its documents
     nodes = sketched.filter("n_shingles > 0").groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("one"))
@@ -216,16 +243,16 @@ def labelled(docs: DataFrame) -> DataFrame:
     size = int(sets.agg(F.coalesce(F.sum(F.octet_length("elements")), F.lit(0))).first()[0])
     parts = exchange.parts_for(spark, size)
     answers = exchange.totals(sets, parts)
-    alive = durable(sets.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors(parts), "node binary, n long, alone long, elements binary").dropDuplicates(["node"]), "near-survivors")
+    alive = durable(sets.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors(parts, percent), "node binary, n long, alone long, elements binary").dropDuplicates(["node"]), "near-survivors")
 
     facts = alive.select("node", "n", "alone")
     members = durable(members.join(facts, "node"), "near-members")
     lead = members.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "node", "n", "alone", "bits")).alias("lead")).filter("_n > 1")
     facts_of = lambda side, c: [c["node"].alias(side), *(c[k].alias(f"{side}_{k}") for k in ("n", "alone", "bits"))]
     led = members.join(lead.select("band", "lead"), "band").filter(F.col("node") != F.col("lead.node"))
-    led = led.select(*facts_of("a", F.col("lead")), *facts_of("b", {k: F.col(k) for k in ("node", "n", "alone", "bits")})).filter(_may_link("a", "b"))
+    led = led.select(*facts_of("a", F.col("lead")), *facts_of("b", {k: F.col(k) for k in ("node", "n", "alone", "bits")})).filter(_may_link("a", "b", percent))
     pairs = durable(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    links = _links(pairs, alive)
+    links = _links(pairs, alive, percent)
 
     labels = components(links)
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -235,9 +262,9 @@ def labelled(docs: DataFrame) -> DataFrame:
     # a pair is met once, in the first band that it shares
     earlier = lambda s: F.slice(f"{s}_bands", F.lit(1), F.col("x_place"))
     first = ~F.exists(F.zip_with(earlier("x"), earlier("y"), lambda a, b: a == b), lambda same: same)
-    across = side("x").join(side("y"), "band").filter((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & _may_link("x", "y") & first)
+    across = side("x").join(side("y"), "band").filter((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & _may_link("x", "y", percent) & first)
     rest = durable(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    more = _links(rest, alive)
+    more = _links(rest, alive, percent)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
@@ -251,11 +278,11 @@ def components_of(docs: DataFrame) -> DataFrame:
     return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_documents(docs: DataFrame) -> DataFrame:
+def keep_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, that of least id, with all columns; those without words all stay."""
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
     blank = F.col("text").isNull() | ~F.col("text").rlike(WORD)
-    first = labelled(docs).filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
+    first = labelled(docs, percent).filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
     first = first.select(F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_of"))
     chosen = keyed.filter(~blank).join(first, (F.col("_hash") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     copies = Window.partitionBy("doc_id", "_hash").orderBy("_hash")

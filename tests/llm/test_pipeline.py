@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 
-from graphloom.llm import bpe, mixing, quality_rules, secret_scan
+from graphloom.llm import bpe, mixing, near_dedup, quality_rules, secret_scan
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -67,3 +67,17 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.collect() == []
+
+
+def test_copies_of_similarity_between_80_and_85_go(spark):
+    rng = random.Random(6)
+    data = []
+    for i in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        # two changed words apart touch ten of 100 shingles: 90 of 110 are shared
+        near = ["x" if j in (30, 70) else w for j, w in enumerate(words)]
+        data += [(i, " ".join(words)), (100 + i, " ".join(near))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(30))
+    assert near_dedup.keep_documents(docs).count() == 60
+    assert near_dedup.band_rows(85) == 6 and near_dedup.band_rows(80) == 5
