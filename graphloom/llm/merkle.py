@@ -1,7 +1,10 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
 Leaves are paragraphs: the lines of a text, and long lines cut further at places their
-words choose, so that an edit moves only the cuts beside it. A section is a run of
+words choose, so that an edit moves only the cuts beside it. Where no word ends a leaf in
+time, a rolling hash of code points chooses, and a leaf of the largest size is cut in any
+case. Leaves that begin near the start of a text are smaller, so that short texts have
+several. A section is a run of
 paragraphs that ends where a leaf's hash says so. A section's hash covers its leaves and
 the root, a SHA-256 digest of the section hashes, covers the sections, so equal roots mean
 equal texts. The fingerprint writes the tree as text, root first, then each section with
@@ -21,10 +24,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,33 +38,94 @@ from graphloom.durable import durable
 from graphloom.llm.common import small_batches
 from graphloom.llm.splitters import range_of, ranges
 
-#: A word ends a leaf if its hash is 0 modulo this; a line end always does.
-LEAF_WORDS = 12
+#: Code points at the start of a text whose leaves are smaller.
+NEAR_START = 1_024
+
+
+@dataclass(frozen=True)
+class _Cut:
+    """A word ends a leaf if its hash is 0 modulo `words`; a line end always does.
+
+    A leaf longer than `long` is cut where the hash of `WINDOW` code points is 0 modulo
+    `points`, `long` // 4 after the last cut at the earliest and `most` at the latest.
+    """
+
+    words: int
+    long: int
+    points: int
+    most: int
+
+
+SMALL, LARGE = _Cut(4, 48, 16, 96), _Cut(12, 192, 64, 384)
+WINDOW = 8
 #: A leaf ends a section if its hash is 0 modulo this.
 SECTION_LEAVES = 8
 LEAF_BYTES = 6
 RANGE_BYTES = 8 << 20
 MOST_RANGES = 65_536
 
-_WORDS = re.compile(r"\n|[^\n\x20]*\x20*")
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
+
+
+def _pieces(leaf: str, cut: _Cut) -> list[str]:
+    """A long leaf, cut by its code points."""
+    points = np.frombuffer(leaf.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    h = np.zeros(len(points), np.uint64)
+    for k in range(WINDOW):
+        h[k:] += points[: len(points) - k] * _POWERS[k]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    out, begin = [], 0
+    ends = (np.flatnonzero((h >> np.uint64(32)) % np.uint64(cut.points) == 0) + 1).tolist()
+    for end in [*ends, len(leaf)]:
+        while end - begin > cut.most:
+            out.append(leaf[begin : begin + cut.most])
+            begin += cut.most
+        if end - begin >= cut.long // 4 and end < len(leaf):
+            out.append(leaf[begin:end])
+            begin = end
+    out.append(leaf[begin:])
+    return out
 
 
 def paragraphs(text: str) -> list[str]:
     """The leaves of a text, in order; joined they are the text."""
     out: list[str] = []
+    at = 0
+
+    def close(leaf: str, begin: int) -> None:
+        while leaf:
+            small = begin < NEAR_START
+            cut = SMALL if small else LARGE
+            if len(leaf) <= cut.long:
+                out.append(leaf)
+                return
+            if not small:
+                out.extend(_pieces(leaf, cut))
+                return
+            # only what begins near the start is cut small
+            done = 0
+            for piece in _pieces(leaf[: NEAR_START - begin + cut.most], cut):
+                if begin + done >= NEAR_START:
+                    break
+                out.append(piece)
+                done += len(piece)
+            begin, leaf = begin + done, leaf[done:]
+
     for line in text.splitlines(keepends=True) if "\n" in text else [text]:
         if len(line) < 48:
             out.append(line)
+            at += len(line)
             continue
         words = line.split(" ")
         held: list[str] = []
-        last = len(words) - 1
+        last, begin = len(words) - 1, at
         for i, word in enumerate(words):
             held.append(word if i == last else word + " ")
-            if i < last and xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % LEAF_WORDS == 0:
-                out.append("".join(held))
-                held = []
-        out.append("".join(held))
+            at += len(held[-1])
+            if i < last and xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % (SMALL if at < NEAR_START else LARGE).words == 0:
+                close("".join(held), begin)
+                held, begin = [], at
+        close("".join(held), begin)
     return [p for p in out if p]
 
 

@@ -47,3 +47,16 @@ def test_small_and_repeated(spark):
     for data in ([], [(3, "one row only")], [(3, "same")] * 6 + [(4, None)] * 3):
         docs = spark.createDataFrame(data, "doc_id long, text string")
         assert sorted(map(tuple, m.fingerprints(docs).collect()), key=str) == want(data)
+
+
+def test_texts_without_varied_words_keep_the_half_that_stays():
+    rng = random.Random(9)
+    signs = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(5000))
+    few = " ".join(rng.choice(("alpha", "beta")) for _ in range(2000))
+    for text in (signs, signs * 40, few, few.replace(" ", ""), "x" * 20_000, signs[:400], prose(rng, 100)):
+        leaves = m.paragraphs(text)
+        assert "".join(leaves) == text and max(map(len, leaves)) <= m.LARGE.most
+        other = "".join(chr(0x3041 + rng.randrange(80)) for _ in range(len(text)))
+        assert m.likeness(m.fingerprint(text), m.fingerprint(m.edit(text, other))) > 0.35
+    inserted = signs[:2000] + "?" + signs[2000:]
+    assert m.likeness(m.fingerprint(signs), m.fingerprint(inserted)) > 0.9
