@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import rows, small_batches
+from graphloom.llm.common import rows, small
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
@@ -98,7 +98,7 @@ def pieces(text: str, true_starts: Iterator[int], size: int) -> Iterator[str]:
 
 def _whole(vocabulary, pattern: str, schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = [encode(t or "", vocabulary.value, pattern) for t in batch.column("text").to_pylist()]
             raw = [decode(ids, vocabulary.value, pattern) for ids in out]
             yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, out), pa.int64()), pa.array([x.tobytes() for x in out], pa.binary()), pa.array(raw, pa.binary())], schema=schema)
@@ -151,7 +151,6 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, chunk_
     megabyte, which travels as a broadcast.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     with open(vocabulary_path, "rb") as file:
         vocabulary = spark.sparkContext.broadcast(file.read())
     docs = docs.select("doc_id", "text")

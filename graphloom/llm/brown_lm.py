@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from graphloom.durable import durable
 from graphloom.llm import exchange
-from graphloom.llm.common import id_crc, small_batches, word_bytes
+from graphloom.llm.common import id_crc, small, word_bytes
 
 FOLDS, HELD_OUT = 7, 2
 SHARE = 5e-5
@@ -81,7 +81,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     kind = None
     block = part << 24
-    for batch in batches:
+    for batch in small(batches):
         kind = batch.column("doc_id").type
         mine = []
         closed = []
@@ -622,7 +622,6 @@ def _score(model):
 def score_documents(docs: DataFrame, rounds: int = ROUNDS, deals: int = DEALS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
     spark = docs.sparkSession
-    small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     coded = durable(docs.select("doc_id", "text").mapInArrow(lambda batches: _coded(_blocks(batches)), CODED.format(id=kind)), "lm-coded")
     model, told, _ = fit(coded, rounds=rounds, deals=deals)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows that travel to Python at once; a batch of long texts stays small.
+#: Rows of texts that Python works on at once.
 BATCH_ROWS = 512
 
 
@@ -21,9 +21,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def small(batches: Iterator) -> Iterator:
+    """Arrow batches in slices of few rows, so that what is made of one slice stays small.
+
+    Spark bounds a batch by its bytes already; a slice shares the memory of its batch.
+    """
+    for batch in batches:
+        for begin in range(0, max(1, batch.num_rows), BATCH_ROWS):
+            yield batch.slice(begin, BATCH_ROWS)
 
 
 def id_crc(doc_id: object) -> int:

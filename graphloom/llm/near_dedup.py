@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from graphloom.durable import durable
 from graphloom.llm import exchange
-from graphloom.llm.common import WORD, rows, small_batches, word_bytes
+from graphloom.llm.common import WORD, rows, small, word_bytes
 from graphloom.llm.components import components
 
 WORDS = 5
@@ -142,7 +142,7 @@ SKETCHED = "doc_id {id}, text_hash long, n_shingles long, node binary, bands arr
 def _sketched(rows_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for batch in batches:
+        for batch in small(batches):
             sets = [shingles(word_bytes(t), known) for t in batch.column("text").to_pylist()]
             bins = [sketch(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -226,7 +226,6 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles and label, the component's name, of every document."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketched = durable(docs.mapInArrow(_sketched(band_rows(percent)), SKETCHED.format(id=kind)), "near-sketches")

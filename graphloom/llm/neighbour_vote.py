@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import small
 from graphloom.llm.text_features import Terms, bare, held_out, labelled_sample, shapes
 
 SAMPLE = 4_096
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for batch in batches:
+        for batch in small(batches):
             found = [vector(t, terms).astype("<f2").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "vector"])
 
@@ -117,12 +117,11 @@ def vote(x: np.ndarray, voters: Voters, neighbours: int = NEIGHBOURS) -> np.ndar
 def score_documents(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     spark = docs.sparkSession
-    small_batches(spark)
     voters = spark.sparkContext.broadcast(fit(docs, labels, column, sample))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column("doc_id")
             x = np.array([vector(t, terms) for t in batch.column("text").to_pylist()], np.float32).reshape(-1, DIMS)
             score = vote(x, voters.value)
