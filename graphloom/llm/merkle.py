@@ -4,12 +4,12 @@ Leaves are paragraphs: the lines of a text, and long lines cut further at places
 words choose, so that an edit moves only the cuts beside it. Where no word ends a leaf in
 time, a rolling hash of code points chooses, and a leaf of the largest size is cut in any
 case. Leaves that begin near the start of a text are smaller, so that short texts have
-several. A section is a run of
-paragraphs that ends where a leaf's hash says so. A section's hash covers its leaves and
-the root, a SHA-256 digest of the section hashes, covers the sections, so equal roots mean
-equal texts. The fingerprint writes the tree as text, root first, then each section with
-its leaves and their sizes; likeness walks down from the roots: equal roots or equal
-sections are settled without their leaves, and only the differing branches are opened.
+several. A leaf's digest is the SHA-256 of its bytes. A section is a run of paragraphs that
+ends where a leaf's digest says so; its digest is the SHA-256 of its children's digests and
+sizes, and sections are grouped in the same way, level by level, until one node is left. The
+root thus follows from its children only, and equal roots mean equal texts. The fingerprint
+writes all levels as text, root first; likeness walks down from the roots: equal nodes are
+settled without their children, and only the differing branches are opened, to the leaves.
 
 Documents in ascending order of id (nulls first, equal ids by text hash) have a next one;
 the last is followed by the first. They are cut into ranges by sampled splitters, and the
@@ -27,6 +27,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.durable import durable
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import small
 from graphloom.llm.splitters import range_of, ranges
 
 #: Code points at the start of a text whose leaves are smaller.
@@ -58,9 +59,9 @@ class _Cut:
 
 SMALL, LARGE = _Cut(4, 48, 16, 96), _Cut(12, 192, 64, 384)
 WINDOW = 8
-#: A leaf ends a section if its hash is 0 modulo this.
-SECTION_LEAVES = 8
-LEAF_BYTES = 6
+#: A node ends its parent if its digest is 0 modulo this, and if the parent has that many children.
+CHILDREN, MOST_CHILDREN = 8, 64
+DIGEST = 32
 RANGE_BYTES = 8 << 20
 MOST_RANGES = 65_536
 
@@ -129,60 +130,105 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in out if p]
 
 
-def _short(data: bytes) -> str:
-    return base64.b64encode(data, b"-_").decode()
+@dataclass
+class Tree:
+    """Levels of nodes, leaves first, the root alone in the last: digests and weights.
 
+    The weight of a leaf is its code points, that of any other node how many children it has.
+    """
+
+    levels: list[tuple[list[bytes], list[int]]]
+
+    @property
+    def root(self) -> bytes:
+        return self.levels[-1][0][0]
+
+    @property
+    def size(self) -> int:
+        """Code points under the root."""
+        return sum(self.levels[0][1])
 
-def fingerprint(text: str) -> str:
-    """root|section:leaf.size,leaf.size|... with hashes in URL-safe base 64."""
-    sections: list[str] = []
-    held: list[str] = []
-    root = hashlib.sha256()
 
-    def close() -> None:
-        whole = ",".join(held)
-        name = xxhash.xxh64_digest(whole.encode())
-        root.update(name)
-        sections.append(f"{_short(name)[:11]}:{whole}")
-        held.clear()
+def parents(digests: list[bytes], weights: list[int]) -> tuple[list[bytes], list[int]]:
+    """The level above: each parent's digest covers the digests and weights of its children.
 
-    for leaf in paragraphs(text):
-        raw = leaf.encode("utf-8", "surrogatepass")
-        digest = xxhash.xxh64_digest(raw)
-        held.append(f"{_short(digest[:LEAF_BYTES])}.{len(leaf)}")
-        if digest[7] % SECTION_LEAVES == 0:
-            close()
-    if held:
-        close()
-    root.update(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
-    return "|".join([root.hexdigest()[:32], *sections])
+    A child whose digest says so ends its parent, the second child at the earliest and the
+    `MOST_CHILDREN`th at the latest.
+    """
+    out, counts, begin, last = [], [], 0, len(digests) - 1
+    for i in range(max(1, len(digests))):
+        n = i + 1 - begin
+        if i >= last or (n > 1 and digests[i][-1] % CHILDREN == 0) or n == MOST_CHILDREN:
+            n = min(n, len(digests))
+            covered = b"".join(digests[begin : begin + n]) + np.array(weights[begin : begin + n], "<u8").tobytes()
+            out.append(hashlib.sha256(b"\1" + covered).digest())
+            counts.append(n)
+            begin = i + 1
+    return out, counts
+
+
+def grown(leaves: tuple[list[bytes], list[int]]) -> Tree:
+    """The tree over given leaves: sections over paragraphs, and more levels until one node is left."""
+    levels = [leaves, parents(*leaves)]
+    while len(levels[-1][0]) > 1:
+        levels.append(parents(*levels[-1]))
+    return Tree(levels)
 
 
-def _leaves(section: str) -> list[tuple[str, int]]:
-    return [(leaf, int(leaf.rpartition(".")[2])) for leaf in section.partition(":")[2].split(",")]
+def tree(text: str) -> Tree:
+    """The Merkle tree of a text."""
+    pieces = paragraphs(text)
+    return grown(([hashlib.sha256(b"\0" + p.encode("utf-8", "surrogatepass")).digest() for p in pieces], list(map(len, pieces))))
 
 
-def differing(a: str, b: str) -> tuple[list[str], list[str]]:
-    """The leaves of each that the other lacks, found in differing branches only."""
-    one, two = (Counter(x.split("|")[1:]) for x in (a, b))
-    open_a, open_b = one - two, two - one
-    leaves = [Counter(leaf for section in side.elements() for leaf, _ in _leaves(section)) for side in (open_a, open_b)]
-    return list((leaves[0] - leaves[1]).elements()), list((leaves[1] - leaves[0]).elements())
+def mark(t: Tree) -> str:
+    """root|level|...|leaves: the root in hex, then for each level its weights and, in base 64, its digests."""
+    return "|".join([t.root.hex(), *(",".join(map(str, weights)) + ":" + base64.b64encode(b"".join(digests)).decode() for digests, weights in reversed(t.levels))])
 
 
-def size(mark: str) -> int:
-    """Code points under the root."""
-    return sum(n for section in mark.split("|")[1:] for _, n in _leaves(section))
+def parse(written: str) -> Tree:
+    """The tree that mark() wrote."""
+    levels = []
+    for level in reversed(written.split("|")[1:]):
+        weights, _, digests = level.partition(":")
+        raw = base64.b64decode(digests)
+        levels.append(([raw[i : i + DIGEST] for i in range(0, len(raw), DIGEST)], [int(w) for w in weights.split(",") if w]))
+    return Tree(levels)
 
 
-def likeness(a: str, b: str) -> float:
+def fingerprint(text: str) -> str:
+    return mark(tree(text))
+
+
+def differing(a: Tree, b: Tree) -> tuple[list[int], list[int]]:
+    """The places of the leaves of each that the other lacks, by opening differing nodes only."""
+    level = min(len(a.levels), len(b.levels)) - 1
+    opened = [list(range(len(t.levels[level][0]))) for t in (a, b)]
+    while True:
+        digests = [t.levels[level][0] for t in (a, b)]
+        shared = Counter(digests[0][i] for i in opened[0]) & Counter(digests[1][i] for i in opened[1])
+        for side in (0, 1) if shared else ():
+            left, kept = Counter(shared), []
+            for i in opened[side]:
+                if left[digests[side][i]] > 0:
+                    left[digests[side][i]] -= 1
+                else:
+                    kept.append(i)
+            opened[side] = kept
+        if not level:
+            return opened[0], opened[1]
+        for side, t in enumerate((a, b)):
+            ends = [0, *accumulate(t.levels[level][1])]
+            opened[side] = [child for i in opened[side] for child in range(ends[i], ends[i + 1])]
+        level -= 1
+
+
+def likeness(a: Tree, b: Tree) -> float:
     """Twice the shared code points over all, by leaves: 1 for equal roots, 0 for nothing shared."""
-    if a.partition("|")[0] == b.partition("|")[0]:
-        return 1.0
-    every = size(a) + size(b)
-    if not every:
+    every = a.size + b.size
+    if a.root == b.root or not every:
         return 1.0
-    alone = sum(int(leaf.rpartition(".")[2]) for side in differing(a, b) for leaf in side)
+    alone = sum(t.levels[0][1][i] for t, own in zip((a, b), differing(a, b), strict=True) for i in own)
     return (every - alone) / every
 
 
@@ -198,16 +244,17 @@ OUT = "doc_id {id}, n_chars long, edited_sha256 string, fingerprint string, edit
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with the next of its range; a guest, the first of the range after, only follows."""
     before = None
-    for batch in batches:
+    for batch in small(batches):
         out: dict[str, list] = {name.split()[0]: [] for name in OUT.split(", ")}
         for span, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("_range", "doc_id", "text")), strict=True):
             text = text or ""
-            here = (span, doc_id, text, fingerprint(text))
+            grown_here = tree(text)
+            here = (span, doc_id, text, grown_here, mark(grown_here))
             if before is not None and before[0] == span:
-                _, own_id, own, mark = before
+                _, own_id, own, own_tree, own_mark = before
                 edited = edit(own, text)
-                edited_mark = fingerprint(edited)
-                values = (own_id, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, edited_mark, likeness(mark, edited_mark), likeness(mark, here[3]))
+                edited_tree = tree(edited)
+                values = (own_id, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own_mark, mark(edited_tree), likeness(own_tree, edited_tree), likeness(own_tree, grown_here))
                 for name, value in zip(out, values, strict=True):
                     out[name].append(value)
             before = here
@@ -217,7 +264,6 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how near they are."""
     spark = docs.sparkSession
-    small_batches(spark)
     keyed = docs.select(
         "doc_id",
         "text",
