@@ -4,14 +4,17 @@ Slot k of the schedule takes the point k * g mod 1 (g: the golden ratio's fracti
 61-bit arithmetic) and the source whose interval of the cumulative weights holds it. Slots
 are ranked within their source; the documents of a source, shuffled by hash, are cut into
 blocks of equal word counts; and the slot of rank j takes block j, starting over after the
-last block. A source has `LEAST_BLOCKS` blocks or one for each word at least, however large
-the others are. Slots beyond a source's target fall away and missing ones follow at the end,
-so each source comes within half a block of its target.
+last block. A block has at most `BLOCK` words and a source `LEAST_BLOCKS` blocks (or one for
+each word) at least, whatever the size of the corpus. Slots beyond a source's target fall
+away and missing ones follow at the end, so each source comes within half a block of its
+target. A document stands in the schedule where the first of its blocks does, once for each
+time it is taken: mix_documents() deals its copies out in that order.
 
 Targets share a budget of words by weight; a target stops at `most` times the words of its
 source and what is left is shared again by weight. Null texts have no words, a null source
-is a source of its own and comes last, repeated rows are separate documents, extra columns
-are kept by mix_documents() and play no part, and an empty table gives an empty result.
+is a source of its own and comes last, repeated rows are separate documents (in mix_documents()
+those equal in id, text and source are taken equally often), extra columns, whatever their
+names, are kept by mix_documents() and play no part, and an empty table gives an empty result.
 The result depends only on the rows, never on how they are partitioned.
 """
 
@@ -29,11 +32,9 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2
 SEED = 29
-#: The schedule has about this many slots, and some more for each small source; blocks of large
-#: sources grow with the corpus instead.
-SLOTS = 1 << 20
-LEAST_BLOCK = 16
-LEAST_BLOCKS = 64
+#: Words of a block at most, and blocks of a source at least.
+BLOCK = 4_096
+LEAST_BLOCKS = 1_024
 BUCKETS = 1_024
 CELL_BITS = 12
 UNIT_BITS = 61
@@ -73,10 +74,16 @@ def _intervals(plan: DataFrame) -> DataFrame:
     return cut.select("s", "blocks", "lo", "hi", F.round("_slots").cast("long").alias("want"), F.round("_all").cast("long").alias("slots"))
 
 
+def _times(x: Column, factor: int) -> Column:
+    """x * factor mod UNIT, for x below 2 ** 32, without leaving 63 bits."""
+    high, low = factor >> LOW_BITS, factor & ((1 << LOW_BITS) - 1)
+    return F.pmod(F.pmod(x * F.lit(high), F.lit(1 << (UNIT_BITS - LOW_BITS))) * F.lit(1 << LOW_BITS) + F.pmod(x * F.lit(low), F.lit(UNIT)), F.lit(UNIT))
+
+
 def _point(slot: Column) -> Column:
-    """slot * GOLDEN mod UNIT, for slots below 2 ** 32, without leaving 63 bits."""
-    high, low = GOLDEN >> LOW_BITS, GOLDEN & ((1 << LOW_BITS) - 1)
-    return F.pmod(F.pmod(slot * F.lit(high), F.lit(1 << (UNIT_BITS - LOW_BITS))) * F.lit(1 << LOW_BITS) + F.pmod(slot * F.lit(low), F.lit(UNIT)), F.lit(UNIT))
+    """slot * GOLDEN mod UNIT."""
+    high = _times(F.shiftright(slot, LOW_BITS), (GOLDEN << LOW_BITS) % UNIT)
+    return F.pmod(high + _times(slot.bitwiseAND(F.lit((1 << LOW_BITS) - 1)), GOLDEN), F.lit(UNIT))
 
 
 def schedule(intervals: DataFrame, slots: int) -> DataFrame:
@@ -99,15 +106,14 @@ def schedule(intervals: DataFrame, slots: int) -> DataFrame:
 
 
 def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Documents with source_size, target and taken; the schedule.
+    """Documents with source_size, target, taken and slots; the schedule.
 
-    sized: key columns, source, size (long) and h (a long hash that shuffles).
+    sized: key columns, source, size (long) and h (a long hash that shuffles). slots: for each
+    time that the mix goes through the source, the first slot with a block of the document.
     """
     sized = durable(sized, "mix-sizes")
     plan = targets(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, budget, most)
-    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    block = max(LEAST_BLOCK, -(-int(total * budget) // SLOTS))
-    blocks = F.greatest(F.ceil(F.col("source_size") / block), F.least(F.col("source_size"), F.lit(LEAST_BLOCKS)))
+    blocks = F.greatest(F.ceil(F.col("source_size") / BLOCK), F.least(F.col("source_size"), F.lit(LEAST_BLOCKS)))
     plan = durable(plan.withColumn("blocks", blocks), "mix-plan")
     intervals = durable(_intervals(plan), "mix-intervals")
     slots = intervals.agg(F.coalesce(F.max("slots"), F.lit(0))).first()[0]
@@ -122,32 +128,47 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BU
     holder = lambda word: F.call_function("div", (word + 1).cast("decimal(38,0)") * F.col("blocks") - 1, F.col("source_size"))
     segments = placed.filter(F.col("size") > 0).withColumn("block", F.explode(F.sequence(holder(F.col("start")), holder(F.col("start") + F.col("size") - 1))))
     segments = segments.withColumn("words", F.least(F.col("start") + F.col("size"), edge(F.col("block") + 1)) - F.greatest(F.col("start"), edge(F.col("block"))))
-    times = timetable.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = timetable.groupBy("s", "block").agg(F.sort_array(F.collect_list("slot")).alias("at"))  # at most `most`
     shown = [*keys, "source", "size", "source_size", "target", "start"]
-    taken = segments.join(times, ["s", "block"], "left").groupBy(*shown).agg(F.coalesce(F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0))), F.lit(0)).cast("long").alias("taken"))
-    empty = placed.filter(F.col("size") == 0).select(*shown, F.lit(0).cast("long").alias("taken"))
+    seen = F.coalesce(F.size("at"), F.lit(0))
+    slots_of = F.array_compact(F.array(*[F.min(F.get("at", F.lit(turn))) for turn in range(most)]))
+    taken = segments.join(times, ["s", "block"], "left").groupBy(*shown).agg(F.coalesce(F.sum(F.col("words") * F.greatest(seen, F.lit(0))), F.lit(0)).cast("long").alias("taken"), slots_of.alias("slots"))
+    empty = placed.filter(F.col("size") == 0).select(*shown, F.lit(0).cast("long").alias("taken"), F.expr("cast(array() as array<long>)").alias("slots"))
     return taken.unionByName(empty), timetable
 
 
-def sizes(docs: DataFrame, *keys: str, seed: int = SEED) -> DataFrame:
+def sizes(docs: DataFrame, *keys: str | Column, seed: int = SEED) -> DataFrame:
     """Key columns, source, size and the hash that shuffles, of each document."""
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     return docs.select(*keys, "source", words.alias("size"), F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)).alias("h"))
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
-    return mix(sizes(docs, "doc_id"), **options)[0].select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken, first_slot and second_slot of every document."""
+    slot = lambda i: F.get("slots", F.lit(i))
+    return mix(sizes(docs, "doc_id"), **options)[0].select("doc_id", "size", "source_size", "target", "taken", slot(0).alias("first_slot"), slot(1).alias("second_slot"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken.
+    """The documents of the mix, each as often as it is taken, in the order of the schedule.
 
     A document cut by the last block of its source counts as taken if more than half of
-    its words are. One without words stands for no words and is kept once.
+    its words are. One without words stands for no words and is kept once, at a place of
+    its own. Partitions are ranges of slots, and rows within them follow their slots.
     """
-    tagged = durable(docs.withColumn("_tag", F.monotonically_increasing_id()), "mix-documents")
-    taken, _ = mix(sizes(tagged, "_tag"), **options)
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / F.greatest(F.col("size"), F.lit(1))))
-    chosen = taken.select("_tag", copies.cast("int").alias("_copies")).filter(F.col("_copies") > 0)
-    return tagged.join(chosen, "_tag").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = lambda of: [F.col(f"{of}doc_id").alias("id"), F.xxhash64(f"{of}text").alias("text_hash"), F.xxhash64(f"{of}source").alias("source_hash")]
+    keys = ["id", "text_hash", "source_hash"]
+    taken, _ = mix(sizes(docs, *own("")), **options)
+    # rows of equal keys are interchangeable
+    each = taken.groupBy(*keys).agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.min("slots").alias("slots"))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / F.greatest(F.col("size"), F.lit(1)))).cast("int")
+    each = durable(each.withColumn("copies", copies).filter("copies > 0"), "mix-chosen")
+    slots = int(each.agg(F.coalesce(F.max(F.array_max("slots")), F.lit(0))).first()[0]) + 1
+    anywhere = F.pmod(F.xxhash64(*keys), F.lit(slots))
+    turns = each.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    turns = turns.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.coalesce(F.get("slots", F.col("turn")), F.get("slots", F.lit(0)), anywhere).alias("slot"))
+    packed = docs.select(F.struct("*").alias("row")).select(*own("row."), "row")
+    met = packed.join(turns, packed["id"].eqNullSafe(turns["of_id"]) & (F.col("text_hash") == F.col("of_text_hash")) & (F.col("source_hash") == F.col("of_source_hash")))
+    ordered = met.repartitionById(parts, F.floor(F.col("slot").cast("decimal(38,0)") * parts / slots).cast("int")).sortWithinPartitions("slot", *keys)
+    return ordered.select("row.*")

@@ -78,6 +78,37 @@ def test_documents_follow_the_mix(spark):
     assert max(count.values()) <= 2
 
 
+def test_slots_decide_the_order_of_the_mix(spark):
+    data = [(i, " ".join(["w"] * 20), rng_source) for i, rng_source in enumerate("aab" * 200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in mixing.taken_words(docs).collect()}
+    assert all((r.first_slot is not None) == (r.taken > 0) and (r.second_slot is not None) == (r.taken > r.size) for r in rows.values())
+    # every document's first slot is the least slot whose block holds a word of it
+    _, slots = mixing.mix(mixing.sizes(docs, "doc_id"))
+    assert min(r.first_slot for r in rows.values() if r.taken) == slots.agg({"slot": "min"}).first()[0]
+    order = [r.doc_id for r in mixing.mix_documents(docs).collect()]
+    due = sorted((slot, d) for d, r in rows.items() for slot in (r.first_slot, r.second_slot)[: (r.taken + r.size // 2) // r.size])
+    place = {}
+    for slot, d in due:
+        place.setdefault(d, []).append(slot)
+    seen = [place[d].pop(0) for d in order]
+    assert seen == [slot for slot, _ in due] and not any(place.values())
+    # so every stretch of the mix has nearly the shares of the whole
+    source = {i: s for i, _, s in data}
+    share = sum(source[d] == "b" for d in order) / len(order)
+    for begin in range(0, len(order) - 100, 100):
+        assert abs(sum(source[d] == "b" for d in order[begin : begin + 100]) / 100 - share) < 0.08
+
+
+def test_stage_keeps_columns_of_any_name_and_rows_of_equal_keys(spark):
+    data = [(1, "a b c", "x", 1, 2, 3), (1, "a b c", "x", 4, 5, 6), (None, None, None, 7, 8, 9), (2, "w " * 90_000, "x", 0, 0, 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, _tag int, _copies int, slot int")
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    assert {(r["_tag"], r["_copies"], r["slot"]) for r in mixed.collect()} <= {x[3:] for x in data}
+    assert any(r.doc_id is None for r in mixed.collect())
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.taken_words(docs).collect() == [] and mixing.mix_documents(docs).collect() == []
@@ -86,8 +117,8 @@ def test_empty(spark):
 
 
 def test_small_sources_reach_their_targets_beside_large_ones(spark, monkeypatch):
-    # few slots make blocks as large as some billions of words do: more than a small source has
-    monkeypatch.setattr(mixing, "SLOTS", 1 << 12)
+    # blocks larger than a small source
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 64)
     sized = spark.createDataFrame([(f"L{i:02d}", j, 50_000) for i in range(20) for j in range(20)] + [(f"S{i:03d}", j, 100) for i in range(100) for j in range(30)], "source string, id long, size long")
     taken, _ = mixing.mix(sized.withColumn("h", mixing.F.xxhash64("source", "id")))
     got = {}
@@ -96,11 +127,11 @@ def test_small_sources_reach_their_targets_beside_large_ones(spark, monkeypatch)
         got[r.source] = (size, target, words + r.taken)
     assert len(got) == 120
     for size, target, words in got.values():
-        assert abs(words - target) <= max(size / mixing.LEAST_BLOCKS, 7_500)
+        assert abs(words - target) <= max(size / 64, mixing.BLOCK)
         assert abs(words - target) <= 0.02 * target
 
 
 def test_points_are_exact(spark):
-    ids = [0, 1, 2, 12345, 46_368, (1 << 20) + 1, (1 << 32) - 1]
+    ids = [0, 1, 2, 12345, 46_368, (1 << 20) + 1, (1 << 32) - 1, (1 << 40) + 7, (1 << 61) - 1]
     rows = spark.createDataFrame([(i,) for i in ids], "id long").select("id", mixing._point(mixing.F.col("id")).alias("u")).collect()
     assert {r.id: r.u for r in rows} == {i: i * mixing.GOLDEN % mixing.UNIT for i in ids}
