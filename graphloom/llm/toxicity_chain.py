@@ -5,9 +5,10 @@ penalty over the hashed words, word beginnings and word shapes that a text holds
 the log odds of all categories before it. While training, those odds come from models that have not seen
 the row (out of fold), so later models learn from odds as uncertain as they will meet.
 
-The labels give `toxic` and `quality`; the chain is: toxic at all, toxic in a text of low
-quality, toxic in a text of good quality. A model is fitted on a bounded labelled sample
-(`sample`), never on the held-out fold; every document is scored on its whole text.
+The labels give `toxic` and `quality`; the chain is: toxic in a text of low quality, toxic in
+a text of good quality, toxic at all. The last link, fed by the odds of the others, is the
+score. Models are fitted on a bounded labelled sample (`sample`), never on the held-out fold;
+every document is scored on its whole text.
 
 Null and empty texts have no terms and are scored by the intercepts. Repeated rows are
 scored each. Without labels, or where a category has no case, its probability is 0. Extra
@@ -27,11 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches
+from graphloom.llm.common import small
 from graphloom.llm.text_features import KNOWN_WORDS, bare_word, held_out, labelled_sample, shape
 
 SAMPLE = 8_192
-CHAIN = ("toxic", "toxic_junk", "toxic_prose")
+CHAIN = ("toxic_junk", "toxic_prose", "toxic")
 FOLDS_OUT = 4
 DEVIATIONS = 6.0
 STEPS = 200
@@ -49,7 +50,14 @@ TIMES = (1, 2, 3, 5)
 
 
 class Terms(dict):
-    """Term numbers of a word: itself, what it begins with, and its shape."""
+    """Term numbers of a word: itself, what it begins with, and its shape.
+
+    With `wanted`, sorted, only those numbers whose term is among them, whatever its count.
+    """
+
+    def __init__(self, wanted: np.ndarray | None = None) -> None:
+        super().__init__()
+        self.wanted = None if wanted is None else frozenset(_once(wanted).tolist())
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= KNOWN_WORDS:
@@ -58,13 +66,25 @@ class Terms(dict):
         bare = bare_word(text)
         number = lambda t: xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass"))
         begins = (number(bare[:k]) % (1 << WORD_BITS) + (1 << WORD_BITS) for k in PREFIXES if len(bare) >= k)
-        value = self[word] = (number(bare) % (1 << WORD_BITS), *begins, number(shape(text)) % (1 << SHAPE_BITS) + ((1 + len(TIMES)) << WORD_BITS))
+        value = (number(bare) % (1 << WORD_BITS), *begins, number(shape(text)) % (1 << SHAPE_BITS) + ((1 + len(TIMES)) << WORD_BITS))
+        if self.wanted is not None:
+            value = tuple(t for t in value if t in self.wanted)
+        self[word] = value
         return value
 
 
+def _once(numbers: np.ndarray) -> np.ndarray:
+    """The numbers of terms, those of beginnings that are counted as for a count of one."""
+    place = numbers >> WORD_BITS
+    counted = (place > 1) & (place <= len(TIMES))
+    return np.where(counted, numbers - ((place - 1) << WORD_BITS), numbers)
+
+
 def terms_of(text: str | None, terms: Terms) -> np.ndarray:
     """The distinct term numbers of a text, in order; a beginning once more for each count it reaches."""
     words = Counter(text.encode("utf-8", "surrogatepass").split()) if text else {}
+    if terms.wanted is not None:
+        words = {w: n for w, n in words.items() if terms[w]}
     each = list(map(terms.__getitem__, words))
     every = np.fromiter(chain.from_iterable(each), np.int64)
     unique, where = np.unique(every, return_inverse=True)
@@ -190,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Linear
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for batch in batches:
+        for batch in small(batches):
             held = [terms_of(t, terms).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label_toxic", "label_quality")), pa.array(held, pa.binary())], names=["doc_id", "toxic", "quality", "terms"])
 
@@ -205,25 +225,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Linear
     columns = [c[held[c] >= SUPPORT] for c in columns]  # no model takes a column with fewer rows
     rows = np.repeat(np.arange(len(got), dtype=np.int32), [len(c) for c in columns])
     toxic, good = (np.array([r[c] >= 0.5 for r in got], bool) for c in ("toxic", "quality"))
-    y = np.stack([toxic, toxic & ~good, toxic & good], axis=1).astype(float).reshape(-1, len(CHAIN))
+    y = np.stack([toxic & ~good, toxic & good, toxic], axis=1).astype(float).reshape(-1, len(CHAIN))
     return fit_chain(rows, np.concatenate([np.zeros(0, np.int32), *columns]), y, np.arange(len(got)) % FOLDS_OUT)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (of toxic), predicted, toxic and the probability of each category."""
     spark = docs.sparkSession
-    small_batches(spark)
     models = spark.sparkContext.broadcast(fit(docs, labels, sample))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
-        for batch in batches:
+        terms = Terms(np.unique(np.concatenate([m.columns for m in models.value])))
+        for batch in small(batches):
             ids = batch.column("doc_id")
             columns = [terms_of(t, terms) for t in batch.column("text").to_pylist()]
             rows = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
             p = predict(models.value, rows, np.concatenate([np.zeros(0, np.int32), *columns]), len(columns))
-            verdict = p[:, 0] >= threshold
-            yield pa.RecordBatch.from_arrays([ids, pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_()), pa.array(p[:, 0], pa.float64()), pa.array(verdict.astype(np.int32), pa.int32()), pa.array(verdict, pa.bool_()), *(pa.array(p[:, i], pa.float64()) for i in range(len(CHAIN)))], names=["doc_id", "held_out", "score", "predicted", "toxic", *(f"p_{c}" for c in CHAIN)])
+            verdict = p[:, -1] >= threshold
+            yield pa.RecordBatch.from_arrays([ids, pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_()), pa.array(p[:, -1], pa.float64()), pa.array(verdict.astype(np.int32), pa.int32()), pa.array(verdict, pa.bool_()), *(pa.array(p[:, i], pa.float64()) for i in range(len(CHAIN)))], names=["doc_id", "held_out", "score", "predicted", "toxic", *(f"p_{c}" for c in CHAIN)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double, predicted int, toxic boolean, " + ", ".join(f"p_{c} double" for c in CHAIN))

@@ -32,6 +32,23 @@ def test_held_out_verdicts(spark):
     assert all(r.score == r.p_toxic and r.toxic == (r.score >= c.THRESHOLD) for r in rows.values())
 
 
+def test_the_verdict_comes_from_the_last_link(spark):
+    data = table(400)
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in data], "doc_id long, quality int, toxic int")
+    models = c.fit(docs, labels)
+    assert c.CHAIN[-1] == "toxic" and np.abs(models[-1].odds).max() > 0.1
+    terms = c.Terms()
+    columns = [c.terms_of(t, terms) for _, t, *_ in data]
+    at = np.repeat(np.arange(len(data)), [len(x) for x in columns])
+    whole = c.predict(models, at, np.concatenate(columns), len(data))
+    without = models[-1].logits(at, np.concatenate(columns), len(data), np.zeros((len(data), len(models) - 1)))
+    assert np.abs(whole[:, -1] - c.sigmoid(without)).max() > 0.01
+    rows = {r.doc_id: r.score for r in c.score_documents(docs, labels).collect()}
+    # brute force: every term of every text, each model in turn
+    assert all(abs(rows[i] - p) < 1e-9 for (i, *_), p in zip(data, whole[:, -1], strict=True))
+
+
 def test_selection_is_optimal_and_refit_unshrunk():
     rng = np.random.default_rng(2)
     n = 800
