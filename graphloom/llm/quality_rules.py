@@ -1,18 +1,24 @@
 """Quality rules: robust outliers of text statistics, per language and source.
 
 Each text gives a vector of transformed statistics. Within each (language, source) a
-minimum-covariance-determinant estimate is made by concentration steps from two starts
-(coordinatewise median with median deviations, and plain mean with covariance): the share
-`KEEP` of rows nearest to the current centre gives the next mean and covariance, and the
-start with the smaller determinant wins. Rows whose robust Mahalanobis distance is beyond a
-chi-square quantile go, if they also lie on the bad side of the centre.
+minimum-covariance-determinant estimate is made by concentration steps from four
+deterministic starts: medians with median deviations, the plain mean and covariance, the
+covariance of squashed deviations, and the half of the rows nearest to the medians. In a step
+the share `KEEP` of rows nearest to the current centre gives the next mean and covariance,
+made consistent for normal rows by `CONSISTENCY`; steps follow until no determinant moves,
+and the start with the smallest one wins. Rows whose robust Mahalanobis distance is beyond a
+chi-square quantile go.
 
 Everything is DataFrame work on one slim table; a group adds up through partial sums, and
-its quantiles come from counts per bin, so a group may hold any share of the rows. Groups
-of fewer than `LEAST_ROWS` rows are judged with their language, and then with all rows.
+its quantiles come from counts per bin, so a group may hold any share of the rows. Centres
+and factors, a row for each group, travel to the rows as a broadcast up to `MOST_BROADCAST`
+groups and by a join beyond. Groups of fewer than `LEAST_ROWS` rows are judged with their
+language, and then with all rows.
 
 Null and empty texts have no words and fail the base rule; null languages and sources are
-groups of their own; repeated rows get a verdict each; an empty table gives no rows.
+groups of their own; repeated rows get a verdict each; ties at a quantile fall on one side
+together; extra columns, whatever their names, play no part and are kept by
+keep_documents(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +36,18 @@ from graphloom.llm.common import WORD
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
 KEEP = 0.75
-STEPS = 4
+#: KEEP over the chance that a chi-square variable with seven degrees is below the KEEP quantile with five.
+CONSISTENCY = 1.412
+#: Steps at most, and how little the log of a determinant moves once a start has settled.
+STEPS, SETTLED = 12, 1e-3
 LEAST_ROWS = 200
+MOST_BROADCAST = 100_000
 #: Smallest standard deviation of each statistic: statistics that are nearly constant in clean text.
 FLOORS = {"v_word": 0.05, "v_symbol": 0.03, "v_line": 0.12, "v_repeat": 0.12, "v_upper": 0.05}
-#: Squared distance beyond which a row is an outlier: the 1 - 1e-12 quantile of chi-square with five degrees.
-CUTOFF = 64.9
-BIN = 0.05
+#: Squared distance beyond which a row is an outlier: the 1 - 1e-7 quantile of chi-square with five degrees.
+CUTOFF = 40.9
+#: Width of the bins that quantiles are read from: of scaled statistics, and of the log of distances.
+BIN, LOG_BIN = 0.05, 0.005
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,8 +87,9 @@ def word_windows(words: Column) -> Column:
     return let(words, counted).cast("long")
 
 
-def statistics(docs: DataFrame, *keys: str) -> DataFrame:
+def statistics(docs: DataFrame, *keys: str | Column) -> DataFrame:
     """Key columns, lang, source and the counts of each text."""
+    named = docs.select(*keys).columns
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
@@ -86,7 +98,7 @@ def statistics(docs: DataFrame, *keys: str) -> DataFrame:
     word_counts = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), word_windows(w).alias("repeat")))
     cut = docs.select(*keys, "lang", "source", F.length(text).cast("long").alias("_chars"), count(r"[\x20\x09-\x0D]").alias("_space"), count(r"[#*$%&|<>]").alias("n_symbols"), count(r"\p{Lu}").alias("n_upper"), line_counts.alias("_lines"), word_counts.alias("_words"))
     return cut.select(
-        *keys,
+        *named,
         "lang",
         "source",
         F.col("_words.n").alias("n_words"),
@@ -118,13 +130,16 @@ def vectors() -> dict[str, Column]:
 VECTOR = list(FLOORS)
 
 
-def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
-    pairs = [(a, b) for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]]
-    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"s_{v}") for v in VECTOR], *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs])
+PAIRS = [(a, b) for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]]
+
+
+def _moments(rows: DataFrame, by: list[str], scale: float = 1.0) -> DataFrame:
+    """Mean and covariance, scaled, of the rows of each group."""
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"s_{v}") for v in VECTOR], *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in PAIRS])
     centre = [(F.col(f"s_{v}") / F.col("n")).alias(f"m_{v}") for v in VECTOR]
     floor = lambda a, b: F.lit(FLOORS[a] ** 2 if a == b else 0.0)
-    spread = [(F.greatest(F.col(f"p_{a}_{b}") / F.col("n") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("n") ** 2, F.lit(0.0) if a == b else F.lit(-1e300)) + floor(a, b)).alias(f"c_{a}_{b}") for a, b in pairs]
-    return sums.select(*by, "n", *centre, *spread)
+    spread = [(scale * F.greatest(F.col(f"p_{a}_{b}") / F.col("n") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("n") ** 2, F.lit(0.0) if a == b else F.lit(-1e300)) + floor(a, b)).alias(f"c_{a}_{b}") for a, b in PAIRS]
+    return sums.select(*by, *centre, *spread)
 
 
 def _factor(estimates: DataFrame) -> DataFrame:
@@ -150,61 +165,83 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", total).drop(*[f"_z_{v}" for v in VECTOR])
 
 
-def _bin_quantile(rows: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
+def _beside(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns of a written table of one row, or one for each start, a group."""
+    return rows.join(F.broadcast(table) if table.count() <= MOST_BROADCAST else table, "group", how)
+
+
+def _bin_quantile(rows: DataFrame, by: list[str], value: Column, share: float, width: float) -> DataFrame:
     """by and the upper edge of the first bin that reaches the share: counts per bin, then a running sum."""
-    bins = rows.groupBy(*by, F.floor(F.col(value) / BIN).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    bins = rows.groupBy(*by, F.floor(value / width).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy(*by)
-    return bins.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(every)).filter(F.col("_upto") >= share * F.col("_all")).groupBy(*by).agg(((F.min("_bin") + 1) * BIN).alias("_edge"))
-
-
-def _robust_start(rows: DataFrame) -> DataFrame:
-    """Medians and median absolute deviations of each coordinate, as a diagonal estimate."""
-    scaled = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), (F.col(v) / FLOORS[v]).alias("x")) for v in VECTOR]))
-    flat = rows.select("group", scaled.alias("_s")).select("group", F.col("_s.name").alias("name"), F.col("_s.x").alias("x"))
-    middle = _bin_quantile(flat, ["group", "name"], "x", 0.5).withColumn("_edge", F.col("_edge") - BIN / 2).withColumnRenamed("_edge", "m")
-    off = flat.join(middle, ["group", "name"]).withColumn("x", F.abs(F.col("x") - F.col("m")))
-    spread = _bin_quantile(off, ["group", "name"], "x", 0.5).withColumnRenamed("_edge", "d")
-    by = middle.join(spread, ["group", "name"]).groupBy("group")
-    pick = lambda v, c, f: F.max(F.when(F.col("name") == v, F.col(c) * f))
-    found = by.agg(*[pick(v, "m", FLOORS[v]).alias(f"m_{v}") for v in VECTOR], *[pick(v, "d", FLOORS[v]).alias(f"d_{v}") for v in VECTOR])
-    pairs = [(a, b) for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]]
-    cov = [((F.col(f"d_{a}") * 1.4826) ** 2 + F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0)).alias(f"c_{a}_{b}") for a, b in pairs]
-    return found.select("group", F.lit(0).cast("long").alias("n"), *[f"m_{v}" for v in VECTOR], *cov, F.lit("median").alias("start"))
+    return bins.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(every)).filter(F.col("_upto") >= share * F.col("_all")).groupBy(*by).agg(((F.min("_bin") + 1) * width).alias("_edge"))
+
+
+def _medians(rows: DataFrame, values: dict[str, Column], out: str) -> DataFrame:
+    """One row a group with the median of each value, in units of its floor, as {out}_{name}."""
+    flat = rows.select("group", F.explode(F.array(*[F.struct(F.lit(v).alias("name"), (x / FLOORS[v]).alias("x")) for v, x in values.items()])).alias("_s"))
+    middle = _bin_quantile(flat.select("group", F.col("_s.name").alias("name"), F.col("_s.x").alias("x")), ["group", "name"], F.col("x"), 0.5, BIN)
+    return durable(middle.groupBy("group").agg(*[F.max(F.when(F.col("name") == v, (F.col("_edge") - BIN / 2) * FLOORS[v])).alias(f"{out}_{v}") for v in values]), "quality-medians")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Four estimates of each group to begin with."""
+    middle = _medians(rows, {v: F.col(v) for v in VECTOR}, "m")
+    centred = _beside(rows, middle)
+    spread = _medians(centred, {v: F.abs(F.col(v) - F.col(f"m_{v}")) for v in VECTOR}, "d")
+    scale = {v: F.sqrt((1.4826 * F.col(f"d_{v}")) ** 2 + F.lit(FLOORS[v] ** 2)) for v in VECTOR}
+    known = durable(middle.join(spread, "group").select("group", *[f"m_{v}" for v in VECTOR], *[x.alias(f"d_{v}") for v, x in scale.items()]), "quality-scales")
+    diagonal = known.select("group", *[f"m_{v}" for v in VECTOR], *[(F.col(f"d_{a}") ** 2 if a == b else F.lit(0.0)).alias(f"c_{a}_{b}") for a, b in PAIRS])
+    z = {v: (F.col(v) - F.col(f"m_{v}")) / F.col(f"d_{v}") for v in VECTOR}
+    scaled = _beside(rows, known)
+    # covariance of squashed deviations, in the units of the statistics again
+    squashed = _moments(scaled.select("group", *[F.tanh(x).alias(v) for v, x in z.items()]), ["group"])
+    squashed = squashed.select("group", *[f"c_{a}_{b}" for a, b in PAIRS]).join(known, "group")
+    squashed = squashed.select("group", *[f"m_{v}" for v in VECTOR], *[(F.col(f"c_{a}_{b}") * F.col(f"d_{a}") * F.col(f"d_{b}")).alias(f"c_{a}_{b}") for a, b in PAIRS])
+    far = scaled.select("group", *VECTOR, F.log(sum((x**2 for x in z.values()), F.lit(1e-12))).alias("_log"))
+    half = durable(_bin_quantile(far, ["group"], F.col("_log"), 0.5, LOG_BIN), "quality-halves")
+    nearest = _moments(_beside(far, half).filter(F.col("_log") < F.col("_edge")), ["group"])
+    begin = {"median": diagonal, "mean": _moments(rows, ["group"]), "squashed": squashed, "nearest": nearest}
+    return reduce(DataFrame.unionByName, [found.withColumn("start", F.lit(name)) for name, found in begin.items()])
 
 
 def estimates(rows: DataFrame, steps: int = STEPS, keep: float = KEEP) -> DataFrame:
     """One robust centre and Cholesky factor per group. rows: group and the vector."""
-    current = _robust_start(rows).unionByName(_moments(rows, ["group"]).withColumn("start", F.lit("mean")))
-    for step in range(steps):
-        current = durable(_factor(current), "mcd")
-        far = _distance(rows.join(current, "group")).select("group", "start", "d2", *VECTOR).withColumn("_log", F.log(F.col("d2") + 1e-12))
-        edge = _bin_quantile(far, ["group", "start"], "_log", keep)
-        near = far.join(edge, ["group", "start"]).filter(F.col("_log") < F.col("_edge"))
-        current = _moments(near, ["group", "start"])
-    current = durable(_factor(current), "mcd")
+    current = durable(_factor(_starts(rows)), "mcd")
+    for _ in range(steps):
+        far = _distance(_beside(rows, current)).select("group", "start", *VECTOR, F.log(F.col("d2") + 1e-12).alias("_log"))
+        edge = durable(_bin_quantile(far, ["group", "start"], F.col("_log"), keep, LOG_BIN), "mcd-edges")
+        near = _distance(_beside(rows, current.join(edge, ["group", "start"]))).filter(F.log(F.col("d2") + 1e-12) < F.col("_edge"))
+        before, current = current, durable(_factor(_moments(near, ["group", "start"], CONSISTENCY)), "mcd")
+        moved = current.join(before.select("group", "start", F.col("logdet").alias("_was")), ["group", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("_was")))).first()[0]
+        if moved is None or moved < SETTLED:
+            break
     first = Window.partitionBy("group").orderBy("logdet", "start")
-    return current.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank", "start", "n")
+    return durable(current.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank", "start"), "mcd-best")
 
 
-def judge(docs: DataFrame, *keys: str, least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+def judge(docs: DataFrame, *keys: str | Column, least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """Key columns, the counts, base_failed, d2 (squared robust distance) and kept."""
+    named_keys = docs.select(*keys).columns
     counted = durable(statistics(docs, *keys).withColumn("base_failed", base_failed()).withColumns(vectors()), "quality-statistics")
     lang, source = (F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c)) for c in ("lang", "source"))
     named = counted.withColumn("_own", F.to_json(F.struct(lang.alias("l"), source.alias("s")))).withColumn("_lang", F.to_json(F.struct(lang.alias("l"))))
     size = named.filter(~F.col("base_failed")).groupBy("_own", "_lang").agg(F.count(F.lit(1)).alias("_rows"))
     level = size.withColumn("_lang_rows", F.sum("_rows").over(Window.partitionBy("_lang")))
     group = F.when(F.col("_rows") >= least_rows, F.col("_own")).when(F.col("_lang_rows") >= least_rows, F.col("_lang")).otherwise(F.lit("{}"))
-    level = durable(level.select("_own", group.alias("group")), "quality-groups")
-    grouped = named.join(level, "_own", "left").withColumn("group", F.coalesce("group", F.lit("{}")))
+    level = durable(level.select("_own", group.alias("group")).filter(F.col("group") != "{}"), "quality-groups")
+    grouped = named.join(F.broadcast(level) if level.count() <= MOST_BROADCAST else level, "_own", "left").withColumn("group", F.coalesce("group", F.lit("{}")))
     found = estimates(grouped.filter(~F.col("base_failed")).select("group", *VECTOR))
-    judged = _distance(grouped.join(found, "group", "left"))
-    worse = reduce(lambda x, y: x | y, [F.col(v) > F.col(f"m_{v}") + 3 * F.lit(FLOORS[v]) for v in VECTOR])
-    outlier = F.coalesce((F.col("d2") > cutoff) & worse, F.lit(False))
-    return judged.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", (~F.col("base_failed") & ~outlier).alias("kept"))
+    judged = _distance(_beside(grouped, found, "left"))
+    outlier = F.coalesce(F.col("d2") > cutoff, F.lit(False))
+    return judged.select(*named_keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", (~F.col("base_failed") & ~outlier).alias("kept"))
 
 
 def keep_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    tagged = durable(docs.withColumn("_tag", F.monotonically_increasing_id()), "quality-documents")
-    return tagged.join(judge(tagged, "_tag", **options).filter("kept").select("_tag"), "_tag", "left_semi").select(*docs.columns)
+    """The documents that the rules keep, with all their columns.
+
+    The rows travel beside their statistics in one column, so no name can clash and the
+    verdict needs no join with the texts.
+    """
+    return judge(docs, F.struct("*").alias("row"), **options).filter("kept").select("row.*")

@@ -30,6 +30,43 @@ def table(n=400, seed=5):
     return data + [(1000 + i, t, "en", "a", "x") for i, t in enumerate(odd)] + data[:2] * 3
 
 
+def mcd(x, starts=60, seed=1):
+    """log determinant, centre and covariance of the best of many random starts, in numpy."""
+    rng, best = np.random.default_rng(seed), None
+    floor = np.diag([q.FLOORS[v] ** 2 for v in q.VECTOR])
+    for _ in range(starts):
+        near = x[rng.choice(len(x), 6, replace=False)]
+        for _ in range(40):
+            m, c = near.mean(0), 1.412 * np.cov(near.T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            near = x[np.argsort(d, kind="stable")[: int(np.ceil(len(x) * 0.75))]]
+        level = np.linalg.slogdet(c)[1]
+        if best is None or level < best[0]:
+            best = (level, m, c)
+    return best
+
+
+def vector(text):
+    words, chars, symbols, doubled, covered = counts(text)
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    upper = sum(c.isupper() for c in text)
+    return [np.log(max(chars, 1) / max(words, 1)), *np.sqrt([symbols / max(chars, 1), doubled / max(len(lines), 1), covered / max(words, 1), upper / max(chars, 1)])]
+
+
+def test_verdicts_equal_brute_force(spark):
+    data = [(*r[:2], "en", "a", r[4]) for r in table(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, d2 string")
+    rows = sorted(((r.doc_id, r.base_failed, r.kept, r.d2) for r in q.judge(docs, "doc_id").collect()), key=str)
+    good = [t for _, t, *_ in data if (c := counts(t))[0] >= 50 and 2 * c[4] <= c[0]]
+    _, m, c = mcd(np.array([vector(t) for t in good]))
+    for (doc_id, failed, kept, d2), (_, text) in zip(rows, sorted(((i, t) for i, t, *_ in data), key=str), strict=True):
+        if not failed:
+            off = np.array(vector(text)) - m
+            want = off @ np.linalg.inv(c) @ off
+            assert abs(d2 - want) < 0.1 * want + 0.1
+            assert kept == (d2 <= q.CUTOFF)
+
+
 def test_counts_equal_brute_force(spark):
     data = table()
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_words string")
@@ -55,17 +92,18 @@ def test_concentration_steps_equal_numpy(spark):
     x[:60] += 8
     rows = spark.createDataFrame([("g", *map(float, r)) for r in x], ["group", *q.VECTOR])
     found = q.estimates(rows).first()
-    floor = np.diag([q.FLOORS[v] ** 2 for v in q.VECTOR])
-    best = None
-    deviation = np.median(np.abs(x - np.median(x, 0)), 0)
-    for m, c in ((np.median(x, 0), np.diag((1.4826 * deviation) ** 2) + floor), (x.mean(0), np.cov(x.T, bias=True) + floor)):
-        for _ in range(20):
-            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-            near = x[np.argsort(d)[: int(len(x) * q.KEEP)]]
-            m, c = near.mean(0), np.cov(near.T, bias=True) + floor
-        if best is None or np.linalg.det(c) < best[0]:
-            best = (np.linalg.det(c), m)
-    assert np.allclose([found[f"m_{v}"] for v in q.VECTOR], best[1], atol=0.03)
+    _, m, c = mcd(x)
+    assert np.allclose([found[f"m_{v}"] for v in q.VECTOR], m, atol=0.01)
+    factor = np.array([[found[f"l_{a}_{b}"] if j <= i else 0 for j, b in enumerate(q.VECTOR)] for i, a in enumerate(q.VECTOR)])
+    assert np.allclose(factor @ factor.T, c, atol=0.005) and abs(found["logdet"] - np.linalg.slogdet(c)[1]) < 0.05
+
+
+def test_stage_keeps_columns_of_any_name_and_long_texts(spark):
+    rng = random.Random(2)
+    data = [(i, prose(rng, 80), "en", "a", i, "t", False) for i in range(40)] + [(100, prose(rng, 60_000), "en", "a", 0, "u", True), (100, prose(rng, 60_000), None, None, None, None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, _tag int, `group` string, kept boolean")
+    kept = q.keep_documents(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
 
 
 def test_empty(spark):
