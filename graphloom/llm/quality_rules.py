@@ -5,8 +5,8 @@ minimum-covariance-determinant estimate is made by concentration steps from four
 deterministic starts: medians with median deviations, the plain mean and covariance, the
 covariance of squashed deviations, and the half of the rows nearest to the medians. In a step
 the share `KEEP` of rows nearest to the current centre gives the next mean and covariance,
-made consistent for normal rows by `CONSISTENCY`; steps follow until no determinant moves,
-and the start with the smallest one wins. Rows whose robust Mahalanobis distance is beyond a
+made consistent for normal rows by `CONSISTENCY`; after `TRIAL` steps the start with the
+smallest determinant goes on alone, until no determinant moves. Rows whose robust Mahalanobis distance is beyond a
 chi-square quantile go.
 
 Everything is DataFrame work on one slim table; a group adds up through partial sums, and
@@ -39,7 +39,7 @@ KEEP = 0.75
 #: KEEP over the chance that a chi-square variable with seven degrees is below the KEEP quantile with five.
 CONSISTENCY = 1.412
 #: Steps at most, and how little the log of a determinant moves once a start has settled.
-STEPS, SETTLED = 12, 1e-3
+STEPS, TRIAL, SETTLED = 12, 3, 2e-3
 LEAST_ROWS = 200
 MOST_BROADCAST = 100_000
 #: Smallest standard deviation of each statistic: statistics that are nearly constant in clean text.
@@ -165,9 +165,9 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", total).drop(*[f"_z_{v}" for v in VECTOR])
 
 
-def _beside(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
-    """rows with the columns of a written table of one row, or one for each start, a group."""
-    return rows.join(F.broadcast(table) if table.count() <= MOST_BROADCAST else table, "group", how)
+def _beside(rows: DataFrame, table: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """rows with the columns of a table of one row, or one for each start, a group."""
+    return rows.join(F.broadcast(table) if few else table, "group", how)
 
 
 def _bin_quantile(rows: DataFrame, by: list[str], value: Column, share: float, width: float) -> DataFrame:
@@ -185,40 +185,46 @@ def _medians(rows: DataFrame, values: dict[str, Column], out: str) -> DataFrame:
     return durable(middle.groupBy("group").agg(*[F.max(F.when(F.col("name") == v, (F.col("_edge") - BIN / 2) * FLOORS[v])).alias(f"{out}_{v}") for v in values]), "quality-medians")
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
     """Four estimates of each group to begin with."""
     middle = _medians(rows, {v: F.col(v) for v in VECTOR}, "m")
-    centred = _beside(rows, middle)
+    centred = _beside(rows, middle, few)
     spread = _medians(centred, {v: F.abs(F.col(v) - F.col(f"m_{v}")) for v in VECTOR}, "d")
     scale = {v: F.sqrt((1.4826 * F.col(f"d_{v}")) ** 2 + F.lit(FLOORS[v] ** 2)) for v in VECTOR}
     known = durable(middle.join(spread, "group").select("group", *[f"m_{v}" for v in VECTOR], *[x.alias(f"d_{v}") for v, x in scale.items()]), "quality-scales")
     diagonal = known.select("group", *[f"m_{v}" for v in VECTOR], *[(F.col(f"d_{a}") ** 2 if a == b else F.lit(0.0)).alias(f"c_{a}_{b}") for a, b in PAIRS])
     z = {v: (F.col(v) - F.col(f"m_{v}")) / F.col(f"d_{v}") for v in VECTOR}
-    scaled = _beside(rows, known)
+    scaled = _beside(rows, known, few)
     # covariance of squashed deviations, in the units of the statistics again
     squashed = _moments(scaled.select("group", *[F.tanh(x).alias(v) for v, x in z.items()]), ["group"])
     squashed = squashed.select("group", *[f"c_{a}_{b}" for a, b in PAIRS]).join(known, "group")
     squashed = squashed.select("group", *[f"m_{v}" for v in VECTOR], *[(F.col(f"c_{a}_{b}") * F.col(f"d_{a}") * F.col(f"d_{b}")).alias(f"c_{a}_{b}") for a, b in PAIRS])
     far = scaled.select("group", *VECTOR, F.log(sum((x**2 for x in z.values()), F.lit(1e-12))).alias("_log"))
-    half = durable(_bin_quantile(far, ["group"], F.col("_log"), 0.5, LOG_BIN), "quality-halves")
-    nearest = _moments(_beside(far, half).filter(F.col("_log") < F.col("_edge")), ["group"])
+    half = _bin_quantile(far, ["group"], F.col("_log"), 0.5, LOG_BIN)
+    nearest = _moments(_beside(far, half, few).filter(F.col("_log") < F.col("_edge")), ["group"])
     begin = {"median": diagonal, "mean": _moments(rows, ["group"]), "squashed": squashed, "nearest": nearest}
     return reduce(DataFrame.unionByName, [found.withColumn("start", F.lit(name)) for name, found in begin.items()])
 
 
-def estimates(rows: DataFrame, steps: int = STEPS, keep: float = KEEP) -> DataFrame:
-    """One robust centre and Cholesky factor per group. rows: group and the vector."""
-    current = durable(_factor(_starts(rows)), "mcd")
-    for _ in range(steps):
-        far = _distance(_beside(rows, current)).select("group", "start", *VECTOR, F.log(F.col("d2") + 1e-12).alias("_log"))
-        edge = durable(_bin_quantile(far, ["group", "start"], F.col("_log"), keep, LOG_BIN), "mcd-edges")
-        near = _distance(_beside(rows, current.join(edge, ["group", "start"]))).filter(F.log(F.col("d2") + 1e-12) < F.col("_edge"))
-        before, current = current, durable(_factor(_moments(near, ["group", "start"], CONSISTENCY)), "mcd")
-        moved = current.join(before.select("group", "start", F.col("logdet").alias("_was")), ["group", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("_was")))).first()[0]
-        if moved is None or moved < SETTLED:
-            break
+def _best(estimates_: DataFrame) -> DataFrame:
     first = Window.partitionBy("group").orderBy("logdet", "start")
-    return durable(current.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank", "start"), "mcd-best")
+    return estimates_.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
+
+
+def estimates(rows: DataFrame, steps: int = STEPS, keep: float = KEEP, few: bool = True) -> DataFrame:
+    """One robust centre and Cholesky factor per group. rows: group and the vector; few: not many groups."""
+    current = durable(_factor(_starts(rows, few)), "mcd")
+    for step in range(1, steps + 1):
+        far = _distance(_beside(rows, current, few)).select("group", "start", F.log(F.col("d2") + 1e-12).alias("_log"))
+        edge = _bin_quantile(far, ["group", "start"], F.col("_log"), keep, LOG_BIN)
+        near = _distance(_beside(rows, current.join(edge, ["group", "start"]), few)).filter(F.log(F.col("d2") + 1e-12) < F.col("_edge"))
+        found = _factor(_moments(near, ["group", "start"], CONSISTENCY))
+        before, current = current, durable(_best(found) if step == TRIAL else found, "mcd")
+        if step > TRIAL:
+            moved = current.join(before.select("group", F.col("logdet").alias("_was")), "group").agg(F.max(F.abs(F.col("logdet") - F.col("_was")))).first()[0]
+            if moved is None or moved < SETTLED:
+                break
+    return _best(current).drop("start")
 
 
 def judge(docs: DataFrame, *keys: str | Column, least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
@@ -231,9 +237,10 @@ def judge(docs: DataFrame, *keys: str | Column, least_rows: int = LEAST_ROWS, cu
     level = size.withColumn("_lang_rows", F.sum("_rows").over(Window.partitionBy("_lang")))
     group = F.when(F.col("_rows") >= least_rows, F.col("_own")).when(F.col("_lang_rows") >= least_rows, F.col("_lang")).otherwise(F.lit("{}"))
     level = durable(level.select("_own", group.alias("group")).filter(F.col("group") != "{}"), "quality-groups")
-    grouped = named.join(F.broadcast(level) if level.count() <= MOST_BROADCAST else level, "_own", "left").withColumn("group", F.coalesce("group", F.lit("{}")))
-    found = estimates(grouped.filter(~F.col("base_failed")).select("group", *VECTOR))
-    judged = _distance(_beside(grouped, found, "left"))
+    few = level.count() <= MOST_BROADCAST
+    grouped = named.join(F.broadcast(level) if few else level, "_own", "left").withColumn("group", F.coalesce("group", F.lit("{}")))
+    found = estimates(grouped.filter(~F.col("base_failed")).select("group", *VECTOR), few=few)
+    judged = _distance(_beside(grouped, found, few, "left"))
     outlier = F.coalesce(F.col("d2") > cutoff, F.lit(False))
     return judged.select(*named_keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", (~F.col("base_failed") & ~outlier).alias("kept"))
 
