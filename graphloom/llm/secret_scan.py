@@ -4,12 +4,15 @@ From each rule's regular expression a Boolean trigram query is derived: the lite
 a match must hold, one alternative for each way to match, each an AND of its trigrams. The
 index has a posting (trigram, document) for the trigrams of any query; postings meet per
 document and alternative, and a document is a candidate of a rule where an alternative has
-all of its trigrams. Candidates are verified with the regular expression itself. A rule
-without mandatory trigrams scans every text.
+all of its trigrams. Candidates alone are fetched and verified with the regular expression
+itself, and only their spans travel back to the rows. A rule without mandatory trigrams scans
+every text where it lies.
 
 Trigrams are of lower-cased text, so the index never misses a match; documents are keyed by
 id and text hash, so repeated rows share their postings and still get a row each. Null and
-empty texts have no spans. Extra columns play no part. An empty table gives no rows.
+empty texts have no spans. Overlapping matches of two rules are two spans, and one mark in
+mask_documents(). Extra columns, whatever their names, play no part and are kept by
+mask_documents(). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -101,16 +104,21 @@ def plan(rules: tuple[Rule, ...]) -> tuple[list[str], list[tuple[int, frozenset[
     return sorted({t for _, clause in clauses for t in clause}), clauses
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.xxhash64("text"))).withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+KEY = ["key_id", "key_hash"]
+NO_SPANS = "cast(array() as array<struct<start:int,rank:int,end:int>>)"
+
+
+def _keyed(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """The columns, the key of each document and its text."""
+    return docs.select(*columns, F.col("doc_id").alias("key_id"), F.xxhash64("text").alias("key_hash"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
 
 
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Postings: trigram (its number in plan()) and key of the document."""
     trigrams, _ = plan(rules)
-    lowered = _key(docs).select("_key", F.lower("_text").alias("_lower"))
-    held = F.array_compact(F.array(*[F.when(F.contains("_lower", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return lowered.select(F.explode(held).alias("trigram"), "_key").distinct()
+    lowered = _keyed(docs).select(*KEY, F.lower("body").alias("lower"))
+    held = F.array_compact(F.array(*[F.when(F.contains("lower", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
+    return lowered.select(F.explode(held).alias("trigram"), *KEY).distinct()
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -120,8 +128,8 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     table = F.expr("array(" + ",".join("array(" + ",".join(map(str, u)) + ")" for u in uses) + ")")
     need = F.expr("array(" + ",".join(str(len(c)) for _, c in clauses) + ")")
     bit = F.expr("array(" + ",".join(str(1 << rule) for rule, _ in clauses) + ")")
-    met = postings.select("_key", F.explode(F.element_at(table, F.col("trigram") + 1)).alias("clause")).groupBy("_key", "clause").agg(F.count(F.lit(1)).alias("n"))
-    return met.filter(F.col("n") == F.element_at(need, F.col("clause") + 1)).groupBy("_key").agg(F.bit_or(F.element_at(bit, F.col("clause") + 1)).alias("_mask"))
+    met = postings.select(*KEY, F.explode(F.element_at(table, F.col("trigram") + 1)).alias("clause")).groupBy(*KEY, "clause").agg(F.count(F.lit(1)).alias("n"))
+    return met.filter(F.col("n") == F.element_at(need, F.col("clause") + 1)).groupBy(*KEY).agg(F.bit_or(F.element_at(bit, F.col("clause") + 1)).alias("mask"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -145,7 +153,6 @@ def sums_before(lengths: Column) -> Column:
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """start, rank and end of each match that is long enough, in code points."""
     pattern = F.lit(rule.pattern)
-    empty = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")
     found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("all"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("own"))
 
     def placed(f: Column) -> Column:
@@ -153,7 +160,7 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         gaps = F.transform(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(f["all"])), F.length)
         cut = let(F.struct(matched.alias("m"), own.alias("o"), gaps.alias("g")), lambda s: let(sums_before(F.zip_with(s["g"], s["m"], lambda a, b: a + b)), lambda at: F.transform(at, lambda x, i: F.struct((x + F.get(s["g"], i)).alias("start"), F.lit(rank).alias("rank"), (x + F.get(s["g"], i) + F.get(s["m"], i)).alias("end"), F.get(s["o"], i).alias("own")))))
         long = F.filter(cut, lambda x: x["own"] >= rule.least)
-        return F.when(F.size(f["all"]) == 0, empty).otherwise(F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"))))
+        return F.when(F.size(f["all"]) == 0, F.expr(NO_SPANS)).otherwise(F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"))))
 
     return let(found, placed)
 
@@ -163,15 +170,26 @@ def _shown(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, *columns: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The named columns, text, and spans: start, rank (of the rule) and end of all secrets."""
-    found = candidates(durable(index(docs, rules), "secret-postings"), rules)
-    full = sum(1 << i for i, rule in enumerate(rules) if not trigram_query(rule.pattern))
-    keyed = _key(docs).select(*columns, "_key", "_text")
-    masked = keyed.join(found, "_key", "left").withColumn("_mask", F.coalesce(F.col("_mask"), F.lit(0)).bitwiseOR(F.lit(full)))
-    empty = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")
-    each = [F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, _spans(F.col("_text"), rule, i)).otherwise(empty) for i, rule in enumerate(rules)]
-    return masked.select(*columns, "_text", F.sort_array(F.flatten(F.array(*each))).alias("spans"))
+def _met(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """left with the columns that right has for its key."""
+    right = right.withColumnsRenamed({k: f"of_{k}" for k in KEY})
+    return left.join(right, left["key_id"].eqNullSafe(right["of_key_id"]) & (left["key_hash"] == right["of_key_hash"]), how).drop(*(f"of_{k}" for k in KEY))
+
+
+def verified(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Key and spans of the candidates that hold a match of a rule with mandatory trigrams."""
+    found = durable(candidates(durable(index(docs, rules), "secret-postings"), rules), "secret-candidates")
+    each = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, _spans(F.col("body"), rule, i)).otherwise(F.expr(NO_SPANS)) for i, rule in enumerate(rules) if trigram_query(rule.pattern)]
+    held = _met(_keyed(docs), found, "inner").select(*KEY, F.flatten(F.array(*each)).alias("met"))
+    return durable(held.filter(F.size("met") > 0).dropDuplicates(KEY), "secret-spans")
+
+
+def scan(docs: DataFrame, *columns: str | Column, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The columns and spans: start, rank (of the rule) and end of all secrets of each document."""
+    full = [_spans(F.col("body"), rule, i) for i, rule in enumerate(rules) if not trigram_query(rule.pattern)]
+    names = docs.select(*columns).columns
+    placed = _keyed(docs, *columns).select(*names, *KEY, F.flatten(F.array(F.expr(NO_SPANS), *full)).alias("full"))
+    return _met(placed, verified(docs, rules), "left").select(*names, F.sort_array(F.concat("full", F.coalesce("met", F.expr(NO_SPANS)))).alias("spans"))
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -185,14 +203,16 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def mask_documents(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with each secret replaced by a mark; overlapping spans become one."""
-    found = scan(docs, *docs.columns, rules=rules)
+    found = scan(docs, F.struct("*").alias("row"), rules=rules)
+    body = F.coalesce(F.col("row.text"), F.lit(""))
+    none = F.expr("cast(array() as array<struct<from:int,to:int>>)")
     step = lambda acc, s: F.struct(
-        F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.array(F.struct(acc["at"].alias("from"), s["start"].alias("to")))).otherwise(F.expr("cast(array() as array<struct<from:int,to:int>>)"))).alias("out"),
+        F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.array(F.struct(acc["at"].alias("from"), s["start"].alias("to")))).otherwise(none)).alias("out"),
         F.greatest(acc["at"], s["end"]).alias("at"),
     )
-    start = F.struct(F.expr("cast(array() as array<struct<from:int,to:int>>)").alias("out"), F.lit(0).alias("at"))
-    text = let(F.aggregate("spans", start, step), lambda r: F.concat(F.array_join(F.transform(r["out"], lambda g: F.concat(F.substring("_text", g["from"] + 1, g["to"] - g["from"]), F.lit(mark))), ""), F.substring("_text", r["at"] + 1, F.length("_text"))))
-    return found.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(text)).select(*docs.columns)
+    start = F.struct(none.alias("out"), F.lit(0).alias("at"))
+    text = let(F.aggregate("spans", start, step), lambda r: F.concat(F.array_join(F.transform(r["out"], lambda g: F.concat(F.substring(body, g["from"] + 1, g["to"] - g["from"]), F.lit(mark))), ""), F.substring(body, r["at"] + 1, F.length(body))))
+    return found.select(F.col("row").withField("text", F.when(F.size("spans") == 0, F.col("row.text")).otherwise(text)).alias("row")).select("row.*")
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
