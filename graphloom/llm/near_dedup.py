@@ -13,14 +13,17 @@ bucket. Then, exactly and without listing the pairs of a group:
 2. In each bucket the node with the smallest share of unshared shingles leads, and every
    other member is verified against it on full sets: linear in the size of the bucket.
 3. Components of these links are formed, and only pairs of a bucket that lie in different
-   components are verified further. Any link left out joins what is joined already.
+   components are verified further. Any link left out joins what is joined already. Buckets
+   of more than `BLOCK_NODES` nodes are cut into blocks, and pairs of blocks are dealt out.
 
 Sketches also spare pairs whose bits differ more than a linked pair's do but for one in a
 million. Bands and the bound on bits follow from the similarity that a link asks (percent).
+Buckets, leaders, labels and nodes that hold many rows are dealt over many tasks (spread).
 
-Documents without words are linked with nothing. Null ids form
+Null, empty and blank texts have no words and are linked with nothing. Null ids form
 their own rows with a null component id where no member has an id; repeated rows are
-copies; extra columns play no part; an empty table gives no rows.
+copies; ties between leaders go to the least node; extra columns, whatever their names, play
+no part and are kept by keep_documents(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,10 +39,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.durable import durable
+from graphloom.durable import discard, durable
 from graphloom.llm import exchange
 from graphloom.llm.common import WORD, rows, small, word_bytes
 from graphloom.llm.components import components
+from graphloom.llm.spread import hot_keys, spread_join
 
 WORDS = 5
 PERCENT = 85
@@ -50,6 +54,8 @@ MISSED = 1e-6
 MISSED_BY_BITS = 1e-6
 BLOCK_BYTES = 4 << 20
 KNOWN_WORDS = 400_000
+#: Nodes of a block of a bucket whose pairs are listed.
+BLOCK_NODES = 256
 
 _T = COORDINATES
 _MASK = np.uint64((1 << 40) - 1)
@@ -203,7 +209,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keep = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -211,8 +217,18 @@ def _verified(percent: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"set_{c}"))
-    return durable(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a binary, b binary"), "near-links")
+    """The pairs that link. pairs: written. The end with more pairs brings its set last, to many tasks."""
+    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "pair-ends")
+    hot = hot_keys(ends, "node", "n", 2 * pairs.count())
+    busy = F.broadcast(ends.join(F.broadcast(hot), "node", "left_semi"))
+    turned = pairs.join(busy.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a", "left").join(busy.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b", "left")
+    turn = F.coalesce("n_b", F.lit(0)) > F.coalesce("n_a", F.lit(0))
+    turned = turned.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+    for c, by in (("b", "a"), ("a", "b")):
+        turned = spread_join(turned, sets.select(F.col("node").alias(c), F.col("elements").alias(f"set_{c}")), c, by, hot.select(F.col("node").alias(c)))
+    found = durable(turned.select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a binary, b binary"), "near-links")
+    discard(ends)
+    return found
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -231,10 +247,11 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketched = durable(docs.mapInArrow(_sketched(band_rows(percent)), SKETCHED.format(id=kind)), "near-sketches")
 
     # a node is found again by the id and text hash of one of its documents
-    nodes = sketched.filter("n_shingles > 0").groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("one"))
-    members = nodes.select("node", "bits", F.posexplode("bands").alias("place", "band"))
-    crowded = members.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("band")
-    members = durable(members.join(crowded, "band", "left_semi"), "near-buckets")
+    nodes = durable(sketched.filter("n_shingles > 0").groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("copies")), "near-nodes")
+    members = nodes.select("node", F.posexplode("bands").alias("place", "band"))
+    crowded = durable(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-crowded")
+    wide = durable(hot_keys(crowded, "band", "n", crowded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "near-wide")
+    members = durable(spread_join(members, crowded.select("band"), "band", "node", wide), "near-buckets")
 
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("text_hash")), "node")
     texts = docs.join(wanted, (docs["text_hash"] == wanted["text_hash"]) & docs["doc_id"].eqNullSafe(wanted["_id"])).select("node", "text")
@@ -244,46 +261,58 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     answers = exchange.totals(sets, parts)
     alive = durable(sets.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors(parts, percent), "node binary, n long, alone long, elements binary").dropDuplicates(["node"]), "near-survivors")
 
-    facts = alive.select("node", "n", "alone")
-    members = durable(members.join(facts, "node"), "near-members")
+    facts = alive.select("node", "n", "alone").join(nodes.select("node", "bits"), "node")
+    buckets, members = members, durable(members.join(facts, "node"), "near-members")
+    discard(buckets, sets, crowded)
     lead = members.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "node", "n", "alone", "bits")).alias("lead")).filter("_n > 1")
-    facts_of = lambda side, c: [c["node"].alias(side), *(c[k].alias(f"{side}_{k}") for k in ("n", "alone", "bits"))]
-    led = members.join(lead.select("band", "lead"), "band").filter(F.col("node") != F.col("lead.node"))
-    led = led.select(*facts_of("a", F.col("lead")), *facts_of("b", {k: F.col(k) for k in ("node", "n", "alone", "bits")})).filter(_may_link("a", "b", percent))
+    columns = ("node", "n", "alone", "bits")
+    lead = lead.select("band", *[F.col(f"lead.{k}").alias("a" if k == "node" else f"a_{k}") for k in columns])
+    led = spread_join(members.withColumnsRenamed({k: "b" if k == "node" else f"b_{k}" for k in columns}), lead, "band", "b", wide)
+    led = led.filter((F.col("a") != F.col("b")) & _may_link("a", "b", percent))
     pairs = durable(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     links = _links(pairs, alive, percent)
 
     labels = components(links)
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_up = labelled.groupBy("band").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).filter("_least <> _most").select("band")
-    open_ = durable(labelled.join(mixed_up, "band", "left_semi").join(nodes.select("node", "bands"), "node"), "near-open")
-    side = lambda s: open_.select("band", *[F.col(k).alias(f"{s}_{k}") for k in ("node", "label", "place", "n", "alone", "bits", "bands")])
+    labelled = durable(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-labelled")
+    mixed_up = labelled.groupBy("band").agg(F.min("label").alias("_least"), F.max("label").alias("_most"), F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("blocks")).filter("_least <> _most").select("band", "blocks")
+    open_ = durable(spread_join(labelled, mixed_up, "band", "node", wide).join(nodes.select("node", "bands"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-open")
+    discard(members, labelled)
+    side = lambda s, one, two: open_.select("band", "own", one.alias("one"), two.alias("two"), *[F.col(k).alias(f"{s}_{k}") for k in ("node", "label", "place", "n", "alone", "bits", "bands")]).drop("own")
+    # blocks one and two of a bucket meet once, in a task of their own
+    x = side("x", F.col("own"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    y = side("y", F.explode(F.sequence(F.lit(0), F.col("own"))), F.col("own"))
     # a pair is met once, in the first band that it shares
     earlier = lambda s: F.slice(f"{s}_bands", F.lit(1), F.col("x_place"))
     first = ~F.exists(F.zip_with(earlier("x"), earlier("y"), lambda a, b: a == b), lambda same: same)
-    across = side("x").join(side("y"), "band").filter((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & _may_link("x", "y", percent) & first)
-    rest = durable(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    across = x.join(y, ["band", "one", "two"]).filter(((F.col("one") < F.col("two")) | (F.col("x_node") < F.col("y_node"))) & (F.col("x_label") != F.col("y_label")) & _may_link("x", "y", percent) & first)
+    rest = durable(across.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).join(pairs, ["a", "b"], "left_anti"), "near-rest")
     more = _links(rest, alive, percent)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
+    discard(open_, rest, pairs, links, more, alive)
 
-    return sketched.select("doc_id", "text_hash", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
+    copied = hot_keys(nodes, "node", "copies", sketched.count())
+    named = spread_join(sketched.select("doc_id", "text_hash", "n_shingles", "node"), labels, "node", "doc_id", copied, "left")
+    return durable(named.withColumn("label", F.coalesce("label", "node")).drop("node"), "near-documents")
 
 
 def components_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     named = labelled(docs)
-    least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("_least"))
-    return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = durable(named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "near-least")
+    found = spread_join(named, least.drop("n"), "label", "doc_id", hot_keys(least, "label", "n", named.count()), "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, that of least id, with all columns; those without words all stay."""
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    blank = F.col("text").isNull() | ~F.col("text").rlike(WORD)
+    """One document of each group, that of least id, with all columns; those without words all stay.
+
+    Of rows with the same id and text one stays, whatever their other columns hold.
+    """
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), (F.col("text").isNull() | ~F.col("text").rlike(WORD)).alias("blank"))
     first = labelled(docs, percent).filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
-    first = first.select(F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_of"))
-    chosen = keyed.filter(~blank).join(first, (F.col("_hash") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    copies = Window.partitionBy("doc_id", "_hash").orderBy("_hash")
-    one = chosen.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1")
-    return one.select(*docs.columns).unionByName(docs.filter(blank))
+    first = first.select(F.col("one.doc_id").alias("first_id"), F.col("one.text_hash").alias("first_hash"))
+    chosen = packed.filter(~F.col("blank")).join(first, (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    copies = Window.partitionBy("doc_id", "text_hash").orderBy("text_hash")
+    one = chosen.withColumn("copy", F.row_number().over(copies)).filter("copy = 1")
+    return one.select("row").unionByName(packed.filter("blank").select("row")).select("row.*")

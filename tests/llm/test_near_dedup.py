@@ -84,3 +84,41 @@ def test_sketch_fills_and_concentrates():
 def test_components_of_a_long_chain(spark):
     links = spark.range(200).selectExpr("id as a", "id + 1 as b")
     assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in range(201)}
+
+
+def test_components_of_a_large_star_with_chains(spark):
+    links = spark.range(2000).selectExpr("5000L as a", "id as b").union(spark.range(1000).selectExpr("6000 + id * 2 as a", "6001 + id * 2 as b"))
+    want = {(i, 0) for i in [*range(2000), 5000]} | {(i, i - i % 2) for i in range(6000, 8000)}
+    assert {tuple(r) for r in components(links).collect()} == want
+
+
+def test_links_at_the_bound_share_a_band_and_keep_within_the_bits():
+    rng = np.random.default_rng(5)
+    most, missed = 0, 0
+    for shared, each in ((6, 0), (17, 0), (34, 3), (85, 0), (170, 15), (850, 75)):
+        for _ in range(300):
+            pool = rng.integers(0, 1 << 63, 2 * each + shared + max(1, (shared * 15 - 2 * each * 85) // 85), dtype=np.uint64)
+            one, two = pool[: shared + each], np.concatenate([pool[:shared], pool[shared + each :]])
+            if not n.linked(np.unique(one), np.unique(two)):
+                continue
+            a, b = n.sketch(np.unique(one)), n.sketch(np.unique(two))
+            most = max(most, int(sum(int(x).bit_count() for x in (n.bits(a) ^ n.bits(b)).view(np.uint64))))
+            missed += not (n.band_keys(a, 6) == n.band_keys(b, 6)).any()
+    assert 0 < most <= n.most_bits(85) == 34 and not missed
+
+
+def test_large_buckets_in_blocks_long_texts_and_any_column(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK_NODES", 4)
+    data = table(seed=7)
+    long = " ".join(f"w{i % 7001}x{i % 13}" for i in range(150_000))
+    data += [(20_000, long), (20_001, long + " end"), (20_002, long.upper())]
+    docs = spark.createDataFrame([(i, t, 1, "y", 3) for i, t in data], "doc_id long, text string, _hash int, row string, label int")
+    sizes, roots = brute(data)
+    least = {}
+    for (i, _), r in zip(data, roots, strict=True):
+        least[r] = min(i, least.get(r, i))
+    want = sorted((i, s, least[r], i == least[r]) for (i, _), s, r in zip(data, sizes, roots, strict=True))
+    assert sorted(map(tuple, n.components_of(docs).collect())) == want
+    kept = n.keep_documents(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_, k in want if k)
+    assert {(r["_hash"], r["row"], r["label"]) for r in kept.collect()} == {(1, "y", 3)}
