@@ -31,13 +31,25 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.path = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that durable() wrote and that nothing reads any more: all that was made of them is written."""
+    for df in stored:
+        written = _WRITTEN.get(df.sparkSession.sparkContext.applicationId, [])
+        if df.path in written:
+            written.remove(df.path)
+            _delete(df.sparkSession, df.path)
 
 
 def release(spark: SparkSession) -> int:
     """Delete what durable() wrote in this application; call it when its results are stored."""
-    jvm, gone = spark.sparkContext._jvm, 0
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        gone += bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
-    return gone
+    return sum(_delete(spark, path) for path in _WRITTEN.pop(spark.sparkContext.applicationId, []))
