@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[str, list[str]] = {}
+_SCRATCH: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +37,23 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.path = path
+    if (made := _SCRATCH.get()) is not None:
+        made.append(stored)
     return stored
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that durable() writes inside are listed, and deleted at the end unless taken off the list."""
+    made: list[DataFrame] = []
+    before = _SCRATCH.set(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.reset(before)
+    discard(*made)
+
+
 def _delete(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
