@@ -62,6 +62,30 @@ def test_stages_follow_each_other(spark):
     assert quality_rules.LEAST_WORDS == 50 and np.isfinite(len(encoded))
 
 
+def test_clashing_columns_nulls_and_long_texts(spark):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(80_000)) + " token=abcdefgh1234"
+    data = [(*r, 1, "s", 2, "t", 3, 4) for r in [*table(60), (3000, long, None, None, None), (3000, long, None, None, None), (None, None, "en", "a", 0)]]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, _tag int, spans string, _copies int, row string, label int, slot int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, corpus_pipeline.durable(stage(spark, docs, ""), name)
+        assert docs.columns == before.columns
+        assert {tuple(r)[5:] for r in docs.collect()} == {(1, "s", 2, "t", 3, 4)}
+    assert sum(r.doc_id == 3000 for r in docs.collect()) in (1, 2) and all("abcdefgh1234" not in r.text for r in docs.collect())
+    encoded = corpus_pipeline.encode(spark, docs, "").collect()
+    assert len(encoded) == docs.count()
+
+
+def test_run_leaves_its_last_table_only(spark, tmp_path):
+    spark.createDataFrame(table(80), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    from graphloom import durable as d
+
+    d.release(spark)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert d._WRITTEN[spark.sparkContext.applicationId] == [got.path] and got.count() > 0
+    assert d.release(spark) == 1
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
