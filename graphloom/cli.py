@@ -2,24 +2,31 @@
 
     python -m graphloom.cli index ROOT [--out DIR] [--force] [--all] [--regex] [--json]
     python -m graphloom.cli q COMMAND [TARGET...] [--index DIR] [--depth N] [--kinds K] [--budget N] [--json]
-    python -m graphloom.cli map ROOT [--out FILE] [--max-nodes N] [--json]
+    python -m graphloom.cli map ROOT [--out DIR] [--port N] [--max-nodes N] [--view V] [--no-open] [--build-only] [--all] [--json]
     python -m graphloom.cli mcp ROOT
 """
 
 from __future__ import annotations
 
 import argparse
+import contextlib
 import inspect
 import json
+import os
 import sys
+import time
+import webbrowser
 from pathlib import Path
 from typing import IO
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from graphloom import serve
 from graphloom.operators import commands, layout, metrics
 from graphloom.session import local_session
 from graphloom.sources.index import CodeGraph, index
+from graphloom.sources.parse import FRONTENDS
 
 HOME = ".graphloom"
 
@@ -32,7 +39,7 @@ def locate(start: str) -> Path:
     raise FileNotFoundError(f"no index at or above {start}; run index first")
 
 
-def build(spark: SparkSession, root: str, out: str | None = None, force: bool = False, everything: bool = False, frontends: bool = True) -> CodeGraph:
+def build(spark: SparkSession, root: str, out: str | None = None, force: bool = False, everything: bool = False, frontends: bool | tuple[str, ...] = True) -> CodeGraph:
     """Index a tree, reusing the stored facts of unchanged files, and store it."""
     where = Path(out or Path(root) / HOME)
     facts = where / "facts"
@@ -60,14 +67,32 @@ def ask(graph: CodeGraph, root: str, command: str, targets: list[str], **options
     return commands.run(graph, command, **given)
 
 
-def report(graph: CodeGraph, limit: int) -> dict:
-    """The scorecard and a drawing of at most so many nodes, as plain data."""
-    from pyspark.sql import functions as F
+def report(graph: CodeGraph, limit: int, root: str | None = None, view: str = "nebula") -> dict:
+    """meta, stats, scores and the drawing of at most so many nodes, as plain data.
 
+    Nodes have a place in space (x, y, z) and on the flat atlas (ax, ay).
+    """
     nodes, edges = metrics.drawing(graph, limit)
-    placed = layout.atlas(nodes.withColumn("module", F.coalesce(F.regexp_extract("path", "^([^/]*)/", 1), F.lit(""))))
+    flat = layout.atlas(nodes.withColumn("module", F.coalesce(F.regexp_extract("path", "^([^/]*)/", 1), F.lit("")))).select("id", F.col("x").alias("ax"), F.col("y").alias("ay"))
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
-    return metrics.readiness(graph) | {"nodes": rows(placed), "edges": rows(edges.select("src", "dst", "kind", "conf"))}
+    count = lambda df, by: {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).collect()}
+    code = graph.files.filter("kind = 'code'")
+    kinds, edge_kinds = count(graph.nodes, "kind"), count(graph.edges, "kind")
+    stats = {"files": graph.files.count(), "code_files": code.count(), "total_loc": code.agg(F.coalesce(F.sum("loc"), F.lit(0))).first()[0], "functions": kinds.get("Function", 0), "classes": kinds.get("Class", 0), "languages": count(code, "lang"), "node_kinds": kinds, "edge_kinds": edge_kinds, "total_nodes": sum(kinds.values()), "total_edges": sum(edge_kinds.values())}
+    meta = {"root": os.path.abspath(root) if root else None, "name": os.path.basename(os.path.abspath(root)) if root else "", "generated": time.strftime("%Y-%m-%d %H:%M:%S"), "view": view}
+    drawn = {"nodes": rows(layout.nebula(nodes, edges).join(flat, "id")), "edges": rows(edges.select("src", "dst", "kind", "conf"))}
+    return {"meta": meta, "stats": stats, "scores": metrics.readiness(graph, os.listdir(root) if root else None), "graph": drawn}
+
+
+def show(folder: Path, root: str, port: int, browse: bool) -> None:
+    """Serve a report until it is interrupted."""
+    with serve.bind(str(folder), root, port) as server:
+        url = f"http://127.0.0.1:{server.server_address[1]}/"
+        print(f"map at {url}", file=sys.stderr)
+        if browse:
+            webbrowser.open(url)
+        with contextlib.suppress(KeyboardInterrupt):
+            server.serve_forever()
 
 
 def _tool(name: str) -> dict:
@@ -145,7 +170,13 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--force", action="store_true")
         p.add_argument("--all", action="store_true", help="also files that .gitignore leaves out")
         p.add_argument("--regex", action="store_true", help="no syntax trees")
+        p.add_argument("--frontends", help="languages whose own reader is used, comma-separated: " + ",".join(FRONTENDS))
         p.add_argument("--max-nodes", type=int, default=2500)
+        p.add_argument("--port", type=int, default=serve.PORT)
+        p.add_argument("--view", choices=("nebula", "atlas"), default="nebula")
+        p.add_argument("--no-open", action="store_true")
+        p.add_argument("--build-only", action="store_true")
+        p.add_argument("--quiet", action="store_true")
     p = sub.add_parser("q")
     p.add_argument("command")
     p.add_argument("targets", nargs="*")
@@ -167,14 +198,18 @@ def main(argv: list[str] | None = None) -> int:
             answer = ask(CodeGraph.read(spark, str(home)), str(home.parent), a.command, a.targets, **{k: getattr(a, k) for k in ("depth", "limit", "context", "kinds", "kind", "direction", "transitive")})
             print(json.dumps(answer.plain(), default=str) if a.json else answer.text(a.budget))
         else:
-            graph = build(spark, a.root, a.out if a.do == "index" else None, a.force, a.all, not a.regex)
+            graph = build(spark, a.root, a.out if a.do == "index" else None, a.force, a.all, () if a.regex else tuple(a.frontends.split(",")) if a.frontends else True)
             if a.do == "index":
                 seen = commands.overview(graph)
-                print(json.dumps(seen.values, default=str) if a.json else seen.text())
+                if not a.quiet:
+                    print(json.dumps(seen.values, default=str) if a.json else seen.text())
             else:
-                made = report(graph, a.max_nodes)
-                Path(a.out or Path(a.root) / HOME / "data.json").write_text(json.dumps(made, default=str))
-                print(json.dumps({k: made[k] for k in ("score", "grade", "metrics", "notes")}))
+                made = report(graph, a.max_nodes, a.root, a.view)
+                folder = serve.write_report(made, a.out or str(Path(a.root) / HOME / "map"))
+                scores = made["scores"]
+                print(json.dumps(made if a.json and a.build_only else scores, default=str) if a.json else "\n".join([f"{scores['grade']} {scores['overall']}", *(f"{name} {m['score']}" for name, m in scores["metrics"].items()), *scores["notes"]]))
+                if not a.build_only:
+                    show(folder, a.root, a.port, not a.no_open)
     except (ValueError, FileNotFoundError) as e:
         print(e, file=sys.stderr)
         return 1

@@ -54,6 +54,11 @@ def scratch() -> Iterator[list[DataFrame]]:
     discard(*made)
 
 
+def written(df: DataFrame) -> bool:
+    """Whether a table of durable() is still there."""
+    return df.path in _WRITTEN.get(df.sparkSession.sparkContext.applicationId, [])
+
+
 def _delete(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Branching words and operators that count towards complexity, as both regex engines read them.
-BRANCH = r"\b(if|elif|else if|for|while|case|when|catch|except|and|or|match|guard|unless|until)\b|&&|\|\||\?\?"
+from graphloom.sources.languages import BRANCH
+
 #: Kinds of nodes by the short names that commands take.
-KINDS = {"fn": "Function", "func": "Function", "function": "Function", "method": "Function", "class": "Class", "type": "Class", "file": "File", "dir": "Dir", "directory": "Dir", "lib": "Library", "library": "Library"}
-#: First segments of reverse-DNS package names.
-DNS_ROOTS = ("com", "org", "net", "io", "dev", "edu", "gov", "co", "me", "de", "uk")
-KEYWORDS = ("from", "import", "as", "in", "is", "if", "else", "for", "return", "class", "def", "with", "the", "type", "static", "const", "var", "let", "new", "this", "self")
+KINDS = {"fn": "Function", "func": "Function", "function": "Function", "cls": "Class", "class": "Class", "file": "File", "dir": "Dir", "module": "Dir", "lib": "Library", "library": "Library"}
+#: First segments of package names that stand with their second, and heads that are no library.
+DNS_ROOTS = ("org", "com", "io", "net", "javax", "jakarta", "edu", "gov", "uk", "co", "dev", "cloud", "app", "me")
+NO_LIBRARY = ("from", "import", "require", "include", "use", "package", "module", "export", "default", "as")
 
 
 def escape_like(text: str) -> str:
@@ -19,9 +19,21 @@ def escape_like(text: str) -> str:
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
 
+#: A to Z in lower case; other letters keep their case when what users type is compared.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def folded(column: Column) -> Column:
+    return F.translate(column, _UPPER, _LOWER)
+
+
+def folded_text(text: str) -> str:
+    return text.translate(str.maketrans(_UPPER, _LOWER))
+
+
 def like_ci(column: Column, text: str) -> Column:
-    """Whether a column holds the text anywhere, whatever the case."""
-    return F.lower(column).contains(text.lower())
+    """Whether a column holds the text anywhere, whatever the case of A to Z."""
+    return folded(column).contains(folded_text(text))
 
 
 def kinds_of(text: str | None) -> list[str] | None:
@@ -53,12 +65,16 @@ def normalised(path: Column) -> Column:
 
 def library_name(raw: Column) -> Column:
     """The library that an unresolved import names, or null: its head segment if that is a fit name."""
-    text = F.trim(raw)
-    head = F.regexp_extract(text, r"^(@?[^./:\\]+)", 1)
-    segments = F.split(text, r"[./:\\]+")
-    two = F.concat_ws(".", F.get(segments, F.lit(0)), F.get(segments, F.lit(1)))
-    name = F.when(head.isin(*DNS_ROOTS) & (F.size(segments) > 1), two).otherwise(head)
-    fit = name.rlike(r"^@?[A-Za-z_][A-Za-z0-9_.-]*$") & (F.length(name) <= 40) & ~F.lower(name).isin(*KEYWORDS)
+    bare = lambda x: F.regexp_replace(x, r"""^[<>"'\s]+|[<>"'\s]+$""", "")
+    text = bare(raw)
+    first = F.get(F.split(text, r"[/\\]"), F.lit(0))
+    by_path = F.when(first.isin(".", ".."), text).otherwise(first)
+    segments = F.filter(F.split(text, r"\."), lambda p: p != "")
+    head = F.get(segments, F.lit(0))
+    by_dots = F.when(head.isin(*DNS_ROOTS) & (F.size(segments) > 1), F.concat_ws(".", head, F.get(segments, F.lit(1)))).otherwise(head)
+    name = bare(F.when(text.rlike(r"[/\\]"), by_path).when(F.contains(text, F.lit(".")), by_dots).otherwise(F.get(F.split(text, ":"), F.lit(0))))
+    parts = F.split(name, r"\.")
+    fit = F.length(name).between(1, 40) & ~F.get(parts, F.lit(0)).isin(*NO_LIBRARY) & F.forall(parts, lambda p: p.rlike(r"^@?[A-Za-z_][\w.\-]*$"))
     return F.when(fit, name)
 
 

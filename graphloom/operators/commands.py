@@ -12,14 +12,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import conf_tag, kinds_of
+from graphloom.functions.text import basename, conf_tag, kinds_of
 from graphloom.operators import graph, rollup, search
 from graphloom.operators.calls import GUESS_BELOW
 from graphloom.sources.index import CodeGraph
 
-NEIGHBOURS, IMPORTERS, OPEN_SITES, ENTRIES = 500, 200, 50, 8
-LAUNCHER = r"(?i)(^|/)(main|app|index|server|cli|manage|__main__|program|run|start|cmd)\.[^/.]+$"
-TEST_PATH = r"(?i)(^|/)(tests?|specs?|__tests__|testing)(/|$)|(^|/)test_[^/]*$|[._](test|spec)\.[^/.]+$"
+NEIGHBOURS, IMPORTERS, OPEN_SITES, ENTRIES, POOL = 500, 200, 50, 8, 2000
+CODE_WIDTH = 100
+#: Names of files that start something, and paths of tests.
+LAUNCHER = r"(?i)(^|/)(main|index|app|cli|server|run|__main__|setup|entry)\b"
+TEST_PATH = r"(^|/)tests?/|(^|/)spec/|(^|/)test_[^/]*$|[._-]tests?\.[a-z]+$|(?<=[a-z])Tests?\.[A-Za-z]+$"
 
 
 @dataclass
@@ -71,26 +73,43 @@ def _where(r) -> str:
     return f"{r['name']} {r['path'] or ''}" + (f":{r['line']}" if r["line"] is not None else "")
 
 
+def entry_points(code: DataFrame, mains: DataFrame, edges: DataFrame, limit: int = ENTRIES) -> DataFrame:
+    """path, why and score of the files that start something, best first.
+
+    code: id, path and outdeg of code files; mains: path of files with a main function. Only the
+    files that depend on most others, and those with a main function, are looked at; tests are
+    left out; a file that nothing speaks for still takes a free place.
+    """
+    mains = mains.select("path").distinct().withColumn("main", F.lit(True))
+    used = edges.filter("kind = 'imports'").select(F.col("dst").alias("id")).distinct().withColumn("used", F.lit(True))
+    pool = code.orderBy(F.desc("outdeg"), "id").limit(POOL).union(code.join(mains, "path", "left_semi").select(*code.columns)).dropDuplicates(["id"])
+    named = pool.join(mains, "path", "left").join(used, "id", "left").filter(~F.col("path").rlike(TEST_PATH))
+    launch = basename(F.col("path")).rlike(LAUNCHER)
+    score = F.when(F.col("main"), 100).otherwise(0) + F.when(launch, 40).otherwise(0) + F.when(F.col("used").isNull(), 10).otherwise(0)
+    why = F.when(F.col("main"), "main()").when(launch, "named").otherwise("unimported")
+    return named.withColumn("score", score).orderBy(F.desc("score"), F.desc("outdeg"), "id").limit(limit).select("path", why.alias("why"), "score")
+
+
 def overview(g: CodeGraph) -> Answer:
     a = Answer()
     files = g.files.filter("kind = 'code'")
-    stats = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("loc"), F.lit(0)).alias("loc")).first()
-    a.values |= stats.asDict() | g.counters.first().asDict()
+    stats = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("loc"), F.lit(0)).alias("loc"), F.coalesce(F.sum("unparsed"), F.lit(0)).alias("unparsed"), F.count_if(F.col("unparsed") > 0).alias("files_with_unparsed")).first()
+    kinds = {r["kind"]: r["count"] for r in g.nodes.groupBy("kind").count().collect()}
+    a.values |= stats.asDict() | g.counters.first().asDict() | {"functions": kinds.get("Function", 0), "classes": kinds.get("Class", 0), "nodes": sum(kinds.values())}
+    a.tables["edge_kinds"] = g.edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy("kind")
     a.tables["languages"] = files.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("frontend") != "regex").alias("compiled")).orderBy(F.desc("files"), "lang")
     a.tables["top_dirs"] = rollup.collapsed(rollup.directories(files.select("path", "loc"))).orderBy(F.desc("loc"), "dir").limit(12)
-    imported = g.edges.filter("kind = 'imports'").select(F.col("dst").alias("id")).distinct().withColumn("used", F.lit(True))
-    mains = g.nodes.filter(F.col("kind") == "Function").filter(F.col("name").isin("main", "Main", "__main__")).select(F.concat(F.lit("f:"), "path").alias("id")).distinct().withColumn("main", F.lit(True))
-    code = g.nodes.filter("kind = 'File'").join(files.select("path"), "path", "left_semi")
-    pool = code.orderBy(F.desc("outdeg"), "id").limit(2000).union(code.join(mains, "id", "left_semi")).dropDuplicates(["id"])
-    named = pool.join(mains, "id", "left").join(imported, "id", "left")
-    launch, test = F.col("path").rlike(LAUNCHER), F.col("path").rlike(TEST_PATH)
-    score = F.when(F.col("main"), 100).otherwise(0) + F.when(launch, 40).otherwise(0) + F.when(F.col("used").isNull(), 10).otherwise(0)
-    why = F.when(F.col("main"), "main()").when(launch, "named").otherwise("unimported")
-    a.tables["entry_points"] = named.filter(~test).withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), F.desc("outdeg"), "id").limit(ENTRIES).select("path", why.alias("why"), "score")
+    mains = g.nodes.filter((F.col("kind") == "Function") & F.col("name").isin("main", "Main", "__main__"))
+    code = g.nodes.filter("kind = 'File'").join(files.select("path"), "path", "left_semi").select("id", "path", "outdeg")
+    a.tables["entry_points"] = entry_points(code, mains, g.edges)
     into = g.edges.filter("kind = 'imports'").groupBy("dst").agg(F.count(F.lit(1)).alias("importers"))
     a.tables["hubs"] = into.filter(F.col("dst").startswith("f:")).orderBy(F.desc("importers"), "dst").limit(8)
     a.tables["libraries"] = into.filter(F.col("dst").startswith("lib:")).orderBy(F.desc("importers"), "dst").limit(12)
-    a.lines.append(f"{a.values['files']} code files, {a.values['loc']:,} lines; calls bound {a.values['bound']}, coverage {a.values['coverage']} %")
+    edges = " ".join(f"{r['kind']}:{r['n']}" for r in a.tables["edge_kinds"].collect())
+    a.lines.append(f"{a.values['files']} code files, {a.values['loc']:,} lines, {a.values['functions']} functions, {a.values['classes']} classes; {a.values['nodes']} nodes, {edges}")
+    a.lines.append(f"calls bound {a.values['bound']}, ambiguous {a.values['ambiguous']}, coverage {a.values['coverage']} %")
+    if a.values["unparsed"]:
+        a.lines.append(f"{a.values['unparsed']} lines in {a.values['files_with_unparsed']} files look like declarations and gave no symbol")
     _listed(a, "languages", a.tables["languages"], lambda r: f"{r['lang']} {r['files']}" + (f" ({r['compiled']} by syntax tree)" if r["compiled"] else ""))
     _listed(a, "directories", a.tables["top_dirs"], lambda r: f"{r['dir']} {r['files']} files {r['loc']:,} lines")
     _listed(a, "entry points", a.tables["entry_points"], lambda r: f"{r['path']} {r['why']}")
@@ -124,19 +143,53 @@ def outline(g: CodeGraph, target: str) -> Answer:
     return a
 
 
-def who_calls(g: CodeGraph, target: str) -> Answer:
+def code_lines(source: Callable[[str], bytes] | None) -> Callable[[str, int | None], str]:
+    """The code at a line of a file, trimmed and cut to `CODE_WIDTH`; empty where there is none."""
+    read: dict[str, list[str]] = {}
+
+    def at(path: str, line: int | None) -> str:
+        if path not in read:
+            try:
+                read[path] = source(path).decode("utf-8", "ignore").splitlines() if source else []
+            except OSError:
+                read[path] = []
+        if not line or line > len(read[path]):
+            return ""
+        text = read[path][line - 1].strip()
+        return text if len(text) <= CODE_WIDTH else text[: CODE_WIDTH - 1] + "…"
+
+    return at
+
+
+SITES = "path string, line int, caller string, conf double, code string"
+
+
+def who_calls(g: CodeGraph, target: str, source: Callable[[str], bytes] | None = None) -> Answer:
+    """Callers of a symbol at their call sites, with the code there, and whether the list is complete."""
     node = _one(g, target, "function class")
     hit = g.edges.filter((F.col("kind") == "calls") & (F.col("dst") == node["id"])).select(F.col("src").alias("id"), "conf", "lines")
     open_ = g.unbound.filter(F.col("name") == node["name"])
     total, guesses, unresolved = hit.count(), hit.filter(F.col("conf") < GUESS_BELOW).count(), open_.count()
     a = Answer({"target": node["id"], "ambiguous": node["total"] - 1, "total": total, "guesses": guesses, "unresolved_total": unresolved, "complete": not guesses and not unresolved and total <= NEIGHBOURS})
     a.tables["callers"] = _named(g, hit.orderBy(F.desc("conf"), "id").limit(NEIGHBOURS)).withColumn("tag", conf_tag(F.col("conf"))).orderBy(F.desc("conf"), "path", "id")
-    a.tables["sites"] = a.tables["callers"].select("path", "name", F.explode_outer("lines").alias("site"), F.col("line").alias("_own")).select("path", "name", F.coalesce("site", "_own").alias("line")).orderBy("path", "line")
-    a.tables["unresolved"] = open_.orderBy("path", "line").limit(OPEN_SITES)
-    a.lines.append(f"{node['name']} {node['path']}:{node['line']}: {total} callers" + ("" if a.values["complete"] else "; the list may lack or misplace some"))
-    _listed(a, "callers", a.tables["callers"], lambda r: f"{_where(r)}{r['tag']} at {','.join(map(str, r['lines'] or []))}", total)
+    spark, code = g.nodes.sparkSession, code_lines(source)
+    sites = [(r["path"], line, r["name"], r["conf"], code(r["path"], line)) for r in a.tables["callers"].collect() for line in r["lines"] or [r["line"]]]
+    a.tables["sites"] = spark.createDataFrame(sites, SITES)
+    caller = g.nodes.select(F.col("id").alias("src"), F.col("name").alias("caller"))
+    left = open_.join(caller, "src", "left").select("path", "line", F.coalesce("caller", "path").alias("caller")).orderBy("path", "line", "caller").limit(OPEN_SITES).collect()
+    a.tables["unresolved"] = spark.createDataFrame([(r["path"], r["line"], r["caller"], None, code(r["path"], r["line"])) for r in left], SITES).drop("conf")
+    a.lines.append(f"{node['name']} {node['path']}:{node['line']}: {total} callers" + (f", {NEIGHBOURS} shown" if total > NEIGHBOURS else ""))
+    shown = lambda path, line, name, tag, text: f"  {path}:{line} {name}{tag}" + (f"  | {text}" if text else "")
+    a.lines += [shown(path, line, name, "" if conf >= GUESS_BELOW else " ~" if conf >= 0.8 else " ?", text) for path, line, name, conf, text in sites]
+    if a.values["ambiguous"]:
+        a.lines.append(f"{a.values['ambiguous']} other symbols match {target}; path:name tells them apart")
+    if a.values["complete"]:
+        a.lines.append(f"complete: every call site named {node['name']} is bound, none by its name alone")
+    if guesses:
+        a.lines.append(f"{guesses} callers are matched by name only (~ by import, ? as the only one); the code shown is the evidence")
     if unresolved:
-        _listed(a, "unresolved sites of that name", a.tables["unresolved"], lambda r: f"{r['path']}:{r['line']}", unresolved)
+        a.lines.append(f"{unresolved} call sites named {node['name']} could mean this or another" + (f"; {OPEN_SITES} shown" if unresolved > OPEN_SITES else ""))
+        a.lines += [shown(r["path"], r["line"], r["caller"], "", code(r["path"], r["line"])) for r in left]
     return a
 
 

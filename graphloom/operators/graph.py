@@ -6,13 +6,12 @@ write their state to the shared folder each round, so lost executors cost one ro
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import durable
+from graphloom.durable import discard, durable
 
 VISITED_CAP = 20_000
 
@@ -48,14 +47,6 @@ def top(df: DataFrame, limit: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(limit)
 
 
-@dataclass
-class Listed:
-    """At most so many rows, and how many there are."""
-
-    rows: DataFrame
-    total: int
-
-
 def one_hop(edges: DataFrame, target: str, direction: str, kind: str, limit: int = 500) -> DataFrame:
     """Neighbours of one node by one kind of edge, best confidence first, with the true total."""
     near, far = ("dst", "src") if direction == "in" else ("src", "dst")
@@ -92,34 +83,53 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out"
     return seen.withColumn("capped", F.lit(capped))
 
 
-def strong_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id and component (its least member) of every node on a cycle, by colouring.
+def _spread(rest: DataFrame, turn: int) -> DataFrame:
+    """id and colour: of all nodes from which a node can be reached, the one of least rank, itself included.
 
-    Each round trims nodes without an edge in or out, carries the least label forward until
-    it rests, and takes back along the edges, within a colour, from each colour's root.
+    Ranks are shuffled anew each turn. A step takes the least colour of those before a node and
+    then the colour of that colour, whose reach goes further back, so long paths shorten fast.
+    """
+    nodes = rest.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("of"))
+    colour = durable(nodes.select("id", rank("id").alias("colour")), "scc-colour")
+    while True:
+        came = rest.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("came"))
+        near = durable(colour.join(came, "id", "left").select("id", F.col("colour").alias("was"), F.least("colour", "came").alias("colour")), "scc-near")
+        further = near.select(F.col("id").alias("of"), F.col("colour").alias("further"))
+        step = near.withColumn("of", F.col("colour.of")).join(further, "of").select("id", "was", F.least("colour", "further").alias("colour"))
+        step = durable(step, "scc-colour")
+        discard(colour, near)
+        colour = step.select("id", "colour")
+        colour.path = step.path
+        if not step.filter("was <> colour").limit(1).count():
+            return colour
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """id, component (its least member) and size of every node on a cycle, by colouring.
+
+    Each round trims nodes without an edge in or out, colours every node by what reaches it,
+    cuts the edges between colours, and takes back, within a colour, what reaches its root. The
+    rest goes into the next round with other ranks, until no edge is left.
     """
     rest = durable(edges.select("src", "dst").distinct().filter("src <> dst"), "scc-edges")
     found: list[DataFrame] = []
-    for _ in range(rounds):
+    turn = 0
+    while True:
         while True:
             kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
             kept = durable(kept, "scc-trim")
             before, after = rest.count(), kept.count()
+            discard(rest)
             rest = kept
             if before == after:
                 break
         if not rest.limit(1).count():
             break
-        colour = durable(rest.select(F.col("src").alias("id")).unionAll(rest.select(F.col("dst").alias("id"))).distinct().withColumn("colour", F.col("id")), "scc-colour")
-        while True:
-            came = rest.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("came"))
-            step = durable(colour.join(came, "id", "left").select("id", F.col("colour").alias("was"), F.least("colour", "came").alias("colour")), "scc-colour")
-            colour = step.select("id", "colour")
-            if not step.filter("was <> colour").limit(1).count():
-                break
-        inside = rest.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("d")), "dst").filter("c = d").select("src", "dst", "c")
+        colour = _spread(rest, turn)
+        inside = rest.join(colour.select(F.col("id").alias("src"), F.col("colour.of").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour.of").alias("d")), "dst").filter("c = d").select("src", "dst", "c")
         inside = durable(inside, "scc-inside")
-        member = durable(colour.filter("id = colour"), "scc-members")
+        member = durable(colour.select("id", F.col("colour.of").alias("colour")).filter("id = colour"), "scc-members")
         front = member
         while True:
             back = inside.join(front.select(F.col("id").alias("dst"), F.col("colour").alias("c")), ["dst", "c"]).select(F.col("src").alias("id"), F.col("c").alias("colour")).distinct().join(member, ["id", "colour"], "left_anti")
@@ -128,9 +138,9 @@ def strong_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
                 break
             member = durable(member.unionAll(front), "scc-members")
         found.append(member)
-        rest = durable(rest.join(member.select(F.col("id").alias("src")), "src", "left_anti").join(member.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc-edges")
-    else:
-        raise RuntimeError(f"strong components did not settle in {rounds} rounds")
+        after_ = durable(inside.join(member.select(F.col("id").alias("src")), "src", "left_anti").join(member.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc-edges")
+        discard(rest, inside, colour)
+        rest, turn = after_, turn + 1
     none = edges.sparkSession.createDataFrame([], "id string, colour string")
     every = reduce(DataFrame.unionAll, found) if found else none
     large = every.groupBy("colour").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size")).filter("size > 1")

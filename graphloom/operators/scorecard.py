@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Weights of the five metrics and least mean of each grade.
-WEIGHTS = {"navigability": 0.22, "modularity": 0.22, "architecture": 0.20, "complexity": 0.18, "documentation": 0.18}
+WEIGHTS = {"navigability": 0.22, "context_efficiency": 0.22, "modularity": 0.20, "complexity": 0.18, "self_description": 0.18}
 GRADES = ((92, "A+"), (85, "A"), (78, "B+"), (70, "B"), (62, "C+"), (54, "C"), (45, "D"), (0, "F"))
 
 
@@ -57,7 +57,7 @@ def duplication(files: DataFrame) -> DataFrame:
 
 def cryptic(name: Column) -> Column:
     """Whether a name tells nothing: very short, or a short run of capitals."""
-    return ((F.length(name) <= 2) & ~F.lower(name).isin("id", "ok", "db", "io")) | ((F.length(name) <= 3) & (F.upper(name) == name) & (F.lower(name) != name))
+    return ((F.length(name) <= 2) & ~name.isin("id", "ok", "db", "io")) | ((F.length(name) <= 3) & (F.upper(name) == name) & (F.lower(name) != name))
 
 
 def coupling(edges: DataFrame, files: DataFrame) -> DataFrame:

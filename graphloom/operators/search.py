@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.text import kinds_of
+from graphloom.functions.text import folded, folded_text, kinds_of
 
 
 def resolve(nodes: DataFrame, target: str, kind: str | None = None, limit: int = 25) -> DataFrame:
@@ -17,18 +17,18 @@ def resolve(nodes: DataFrame, target: str, kind: str | None = None, limit: int =
     nodes: id, kind, name, path, line, indeg, outdeg.
     """
     path, _, last = target.rpartition(":")
-    name, where, low = F.col("name"), F.coalesce("path", F.lit("")), target.lower()
+    name, where, low = F.col("name"), F.coalesce("path", F.lit("")), folded_text(target)
     tiers = [F.col("id") == target]
     if path:
         tiers.append((where == path) & (F.col("line") == int(last)) if last.isdigit() else F.lit(False))
         tiers.append((where == path) & (name == last))
-        tiers.append(F.lower(where).endswith("/" + path.lower()) & (name == last))
+        tiers.append(folded(where).endswith("/" + folded_text(path)) & (name == last))
     else:
         tiers += [F.lit(False)] * 3
     tiers.append((where == target) & F.col("kind").isin("File", "Dir"))
     tiers.append(name == target)
-    tiers.append(F.lower(where).endswith("/" + low) & F.col("kind").isin("File", "Dir"))
-    tiers.append(F.lower(name).contains(low) | F.lower(where).contains(low))
+    tiers.append(folded(where).endswith("/" + low) & F.col("kind").isin("File", "Dir"))
+    tiers.append(folded(name).contains(low) | folded(where).contains(low))
     tier = F.lit(None).cast("int")
     for i in reversed(range(len(tiers))):
         tier = F.when(tiers[i], i + 1).otherwise(tier)
@@ -40,6 +40,18 @@ def resolve(nodes: DataFrame, target: str, kind: str | None = None, limit: int =
     return first.orderBy(F.desc(F.col("indeg") + F.col("outdeg")), "id").limit(limit).join(F.broadcast(total))
 
 
+def best_hit(nodes: DataFrame, text: str, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """The one node with most links among those whose name or path holds the text, whatever the case; no row for none.
+
+    nodes: id, kind, name, path and degree; nodes of hidden kinds are passed over. Ties go to the least id.
+    """
+    low = folded_text(text.strip())
+    if not low:
+        return nodes.limit(0)
+    held = F.contains(folded(F.col("name")), F.lit(low)) | F.contains(folded(F.coalesce("path", F.lit(""))), F.lit(low))
+    return nodes.filter(held & ~F.col("kind").isin(*hidden)).orderBy(F.desc("degree"), "id").limit(1)
+
+
 def budget_cut(lines: DataFrame, limit: int, group: str | None = None) -> DataFrame:
     """Lines (ord, line) that fit the budget: a line costs its length over four, rounded up, plus one.
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions import text as T
 from graphloom.operators import calls, commands, graph, layout, rollup, scorecard, search
-from graphloom.operators import imports as import_rules
+from graphloom.plans import code_tree, code_tree_sql
 from graphloom.sources import adapters as A
 
 ISEED = "f:c1"
@@ -180,21 +180,6 @@ def library_names(s, d):
     return A.page_imports(s, d).withColumn("library", T.library_name(F.col("raw"))).groupBy("library").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: A small tree for import resolution: files and what they import.
-TREE = [("app/main.py", "python"), ("app/helpers.py", "python"), ("vendorlib/helpers.rb", "ruby"), ("pkg/__init__.py", "python"), ("pkg/util/io.py", "python"), ("web/ui.js", "javascript"), ("web/api.ts", "typescript"), ("java/org/acme/Store.java", "java"), ("kt/Main.kt", "kotlin"), ("a/thing.py", "python"), ("b/thing.py", "python")]
-TREE_IMPORTS = [("app/main.py", ".helpers"), ("app/main.py", "helpers"), ("app/main.py", "pkg"), ("app/main.py", "pkg.util.io"), ("app/main.py", "util.io"), ("app/main.py", "os.path"), ("app/main.py", "thing"), ("app/main.py", "."), ("pkg/util/io.py", "..util"), ("pkg/util/io.py", "..nowhere"), ("web/ui.js", "./api"), ("web/ui.js", "@scope/pkg"), ("web/ui.js", "#66b8ff"), ("web/ui.js", "from"), ("kt/Main.kt", "org.acme.Store"), ("kt/Main.kt", "com.other.Thing"), ("vendorlib/helpers.rb", "main"), ("app/main.py", "app.main")]
-TREE_RESULT = [("app/main.py", ".helpers", "app/helpers.py", None), ("app/main.py", "helpers", "app/helpers.py", None), ("app/main.py", "pkg", "pkg/__init__.py", None), ("app/main.py", "pkg.util.io", "pkg/util/io.py", None), ("app/main.py", "util.io", "pkg/util/io.py", None), ("app/main.py", "os.path", None, "os"), ("app/main.py", "thing", None, "thing"), ("app/main.py", ".", None, None), ("pkg/util/io.py", "..util", None, None), ("pkg/util/io.py", "..nowhere", None, None), ("web/ui.js", "./api", "web/api.ts", None), ("web/ui.js", "@scope/pkg", None, "@scope"), ("web/ui.js", "#66b8ff", None, None), ("web/ui.js", "from", None, None), ("kt/Main.kt", "org.acme.Store", "java/org/acme/Store.java", None), ("kt/Main.kt", "com.other.Thing", None, "com.other"), ("vendorlib/helpers.rb", "main", None, "main"), ("app/main.py", "app.main", None, "app")]
-
-
-def import_resolution(s, d):
-    return import_rules.resolve(s.createDataFrame(TREE_IMPORTS, "path string, raw string"), s.createDataFrame(TREE, "path string, lang string"))
-
-
-def _values(rows) -> str:
-    cell = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
-
-
 def text_facts(s, d):
     docs = _documents(s, d)
     return docs.select("doc_id", *[c.alias(n) for n, c in T.line_facts(F.col("text")).items() if n not in ("branches", "max_nesting")])
@@ -254,14 +239,6 @@ def prune_topk(s, d):
     return kept.join(n, "id", "left").select("id", "kind", F.coalesce("n", F.lit(0)).alias("n_edges"))
 
 
-def hash_incremental(s, d):
-    docs = _documents(s, d).select(F.col("doc_id").alias("path"), F.sha1("text").alias("hash"))
-    old, new = docs.filter("path % 10 <> 0"), docs.filter("path % 10 <> 1").withColumn("hash", F.when(F.col("path") % 7 == 0, F.sha1(F.concat("hash", F.lit("!")))).otherwise(F.col("hash")))
-    both = new.join(old.withColumnRenamed("hash", "was"), "path", "full_outer")
-    state = F.when(F.col("hash").isNull(), "removed").when(F.col("was").isNull(), "added").when(F.col("hash") != F.col("was"), "changed").otherwise("same")
-    return both.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def event_flow(s, d):
     return A.event_steps(s, d).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
@@ -273,10 +250,9 @@ def nearest_line(s, d):
 
 
 def entry_points(s, d):
-    edges = A.trade_edges(s, d)
-    deg = graph.degrees(_nodes(s, d).select("id"), edges)
-    score = F.when(F.col("id").rlike(r"(?i)c1$"), 40).otherwise(0) + F.when(F.col("indeg") == 0, 10).otherwise(0)
-    return graph.top(deg.withColumn("score", score).filter("score > 0"), 8, F.desc("score"), F.desc("outdeg"), "id")
+    nodes = _nodes(s, d).withColumn("path", F.concat(F.lit("m"), "module", F.lit("/"), F.substring("id", 3, 99), F.when(F.col("id").endswith("c7"), "/server.py").otherwise("/x.py")))
+    code = graph.degrees(nodes.select("id", "path"), A.trade_edges(s, d)).select("id", "path", "outdeg")
+    return commands.entry_points(code, nodes.filter("id like '%c11'").select("path"), A.trade_edges(s, d))
 
 
 def union_pools(s, d):
@@ -306,7 +282,7 @@ def top_per_module(s, d):
 
 def path_predicates(s, d):
     path = F.regexp_replace("url", "^https?://", "")
-    return A.table(s, d, "pages").select("page_id", path.rlike(commands.LAUNCHER).alias("launcher"), path.rlike(commands.TEST_PATH).alias("test"))
+    return A.table(s, d, "pages").select("page_id", T.basename(path).rlike(commands.LAUNCHER).alias("launcher"), path.rlike(commands.TEST_PATH).alias("test"))
 
 
 def unbound_named(s, d):
@@ -347,21 +323,20 @@ def fan_totals(s, d):
     return graph.degrees(_nodes(s, d).select("id"), A.trade_edges(s, d)).agg(F.coalesce(F.sum("indeg"), F.lit(0)).alias("total_in"), F.max("outdeg").alias("most_out"), F.count_if(F.col("indeg") > 12).alias("hubs"))
 
 
-_QUERIES = (path_predicates, unbound_named, set_difference, edge_kind_filter, grid_layout, coverage_by_path, undirected_neighbors, fan_totals, degrees, map_sizes, hubs_files, hubs_top, dir_rollup, dir_collapse, one_hop_in, one_hop_out, bfs_depth3_out, bfs_depth3_in, bfs_depth2_both, impact_by_file, deps_transitive, neighbors, subgraph_multi_seed, scc, cycles, call_resolution, call_unbound, call_counters, who_calls_verdict, conf_tags, resolve_target, resolve_exact_name, like_escape_ci, library_names, import_resolution, text_facts, branch_count, dup_signature, duplication_factor, p95_index, scorecard_factors, naming_clarity, module_pair_weights, budget_cut, prune_topk, hash_incremental, event_flow, nearest_line, entry_points, union_pools, not_imported, kind_counts, stable_ids, top_per_module)
+_QUERIES = (path_predicates, unbound_named, set_difference, edge_kind_filter, grid_layout, coverage_by_path, undirected_neighbors, fan_totals, degrees, map_sizes, hubs_files, hubs_top, dir_rollup, dir_collapse, one_hop_in, one_hop_out, bfs_depth3_out, bfs_depth3_in, bfs_depth2_both, impact_by_file, deps_transitive, neighbors, subgraph_multi_seed, scc, cycles, call_resolution, call_unbound, call_counters, who_calls_verdict, conf_tags, resolve_target, resolve_exact_name, like_escape_ci, library_names, text_facts, branch_count, dup_signature, duplication_factor, p95_index, scorecard_factors, naming_clarity, module_pair_weights, budget_cut, prune_topk, event_flow, nearest_line, entry_points, union_pools, not_imported, kind_counts, stable_ids, top_per_module)
 
-_BRANCH = T.BRANCH
+#: What the SQL compares with, written out here and not taken from the code it checks. RE2 knows no
+#: look-behind, so a question mark takes the character before it along, and those that count not are left out.
+_BRANCH = r"\b(if|else\s+if|elif|for|foreach|while|case|when|catch|except|rescue|and|or)\b|&&|\|\||\?\?|[=!<>]\?\?|[=!<>]\?|\?"
+_LAUNCH = r"(?i)(^|/)(main|index|app|cli|server|run|__main__|setup|entry)\b"
+_TEST = r"(^|/)tests?/|(^|/)spec/|(^|/)test_[^/]*$|[._-]tests?\.[a-z]+$|[a-z]Tests?\.[A-Za-z]+$"
 _LINES = "ln AS (SELECT doc_id, text, source, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END ls FROM documents)"
-_DOCF = _LINES + f", df AS (SELECT doc_id, source, len(ls)::bigint loc, len(list_filter(ls, lambda x: regexp_matches(x, '[^ \\t\\r]')))::bigint code_lines, len(regexp_extract_all(coalesce(text, ''), '{_BRANCH}'))::bigint branches, len(list_distinct(regexp_extract_all(text, '(?:^|\\n)(\\S+)', 1)))::bigint n_symbols FROM ln)"
+_DOCF = _LINES + f", df AS (SELECT doc_id, source, len(ls)::bigint loc, len(list_filter(ls, lambda x: regexp_matches(x, '[^ \\t\\r]')))::bigint code_lines, len(list_filter(regexp_extract_all(coalesce(text, ''), '{_BRANCH}'), lambda x: NOT regexp_matches(x, '^[=!<>][?]$')))::bigint branches, len(list_distinct(regexp_extract_all(text, '(?:^|\\n)(\\S+)', 1)))::bigint n_symbols FROM ln)"
 _HUBS = "hubs AS (SELECT id, sum(i)::bigint importers, sum(o)::bigint imports_out FROM (SELECT src id, 0 i, 1 o FROM trade UNION ALL SELECT dst, 1, 0 FROM trade) GROUP BY id)"
 
 
 def _sql() -> dict[str, str]:
     hop_min = "SELECT id, min(hop) hop"
-    lib_head = "regexp_extract(trim(raw), '^(@?[^./:\\\\]+)', 1)"
-    lib_parts = "regexp_split_to_array(trim(raw), '[./:\\\\]+')"
-    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
-    lib_name = f"CASE WHEN {lib_head} IN ({quoted(T.DNS_ROOTS)}) AND len({lib_parts}) > 1 THEN {lib_parts}[1] || '.' || {lib_parts}[2] ELSE {lib_head} END"
-    library = f"CASE WHEN regexp_matches(n, '^@?[A-Za-z_][A-Za-z0-9_.-]*$') AND length(n) <= 40 AND lower(n) NOT IN ({quoted(T.KEYWORDS)}) THEN n END"
     clamp = lambda x: f"greatest(0.0::double, least(100.0::double, {x}))"
     scc = "clo(a, b) AS (SELECT src, dst FROM nations UNION SELECT clo.a, n.dst FROM clo JOIN nations n ON n.src = clo.b), mut AS (SELECT x.a id, x.b other FROM clo x JOIN clo y ON x.a = y.b AND x.b = y.a), comp AS (SELECT id, min(other) component, count(DISTINCT other)::bigint size FROM mut GROUP BY id HAVING count(DISTINCT other) > 1)"
     named = GEO + ", nm AS (SELECT 'f:' || path id, path, split_part(path, '/', 3) AS name, loc indeg FROM geo)"
@@ -369,7 +344,7 @@ def _sql() -> dict[str, str]:
     found = lambda t: f"WITH {named}, ti AS (SELECT *, {tiers(t)} tier FROM nm), f AS (SELECT * FROM ti WHERE tier = (SELECT min(tier) FROM ti)) SELECT id, tier, (SELECT count(*) FROM f) total FROM f ORDER BY indeg DESC, id LIMIT 25"
     prune_kind = "CASE WHEN id LIKE 'f:s%' THEN 'File' WHEN right(id, 1) IN ('1', '2', '3') THEN 'Class' ELSE 'Function' END"
     return {
-        "path_predicates": f"SELECT page_id, regexp_matches(p, '{commands.LAUNCHER}') launcher, regexp_matches(p, '{commands.TEST_PATH}') test FROM (SELECT page_id, regexp_replace(url, '^https?://', '') p FROM pages)",
+        "path_predicates": f"SELECT page_id, regexp_matches(regexp_extract(p, '[^/]*$'), '{_LAUNCH}') launcher, regexp_matches(p, '{_TEST}') test FROM (SELECT page_id, regexp_replace(url, '^https?://', '') p FROM pages)",
         "unbound_named": f"WITH {CALLS} SELECT coalesce(sym.name, res.path) caller, count(*) n FROM res LEFT JOIN sym ON sym.id = res.src WHERE verdict = 'ambiguous' GROUP BY 1",
         "set_difference": "SELECT c_custkey id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 450000",
         "edge_kind_filter": "SELECT 'calls' kind, src, count(*) n FROM (SELECT event_type src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) dst FROM events) WHERE dst IS NOT NULL GROUP BY src",
@@ -402,22 +377,20 @@ def _sql() -> dict[str, str]:
         "resolve_target": found("Customer-1"),
         "resolve_exact_name": found("supplier-1"),
         "like_escape_ci": r"SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%re\_%' ESCAPE '\' OR lower(p_type) LIKE '%an%'",
-        "library_names": f"WITH l AS (SELECT regexp_replace(unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)), '^/', '') raw FROM pages), m AS (SELECT {lib_name} n FROM l) SELECT {library} AS library, count(*) n FROM m GROUP BY 1",
-        "import_resolution": f"SELECT * FROM (VALUES {_values(TREE_RESULT)}) t(path, raw, resolved, library)",
+        "library_names": f"WITH l AS (SELECT regexp_replace(unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)), '^/', '') raw FROM pages), {code_tree_sql.library('l')} SELECT library, count(*) n FROM lib GROUP BY 1",
         "text_facts": f"WITH {_DOCF} SELECT ln.doc_id, loc, loc - code_lines blank_lines, code_lines, sha1(coalesce(text, '')) hash, ceil(coalesce(length(text), 0) / 4)::bigint est_tokens FROM df JOIN ln USING (doc_id)",
         "branch_count": f"WITH {_DOCF} SELECT ln.doc_id, branches, coalesce(list_max(list_transform(ls, lambda x: length(replace(regexp_extract(x, '^([ \\t]*)', 1), chr(9), '    ')) // 4)), 0)::bigint max_nesting FROM df JOIN ln USING (doc_id)",
         "dup_signature": f"WITH {_DOCF} SELECT code_lines, branches, n_symbols, count(*) c FROM df GROUP BY 1, 2, 3 HAVING count(*) > 1",
         "duplication_factor": f"WITH {_DOCF} SELECT sum(c - 1)::double / sum(c)::double duplication FROM (SELECT count(*) c FROM df GROUP BY code_lines, branches, n_symbols)",
         "p95_index": "SELECT o_totalprice p95 FROM (SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice) r, count(*) OVER () n FROM orders) WHERE r = CASE WHEN n > 5 THEN floor(n * 0.95) ELSE n END",
         "scorecard_factors": f"WITH {TRADE}, {FILES}, {_DOCF}, a AS (SELECT avg(loc) loc, avg(CASE WHEN n_symbols > 0 THEN n_symbols END) symbols, count(*) FILTER (loc > 600) \"large\" FROM df), o AS (SELECT (SELECT count(*) FROM trade)::double / (SELECT count(*) FROM files) fan_out, (SELECT count(*) FROM (SELECT dst FROM trade GROUP BY dst HAVING count(*) > 12)) risky) SELECT {clamp('(700.0::double - loc) / 500 * 100')} file_size, {clamp('(600.0::double - loc) / 450 * 100')} load_size, CASE WHEN symbols BETWEEN 1 AND 12 THEN 100.0::double ELSE greatest(0.0::double, CASE WHEN symbols < 1 THEN symbols * 100 ELSE (45.0::double - symbols) / 33 * 100 END) END cohesion, {clamp('(20.0::double - fan_out) / 16 * 100')} coupling, {clamp('(symbols - 0.05::double) / (30 - 0.05::double) * 100')} documented, \"large\", risky FROM a, o",
-        "naming_clarity": "WITH n AS (SELECT unnest(list_distinct(string_split(text, ' '))) AS name FROM documents) SELECT count(*) FILTER ((length(name) <= 2 AND lower(name) NOT IN ('id', 'ok', 'db', 'io')) OR (length(name) <= 3 AND upper(name) = name AND lower(name) <> name)) cryptic, count(*) AS names FROM n WHERE name <> ''",
+        "naming_clarity": "WITH n AS (SELECT unnest(list_distinct(string_split(text, ' '))) AS name FROM documents) SELECT count(*) FILTER ((length(name) <= 2 AND name NOT IN ('id', 'ok', 'db', 'io')) OR (length(name) <= 3 AND upper(name) = name AND lower(name) <> name)) cryptic, count(*) AS names FROM n WHERE name <> ''",
         "module_pair_weights": f"WITH {TRADE}, {FILES} SELECT least(m.module, k.module) a, greatest(m.module, k.module) b, count(*) n, count(*) FILTER (m.module = k.module) inside FROM trade JOIN files m ON m.id = src JOIN files k ON k.id = dst GROUP BY 1, 2",
         "budget_cut": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 ord FROM documents), u AS (SELECT doc_id, ord, sum(ceil(length(line) / 4)::bigint + 1) OVER (PARTITION BY doc_id ORDER BY ord)::bigint used FROM l) SELECT doc_id, ord, used FROM u WHERE used <= 988",
         "prune_topk": f"WITH {TRADE}, {FILES}, g AS (SELECT f.id, (SELECT count(*) FROM trade WHERE src = f.id OR dst = f.id) degree, {prune_kind} kind FROM files f), q AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, id) r, greatest(0, 120 - (SELECT count(*) FROM g WHERE kind = 'File')) room, (SELECT count(*) FROM g WHERE kind = 'Class') nc FROM g), k AS (SELECT id, kind FROM q WHERE kind = 'File' OR (kind = 'Class' AND r <= floor(room * 0.3)) OR (kind = 'Function' AND r <= room - least(floor(room * 0.3), nc))) SELECT id, kind, (SELECT count(*) FROM trade WHERE src = k.id AND dst IN (SELECT id FROM k)) n_edges FROM k",
-        "hash_incremental": "WITH d AS (SELECT doc_id path, sha1(text) hash FROM documents), o AS (SELECT * FROM d WHERE path % 10 <> 0), n AS (SELECT path, CASE WHEN path % 7 = 0 THEN sha1(hash || '!') ELSE hash END hash FROM d WHERE path % 10 <> 1) SELECT CASE WHEN n.hash IS NULL THEN 'removed' WHEN o.hash IS NULL THEN 'added' WHEN n.hash <> o.hash THEN 'changed' ELSE 'same' END AS state, count(*) n FROM n FULL JOIN o USING (path) GROUP BY 1",
         "event_flow": "SELECT src, dst, count(*) n FROM (SELECT event_type src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) dst FROM events) WHERE dst IS NOT NULL GROUP BY 1, 2",
         "nearest_line": "WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber + 1 tl FROM lineitem) SELECT a.l_orderkey::varchar tp, tl, arg_min(l_partkey, (abs(l_linenumber - tl), l_linenumber, l_partkey)) d_at FROM a JOIN lineitem l ON l.l_orderkey = a.l_orderkey GROUP BY 1, 2",
-        "entry_points": f"WITH {TRADE}, {FILES}, g AS (SELECT id, (SELECT count(*) FROM trade WHERE dst = id) indeg, (SELECT count(*) FROM trade WHERE src = id) outdeg FROM files), sc AS (SELECT *, CASE WHEN regexp_matches(id, '(?i)c1$') THEN 40 ELSE 0 END + CASE WHEN indeg = 0 THEN 10 ELSE 0 END score FROM g) SELECT * FROM sc WHERE score > 0 ORDER BY score DESC, outdeg DESC, id LIMIT 8",
+        "entry_points": f"WITH {TRADE}, {FILES}, g AS (SELECT id, 'm' || module || '/' || substr(id, 3) || CASE WHEN ends_with(id, 'c7') THEN '/server.py' ELSE '/x.py' END path, (SELECT count(*) FROM trade WHERE src = id) outdeg, ends_with(id, 'c11') m, ends_with(id, 'c7') l, id NOT IN (SELECT dst FROM trade) u FROM files), p AS (SELECT * FROM (SELECT * FROM g ORDER BY outdeg DESC, id LIMIT 2000) UNION SELECT * FROM g WHERE m) SELECT path, CASE WHEN m THEN 'main()' WHEN l THEN 'named' ELSE 'unimported' END why, 100 * m::int + 40 * l::int + 10 * u::int score FROM p ORDER BY score DESC, outdeg DESC, id LIMIT 8",
         "union_pools": f"WITH {TRADE}, {_HUBS} SELECT id FROM hubs WHERE importers > 40 UNION SELECT id FROM hubs WHERE imports_out > 40",
         "not_imported": f"WITH {TRADE}, {FILES} SELECT module, count(*) n FROM files WHERE id NOT IN (SELECT dst FROM trade) GROUP BY 1",
         "kind_counts": f"WITH {FILES} SELECT substr(id, 3, 1) kind, module, count(*) n FROM files GROUP BY 1, 2",
@@ -427,8 +400,8 @@ def _sql() -> dict[str, str]:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in (*_QUERIES, *code_tree.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql()
+    return _sql() | code_tree_sql.oracle_sql()

@@ -83,7 +83,7 @@ def build(facts: DataFrame) -> CodeGraph:
     contains = edge(dirs.filter("path <> '.'"), home, F.concat(F.lit("d:"), "path"), "contains").unionByName(edge(files, home, fid(F.col("path")), "contains")).unionByName(edge(symbols, fid(F.col("path")), F.col("id"), "contains"))
     imported = edge(found.filter("resolved is not null"), fid(F.col("path")), fid(F.col("resolved")), "imports").unionByName(edge(found.filter("library is not null"), fid(F.col("path")), F.concat(F.lit("lib:"), "library"), "imports"))
 
-    sites = facts.select("path", F.posexplode("refs").alias("site", "r")).select("path", "site", "r.owner", "r.name", "r.is_method", "r.recv", "r.line")
+    sites = facts.select("path", F.posexplode("refs").alias("site", "r")).select("path", "site", "r.owner", "r.name", "r.is_method", "r.recv", "r.line", F.when(F.col("r.tag").isNotNull(), F.struct(F.col("r.tag").alias("tag"), F.col("r.tpath").alias("path"), F.col("r.tline").alias("line"), F.lit(None).cast("array<struct<mod:string,cls:string,name:string>>").alias("cands"))).alias("target"))
     scoped = scope_targets(facts, symbols, resolve)
     owners = symbols.select("path", "owner", F.col("id").alias("sym"))
     refs = sites.join(owners, ["path", "owner"], "left").withColumn("sym", F.coalesce("sym", fid(F.col("path")))).join(scoped, ["path", "site"], "left").drop("site", "owner")
@@ -95,19 +95,26 @@ def build(facts: DataFrame) -> CodeGraph:
     return CodeGraph(files, nodes, edges, found, calls.unbound(resolved), calls.counters(resolved))
 
 
-def index(spark: SparkSession, root: str, respect_gitignore: bool = True, frontends: bool = True, cached: DataFrame | None = None) -> tuple[CodeGraph, DataFrame]:
+def split_changed(files: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cached facts of files whose content is as it was, and the files to parse.
+
+    Files that are gone drop out, as only the present ones are asked for.
+    """
+    now = files.withColumn("_hash", F.sha1("content"))
+    same = cached.join(now.select("path", F.col("_hash").alias("hash")), ["path", "hash"], "left_semi")
+    return same, now.join(same.select("path"), "path", "left_anti").drop("_hash")
+
+
+def index(spark: SparkSession, root: str, respect_gitignore: bool = True, frontends: bool | tuple[str, ...] = True, cached: DataFrame | None = None) -> tuple[CodeGraph, DataFrame]:
     """The graph of a tree and its facts; facts of files whose content is unchanged come from `cached`.
 
-    Hashes are compared before parsing, so an unchanged file costs no parse; files that are
-    gone drop out, as only the present ones are asked for.
+    Hashes are compared before parsing, so an unchanged file costs no parse.
     """
     files = discover(spark, root, respect_gitignore)
     if cached is not None:
-        now = files.withColumn("_hash", F.sha1("content"))
-        same = cached.join(now.select("path", F.col("_hash").alias("hash")), ["path", "hash"], "left_semi")
-        changed = now.join(same.select("path"), "path", "left_anti").drop("_hash")
-        facts = same.unionByName(parse(changed, frontends))
+        same, changed = split_changed(files, cached)
+        facts = same.unionByName(parse(changed, frontends, root))
     else:
-        facts = parse(files, frontends)
+        facts = parse(files, frontends, root)
     facts = durable(facts, "facts")
     return build(facts), facts

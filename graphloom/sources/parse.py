@@ -1,7 +1,7 @@
 """One source file to its facts: lines, symbols, imports and call sites.
 
-Python files are read with the standard library's syntax tree; the other languages, and
-Python that does not parse, with the patterns of languages.py over text whose comments and
+Python files are read with the standard library's syntax tree, Java files with the Java compiler
+where there is one; the other languages, and what does not parse, with the patterns of languages.py over text whose comments and
 strings are blanked. Every function here is pure; parse() runs them in an Arrow stage.
 """
 
@@ -15,18 +15,20 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from graphloom.sources.languages import BRANCHES, BY_NAME, COMMON_CALLS, RESERVED, Language
+from graphloom.sources import java_frontend
+from graphloom.sources.languages import BRANCHES, BY_NAME, DECLARATION_KEYWORD, DECLARATION_SHAPE, DOC_MARKERS, NOT_DECLARED, NOT_NAMES, STATEMENT_STARTERS, STOPWORDS, TYPE_HINTS, Language
 
 MAX_REFS = 256
 MAX_JOINED = 8
 _CALL = re.compile(r"(?P<recv>[A-Za-z_$][\w$]*\s*(?:\.|->|::)\s*|\)\s*(?:\.|->|::)\s*)?(?P<name>[A-Za-z_$][\w$]*[!?]?)\s*\(")
-_DECLARATION = re.compile(r"^\s*(?:(?:public|private|protected|static|final|async|export|pub|override|virtual|inline|abstract)\s+)*(?:def|fn|func|fun|function|class|struct|interface|enum|trait)\s+\w")
+_SHAPE, _KEYWORD = re.compile(DECLARATION_SHAPE), re.compile(DECLARATION_KEYWORD)
 
 FACTS = """path string, lang string, kind string, loc int, code_lines int, comment_lines int, blank_lines int,
 complexity int, max_nesting int, has_types boolean, hash string, unparsed int, frontend string, imports array<string>,
 symbols array<struct<name:string,kind:string,line:int,length:int,complexity:int,documented:boolean,parent:string,body:string>>,
-refs array<struct<owner:int,name:string,is_method:boolean,recv:string,line:int,cands:array<struct<mod:string,cls:string,name:string>>>>""".replace("\n", " ")
+refs array<struct<owner:int,name:string,is_method:boolean,recv:string,line:int,cands:array<struct<mod:string,cls:string,name:string>>,tag:string,tpath:string,tline:int>>""".replace("\n", " ")
 
 
 def blank_noise(text: str, lang: Language, strings: bool = True) -> str:
@@ -81,62 +83,68 @@ def _compiled(lang: Language) -> dict[str, list[re.Pattern]]:
 
 
 def _documented(raw: list[str], at: int, lang: Language) -> bool:
+    """Whether documentation stands within two lines below a declaration or in the line above it."""
     before = raw[at - 1].strip() if at else ""
-    if before.startswith(lang.line_comments) and before.strip("".join(lang.line_comments) + " "):
-        return True
-    if not lang.doc:
-        return False
-    near = raw[at + 1 : at + 3] if lang.name == "python" else []
-    if any(line.strip().startswith((lang.doc, "'''")) for line in near):
-        return True
-    return before.startswith(lang.doc) or (lang.doc == "/**" and before.endswith("*/"))
-
-
-def _span(clean: list[str], at: int, braces: bool) -> int:
-    """How many lines a declaration covers: to its closing brace, or while deeper lines follow."""
-    if braces:
-        depth, opened = 0, False
-        for j in range(at, len(clean)):
-            for c in clean[j]:
-                if c == "{":
-                    depth, opened = depth + 1, True
-                elif c == "}":
-                    depth -= 1
-            if opened and depth <= 0:
-                return j - at + 1
-            if not opened and (clean[j].rstrip().endswith(";") or j - at >= MAX_JOINED):
-                return j - at + 1
-    base, last = indent(clean[at]), at
-    for j in range(at + 1, len(clean)):
-        if clean[j].strip():
-            if indent(clean[j]) <= base:
-                if re.match(r"\s*(?:end\b|\}|fi\b|done\b|\))", clean[j]):
-                    last = j
+    marker = DOC_MARKERS.get(lang.name)
+    beside = [*raw[at + 1 : at + 3], before] if marker else []
+    return any(re.search(marker, line.strip()) for line in beside) or before.startswith(lang.line_comments)
+
+
+def _span(raw: list[str], at: int) -> int:
+    """How many lines a declaration covers: while lines are blank or deeper than its own."""
+    base, last = indent(raw[at]), at
+    for j in range(at + 1, len(raw)):
+        if raw[j].strip():
+            if indent(raw[j]) <= base:
                 break
             last = j
     return last - at + 1
 
 
+def _declares(line: str) -> bool:
+    """Whether a logical line may declare something: it does not begin as a statement."""
+    lead = line.strip().split("(")[0].split()
+    # a case class declares, whatever a case does elsewhere
+    return not lead or lead[0] not in STATEMENT_STARTERS or lead[:2] in (["case", "class"], ["case", "object"])
+
+
 def regex_symbols(raw: list[str], clean: list[str], lang: Language) -> list[dict]:
-    """Types first, then functions; at most one symbol a line, never a reserved word."""
+    """Types first, then functions; at most one symbol a line.
+
+    The complexity of a symbol counts the branches of all lines up to the next symbol.
+    """
     patterns, out = _compiled(lang), []
-    braces = lang.name not in ("python", "ruby", "lua", "shell", "elixir", "scala") or lang.name == "shell"
     for at, line in enumerate(joined_lines(clean)):
-        if not clean[at].strip() or re.match(r"\s*(?:return|throw|else|if|for|while|switch|case(?!\s+(?:class|object)\b)|new|await|yield)\b", line):
+        if not clean[at].strip() or not _declares(line):
             continue
-        for kind in ("types", "functions"):
-            m = next((m for p in patterns[kind] if (m := p.match(line))), None)
-            if m and (name := _name(m)) and name not in RESERVED:
-                length = _span(clean, at, braces and lang.name != "r")
-                body = "\n".join(clean[at : at + length])
-                out.append({"name": name, "kind": "Class" if kind == "types" else "Function", "line": at + 1, "length": length, "complexity": 1 + len(BRANCHES.findall("\n".join(clean[at + 1 : at + length]))), "documented": _documented(raw, at, lang), "parent": None, "body": body})
-                break
+        name, kind = next((n for p in patterns["types"] if (m := p.match(line)) and (n := _name(m))), None), "Class"
+        if name is None:
+            named = (n for p in patterns["functions"] if (m := p.match(line) or p.search(line)) and (n := _name(m)))
+            name, kind = next((n for n in named if n not in NOT_NAMES), None), "Function"
+        if name is not None:
+            length = _span(raw, at)
+            out.append({"name": name, "kind": kind, "line": at + 1, "length": length, "complexity": 1, "documented": _documented(raw, at, lang), "parent": None, "body": "\n".join(clean[at : at + length])})
     for i, s in enumerate(out):
+        end = out[i + 1]["line"] - 1 if i + 1 < len(out) else len(raw)
+        s["complexity"] += len(BRANCHES.findall("\n".join(raw[s["line"] - 1 : max(end, s["line"])])))
         around = [t for t in out[:i] if t["kind"] == "Class" and t["line"] < s["line"] < t["line"] + t["length"]]
         s["parent"] = around[-1]["name"] if around else None
     return out
 
 
+def unparsed(clean: list[str], starts: set[int]) -> int:
+    """Lines shaped like a declaration at which no symbol was found."""
+    missed = 0
+    for i, line in enumerate(clean):
+        text = line.strip()
+        lead = text.split("(")[0].split()
+        if i + 1 in starts or not text or text.startswith(("}", ")", "]", "*", "@", ".", "//")) or (lead and lead[0] in NOT_DECLARED):
+            continue
+        shaped = _SHAPE.match(line)
+        missed += shaped[1] not in NOT_DECLARED if shaped else bool(_KEYWORD.match(line))
+    return missed
+
+
 def regex_imports(kept: list[str], lang: Language) -> list[str]:
     found: dict[str, None] = {}
     for line in kept:
@@ -148,7 +156,7 @@ def regex_imports(kept: list[str], lang: Language) -> list[str]:
 
 
 def _ref(owner: int, name: str, recv: str | None, line: int, cands: list | None = None) -> dict:
-    return {"owner": owner, "name": name, "is_method": recv is not None, "recv": recv, "line": line, "cands": cands or []}
+    return {"owner": owner, "name": name, "is_method": recv is not None, "recv": recv, "line": line, "cands": cands or [], "tag": None, "tpath": None, "tline": None}
 
 
 def regex_refs(clean: list[str], symbols: list[dict]) -> list[dict]:
@@ -161,7 +169,7 @@ def regex_refs(clean: list[str], symbols: list[dict]) -> list[dict]:
         for at in range(s["line"], s["line"] + s["length"] - 1):
             for m in _CALL.finditer(clean[at]):
                 name, recv = m["name"], m["recv"]
-                if len(name) < 2 or name == s["name"] or name in RESERVED or name in COMMON_CALLS or n >= MAX_REFS:
+                if len(name) < 2 or name == s["name"] or name in STOPWORDS or n >= MAX_REFS:
                     continue
                 if recv is not None:
                     recv = re.sub(r"[^\w$]", "", recv)
@@ -296,7 +304,7 @@ class _Scope(ast.NodeVisitor):
     def _call(self, func: ast.AST, name: str, line: int) -> None:
         cands = self._candidates(func, name)
         own = self.symbols[self.owner]["name"] if self.owner >= 0 else None
-        if not cands and (name in COMMON_CALLS or name in RESERVED or name == own or len(name) < 2):
+        if not cands and (name in STOPWORDS or name == own or len(name) < 2):
             return
         if sum(r["owner"] == self.owner for r in self.refs[-MAX_REFS:]) >= MAX_REFS:
             return
@@ -312,9 +320,42 @@ class _Scope(ast.NodeVisitor):
         self.generic_visit(node)
 
 
-def facts(path: str, lang: str, kind: str, content: bytes, frontends: bool = True) -> dict:
-    """All facts of one file; anything a syntax tree cannot read falls back to patterns."""
-    text = content.decode("utf-8", "replace")
+FRONTENDS = ("python", "java")
+
+
+def _chosen(frontends: bool | tuple[str, ...]) -> tuple[str, ...]:
+    return FRONTENDS if frontends is True else tuple(frontends or ())
+
+
+def compiled_java(read: dict, clean: list[str]) -> dict:
+    """Symbols, calls and imports as the compiler has read them, in the order of their lines."""
+    order = sorted(range(len(read["symbols"])), key=lambda i: read["symbols"][i]["line"])
+    place = {old: new for new, old in enumerate(order)}
+    symbols = []
+    for i in order:
+        s = read["symbols"][i]
+        at = s["line"] - 1
+        body = clean[at : at + s["length"]]
+        symbols.append(s | {"complexity": 1 + len(BRANCHES.findall("\n".join(body))), "body": "\n".join(body)})
+    refs, counted = [], {}
+    for c in read["calls"]:
+        owner = place.get(c["owner"], -1)
+        own = symbols[owner]["name"] if owner >= 0 else None
+        # what the compiler has bound counts whatever its name
+        if c["tag"] is None and (len(c["name"]) < 2 or c["name"] == own or c["name"] in STOPWORDS):
+            continue
+        if counted.setdefault(owner, 0) < MAX_REFS:
+            counted[owner] += 1
+            refs.append(c | {"owner": owner})
+    return {"frontend": "javac", "symbols": symbols, "refs": refs, "imports": list(dict.fromkeys(read["imports"])), "unparsed": 0}
+
+
+def facts(path: str, lang: str, kind: str, content: bytes, frontends: bool | tuple[str, ...] = True, java: dict | None = None) -> dict:
+    """All facts of one file; anything a syntax tree cannot read falls back to patterns.
+
+    frontends: the languages whose own reader is used; java: what the Java compiler has read.
+    """
+    text = content.decode("utf-8", "ignore")
     raw = text.splitlines()
     out = {"path": path, "lang": lang, "kind": kind, "loc": len(raw), "code_lines": 0, "comment_lines": 0, "blank_lines": sum(not x.strip() for x in raw), "complexity": 0, "max_nesting": 0, "has_types": False, "hash": hashlib.sha1(content).hexdigest(), "unparsed": 0, "frontend": "regex", "imports": [], "symbols": [], "refs": []}
     language = BY_NAME.get(lang)
@@ -329,9 +370,11 @@ def facts(path: str, lang: str, kind: str, content: bytes, frontends: bool = Tru
         "comment_lines": out["loc"] - out["blank_lines"] - len(code),
         "complexity": len(BRANCHES.findall("\n".join(clean))),
         "max_nesting": max((indent(c) // 4 for c in code), default=0),
-        "has_types": bool(language.hints and any(re.search(language.hints, c) for c in code)),
+        "has_types": lang in TYPE_HINTS and any(re.search(TYPE_HINTS[lang], c) for c in code),
     }
-    if lang == "python" and frontends:
+    if lang == "java" and java is not None:
+        return out | compiled_java(java, clean)
+    if lang == "python" and "python" in _chosen(frontends):
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
@@ -341,19 +384,33 @@ def facts(path: str, lang: str, kind: str, content: bytes, frontends: bool = Tru
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             pass
     symbols = regex_symbols(raw, clean, language)
-    starts = {s["line"] for s in symbols}
-    missed = sum(bool(_DECLARATION.match(c)) and i + 1 not in starts for i, c in enumerate(clean))
-    return out | {"imports": regex_imports(commentless, language), "symbols": symbols, "refs": regex_refs(clean, symbols), "unparsed": missed}
+    return out | {"imports": regex_imports(commentless, language), "symbols": symbols, "refs": regex_refs(clean, symbols), "unparsed": unparsed(clean, {s["line"] for s in symbols})}
 
 
-def parse(files: DataFrame, frontends: bool = True) -> DataFrame:
-    """One row of facts for each file (path, lang, kind, content)."""
+def parse(files: DataFrame, frontends: bool | tuple[str, ...] = True, root: str | None = None) -> DataFrame:
+    """One row of facts for each file (path, lang, kind, content); root: the folder of the tree, for Java's source roots."""
     schema = files.sparkSession.createDataFrame([], FACTS).toArrow().schema
+    columns = ("path", "lang", "kind", "content")
+    files = files.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [facts(*(r[c] for c in ("path", "lang", "kind", "content")), frontends) for r in batch.to_pylist()]
+            rows = [facts(*(r[c] for c in columns), frontends) for r in batch.to_pylist()]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("path", "lang", "kind", "content").mapInArrow(run, FACTS)
+    if "java" not in _chosen(frontends):
+        return files.mapInArrow(run, FACTS)
+
+    def compiled(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        texts = [(r["path"], r["content"].decode("utf-8", "ignore")) for r in rows]
+        roots = sorted({found for p, t in texts if (found := java_frontend.source_root(p, t)) is not None}) if root else []
+        read = java_frontend.read(texts, [f"{root}/{r}".rstrip("/") for r in roots])
+        return pa.Table.from_pylist([facts(*(r[c] for c in columns), frontends, read.get(r["path"])) for r in rows], schema=schema)
+
+    java = files.filter("lang = 'java'")
+    batches = max(1, -(-java.count() // java_frontend.BATCH_FILES))
+    # files of one folder go together, so most of what a batch calls is in it
+    dealt = java.withColumn("batch", F.pmod(F.xxhash64(F.substring_index("path", "/", 4)), F.lit(batches)))
+    return files.filter("lang is null or lang <> 'java'").mapInArrow(run, FACTS).unionByName(dealt.groupBy("batch").applyInArrow(compiled, FACTS))

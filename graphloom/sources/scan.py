@@ -18,11 +18,11 @@ from graphloom.functions.text import basename, dirname
 from graphloom.sources.languages import CONFIG_EXTENSIONS, DOC_EXTENSIONS, EXTENSIONS, SKIPPED_SUFFIXES
 
 MAX_FILE_BYTES = 1_200_000
-#: Directories that never hold a project's own sources.
-IGNORED_DIRS = ("node_modules", "__pycache__", "site-packages", "Pods", "DerivedData", "bower_components")
+#: Directories that never hold a project's own sources (those with a leading dot go anyway).
+IGNORED_DIRS = ("node_modules", "__pycache__", "site-packages", "Pods", "bower_components", "jspm_packages")
 #: Build output if a manifest lies beside it.
 BUILD_DIRS = ("build", "out", "bin", "obj", "target", "dist", "coverage", "vendor")
-MANIFESTS = ("package.json", "pom.xml", "build.gradle", "build.gradle.kts", "Cargo.toml", "go.mod", "composer.json", "Gemfile", "CMakeLists.txt", "Makefile", "setup.py", "pyproject.toml", "mix.exs", "pubspec.yaml", "Package.swift", "build.sbt")
+MANIFESTS = ("pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "Makefile", "makefile", "package.json", "Cargo.toml", "go.mod", "build.sbt", "CMakeLists.txt", "meson.build")
 ENV_DIRS = ("env", "venv", ".venv")
 
 
@@ -117,15 +117,20 @@ def ignored(spark: SparkSession, files: DataFrame) -> DataFrame:
     """path of every file that the .gitignore files of the tree ignore.
 
     For each path and each directory above it the last rule that matches decides, deeper
-    files after shallower ones; a path is ignored if it or any directory above is.
+    files after shallower ones; a path is ignored if it or any directory above is. Rules meet
+    the paths below their directory by an equi-join on that directory.
     """
-    found = files.filter(basename(F.col("path")) == ".gitignore").select("path", "content").collect()
-    rules = [r for f in sorted(found, key=lambda f: f["path"]) for r in ignore_rules(f["path"].rpartition("/")[0], bytes(f["content"]).decode("utf-8", "replace"))]
-    if not rules:
-        return files.select("path").limit(0)
-    table = spark.createDataFrame(rules, "base string, ord int, regex string, negate boolean, dir_only boolean")
-    parts = files.select("path", F.posexplode(F.concat(above(F.col("path")), F.array("path"))).alias("depth", "at"))
-    inside = parts.join(F.broadcast(table), (F.col("base") == "") | F.startswith(F.col("at"), F.concat("base", F.lit("/"))))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("base", "ord", "regex", "negate", "dir_only")
+        for batch in batches:
+            rules = [r for path, content in zip(*(batch.column(c).to_pylist() for c in ("path", "content")), strict=True) for r in ignore_rules(path.rpartition("/")[0], content.decode("utf-8", "replace"))]
+            if rules:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rules, strict=True), (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()), strict=True)], names=list(names))
+
+    table = files.filter(basename(F.col("path")) == ".gitignore").select("path", "content").mapInArrow(parsed, "base string, ord int, regex string, negate boolean, dir_only boolean")
+    parts = files.select("path", F.explode(F.concat(above(F.col("path")), F.array("path"))).alias("at"))
+    inside = parts.select("path", "at", F.explode(F.concat(F.array(F.lit("")), above(F.col("at")))).alias("base")).join(table, "base")
     tail = F.when(F.col("base") == "", F.col("at")).otherwise(F.expr("substring(at, length(base) + 2)"))
     hit = inside.filter(F.rlike(tail, F.col("regex")) & (~F.col("dir_only") | (F.col("at") != F.col("path"))))
     last = hit.groupBy("path", "at").agg(F.max_by("negate", F.struct(F.length("base"), "ord")).alias("negate"))
@@ -144,9 +149,8 @@ def language(path: Column) -> Column:
     return F.when(code.isNotNull(), code).when(low.isin(*DOC_EXTENSIONS), "markdown").when(low.isin(*CONFIG_EXTENSIONS), "config")
 
 
-def discover(spark: SparkSession, root: str, respect_gitignore: bool = True) -> DataFrame:
-    """path, lang, kind (code, doc, config) and content of the files of a project."""
-    tree = read_tree(spark, root)
+def selected(spark: SparkSession, tree: DataFrame, respect_gitignore: bool = True) -> DataFrame:
+    """path, lang, kind (code, doc, config) and content of a project's files, of all files (path, length, content)."""
     listed = tree.filter(~ignored_dir(F.col("path")))
     out = output_dirs(listed.select("path")).withColumnRenamed("dir", "_dir")
     dropped = listed.select("path", F.explode(above(F.col("path"))).alias("_dir")).join(out, "_dir").select("path").distinct()
@@ -156,3 +160,8 @@ def discover(spark: SparkSession, root: str, respect_gitignore: bool = True) ->
     lang = language(F.col("path"))
     kind = F.when(F.col("lang") == "markdown", "doc").when(F.col("lang") == "config", "config").otherwise("code")
     return kept.filter(F.col("length") <= MAX_FILE_BYTES).withColumn("lang", lang).filter("lang is not null").withColumn("kind", kind).select("path", "lang", "kind", "content")
+
+
+def discover(spark: SparkSession, root: str, respect_gitignore: bool = True) -> DataFrame:
+    """path, lang, kind and content of the files of a project below root."""
+    return selected(spark, read_tree(spark, root), respect_gitignore)

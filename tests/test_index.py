@@ -118,6 +118,35 @@ SNIPPETS = {
 }
 
 
+JAVA = {
+    "src/p/A.java": "package p;\n\nimport java.util.List;\nimport org.lib.Thing;\n\n/** Docs. */\npublic class A {\n    private final B b = new B();\n\n    public int go(List<String> x) {\n        b.run();\n        new B(2).run();\n        x.size();\n        Thing.make().run();\n        return help(1);\n    }\n\n    @Deprecated\n    static int help(int n) {\n        return n;\n    }\n}\n",
+    "src/p/B.java": "package p;\n\nclass B {\n    B() {}\n\n    B(int n) {}\n\n    void run() {}\n}\n",
+    "src/q/C.java": "package q;\n\nclass C {\n    void run() {}\n}\n",
+    "src/q/Broken.java": "package q;\n\nclass Broken {\n    void half( {\n}\n",
+}
+
+
+def test_java_is_bound_by_the_compiler(spark, tmp_path):
+    from graphloom.sources import java_frontend
+
+    assert java_frontend.source_root("src/p/A.java", JAVA["src/p/A.java"]) == "src" and java_frontend.source_root("x/A.java", "package p;") is None
+    if not java_frontend.available():
+        pytest.skip("no Java compiler")
+    g, _ = ix.index(spark, write(tmp_path, JAVA))
+    kind = {r.path: r.frontend for r in g.files.collect()}
+    assert kind == {"src/p/A.java": "javac", "src/p/B.java": "javac", "src/q/C.java": "javac", "src/q/Broken.java": "regex"}
+    symbols = {(r.path, r.name, r.line): (r.length, r.documented, r.parent) for r in g.nodes.filter("kind in ('Class', 'Function')").collect()}
+    assert symbols["src/p/A.java", "A", 7] == (16, True, None) and symbols["src/p/A.java", "help", 19] == (3, False, "A")
+    names = {r.id: (r.name, r.line) for r in g.nodes.collect()}
+    edges = {(names[r.src][0], names[r.dst]): (r.conf, r.lines) for r in g.edges.filter("kind = 'calls'").collect()}
+    # two methods are named run; the compiler knows which is meant, and that others lie outside
+    assert edges == {("go", ("run", 8)): (1.0, [11, 12]), ("go", ("B", 6)): (1.0, [12]), ("go", ("help", 19)): (1.0, [15]), ("A", ("B", 4)): (1.0, [8])}
+    row = g.counters.first()
+    assert row.compiled == 5 and row.external == 3 and row.ambiguous == 0
+    plain, _ = ix.index(spark, str(tmp_path), frontends=("python",))
+    assert {r.frontend for r in plain.files.collect()} == {"regex"} and plain.counters.first().compiled == 0
+
+
 def test_every_language_has_a_snippet():
     assert set(SNIPPETS) == {language.name for language in LANGUAGES}
 
@@ -131,6 +160,37 @@ def test_symbols(lang, frontends):
     assert f["code_lines"] + f["comment_lines"] + f["blank_lines"] == f["loc"]
 
 
+def test_fixed_values_decide_as_they_must():
+    from graphloom.sources.languages import BRANCHES, SKIPPED_SUFFIXES
+
+    assert len(BRANCHES.findall("x ? a : b; y ?? z; foreach (x) rescue; else if (a); a =? b; unless match")) == 5
+    assert "-lock.json" in SKIPPED_SUFFIXES and "_pb2.py" not in SKIPPED_SUFFIXES
+    assert "settings.gradle" in scan.MANIFESTS and "jspm_packages" in scan.IGNORED_DIRS and "setup.py" not in scan.MANIFESTS
+    # spans run while lines are deeper; complexity counts to the next symbol; a comment above documents
+    f = facts("x.go", "go", "code", b"// adds\nfunc add(a int) int {\n\tif a > 0 {\n\t\treturn helper(a)\n\t}\n}\n\nif x {\n}\nfunc other() {\n}\n")
+    one, two = f["symbols"]
+    assert (one["line"], one["length"], one["complexity"], one["documented"], two["documented"]) == (2, 4, 3, True, False)
+    assert [(r["name"], r["line"]) for r in f["refs"]] == [("helper", 4)] and f["unparsed"] == 0
+    assert facts("x.java", "java", "code", b"class A {\n  Foo bar(\n}\nint weird(int a) what;\nstatic int lost(int x)\n")["unparsed"] >= 0
+
+
+def test_columns_of_names(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.functions import text as T
+    from graphloom.operators import commands as c
+
+    raws = {"javax.swing.X": "javax.swing", "de.foo.Bar": "de", "type": "type", "export": None, "os.path": "os", "@scope/pkg": "@scope", "#66b8ff": None, "from": None, "": None, "<stdio.h>": "stdio", "'x'": "x", "std::vec": "std", "../up": None, "a" * 41: None, ".": None, "org": "org"}
+    got = spark.createDataFrame([(r,) for r in raws], "raw string").select("raw", T.library_name(F.col("raw")).alias("library")).collect()
+    assert {r.raw: r.library for r in got} == raws
+    paths = {"src/FooTests.java": (True, False), "setup.py": (False, True), "app/x.py": (False, False), "tests/a.py": (True, False), "x/test_a.py": (True, False), "entry.ts": (False, True), "mainly.py": (False, False), "a/latest.py": (False, False)}
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", F.col("p").rlike(c.TEST_PATH).alias("t"), T.basename(F.col("p")).rlike(c.LAUNCHER).alias("l")).collect()
+    assert {r.p: (r.t, r.l) for r in rows} == paths
+    assert T.kinds_of("cls module") == ["Class", "Dir"]
+    folded = spark.createDataFrame([("ÄBC", 1)], "x string, n int").select(T.like_ci(F.col("x"), "äb").alias("a"), T.like_ci(F.col("x"), "bc").alias("b")).first()
+    assert (folded.a, folded.b) == (False, True)
+
+
 def test_noise_keeps_lines_and_columns():
     by = {language.name: language for language in LANGUAGES}
     text = 'x = "a /* b" # c\ny = """\nz()\n"""\n'
@@ -166,8 +226,12 @@ def test_commands(spark, built, tmp_path):
     g = built[0]
     row = c.run(g, "who-calls", target="compute").plain()
     assert row["target"] == "s:app/helpers.py#compute" or row["ambiguous"] == 1
-    done = c.run(g, "who-calls", target="app/helpers.py:compute")
-    assert done.values["complete"] and done.values["total"] == 1 and "run app/main.py:4" in done.text()
+    done = c.run(g, "who-calls", target="app/helpers.py:compute", source=lambda p: TREE[p].encode())
+    assert done.values["complete"] and done.values["total"] == 1 and "app/main.py:5 run  | return compute(2)" in done.text()
+    assert c.code_lines(lambda p: b"x = 1\n" + b"y" * 200)("f", 2) == "y" * 99 + "…" and c.code_lines(None)("f", 1) == ""
+    assert c.code_lines(lambda p: open("/nowhere/at/all", "rb").read())("f", 1) == ""
+    opened = c.run(g, "who-calls", target="a.py:handle", source=lambda p: TREE[p].encode()).plain()["unresolved"]
+    assert opened == [{"path": "c.py", "line": 2, "caller": "go", "code": "x.handle()"}]
     assert not c.run(g, "who-calls", target="a.py:handle").values["complete"]
     assert {r["id"] for r in c.run(g, "calls", target="run").plain()["callees"]} == {"s:app/helpers.py#compute"}
     assert {r["dst"] for r in c.run(g, "outline", target="app/main.py").plain()["imports"]} == {"f:app/helpers.py"}
