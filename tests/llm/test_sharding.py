@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -29,11 +30,33 @@ def test_shards_are_equal_and_gapless(spark):
 
 
 def test_equal_texts_stay_together_where_they_fit(spark):
-    docs = spark.createDataFrame([(i, f"t{i // 4}" * 30) for i in range(2000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"t{i // 4}" * 30) for i in range(2000)] + [(9000 + i, f"long {i} " * 400) for i in range(5)], "doc_id long, text string")
     split = {}
     for r in sharding.shard_documents(docs, 5).collect():
         split.setdefault(r.text_crc32, set()).add(r.shard)
-    assert sum(len(s) > 1 for s in split.values()) <= 4
+    assert all(len(s) == 1 for s in split.values())
+
+
+def test_places_equal_brute_force(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice([None, "", "twice", "a longer text that often comes " * 4, f"own {i} " * rng.randrange(1, 60)])) for i in range(900)] + [(5000, "word " * 40_000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(coalesce(text, '')) h").collect()}
+    size = {i: len((t or "").encode()) + 16 for i, t in data}
+    shards, total = 7, sum(size.values())
+    most, want, at, groups = max(*size.values(), int(0.01 * total / 7)), {}, 0, {}
+    for i in sorted(size, key=lambda i: (hashes[i], i)):
+        groups.setdefault(hashes[i], []).append(i)
+    first = {}
+    for row, (h, i) in enumerate((h, i) for h, own in groups.items() for i in own):
+        own = groups[h]
+        whole = sum(size[j] for j in own)
+        begin = at - sum(size[j] for j in own[: own.index(i)])
+        middle = begin + whole // 2 if len(own) > 1 and whole <= most else at + size[i] // 2
+        shard = min(shards - 1, middle * shards // total)
+        want[i] = (shard, row - first.setdefault(shard, row))
+        at += size[i]
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(docs, shards).collect()} == want
 
 
 @pytest.mark.parametrize("n", [0, 1, 3])
