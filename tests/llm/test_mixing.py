@@ -49,6 +49,60 @@ def test_targets_and_taken(spark):
         assert abs(taken - target) <= 0.02 * target + 100
 
 
+def brute(sized, weights=(3, 1, 2), budget=1.5, most=2):
+    """taken and slots of every document, slot by slot. sized: (doc_id, source, size, h)."""
+    sizes = {}
+    for _, source, size, _ in sized:
+        sizes[source] = sizes.get(source, 0) + size
+    goal = filled(sizes, weights, budget, most)
+    names = [s for s in sorted(sizes, key=lambda s: (s is None, s or "")) if sizes[s] > 0]
+    blocks = {s: max(-(-sizes[s] // mixing.BLOCK), min(sizes[s], mixing.LEAST_BLOCKS)) for s in names}
+    exact = {s: goal[s] / (sizes[s] / blocks[s]) for s in names}
+    ends, upto = {}, 0.0
+    for s in names:
+        upto += exact[s]
+        ends[s] = mixing.UNIT if s == names[-1] else round(upto / sum(exact.values()) * mixing.UNIT)
+    want, slots = {s: round(exact[s]) for s in names}, round(sum(exact.values()))
+    order, got = [], dict.fromkeys(names, 0)
+    for k in range(slots):
+        u = k * mixing.GOLDEN % mixing.UNIT
+        s = next(s for s in names if u < ends[s])
+        if got[s] < want[s]:
+            order.append((k, s, got[s]))
+        got[s] += 1
+    ranks = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    last = max(ranks[s] for s in names) + 1
+    order += [(slots + (r - got[s]) * last + ranks[s], s, r) for s in names for r in range(got[s], want[s])]
+    at = {}
+    for k, s, rank in order:
+        if rank // blocks[s] < most:
+            at.setdefault((s, rank % blocks[s]), []).append(k)
+    out = {}
+    for s in names:
+        begin = 0
+        for i, _, size, _ in sorted((d for d in sized if d[1] == s), key=lambda d: (d[3] % (1 << 64) >> 54, d[3], d[0])):
+            taken, seen = 0, {}
+            for b in range(begin * blocks[s] // sizes[s] - 1, (begin + size) * blocks[s] // sizes[s] + 2):
+                words = min(begin + size, (b + 1) * sizes[s] // blocks[s]) - max(begin, b * sizes[s] // blocks[s])
+                if words > 0:
+                    held = sorted(at.get((s, b), []))
+                    taken += words * len(held)
+                    for turn, k in enumerate(held):
+                        seen[turn] = min(k, seen.get(turn, k))
+            out[i] = (taken, seen.get(0), seen.get(1))
+            begin += size
+    return {i: out.get(i, (0, None, None)) for i, *_ in sized}
+
+
+def test_every_document_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 40)
+    monkeypatch.setattr(mixing, "BLOCK", 600)
+    data = [r for r in table(700) if r[0] is not None]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, n int")
+    sized = [(r.doc_id, r.source, r["size"], r.h) for r in mixing.sizes(docs, "doc_id").collect()]
+    assert {r.doc_id: (r.taken, r.first_slot, r.second_slot) for r in mixing.taken_words(docs).collect()} == brute(sized)
+
+
 def test_reruns_agree_whatever_the_partitions(spark):
     docs = spark.createDataFrame(table(400), "doc_id long, text string, source string, n int")
     a = sorted(map(str, mixing.taken_words(docs).collect()))
