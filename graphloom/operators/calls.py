@@ -2,7 +2,7 @@
 
 refs: sym (the caller), path, name, is_method, recv, line, target (struct tag, path, line,
 cands). symbols: id, path, name, line, parent, kind. imports: path, dep, alias (recv names
-that stand for dep). Missing optional columns are filled with nulls.
+that stand for dep), and ord, by which the last import of an alias wins. Missing optional columns are filled with nulls.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFram
     seen = asked.join(deps, "path").join(local.select(F.col("path").alias("dep"), "name", "n_here", "d_here"), ["dep", "name"]).groupBy("path", "name").agg(F.sum("n_here").alias("n_seen"), F.min("d_here").alias("d_seen"))
     found = refs.join(every, "name", "left").join(local, ["path", "name"], "left").join(seen, ["path", "name"], "left")
     if "alias" in imports.columns:
-        alias = imports.select("path", F.col("alias").alias("recv"), "dep").filter("recv is not null").distinct()
+        last = _with(imports, ord="int").filter("alias is not null").groupBy("path", "alias").agg(F.max(F.struct("ord", "dep")).alias("last"))
+        alias = last.select("path", F.col("alias").alias("recv"), F.col("last.dep").alias("dep"))
         through = refs.select("path", "name", "recv").filter("recv <> ''").distinct().join(alias, ["path", "recv"]).join(local.select(F.col("path").alias("dep"), "name", "n_here", "d_here"), ["dep", "name"]).groupBy("path", "name", "recv").agg(F.sum("n_here").alias("n_mod"), F.min("d_here").alias("d_mod"))
         found = found.join(through, ["path", "name", "recv"], "left")
     else:

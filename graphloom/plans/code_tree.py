@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom import durable as store
 from graphloom.functions import text as T
-from graphloom.operators import commands
+from graphloom.operators import commands, metrics
 from graphloom.operators import imports as import_rules
 from graphloom.sources import adapters as A
 from graphloom.sources import index as ix
@@ -116,6 +116,38 @@ def tree_contains(s, d):
     return graph(s, d).edges.filter("kind = 'contains'").groupBy("src").agg(F.count(F.lit(1)).alias("n"))
 
 
+def tree_patterns(s, d):
+    """Symbols and numbers of calls as the patterns alone read them, without a syntax tree."""
+    read = parse(built(s, d)[2], frontends=False)
+    calls = read.select("path", F.explode("refs").alias("r")).groupBy("path", F.col("r.owner").alias("owner")).agg(F.count(F.lit(1)).alias("calls"))
+    symbols = read.select("path", F.posexplode("symbols").alias("owner", "s")).select("path", "owner", "s.name", "s.kind", "s.line", "s.length", "s.complexity", "s.documented")
+    return symbols.join(calls, ["path", "owner"], "left").drop("owner").fillna(0, ["calls"])
+
+
+def java_sources(s: SparkSession, d: str) -> DataFrame:
+    """The same functions as Java: a class for each brand, a method for each part, calls by full names."""
+    known, calls = functions(s, d), called(s, d)
+    home = lambda path: F.concat(F.regexp_extract(path, "^([^/]*)", 1), F.lit(".Parts"))
+    names = calls.groupBy("k").agg(F.array_sort(F.collect_set("callee")).alias("callees"), F.map_from_entries(F.collect_set(F.struct("callee", home("dst_path")))).alias("homes"))
+    k, none = F.col("k"), F.array().cast("array<string>")
+    body = F.concat(
+        F.array(F.concat(F.lit("  public static int f"), k, F.lit("() {"))),
+        F.coalesce(F.transform("callees", lambda c: F.concat(F.lit("    "), F.element_at("homes", c), F.lit(".f"), c, F.lit("();"))), none),
+        F.array(F.concat(F.lit("    return "), k, F.lit(";")), F.lit("  }")),
+    )
+    brand = F.regexp_extract("path", "^([^/]*)", 1)
+    bodies = known.join(names, "k", "left").groupBy(brand.alias("home")).agg(F.array_sort(F.collect_list(F.struct("k", body.alias("body")))).alias("all"))
+    lines = F.concat(F.array(F.concat(F.lit("package "), "home", F.lit(";")), F.lit(""), F.lit("public class Parts {")), F.flatten(F.transform("all", lambda x: x["body"])), F.array(F.lit("}")))
+    return bodies.select(F.concat("home", F.lit("/Parts.java")).alias("path"), F.lit("java").alias("lang"), F.lit("code").alias("kind"), F.encode(F.concat(F.array_join(lines, "\n"), F.lit("\n")), "UTF-8").alias("content"))
+
+
+def tree_java(s, d):
+    """Calls that the Java compiler binds, with their lines."""
+    found = ix.build(store.durable(parse(java_sources(s, d)), "java-facts"))
+    edges = found.edges.filter("kind = 'calls'")
+    return edges.select("src", "dst", "conf", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
+
+
 def tree_reindex(s, d):
     """What a second look parses again: every seventh file has changed, every tenth is new, every eleventh gone."""
     _, facts, files = built(s, d)
@@ -250,4 +282,10 @@ def cmd_cycles(s, d):
     return a.select("component", F.size("members").alias("size"), F.sha1(F.array_join("members", ",")).alias("members"))
 
 
-QUERIES = (tree_files, tree_symbols, tree_imports, tree_calls, tree_open_calls, tree_degrees, tree_contains, tree_reindex, tree_scan, import_resolution, cmd_entry_points, cmd_overview, cmd_find, cmd_outline, cmd_who_calls, cmd_calls, cmd_neighbors, cmd_deps, cmd_dependents, cmd_impact, cmd_subgraph, cmd_span, cmd_hubs, cmd_cycles)
+def tree_statistics(s, d):
+    """Every number that the scorecard is made of."""
+    found = metrics.statistics(graph(s, d), [])
+    return _frame(s, [(name, float(value)) for name, value in found.items()], "name string, value double")
+
+
+QUERIES = (tree_statistics, tree_files, tree_symbols, tree_imports, tree_calls, tree_open_calls, tree_degrees, tree_contains, tree_patterns, tree_java, tree_reindex, tree_scan, import_resolution, cmd_entry_points, cmd_overview, cmd_find, cmd_outline, cmd_who_calls, cmd_calls, cmd_neighbors, cmd_deps, cmd_dependents, cmd_impact, cmd_subgraph, cmd_span, cmd_hubs, cmd_cycles)

@@ -92,8 +92,50 @@ named AS (SELECT path, CASE file WHEN 'a.py' THEN 'python' WHEN 'l.tmp.py' THEN
 _NUMBER = "ascii(substr(sha1(path), 1, 1)) * 100 + ascii(substr(sha1(path), 2, 1)) * 10 + ascii(substr(sha1(path), 3, 1))"
 
 
+_CYCLES = "e AS (SELECT * FROM ied WHERE dst LIKE 'f:%'), clo(a, b) AS (SELECT src, dst FROM e UNION SELECT clo.a, e.dst FROM clo JOIN e ON e.src = clo.b), mut AS (SELECT x.a id, x.b other FROM clo x JOIN clo y ON x.a = y.b AND x.b = y.a), comp AS (SELECT id, min(other) component FROM mut GROUP BY id HAVING count(DISTINCT other) > 1)"
+
+
+def _statistics() -> str:
+    """A row for each number: its name and value."""
+    file = "fl AS (SELECT path, split_part(path, '/', 1) dir, max(h) + sum(length + 1) loc, max(h) + sum(length - d) code, sum(d) comment, 2 * sum(b) complexity, count(*) n FROM fn GROUP BY path)"
+    names = "na AS (SELECT name FROM fn UNION ALL SELECT regexp_extract(path, '([^/.]*)[.]py$', 1) FROM hd)"
+    cryptic = "(length(name) <= 2 AND name NOT IN ('id', 'ok', 'db', 'io')) OR (length(name) <= 3 AND upper(name) = name AND lower(name) <> name)"
+    values = {
+        "files": "(SELECT count(*) FROM fl)",
+        "loc": "(SELECT avg(loc) FROM fl)",
+        "large": "(SELECT count(*) FROM fl WHERE loc > 600)",
+        "nesting": "1",
+        "code": "(SELECT sum(code) FROM fl)",
+        "comment": "(SELECT sum(comment) FROM fl)",
+        "typed": "0",
+        "file_complexity": "(SELECT avg(complexity) FROM fl)",
+        "cryptic": f"(SELECT avg(({cryptic})::int) FROM na)",
+        "per_dir": "(SELECT avg(c) FROM (SELECT count(*) c FROM fl GROUP BY dir))",
+        "depth": "1",
+        "readme": "0",
+        "entry": "0",
+        "docs": "0",
+        "functions": "(SELECT count(*) FROM fn)",
+        "length": "(SELECT avg(length) FROM fn)",
+        "long": "(SELECT count(*) FROM fn WHERE length > 80)",
+        "complexity": "(SELECT avg(1 + 2 * b) FROM fn)",
+        "tangled": "0",
+        "documented": "(SELECT avg(d) FROM fn)",
+        "cohesion": "(SELECT avg(n) FROM fl)",
+        "twins": "(SELECT sum(c - 1) FROM (SELECT count(*) c FROM fl GROUP BY code, complexity, n))",
+        "links": "(SELECT count(*) FROM imp)",
+        "risky": "(SELECT count(*) FROM (SELECT dep FROM imp GROUP BY dep HAVING count(*) > 12))",
+        "file_nodes": "(SELECT count(*) FROM hd)",
+        "libraries": "(SELECT count(DISTINCT os) FROM hd WHERE os)",
+        "cycles": "(SELECT count(DISTINCT component) FROM comp)",
+        "p95": "(SELECT c FROM (SELECT 1 + 2 * b c, row_number() OVER (ORDER BY b) r, count(*) OVER () n FROM fn) WHERE r = CASE WHEN n > 5 THEN floor(n * 0.95) ELSE n END)",
+    }
+    return f"WITH RECURSIVE {CALLS}, {_CYCLES}, {file}, {names} " + " UNION ALL ".join(f"SELECT '{name}' AS name, {value}::double AS value" for name, value in values.items())
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "tree_statistics": _statistics(),
         "tree_files": f"WITH {TREE} SELECT path, (max(h) + sum(length + 1))::bigint loc, (max(h) + sum(length - d))::bigint code_lines, sum(d)::bigint comment_lines, count(*) blank_lines, (2 * sum(b))::bigint complexity, 1 max_nesting, false has_types, 0 unparsed, 'ast' frontend FROM fn GROUP BY path",
         "tree_symbols": f"WITH {TREE} SELECT id, path, name, line, length, 1 + 2 * b complexity, d = 1 documented FROM fn",
         "tree_imports": f"WITH {TREE} SELECT path, replace(replace(dep, '.py', ''), '/', '.') raw, dep resolved, NULL::varchar AS library FROM imp UNION ALL SELECT path, 'os', NULL, 'os' FROM hd WHERE os",
@@ -101,6 +143,8 @@ def oracle_sql() -> dict[str, str]:
         "tree_open_calls": f"WITH {CALLS} SELECT name, src, path, line FROM res WHERE dst IS NULL",
         "tree_degrees": f"WITH {CALLS} SELECT id, kind, indeg, outdeg FROM deg",
         "tree_contains": f"WITH {TREE} SELECT 'd:.' src, count(DISTINCT split_part(path, '/', 1)) n FROM hd UNION ALL SELECT 'd:' || split_part(path, '/', 1), count(*) FROM hd GROUP BY 1 UNION ALL SELECT 'f:' || path, count(*) FROM fn GROUP BY 1",
+        "tree_patterns": f"WITH {TREE} SELECT path, name, 'Function' kind, line, length, 1 + 2 * b complexity, d = 1 documented, (SELECT count(*) FROM nm WHERE nm.k = fn.k AND nm.name <> fn.name) calls FROM fn",
+        "tree_java": f"WITH {TREE}, m AS (SELECT pt.k, split_part(path, '/', 1) home, (SELECT count(*) FROM pairs WHERE pairs.k = pt.k) n FROM pt), j AS (SELECT *, (4 + coalesce(sum(n + 3) OVER (PARTITION BY home ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::int line, 's:' || home || '/Parts.java#f' || k id FROM m) SELECT a.id src, b.id dst, 1.0::double conf, (a.line + row_number() OVER (PARTITION BY a.k ORDER BY b.k))::varchar AS lines FROM pairs JOIN j a ON a.k = pairs.k JOIN j b ON b.k = callee",
         "tree_reindex": f"WITH {TREE}, z AS (SELECT path, {_NUMBER} x FROM hd) SELECT path, CASE WHEN x % 10 = 0 OR x % 7 = 0 THEN 'parsed' ELSE 'same' END state FROM z WHERE x % 11 <> 0",
         "tree_scan": f"WITH {_SCAN} SELECT path, lang, CASE lang WHEN 'markdown' THEN 'doc' WHEN 'config' THEN 'config' ELSE 'code' END kind FROM named WHERE lang IS NOT NULL",
         "import_resolution": f"WITH {_FORMS}, {library('l')} SELECT path, raw, resolved, CASE WHEN resolved IS NULL AND lv = 0 THEN library END AS library FROM lib",
@@ -117,5 +161,5 @@ def oracle_sql() -> dict[str, str]:
         "cmd_subgraph": f"WITH RECURSIVE {CALLS}, {_reach(f'SELECT unnest([{CALLED}, {CALLING}]), 0', _BOTH, 1)} SELECT path, min(hop) hop, count(*)::int symbols, 1 missed FROM near JOIN fn USING (id) GROUP BY path",
         "cmd_span": f"WITH {CALLS}, t AS (SELECT * FROM fn WHERE id = {CALLING}), ls AS (SELECT CASE WHEN (SELECT brand FROM t) % 5 = 0 THEN ['import os'] ELSE [] END || coalesce((SELECT list('import ' || replace(replace(dep, '.py', ''), '/', '.') ORDER BY 'import ' || replace(replace(dep, '.py', ''), '/', '.')) FROM imp WHERE path = (SELECT path FROM t)), []) || (SELECT string_split(string_agg(raw || chr(10), chr(10) ORDER BY k), chr(10)) FROM fn WHERE path = (SELECT path FROM t)) x), n AS (SELECT unnest(x) text, generate_subscripts(x, 1)::int line FROM ls) SELECT n.line, n.text, false stale FROM n, t WHERE n.line BETWEEN t.line - 1 AND t.line + t.length",
         "cmd_hubs": f"WITH {CALLS}, i AS (SELECT * FROM ied WHERE dst LIKE 'f:%') SELECT * FROM (SELECT id, count(*) n FROM (SELECT src id FROM i UNION ALL SELECT dst FROM i) GROUP BY id ORDER BY n DESC, id LIMIT 20) UNION ALL SELECT * FROM (SELECT id, indeg FROM deg WHERE kind = 'Function' AND indeg > 0 ORDER BY indeg DESC, id LIMIT 20)",
-        "cmd_cycles": f"WITH RECURSIVE {CALLS}, e AS (SELECT * FROM ied WHERE dst LIKE 'f:%'), clo(a, b) AS (SELECT src, dst FROM e UNION SELECT clo.a, e.dst FROM clo JOIN e ON e.src = clo.b), mut AS (SELECT x.a id, x.b other FROM clo x JOIN clo y ON x.a = y.b AND x.b = y.a), comp AS (SELECT id, min(other) component FROM mut GROUP BY id HAVING count(DISTINCT other) > 1) SELECT component, count(*)::int size, sha1(string_agg(id, ',' ORDER BY id)) members FROM comp GROUP BY component",
+        "cmd_cycles": f"WITH RECURSIVE {CALLS}, {_CYCLES} SELECT component, count(*)::int size, sha1(string_agg(id, ',' ORDER BY id)) members FROM comp GROUP BY component",
     }

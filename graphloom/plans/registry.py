@@ -20,7 +20,7 @@ GEO = "geo AS (SELECT r_name || '/' || n_name || '/customer-' || c_custkey path,
 DIRS = GEO + ", dirs AS (SELECT d dir, count(*) files, sum(loc)::bigint loc FROM (SELECT unnest(['.', split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) d, loc FROM geo) GROUP BY d)"
 TRADE = "trade AS (SELECT DISTINCT 'f:c' || o_custkey src, 'f:s' || l_suppkey dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 FILES = "files AS (SELECT 'f:c' || c_custkey id, c_nationkey::bigint module FROM customer UNION ALL SELECT 'f:s' || s_suppkey, s_nationkey::bigint FROM supplier)"
-NATIONS = "nations AS (SELECT src, dst FROM (SELECT c_nationkey::varchar src, s_nationkey::varchar dst, row_number() OVER (PARTITION BY c_nationkey ORDER BY sum(l_extendedprice * (1 - l_discount)) DESC, s_nationkey) r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> s_nationkey GROUP BY c_nationkey, s_nationkey) WHERE r <= 2)"
+STEPS = "steps AS (SELECT DISTINCT o.who src, n.o_custkey::varchar dst FROM (SELECT o_custkey::varchar who, unnest([min(o_orderkey), max(o_orderkey)]) k FROM orders GROUP BY 1) o JOIN orders n ON n.o_orderkey = k + 1 WHERE o.who <> n.o_custkey::varchar)"
 CALLS = """sym AS (SELECT p_partkey id, p_brand path, p_name || ' ' || p_size AS name FROM part),
 op AS (SELECT l_orderkey, l_partkey, min(l_linenumber) line FROM lineitem GROUP BY 1, 2),
 ld AS (SELECT l_orderkey, arg_min(l_partkey, (line, l_partkey)) src FROM op GROUP BY 1),
@@ -100,11 +100,11 @@ def one_hop_out(s, d):
 
 
 def bfs_depth3_out(s, d):
-    return graph.reach(A.nation_edges(s, d), _ids(s, NSEED), 3, "out")
+    return graph.reach(A.step_edges(s, d), _ids(s, NSEED), 3, "out")
 
 
 def bfs_depth3_in(s, d):
-    return graph.reach(A.nation_edges(s, d), _ids(s, NSEED), 3, "in")
+    return graph.reach(A.step_edges(s, d), _ids(s, NSEED), 3, "in")
 
 
 def bfs_depth2_both(s, d):
@@ -117,11 +117,11 @@ def impact_by_file(s, d):
 
 
 def deps_transitive(s, d):
-    return graph.reach(A.nation_edges(s, d), _ids(s, NSEED), 12, "out").filter(F.col("id") != NSEED).select("id", "hop")
+    return graph.reach(A.step_edges(s, d), _ids(s, NSEED), 12, "out").filter(F.col("id") != NSEED).select("id", "hop")
 
 
 def neighbors(s, d):
-    return graph.reach(A.nation_edges(s, d), _ids(s, NSEED), 2, "both").filter(F.col("id") != NSEED).select("id", "hop")
+    return graph.reach(A.step_edges(s, d), _ids(s, NSEED), 2, "both").filter(F.col("id") != NSEED).select("id", "hop")
 
 
 def subgraph_multi_seed(s, d):
@@ -130,7 +130,7 @@ def subgraph_multi_seed(s, d):
 
 
 def scc(s, d):
-    return graph.strong_components(A.nation_edges(s, d)).select("id", "component", F.col("size").cast("long").alias("size"))
+    return graph.strong_components(A.step_edges(s, d)).select("id", "component", F.col("size").cast("long").alias("size"))
 
 
 def cycles(s, d):
@@ -312,7 +312,7 @@ def coverage_by_path(s, d):
 
 
 def undirected_neighbors(s, d):
-    edges = A.nation_edges(s, d)
+    edges = A.step_edges(s, d)
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     degree = graph.map_sizes(edges).select(F.col("id").alias("dst"), "degree")
     order = Window.partitionBy("src").orderBy(F.desc("degree"), "dst")
@@ -338,7 +338,7 @@ _HUBS = "hubs AS (SELECT id, sum(i)::bigint importers, sum(o)::bigint imports_ou
 def _sql() -> dict[str, str]:
     hop_min = "SELECT id, min(hop) hop"
     clamp = lambda x: f"greatest(0.0::double, least(100.0::double, {x}))"
-    scc = "clo(a, b) AS (SELECT src, dst FROM nations UNION SELECT clo.a, n.dst FROM clo JOIN nations n ON n.src = clo.b), mut AS (SELECT x.a id, x.b other FROM clo x JOIN clo y ON x.a = y.b AND x.b = y.a), comp AS (SELECT id, min(other) component, count(DISTINCT other)::bigint size FROM mut GROUP BY id HAVING count(DISTINCT other) > 1)"
+    scc = "clo(a, b) AS (SELECT src, dst FROM steps UNION SELECT clo.a, n.dst FROM clo JOIN steps n ON n.src = clo.b), mut AS (SELECT x.a id, x.b other FROM clo x JOIN clo y ON x.a = y.b AND x.b = y.a), comp AS (SELECT id, min(other) component, count(DISTINCT other)::bigint size FROM mut GROUP BY id HAVING count(DISTINCT other) > 1)"
     named = GEO + ", nm AS (SELECT 'f:' || path id, path, split_part(path, '/', 3) AS name, loc indeg FROM geo)"
     tiers = lambda t: f"CASE WHEN id = '{t}' THEN 1 WHEN path = '{t}' THEN 5 WHEN name = '{t}' THEN 6 WHEN lower(path) LIKE lower('%/{t}') THEN 7 WHEN contains(lower(name), lower('{t}')) OR contains(lower(path), lower('{t}')) THEN 8 END"
     found = lambda t: f"WITH {named}, ti AS (SELECT *, {tiers(t)} tier FROM nm), f AS (SELECT * FROM ti WHERE tier = (SELECT min(tier) FROM ti)) SELECT id, tier, (SELECT count(*) FROM f) total FROM f ORDER BY indeg DESC, id LIMIT 25"
@@ -350,7 +350,7 @@ def _sql() -> dict[str, str]:
         "edge_kind_filter": "SELECT 'calls' kind, src, count(*) n FROM (SELECT event_type src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) dst FROM events) WHERE dst IS NOT NULL GROUP BY src",
         "grid_layout": f"WITH {TRADE}, {FILES}, g AS (SELECT id, module, (SELECT count(*) FROM trade WHERE src = f.id OR dst = f.id) degree FROM files f), p AS (SELECT id, row_number() OVER (PARTITION BY module ORDER BY degree DESC, id) - 1 i, ceil(sqrt(count(*) OVER (PARTITION BY module)))::int w FROM g) SELECT id, i % w grid_column, i // w grid_row FROM p",
         "coverage_by_path": f"WITH {CALLS}, c AS (SELECT path, count(*) FILTER (verdict = 'bound') bound, count(*) FILTER (verdict = 'ambiguous') ambiguous FROM res GROUP BY 1) SELECT *, 100 * bound // greatest(1, bound + ambiguous) coverage FROM c",
-        "undirected_neighbors": f"WITH {NATIONS}, b AS {_both('nations')}, g AS (SELECT id, count(*) degree FROM (SELECT src id FROM nations UNION ALL SELECT dst FROM nations) GROUP BY id) SELECT src, dst, r FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY degree DESC, dst)::int r FROM b JOIN g ON g.id = dst) WHERE r <= 12",
+        "undirected_neighbors": f"WITH {STEPS}, b AS {_both('steps')}, g AS (SELECT id, count(*) degree FROM (SELECT src id FROM steps UNION ALL SELECT dst FROM steps) GROUP BY id) SELECT src, dst, r FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY degree DESC, dst)::int r FROM b JOIN g ON g.id = dst) WHERE r <= 12",
         "fan_totals": f"WITH {TRADE}, {FILES}, g AS (SELECT (SELECT count(*) FROM trade WHERE dst = f.id) i, (SELECT count(*) FROM trade WHERE src = f.id) o FROM files f) SELECT sum(i)::bigint total_in, max(o) most_out, count(*) FILTER (i > 12) hubs FROM g",
         "degrees": f"WITH {TRADE}, {FILES} SELECT id, coalesce((SELECT count(*) FROM trade WHERE dst = id), 0) indeg, coalesce((SELECT count(*) FROM trade WHERE src = id), 0) outdeg FROM files",
         "map_sizes": f"WITH {TRADE} SELECT id, count(*) degree, 1.0::double + sqrt(least(count(*), 40)::double) size FROM (SELECT src id FROM trade UNION ALL SELECT dst FROM trade) GROUP BY id",
@@ -360,15 +360,15 @@ def _sql() -> dict[str, str]:
         "dir_collapse": f"WITH {DIRS}, ch AS (SELECT CASE WHEN dir = '.' THEN NULL WHEN instr(dir, '/') = 0 THEN '.' ELSE split_part(dir, '/', 1) END p, max(files) most FROM dirs GROUP BY 1) SELECT * FROM dirs WHERE dir NOT IN (SELECT dir FROM dirs d JOIN ch ON ch.p = d.dir WHERE dir <> '.' AND most >= 0.9 * d.files) ORDER BY loc DESC, dir LIMIT 12",
         "one_hop_in": f"WITH {TRADE} SELECT src id, 1.0::double conf, (SELECT count(*) FROM trade WHERE dst = 'f:s3') total FROM trade WHERE dst = 'f:s3' ORDER BY src LIMIT 500",
         "one_hop_out": f"WITH {TRADE} SELECT dst id, 1.0::double conf, (SELECT count(*) FROM trade WHERE src = '{ISEED}') total FROM trade WHERE src = '{ISEED}' ORDER BY dst LIMIT 500",
-        "bfs_depth3_out": f"WITH RECURSIVE {NATIONS}, {_reach('nations ' + FORWARD, f'[{NSEED!r}]', 3, OUT)} {hop_min}, false capped FROM bfs GROUP BY id",
-        "bfs_depth3_in": f"WITH RECURSIVE {NATIONS}, {_reach('nations ' + BACKWARD, f'[{NSEED!r}]', 3, IN)} {hop_min}, false capped FROM bfs GROUP BY id",
+        "bfs_depth3_out": f"WITH RECURSIVE {STEPS}, {_reach('steps ' + FORWARD, f'[{NSEED!r}]', 3, OUT)} {hop_min}, false capped FROM bfs GROUP BY id",
+        "bfs_depth3_in": f"WITH RECURSIVE {STEPS}, {_reach('steps ' + BACKWARD, f'[{NSEED!r}]', 3, IN)} {hop_min}, false capped FROM bfs GROUP BY id",
         "bfs_depth2_both": f"WITH RECURSIVE {TRADE}, {_reach(_both('trade') + ' ' + FORWARD, f'[{ISEED!r}]', 2, OUT)} {hop_min} FROM bfs GROUP BY id",
         "impact_by_file": f"WITH RECURSIVE {TRADE}, {FILES}, {_reach('trade ' + BACKWARD, '[' + repr('f:s3') + ']', 3, IN)} SELECT module, min(hop) hop, count(*) reached FROM (SELECT id, min(hop) hop FROM bfs GROUP BY id) JOIN files USING (id) GROUP BY module",
-        "deps_transitive": f"WITH RECURSIVE {NATIONS}, {_reach('nations ' + FORWARD, f'[{NSEED!r}]', 12, OUT)} {hop_min} FROM bfs WHERE id <> '{NSEED}' GROUP BY id",
-        "neighbors": f"WITH RECURSIVE {NATIONS}, {_reach(_both('nations') + ' ' + FORWARD, f'[{NSEED!r}]', 2, OUT)} {hop_min} FROM bfs WHERE id <> '{NSEED}' GROUP BY id",
+        "deps_transitive": f"WITH RECURSIVE {STEPS}, {_reach('steps ' + FORWARD, f'[{NSEED!r}]', 12, OUT)} {hop_min} FROM bfs WHERE id <> '{NSEED}' GROUP BY id",
+        "neighbors": f"WITH RECURSIVE {STEPS}, {_reach(_both('steps') + ' ' + FORWARD, f'[{NSEED!r}]', 2, OUT)} {hop_min} FROM bfs WHERE id <> '{NSEED}' GROUP BY id",
         "subgraph_multi_seed": f"WITH RECURSIVE {TRADE}, {FILES}, {_reach(_both('trade') + ' ' + FORWARD, str(SEEDS), 1, OUT)} SELECT module, min(hop) hop, count(*) nodes FROM (SELECT id, min(hop) hop FROM bfs GROUP BY id) JOIN files USING (id) GROUP BY module",
-        "scc": f"WITH RECURSIVE {NATIONS}, {scc} SELECT * FROM comp",
-        "cycles": f"WITH RECURSIVE {NATIONS}, {scc} SELECT component, string_agg(id, ',' ORDER BY id) members, count(*) size FROM comp GROUP BY component",
+        "scc": f"WITH RECURSIVE {STEPS}, {scc} SELECT * FROM comp",
+        "cycles": f"WITH RECURSIVE {STEPS}, {scc} SELECT component, string_agg(id, ',' ORDER BY id) members, count(*) size FROM comp GROUP BY component",
         "call_resolution": f"WITH {CALLS} SELECT src, dst, conf, lines FROM ced",
         "call_unbound": f"WITH {CALLS} SELECT name, src, path, line FROM res WHERE verdict = 'ambiguous'",
         "call_counters": f"WITH {CALLS} SELECT count(*) FILTER (verdict = 'external') \"external\", count(*) FILTER (verdict = 'unresolved') unresolved, count(*) FILTER (verdict = 'ambiguous') ambiguous, count(*) FILTER (verdict = 'bound') bound, count(*) FILTER (conf = 1.0) compiled, 100 * count(*) FILTER (verdict = 'bound') // greatest(1, count(*) FILTER (verdict IN ('bound', 'ambiguous'))) coverage FROM res",

@@ -33,21 +33,12 @@ def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("customer", "c").unionByName(side("supplier", "s"))
 
 
-def nation_edges(spark: SparkSession, sf_dir: str, top: int = 2) -> DataFrame:
-    """src, dst: each nation to the foreign supplier nations it spends most on."""
-    t = lambda n: table(spark, sf_dir, n)
-    spent = (
-        t("lineitem")
-        .select("l_orderkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid"))
-        .join(t("supplier").select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("customer").select("c_custkey", F.col("c_nationkey").alias("src")), F.col("o_custkey") == F.col("c_custkey"))
-        .filter("src <> dst")
-        .groupBy("src", "dst")
-        .agg(F.sum("paid").alias("paid"))
-    )
-    ranked = spent.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("paid"), "dst")))
-    return ranked.filter(F.col("r") <= top).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit("imports").alias("kind"))
+def step_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: each customer to those who ordered right after the customer's first and last order."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("who"))
+    ends = orders.groupBy("who").agg(F.explode(F.array(F.min("o_orderkey"), F.max("o_orderkey"))).alias("k")).select(F.col("who").alias("src"), (F.col("k") + 1).alias("o_orderkey"))
+    steps = ends.join(orders.withColumnRenamed("who", "dst"), "o_orderkey").filter("src <> dst")
+    return steps.select("src", "dst").distinct().withColumn("kind", F.lit("imports"))
 
 
 def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:

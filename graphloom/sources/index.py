@@ -87,8 +87,9 @@ def build(facts: DataFrame) -> CodeGraph:
     scoped = scope_targets(facts, symbols, resolve)
     owners = symbols.select("path", "owner", F.col("id").alias("sym"))
     refs = sites.join(owners, ["path", "owner"], "left").withColumn("sym", F.coalesce("sym", fid(F.col("path")))).join(scoped, ["path", "site"], "left").drop("site", "owner")
-    alias = F.element_at(F.split(F.regexp_replace(basename(F.col("resolved")), r"\.[^.]*$", ""), "/"), -1)
-    deps = found.filter("resolved is not null").select("path", F.col("resolved").alias("dep"), alias.alias("alias")).unionByName(found.filter("resolved is not null").select("path", F.col("resolved").alias("dep"), F.element_at(F.split("raw", r"[./:\\]+"), -1).alias("alias")))
+    ordered = facts.select("path", F.posexplode("imports").alias("ord", "raw")).join(found.filter("resolved is not null"), ["path", "raw"])
+    names = F.array(F.regexp_replace(basename(F.col("resolved")), r"\.[^.]*$", ""), F.element_at(F.split("raw", r"[./:\\]+"), -1))
+    deps = ordered.select("path", F.col("resolved").alias("dep"), "ord", F.explode(F.array_distinct(names)).alias("alias"))
     resolved = durable(calls.resolve(refs, symbols, deps), "calls")
     edges = durable(contains.unionByName(imported).dropDuplicates(["src", "dst", "kind"]).unionByName(calls.edges(resolved)), "edges")
     nodes = durable(graph.degrees(nodes, edges), "nodes")

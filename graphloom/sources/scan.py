@@ -29,22 +29,23 @@ ENV_DIRS = ("env", "venv", ".venv")
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), length and content of every file below root, a folder that all workers see.
 
-    Spark's own file sources pass over names that begin with a dot or an underscore, so the
-    names are listed here, ignored directories left out, and the contents read in tasks.
+    Spark's own file sources pass over names that begin with a dot or an underscore, so tasks
+    walk the folders below root, ignored ones left out, and read the contents. A file that is
+    reached by several paths counts once, by the first of them. Linked folders are not entered.
     """
     root = re.sub(r"^file:/*", "/", root).rstrip("/")
-    listed, seen = [], set()
-    for here, dirs, names in os.walk(root, followlinks=True):
-        real = os.path.realpath(here)
-        if real in seen:
-            dirs.clear()
-            continue
-        seen.add(real)
-        dirs[:] = sorted(d for d in dirs if d not in IGNORED_DIRS and not d.startswith("."))
-        for name in sorted(names):
-            at = os.path.join(here, name)
-            if os.path.isfile(at):
-                listed.append((os.path.relpath(at, root).replace(os.sep, "/"), os.path.getsize(at)))
+    kept = lambda names: sorted(d for d in names if d not in IGNORED_DIRS and not d.startswith("."))
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for folder in (f for batch in batches for f in batch.column("folder").to_pylist()):
+            found = []
+            for here, dirs, names in os.walk(os.path.join(root, folder)):
+                dirs[:] = kept(dirs) if folder else []
+                for at in (os.path.join(here, name) for name in names):
+                    if os.path.isfile(at):
+                        found.append((os.path.relpath(at, root).replace(os.sep, "/"), os.path.realpath(at), os.path.getsize(at)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["path", "real", "length"])
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,8 +54,11 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
                     with open(f"{root}/{path}", "rb") as file:
                         yield pa.RecordBatch.from_pydict({"path": [path], "length": [length], "content": [file.read()]})
 
-    names = spark.createDataFrame(listed, "path string, length long")
-    return names.repartition(max(1, min(len(listed) // 64, 1024))).mapInArrow(contents, "path string, length long, content binary")
+    # the driver lists the first level only; "" stands for the files of the root itself
+    top = ["", *kept(e.name for e in os.scandir(root) if e.is_dir(follow_symlinks=False))]
+    folders = spark.createDataFrame([(f,) for f in top], "folder string").repartition(max(1, min(len(top), 256)))
+    listed = folders.mapInArrow(walked, "path string, real string, length long").groupBy("real").agg(F.min(F.struct("path", "length")).alias("first"))
+    return listed.select("first.path", "first.length").mapInArrow(contents, "path string, length long, content binary")
 
 
 def above(path: Column) -> Column:

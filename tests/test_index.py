@@ -70,6 +70,17 @@ def test_calls_bind_by_scope_and_never_from_comments(built):
     assert edges[("s:svc.py#keep", cache)][1] == [13] and edges[("s:svc.py#keep", store)][1] == [14]
 
 
+def test_the_last_import_of_an_alias_wins_and_links_count_once(spark, tmp_path):
+    import os
+
+    root = write(tmp_path, {"x/util.rb": "def go(a)\n  a\nend\n", "y/util.rb": "def go(a)\n  a\nend\n", "main.rb": "require 'x/util'\nrequire 'y/util'\ndef run(a)\n  util.go(a)\nend\n", ".hidden/gone.rb": "def gone\nend\n"})
+    os.symlink(f"{root}/x/util.rb", f"{root}/zlink.rb")
+    os.symlink(f"{root}/x", f"{root}/zfolder")
+    g, _ = ix.index(spark, root)
+    assert {r.path for r in g.files.collect()} == {"x/util.rb", "y/util.rb", "main.rb"}
+    assert {(r.src, r.dst, r.conf) for r in g.edges.filter("kind = 'calls'").collect()} == {("s:main.rb#run", "s:y/util.rb#go", 0.9)}
+
+
 def test_ambiguous_methods_stay_open(built):
     assert {(r.name, r.src, r.line) for r in built[0].unbound.collect()} == {("handle", "s:c.py#go", 2)}
     row = built[0].counters.first()
