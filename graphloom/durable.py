@@ -29,11 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints/graphloom"
 
 
+#: What one Arrow batch on its way to Python holds at most while a table is written.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few bytes for the jobs that run inside; the session's own bound stands again after."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
 def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """df, written once as Parquet in the shared folder and read back from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.path = path
