@@ -52,20 +52,30 @@ def blank_noise(text: str, lang: Language, strings: bool = True) -> str:
     return re.sub(rf"(?P<s>{literal})|(?P<c>{comment})", swap, text)
 
 
-def joined_lines(lines: list[str]) -> list[str]:
-    """Each line with the lines that close its open parenthesis, up to a few."""
-    out = []
+_CLOSED, _GOES_ON = re.compile(r"[{};]\s*$"), re.compile(r"\s*(?:throws\b|implements\b|extends\b|\{)")
+
+
+def joined_lines(lines: list[str]) -> tuple[list[str], set[int]]:
+    """Each line with those that close its parameter list and end its signature, up to a few, and which lines those are.
+
+    A line whose parenthesis does not close in time stays as it is.
+    """
+    out, folded = list(lines), set()
+    open_ = [line.count("(") - line.count(")") for line in lines]
     for i, line in enumerate(lines):
-        whole, depth = line, line.count("(") - line.count(")")
-        for j in range(i + 1, min(len(lines), i + MAX_JOINED)):
-            if depth <= 0 and not re.search(r"\b(?:throws|implements|extends|where)\s*$|\)\s*$", whole):
-                break
-            if depth <= 0 and not re.match(r"\s*(?:throws|implements|extends|where|\{)", lines[j]):
-                break
-            whole += " " + lines[j].strip()
-            depth += lines[j].count("(") - lines[j].count(")")
-        out.append(whole)
-    return out
+        if i in folded or "(" not in line:
+            continue
+        last, end, depth = min(len(lines), i + 1 + MAX_JOINED), i + 1, open_[i]
+        while end < last and depth > 0:
+            depth += open_[end]
+            end += 1
+        if depth > 0:
+            continue
+        while end < last and not _CLOSED.search(lines[end - 1]) and _GOES_ON.match(lines[end]):
+            end += 1
+        out[i] = " ".join([line, *(x.strip() for x in lines[i + 1 : end])])
+        folded.update(range(i + 1, end))
+    return out, folded
 
 
 def indent(line: str) -> int:
@@ -114,8 +124,9 @@ def regex_symbols(raw: list[str], clean: list[str], lang: Language) -> list[dict
     The complexity of a symbol counts the branches of all lines up to the next symbol.
     """
     patterns, out = _compiled(lang), []
-    for at, line in enumerate(joined_lines(clean)):
-        if not clean[at].strip() or not _declares(line):
+    joined, folded = joined_lines(clean)
+    for at, line in enumerate(joined):
+        if at in folded or not clean[at].strip() or not _declares(line):
             continue
         name, kind = next((n for p in patterns["types"] if (m := p.match(line)) and (n := _name(m))), None), "Class"
         if name is None:
@@ -134,11 +145,11 @@ def regex_symbols(raw: list[str], clean: list[str], lang: Language) -> list[dict
 
 def unparsed(clean: list[str], starts: set[int]) -> int:
     """Lines shaped like a declaration at which no symbol was found."""
-    missed = 0
+    missed, folded = 0, joined_lines(clean)[1]
     for i, line in enumerate(clean):
         text = line.strip()
         lead = text.split("(")[0].split()
-        if i + 1 in starts or not text or text.startswith(("}", ")", "]", "*", "@", ".", "//")) or (lead and lead[0] in NOT_DECLARED):
+        if i in folded or i + 1 in starts or not text or text.startswith(("}", ")", "]", "*", "@", ".", "//")) or (lead and lead[0] in NOT_DECLARED):
             continue
         shaped = _SHAPE.match(line)
         missed += shaped[1] not in NOT_DECLARED if shaped else bool(_KEYWORD.match(line))

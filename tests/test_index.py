@@ -208,7 +208,8 @@ def test_noise_keeps_lines_and_columns():
     out = blank_noise(text, by["python"])
     assert [len(a) == len(b) for a, b in zip(out.split("\n"), text.split("\n"), strict=True)] and "z" not in out
     assert "call" in blank_noise('a("/*"); call();', by["java"])
-    assert joined_lines(["f(a,", "  b) {", "x"])[0] == "f(a, b) {"
+    assert joined_lines(["f(a,", "  b) {", "x"]) == (["f(a, b) {", "  b) {", "x"], {1})
+    assert joined_lines(["int f(a)", "    throws X", "  {", "y()"])[0][0] == "int f(a) throws X {" and joined_lines(["f(", *["a,"] * 9, ")"])[1] == set()
 
 
 def test_gitignore_globs():
