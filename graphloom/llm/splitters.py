@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLES_PER_RANGE = 16
+SAMPLES_PER_RANGE = 8
 ROUNDS = 4
 
 
