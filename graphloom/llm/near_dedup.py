@@ -218,7 +218,8 @@ def _verified(percent: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that link. pairs: written. The end with more pairs brings its set last, to many tasks."""
-    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "pair-ends")
+    each = [pairs.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("n")) for c in ("a", "b")]
+    ends = durable(each[0].unionAll(each[1]).groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") > 1), "pair-ends")
     hot = hot_keys(ends, "node", "n", 2 * pairs.count())
     busy = F.broadcast(ends.join(F.broadcast(hot), "node", "left_semi"))
     turned = pairs.join(busy.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a", "left").join(busy.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b", "left")
