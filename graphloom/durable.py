@@ -7,6 +7,7 @@ a local master without that setting falls back to a folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -90,6 +91,16 @@ def discard(*stored: DataFrame) -> None:
             _delete(df.sparkSession, df.path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing holds any more.
+
+    It does so when the driver collects its garbage, which a large heap puts off; what was made
+    of those plans is written by then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> int:
     """Delete what durable() wrote in this application; call it when its results are stored."""
     return sum(_delete(spark, path) for path in _WRITTEN.pop(spark.sparkContext.applicationId, []))
