@@ -136,14 +136,14 @@ def _statistics() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "tree_statistics": _statistics(),
-        "tree_files": f"WITH {TREE} SELECT path, (max(h) + sum(length + 1))::bigint loc, (max(h) + sum(length - d))::bigint code_lines, sum(d)::bigint comment_lines, count(*) blank_lines, (2 * sum(b))::bigint complexity, 1 max_nesting, false has_types, 0 unparsed, 'ast' frontend FROM fn GROUP BY path",
-        "tree_symbols": f"WITH {TREE} SELECT id, path, name, line, length, 1 + 2 * b complexity, d = 1 documented FROM fn",
+        "tree_files": f"WITH {TREE} SELECT path, (max(h) + sum(length + 1))::int loc, (max(h) + sum(length - d))::int code_lines, sum(d)::int comment_lines, count(*)::int blank_lines, (2 * sum(b))::int complexity, 1 max_nesting, false has_types, 0 unparsed, 'ast' frontend FROM fn GROUP BY path",
+        "tree_symbols": f"WITH {TREE} SELECT id, path, name, line, length::int length, 1 + 2 * b complexity, d = 1 documented FROM fn",
         "tree_imports": f"WITH {TREE} SELECT path, replace(replace(dep, '.py', ''), '/', '.') raw, dep resolved, NULL::varchar AS library FROM imp UNION ALL SELECT path, 'os', NULL, 'os' FROM hd WHERE os",
         "tree_calls": f"WITH {CALLS} SELECT src, dst, conf, array_to_string(ls, ',') AS lines FROM ced",
         "tree_open_calls": f"WITH {CALLS} SELECT name, src, path, line FROM res WHERE dst IS NULL",
         "tree_degrees": f"WITH {CALLS} SELECT id, kind, indeg, outdeg FROM deg",
         "tree_contains": f"WITH {TREE} SELECT 'd:.' src, count(DISTINCT split_part(path, '/', 1)) n FROM hd UNION ALL SELECT 'd:' || split_part(path, '/', 1), count(*) FROM hd GROUP BY 1 UNION ALL SELECT 'f:' || path, count(*) FROM fn GROUP BY 1",
-        "tree_patterns": f"WITH {TREE} SELECT path, name, 'Function' kind, line, length, 1 + 2 * b complexity, d = 1 documented, (SELECT count(*) FROM nm WHERE nm.k = fn.k AND nm.name <> fn.name) calls FROM fn",
+        "tree_patterns": f"WITH {TREE} SELECT path, name, 'Function' kind, line, length::int length, 1 + 2 * b complexity, d = 1 documented, (SELECT count(*) FROM nm WHERE nm.k = fn.k AND nm.name <> fn.name) calls FROM fn",
         "tree_java": f"WITH {TREE}, m AS (SELECT pt.k, split_part(path, '/', 1) home, (SELECT count(*) FROM pairs WHERE pairs.k = pt.k) n FROM pt), j AS (SELECT *, (4 + coalesce(sum(n + 3) OVER (PARTITION BY home ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::int line, 's:' || home || '/Parts.java#f' || k id FROM m) SELECT a.id src, b.id dst, 1.0::double conf, (a.line + row_number() OVER (PARTITION BY a.k ORDER BY b.k))::varchar AS lines FROM pairs JOIN j a ON a.k = pairs.k JOIN j b ON b.k = callee",
         "tree_reindex": f"WITH {TREE}, z AS (SELECT path, {_NUMBER} x FROM hd) SELECT path, CASE WHEN x % 10 = 0 OR x % 7 = 0 THEN 'parsed' ELSE 'same' END state FROM z WHERE x % 11 <> 0",
         "tree_scan": f"WITH {_SCAN} SELECT path, lang, CASE lang WHEN 'markdown' THEN 'doc' WHEN 'config' THEN 'config' ELSE 'code' END kind FROM named WHERE lang IS NOT NULL",
