@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import discard, durable
+from graphloom.durable import discard, durable, sweep
 from graphloom.llm import exchange
 from graphloom.llm.common import id_crc, small, word_bytes
 
@@ -58,7 +58,7 @@ PAIR_TOKENS = 4 << 20
 #: Counts up to this come from a table of gains.
 SMALL = 24
 #: Words of a part whose moves are weighed at once.
-CHUNK = 4_096
+CHUNK = 1_024
 
 _SHAPE = np.uint64(SHAPES - 1)
 
@@ -311,7 +311,7 @@ def _round(state):
         classes, matrix, sums, counts, movable, most, turn = state.value
         c = len(sums)
         here = np.zeros((c, c))
-        for batch in small(batches):
+        for batch in small(batches, 64):
             words = batch.column("word").to_numpy()
             lists = batch.column("packed")
             row = np.repeat(np.arange(len(words)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -370,7 +370,7 @@ def cluster(beside: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, mos
     return best[1], best[2], seen
 
 
-BESIDES = "part long, block long, keys binary, home binary, counts binary, times binary, before binary, after binary, again binary, bigrams binary"
+BESIDES = "part long, block long, keys binary, home binary, times binary, before binary, after binary, again binary, bigrams binary"
 TEXTS = "doc_id {id}, held_out boolean, n_tokens long, n_known long, base_score double, known double, classes binary, bigrams binary"
 
 
@@ -433,7 +433,7 @@ def _gather(state, parts: int):
             own = [i for i in range(parts) if words[i] < words[i + 1]]
             cut = lambda a, edges, kind: [a[edges[i] : edges[i + 1]].astype(kind).tobytes() for i in own]  # noqa: E731, B023
             sent = {"part": own, "block": [row["block"]] * len(own)}
-            for name, a, kind in (("keys", keys[order], "<u8"), ("home", classes[:-1][later][order], "u1"), ("counts", count[later][order], "<i8"), ("times", times, "<i4")):
+            for name, a, kind in (("keys", keys[order], "<u8"), ("home", classes[:-1][later][order], "u1"), ("times", times, "<i4")):
                 sent[name] = cut(a, words, kind)
             for name, a, kind in (("before", beside[at - 1], "u1"), ("after", beside[np.minimum(at + 1, len(t) - 1)], "u1"), ("again", t[np.minimum(at + 1, len(t) - 1)] == t[at], "u1")):
                 sent[name] = cut(a, tokens, kind)
@@ -508,8 +508,9 @@ def _deal(state):
         column = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
         lengths = [len(k) // 8 for k in group.column("keys").to_pylist()]
         unique, one, where = np.unique(column("keys", "<u8"), return_index=True, return_inverse=True)
-        home, count = column("home", "u1")[one].astype(np.int64), column("counts", "<i8")[one]
+        home = column("home", "u1")[one].astype(np.int64)
         word = np.repeat(where, column("times", "<i4"))
+        count = np.bincount(word, minlength=len(unique))
         order = np.argsort(word, kind="stable")
         word = word[order]
         before, after, again = (column(name, "u1")[order] for name in ("before", "after", "again"))
@@ -597,10 +598,12 @@ def fit(coded: DataFrame, rounds: int = ROUNDS, most: int = CLASSES, deals: int
     answers = durable(exchange.totals(coded, parts, _part_stats(often)), "word-totals")
     v = _vocabulary(answers, often, int(tokens), int(docs))
     shared = spark.sparkContext.broadcast(v)
+    sweep(spark)
     texts = coded.select("block", "ids", "lengths", "train", "codes", "keys")
     beside = durable(_beside(texts.select("lengths", "train", "codes", "keys").mapInArrow(_pairs(shared), "word int, other int, n long")), "word-pairs")
     classes, matrix, seen = cluster(beside, v, rounds, most)
     discard(beside)
+    sweep(spark)
     c = len(matrix)
     state = spark.sparkContext.broadcast((v, classes, c))
     known = answers.filter(F.col("block") != exchange.STATS).withColumn("classes", F.lit(None).cast("binary"))
@@ -622,6 +625,8 @@ def fit(coded: DataFrame, rounds: int = ROUNDS, most: int = CLASSES, deals: int
         now = spark.sparkContext.broadcast((matrix, matrix.sum(0), most))
         dealt = durable(found.filter("part is not null").drop("bigrams").repartition(parts, "part").groupBy("part").applyInArrow(_deal(now), "block long, part long, classes binary"), "word-classes")
         discard(found)
+        del found
+        sweep(spark)
     final = lambda by: by_block(_texts(state, parts), by, TEXTS.format(id=kind), "ids", "lengths", "train", "codes", "keys")
     told = final(dealt)
     bigrams = bigrams_of(told)

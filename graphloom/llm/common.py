@@ -21,14 +21,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small(batches: Iterator) -> Iterator:
+def small(batches: Iterator, rows_: int = BATCH_ROWS) -> Iterator:
     """Arrow batches in slices of few rows, so that what is made of one slice stays small.
 
     Spark bounds a batch by its bytes already; a slice shares the memory of its batch.
     """
     for batch in batches:
-        for begin in range(0, max(1, batch.num_rows), BATCH_ROWS):
-            yield batch.slice(begin, BATCH_ROWS)
+        for begin in range(0, max(1, batch.num_rows), rows_):
+            yield batch.slice(begin, rows_)
 
 
 def id_crc(doc_id: object) -> int:

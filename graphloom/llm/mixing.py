@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.durable import durable
+from graphloom.durable import durable, sweep
 from graphloom.llm.common import WORD
 from graphloom.llm.prefix import running
 
@@ -164,6 +164,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     each = taken.groupBy(*keys).agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.min("slots").alias("slots"))
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / F.greatest(F.col("size"), F.lit(1)))).cast("int")
     each = durable(each.withColumn("copies", copies).filter("copies > 0"), "mix-chosen")
+    sweep(docs.sparkSession)
     slots = int(each.agg(F.coalesce(F.max(F.array_max("slots")), F.lit(0))).first()[0]) + 1
     anywhere = F.pmod(F.xxhash64(*keys), F.lit(slots))
     turns = each.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.durable import discard, durable
+from graphloom.durable import discard, durable, sweep
 from graphloom.llm import exchange
 from graphloom.llm.common import WORD, rows, small, word_bytes
 from graphloom.llm.components import components
@@ -243,6 +243,7 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles and label, the component's name, of every document."""
     spark = docs.sparkSession
+    sweep(spark)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketched = durable(docs.mapInArrow(_sketched(band_rows(percent)), SKETCHED.format(id=kind)), "near-sketches")
@@ -265,6 +266,7 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     facts = alive.select("node", "n", "alone").join(nodes.select("node", "bits"), "node")
     buckets, members = members, durable(members.join(facts, "node"), "near-members")
     discard(buckets, sets, crowded)
+    sweep(spark)
     lead = members.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "node", "n", "alone", "bits")).alias("lead")).filter("_n > 1")
     columns = ("node", "n", "alone", "bits")
     lead = lead.select("band", *[F.col(f"lead.{k}").alias("a" if k == "node" else f"a_{k}") for k in columns])
@@ -292,6 +294,7 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels = components(links.unionByName(more))
     discard(open_, rest, pairs, links, more, alive)
 
+    sweep(spark)
     copied = hot_keys(nodes, "node", "copies", sketched.count())
     named = spread_join(sketched.select("doc_id", "text_hash", "n_shingles", "node"), labels, "node", "doc_id", copied, "left")
     return durable(named.withColumn("label", F.coalesce("label", "node")).drop("node"), "near-documents")
