@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,8 +48,9 @@ NEAR_START = 1_024
 class _Cut:
     """A word ends a leaf if its hash is 0 modulo `words`; a line end always does.
 
-    A leaf longer than `long` is cut where the hash of `WINDOW` code points is 0 modulo
-    `points`, `long` // 4 after the last cut at the earliest and `most` at the latest.
+    A leaf longer than `long` is cut where the hash of the last `WINDOW` code points is 0
+    modulo `points`, `long` // 4 (more than WINDOW) after the last cut at the earliest and
+    `most` at the latest.
     """
 
     words: int
@@ -59,6 +61,8 @@ class _Cut:
 
 SMALL, LARGE = _Cut(4, 48, 16, 96), _Cut(12, 192, 64, 384)
 WINDOW = 8
+#: Code points that are hashed at once.
+STEP = 1 << 20
 #: A node ends its parent if its digest is 0 modulo this, and if the parent has that many children.
 CHILDREN, MOST_CHILDREN = 8, 64
 DIGEST = 32
@@ -68,66 +72,67 @@ MOST_RANGES = 65_536
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
-def _pieces(leaf: str, cut: _Cut) -> list[str]:
-    """A long leaf, cut by its code points."""
-    points = np.frombuffer(leaf.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    h = np.zeros(len(points), np.uint64)
-    for k in range(WINDOW):
-        h[k:] += points[: len(points) - k] * _POWERS[k]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    out, begin = [], 0
-    ends = (np.flatnonzero((h >> np.uint64(32)) % np.uint64(cut.points) == 0) + 1).tolist()
-    for end in [*ends, len(leaf)]:
-        while end - begin > cut.most:
-            out.append(leaf[begin : begin + cut.most])
+def _cut_points(text: str) -> dict[_Cut, list[int]]:
+    """For either cut, after which code points of the text the hash of the last few says that a long leaf may end."""
+    found: dict[_Cut, list[int]] = {SMALL: [], LARGE: []}
+    for begin in range(0, len(text), STEP):
+        low = max(0, begin - WINDOW + 1)
+        points = np.frombuffer(text[low : begin + STEP].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        h = np.zeros(len(points), np.uint64)
+        for k in range(WINDOW):
+            h[k:] += points[: len(points) - k] * _POWERS[k]
+        h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))[begin - low :] >> np.uint64(32)
+        for cut, at in found.items():
+            at.extend((np.flatnonzero(h % np.uint64(cut.points) == 0) + begin + 1).tolist())
+    return found
+
+
+def _pieces(begin: int, end: int, cut: _Cut, points: list[int]) -> Iterator[tuple[int, int]]:
+    """Begin and end of the pieces of a long leaf."""
+    for at in [*points[bisect_right(points, begin) : bisect_left(points, end)], end]:
+        while at - begin > cut.most:
+            yield begin, begin + cut.most
             begin += cut.most
-        if end - begin >= cut.long // 4 and end < len(leaf):
-            out.append(leaf[begin:end])
-            begin = end
-    out.append(leaf[begin:])
-    return out
+        if at - begin >= cut.long // 4 and at < end:
+            yield begin, at
+            begin = at
+    yield begin, end
 
 
 def paragraphs(text: str) -> list[str]:
     """The leaves of a text, in order; joined they are the text."""
     out: list[str] = []
+    points: dict[_Cut, list[int]] = {}
     at = 0
 
-    def close(leaf: str, begin: int) -> None:
-        while leaf:
+    def close(begin: int, end: int) -> None:
+        while begin < end:
             small = begin < NEAR_START
             cut = SMALL if small else LARGE
-            if len(leaf) <= cut.long:
-                out.append(leaf)
-                return
-            if not small:
-                out.extend(_pieces(leaf, cut))
+            if end - begin <= cut.long:
+                out.append(text[begin:end])
                 return
+            if not points:
+                points.update(_cut_points(text))
             # only what begins near the start is cut small
-            done = 0
-            for piece in _pieces(leaf[: NEAR_START - begin + cut.most], cut):
-                if begin + done >= NEAR_START:
+            for first, last in _pieces(begin, min(end, NEAR_START + cut.most) if small else end, cut, points[cut]):
+                if small and first >= NEAR_START:
                     break
-                out.append(piece)
-                done += len(piece)
-            begin, leaf = begin + done, leaf[done:]
+                out.append(text[first:last])
+                begin = last
 
     for line in text.splitlines(keepends=True) if "\n" in text else [text]:
-        if len(line) < 48:
-            out.append(line)
-            at += len(line)
-            continue
-        words = line.split(" ")
-        held: list[str] = []
-        last, begin = len(words) - 1, at
-        for i, word in enumerate(words):
-            held.append(word if i == last else word + " ")
-            at += len(held[-1])
-            if i < last and xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % (SMALL if at < NEAR_START else LARGE).words == 0:
-                close("".join(held), begin)
-                held, begin = [], at
-        close("".join(held), begin)
-    return [p for p in out if p]
+        end = at + len(line)
+        begin = at
+        if len(line) >= 48:
+            for word in line.split(" ")[:-1]:
+                at += len(word) + 1
+                if xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % (SMALL if at < NEAR_START else LARGE).words == 0:
+                    close(begin, at)
+                    begin = at
+        close(begin, end)
+        at = end
+    return out
 
 
 @dataclass
@@ -175,10 +180,18 @@ def grown(leaves: tuple[list[bytes], list[int]]) -> Tree:
     return Tree(levels)
 
 
-def tree(text: str) -> Tree:
-    """The Merkle tree of a text."""
+class Digests(dict):
+    """The digest of each leaf that was asked for."""
+
+    def __missing__(self, leaf: str) -> bytes:
+        value = self[leaf] = hashlib.sha256(b"\0" + leaf.encode("utf-8", "surrogatepass")).digest()
+        return value
+
+
+def tree(text: str, known: Digests | None = None) -> Tree:
+    """The Merkle tree of a text; known: digests of leaves, of texts that share some."""
     pieces = paragraphs(text)
-    return grown(([hashlib.sha256(b"\0" + p.encode("utf-8", "surrogatepass")).digest() for p in pieces], list(map(len, pieces))))
+    return grown((list(map((Digests() if known is None else known).__getitem__, pieces)), list(map(len, pieces))))
 
 
 def mark(t: Tree) -> str:
@@ -248,12 +261,13 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {name.split()[0]: [] for name in OUT.split(", ")}
         for span, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("_range", "doc_id", "text")), strict=True):
             text = text or ""
-            grown_here = tree(text)
-            here = (span, doc_id, text, grown_here, mark(grown_here))
+            digests = Digests()
+            grown_here = tree(text, digests)
+            here = (span, doc_id, text, grown_here, mark(grown_here), digests)
             if before is not None and before[0] == span:
-                _, own_id, own, own_tree, own_mark = before
+                _, own_id, own, own_tree, own_mark, own_digests = before
                 edited = edit(own, text)
-                edited_tree = tree(edited)
+                edited_tree = tree(edited, own_digests)
                 values = (own_id, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own_mark, mark(edited_tree), likeness(own_tree, edited_tree), likeness(own_tree, grown_here))
                 for name, value in zip(out, values, strict=True):
                     out[name].append(value)
