@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.durable import durable
+from graphloom.durable import discard, durable
 from graphloom.llm.common import WORD
 
 LEAST_WORDS = 50
@@ -220,8 +220,11 @@ def estimates(rows: DataFrame, steps: int = STEPS, keep: float = KEEP, few: bool
         near = _distance(_beside(rows, current.join(edge, ["group", "start"]), few)).filter(F.log(F.col("d2") + 1e-12) < F.col("_edge"))
         found = _factor(_moments(near, ["group", "start"], CONSISTENCY))
         before, current = current, durable(_best(found) if step == TRIAL else found, "mcd")
-        if step > TRIAL:
+        if step <= TRIAL:
+            discard(before)
+        else:
             moved = current.join(before.select("group", F.col("logdet").alias("_was")), "group").agg(F.max(F.abs(F.col("logdet") - F.col("_was")))).first()[0]
+            discard(before)
             if moved is None or moved < SETTLED:
                 break
     return _best(current).drop("start")
@@ -239,7 +242,10 @@ def judge(docs: DataFrame, *keys: str | Column, least_rows: int = LEAST_ROWS, cu
     level = durable(level.select("_own", group.alias("group")).filter(F.col("group") != "{}"), "quality-groups")
     few = level.count() <= MOST_BROADCAST
     grouped = named.join(F.broadcast(level) if few else level, "_own", "left").withColumn("group", F.coalesce("group", F.lit("{}")))
-    found = estimates(grouped.filter(~F.col("base_failed")).select("group", *VECTOR), few=few)
+    # what the steps read again and again, slim
+    vectors_ = durable(grouped.filter(~F.col("base_failed")).select("group", *VECTOR), "quality-vectors")
+    found = durable(estimates(vectors_, few=few), "mcd-best")
+    discard(vectors_)
     judged = _distance(_beside(grouped, found, few, "left"))
     outlier = F.coalesce(F.col("d2") > cutoff, F.lit(False))
     return judged.select(*named_keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", (~F.col("base_failed") & ~outlier).alias("kept"))
