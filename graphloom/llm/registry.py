@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, brown_lm, merkle, mixing, near_dedup, neighbour_vote, quality_rules, secret_scan, sharding, toxicity_chain
+from graphloom.llm import bpe, brown_lm, importance, merkle, mixing, name_join, near_dedup, neighbour_vote, parity_join, quality_rules, secret_scan, sharding, toxicity_chain
 from graphloom.llm.common import read
 
 
@@ -52,6 +52,18 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_chain.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_edit_distance_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_join.join_names(read(spark, sf_dir, "clients"), read(spark, sf_dir, "vendors"))
+
+
+def op12_importance_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.components_of(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_sampled_splitters": op1_sampled_splitters,
@@ -64,6 +76,9 @@ def queries() -> dict:
         "op8_source_schedule": op8_source_schedule,
         "op9_merkle_trees": op9_merkle_trees,
         "op10_toxicity_chain": op10_toxicity_chain,
+        "op11_edit_distance_names": op11_edit_distance_names,
+        "op12_importance_tries": op12_importance_tries,
+        "op13_parity_join": op13_parity_join,
         "pipeline": corpus_pipeline.run,
     }
 
