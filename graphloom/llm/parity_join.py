@@ -16,9 +16,10 @@ more than (100 - percent) * (a + b) / (100 + percent) elements, which is used tw
 Equal sets become one node first. Keys of words are dealt to parts in blocks; a key that many
 sets of a block have is known to be shared and goes round the parts, so no part holds more of
 a key than a few entries a block. In every bucket a central node leads and is verified against
-the others on full sets, twice; components of these links are formed, and only pairs that lie in
-different components of a bucket are left. Buckets that still hold many of them are cut by a
-second equal word, which all linked pairs have, and pairs of blocks are dealt over tasks.
+the others on full sets; components of these links are formed, and only pairs that lie in
+different components of a bucket are left. While those are many, further leaders follow. Buckets
+that still hold many of them are cut by a second equal word, which all linked pairs have, and
+pairs of blocks are dealt over tasks.
 
 Null, empty and blank texts have no words, an empty set and no links; their component is their
 own id. Repeated rows are copies; a null id belongs to the component of its set, whose id is
@@ -239,22 +240,30 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     every = F.lit(True)
     members = durable(buckets.join(facts, "node").withColumn("label", F.col("node")), "parity-members")
     discard(buckets)
+    total = members.count()
     done = _led(members, wide, percent, None, every)
     links = _links(done, sets, percent)
     labels = components(links)
     open_ = _still_open(members, labels, wide)
     discard(members)
-    # a second leader, from outside the largest component, for buckets that hold several
-    pairs = _led(open_, wide, percent, done, F.col("label") != F.col("major"))
-    done, links = done.unionByName(pairs), links.unionByName(_links(pairs, sets, percent))
-    labels = components(links)
-    before, open_ = open_, _still_open(open_.drop("major", "many", "minor"), labels, wide)
-    discard(before)
-    pairs = _apart(open_, percent, done)
-    more = _links(pairs, sets, percent)
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
-    discard(open_, pairs, sets, asked, more)
+    # further leaders, from outside the largest component, while pairs outnumber what a leader meets
+    while (open_.agg(F.sum("minor")).first()[0] or 0) > SPLIT * total:
+        pairs = _led(open_, wide, percent, done, F.col("label") != F.col("major"))
+        new = _links(pairs, sets, percent)
+        done = done.unionByName(pairs)
+        if not new.limit(1).count():
+            break
+        links = links.unionByName(new)
+        labels, before = components(links), open_
+        open_ = _still_open(open_.drop("major", "many", "minor"), labels, wide)
+        discard(before)
+    if open_.limit(1).count():
+        pairs = _apart(open_, percent, done)
+        more = _links(pairs, sets, percent)
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
+        discard(pairs)
+    discard(open_, sets, asked)
     sweep(spark)
     copied = hot_keys(nodes, "node", "copies", sketched.count())
     named = spread_join(sketched.select("doc_id", "n_shingles", "node"), labels, "node", "doc_id", copied, "left")
