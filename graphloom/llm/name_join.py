@@ -11,8 +11,9 @@ points are met by length alone.
 
 Names are collapsed to distinct ones before anything meets. A key that many names share is cut
 into blocks on both sides, whose pairs go to tasks of their own. Within a task a pair is taken
-for the first key it shares only, then by the number of whole chunks, then by its distance;
-what leaves the task are sums per name and distance. Nothing is broadcast or collected.
+for the first key it shares only, then by signs of 64 bits, of which an edit changes two at
+most, then by the number of whole chunks, then by its distance; what leaves the task are sums per
+name and distance. Nothing is broadcast or collected: all joins are asked to sort and merge.
 
 Null and empty names take no part. Repeated rows on either side count as often as they come.
 A null vendor id leaves its name as stored and forms a vendor of its own; null client ids are
@@ -115,6 +116,20 @@ def _codes(names: list[str]) -> np.ndarray:
     return wide.view(np.uint32).reshape(len(names), -1) if wide.itemsize else np.zeros((len(names), 1), np.uint32)
 
 
+def _signs(names: list[str], lengths: np.ndarray) -> np.ndarray:
+    """64 bits of each name, of which every code point flips one: an edit changes at most two of them."""
+    out, order, at = np.zeros(len(names), np.uint64), np.argsort(lengths, kind="stable"), 0
+    while at < len(names):
+        stop = min(len(names), at + max(1, CELLS // (8 * int(lengths[order[at]]) + 8)))
+        own = order[at : max(at + 1, np.searchsorted(lengths[order[:stop]], 2 * lengths[order[at]] + 8, "right"))]
+        codes = _codes([names[i] for i in own]).astype(np.uint64)
+        bits = np.uint64(1) << ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+        bits[np.arange(codes.shape[1])[None, :] >= lengths[own][:, None]] = 0
+        out[own] = np.bitwise_xor.reduce(bits, axis=1)
+        at += len(own)
+    return out
+
+
 def _first_and_enough(a, la, b, lb, chunk, shift) -> np.ndarray:
     """Whether this key is the first a pair shares, and as many chunks stay whole as must."""
     q = np.minimum(la // CHUNKS, LONGEST_CHUNK)
@@ -139,12 +154,19 @@ def _first_and_enough(a, la, b, lb, chunk, shift) -> np.ndarray:
     return keep
 
 
+def _named(side: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct names, and of each row: its name's place, length and sign."""
+    names = side.column("name").combine_chunks().dictionary_encode()
+    names, of = names.dictionary.to_pylist(), names.indices.to_numpy()
+    lengths = np.array([len(x) for x in names], np.int64)
+    return names, of, lengths[of], _signs(names, lengths)[of]
+
+
 def _met(probes: pa.Table, index: pa.Table) -> pa.Table:
     """name, distance and the sums over probing names, of the pairs whose keys meet in this task."""
     out = {"name": [], "distance": [], "n_clients": [], "first_client_id": [], "clients_crc": []}
     pk, ik = probes.column("key").to_numpy(), index.column("key").to_numpy()
-    p_names, i_names = probes.column("name").to_pylist(), index.column("name").to_pylist()
-    p_len, i_len = np.array([len(x) for x in p_names], np.int64), np.array([len(x) for x in i_names], np.int64)
+    (p_names, p_of, p_len, p_sign), (i_names, i_of, i_len, i_sign) = _named(probes), _named(index)
     order, place = np.argsort(pk, kind="stable"), np.lexsort((ik, i_len))
     begin, end = (np.searchsorted(pk[order], ik[place], side) for side in ("left", "right"))
     met = end > begin
@@ -160,19 +182,22 @@ def _met(probes: pa.Table, index: pa.Table) -> pa.Table:
         many = (end - begin)[at:stop]
         entry = np.repeat(place[at:stop], many)
         probe = order[np.repeat(begin[at:stop], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        ids_i, one = np.unique(entry, return_inverse=True)
-        ids_p, two = np.unique(probe, return_inverse=True)
+        near = np.flatnonzero(np.bitwise_count(i_sign[entry] ^ p_sign[probe]) <= 2 * MOST)
+        at, entry, probe = stop, entry[near], probe[near]
+        if not len(near):
+            continue
+        ids_i, one = np.unique(i_of[entry], return_inverse=True)
+        ids_p, two = np.unique(p_of[probe], return_inverse=True)
         a, b = _codes([i_names[i] for i in ids_i]), _codes([p_names[i] for i in ids_p])
         la, lb = i_len[entry], p_len[probe]
         keep = np.flatnonzero((np.abs(la - lb) <= MOST) & _first_and_enough(a[one], la, b[two], lb, chunk[entry], shift[entry]))
         d = distances(a[one[keep]], la[keep], b[two[keep]], lb[keep])
         for k in np.flatnonzero(d <= MOST):
             i, p = int(entry[keep[k]]), int(probe[keep[k]])
-            out["name"].append(i_names[i])
+            out["name"].append(i_names[i_of[i]])
             out["distance"].append(int(d[k]))
             for c in ("n_clients", "first_client_id", "clients_crc"):
                 out[c].append(probes.column(c)[p].as_py())
-        at = stop
     table = pa.table({c: pa.array(v, pa.string() if c == "name" else pa.int32() if c == "distance" else pa.int64()) for c, v in out.items()})
     summed = table.group_by(["name", "distance"]).aggregate([("n_clients", "sum"), ("first_client_id", "min"), ("clients_crc", "sum")])
     return summed.select(["name", "distance", "n_clients_sum", "first_client_id_min", "clients_crc_sum"]).rename_columns(list(out))
@@ -187,14 +212,14 @@ def name_pairs(probing: DataFrame, indexed: DataFrame) -> DataFrame:
     probes, index = probe_entries(probing), index_entries(indexed)
     count = lambda df, n: df.groupBy("key").agg(F.count(F.lit(1)).alias(n))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    keys = durable(count(index, "n_index").join(count(probes, "n_probe"), "key").select("key", blocks("n_index").alias("ones"), blocks("n_probe").alias("twos"), "n_index", "n_probe"), "name-keys")
+    keys = durable(count(index, "n_index").hint("merge").join(count(probes, "n_probe"), "key").select("key", blocks("n_index").alias("ones"), blocks("n_probe").alias("twos"), "n_index", "n_probe"), "name-keys")
     entries = keys.agg(F.coalesce(F.sum(F.col("n_index") * F.col("twos") + F.col("n_probe") * F.col("ones")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // PART)
     own = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     met, part = F.xxhash64("key", "one", "two").alias("key"), F.pmod("key", F.lit(parts)).alias("part")
-    left = probes.join(keys, "key").withColumn("two", own("twos")).withColumn("one", every("ones")).select(met, *probing.columns).select(part, "*")
-    right = index.join(keys, "key").withColumn("one", own("ones")).withColumn("two", every("twos")).select(met, "name", "chunk", "shift").select(part, "*")
+    left = probes.hint("merge").join(keys, "key").withColumn("two", own("twos")).withColumn("one", every("ones")).select(met, *probing.columns).select(part, "*")
+    right = index.hint("merge").join(keys, "key").withColumn("one", own("ones")).withColumn("two", every("twos")).select(met, "name", "chunk", "shift").select(part, "*")
     found = left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(_met, "name string, distance int, n_clients long, first_client_id long, clients_crc long")
     return found.groupBy("name", "distance").agg(F.sum("n_clients").alias("n_clients"), F.min("first_client_id").alias("first_client_id"), F.sum("clients_crc").alias("clients_crc"))
 
@@ -205,4 +230,4 @@ def join_names(clients: DataFrame, vendors: DataFrame) -> DataFrame:
     crc = F.crc32(F.col("client_id").cast("string").cast("binary"))
     bought = clients.filter("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n_clients"), F.min(F.col("client_id").cast("long")).alias("first_client_id"), F.sum(crc).alias("clients_crc"))
     found = name_pairs(durable(bought, "name-clients"), sold.select("name").distinct())
-    return sold.join(found, "name").groupBy("vendor_id", "distance").agg(F.sum("n_clients").alias("n_clients"), F.min("first_client_id").alias("first_client_id"), F.sum("clients_crc").alias("clients_crc"))
+    return sold.hint("merge").join(found, "name").groupBy("vendor_id", "distance").agg(F.sum("n_clients").alias("n_clients"), F.min("first_client_id").alias("first_client_id"), F.sum("clients_crc").alias("clients_crc"))
