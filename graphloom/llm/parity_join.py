@@ -10,8 +10,8 @@ more than (100 - percent) * (a + b) / (100 + percent) elements, which is used tw
    sets that meet there may differ, so by the pigeonhole principle at least two of its words
    are equal. Each set has a sketch for its own band and one for the band below, and sets with
    an equal word in a place share a bucket. No link is missed.
-2. A second sketch of 1,024 bits, whatever the band, bounds the difference of a pair before
-   anything is verified.
+2. A second sketch of 512 bits, whatever the band, bounds the difference of a pair before
+   anything is verified, and a third one does so for large sets, with as many bits as they need.
 
 Equal sets become one node first. Keys of words are dealt to parts in blocks; a key that many
 sets of a block have is known to be shared and goes round the parts, so no part holds more of
@@ -49,7 +49,9 @@ WORDS, PERCENT = 4, 85
 #: Words of a sketch that linked sets share at least.
 SHARED = 2
 #: Longs of the second sketch.
-FOLD = 16
+FOLD = 8
+#: Elements from which on a set has a third sketch, of some four bits an element.
+TALL = 512
 #: Bytes of keys in a block and in a part; sets of a block with a key that make it go round the parts.
 BLOCK_BYTES, PART_BYTES, BUSY = 4 << 20, 16 << 20, 32
 #: Nodes of a bucket that are listed pair by pair in one task.
@@ -105,6 +107,26 @@ def fold(elements: np.ndarray) -> np.ndarray:
     return parity(mixed(elements ^ _SEGMENT), FOLD)
 
 
+def tall(elements: np.ndarray) -> bytes | None:
+    """The third sketch: a power of two of words, so that the longer of two can be folded to the shorter."""
+    return parity(mixed(elements ^ _BAND), 1 << (len(elements) // 16).bit_length()).tobytes() if len(elements) >= TALL else None
+
+
+def _no_further(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose third sketches, where both have one, differ in no more bits than linked sets differ in elements."""
+    for batch in small(batches):
+        keep = []
+        for n, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "a_tall", "b_tall")), strict=True):
+            if x is None or y is None:
+                keep.append(True)
+                continue
+            x, y = (np.frombuffer(t, "<u8") for t in sorted((x, y), key=len))
+            while len(y) > len(x):
+                y = y[::2] ^ y[1::2]
+            keep.append((100 + percent) * int(np.bitwise_count(x ^ y).sum()) <= (100 - percent) * n)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def word_keys(sketch: np.ndarray, band: int) -> np.ndarray:
     """A key for each word of a band's sketch."""
     salt = np.arange(1, len(sketch) + 1, dtype=np.uint64) * _SEGMENT + np.array([band + 1], np.uint64) * _BAND
@@ -118,7 +140,7 @@ def keys_of(elements: np.ndarray, cut: list[int], percent: int = PERCENT) -> np.
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-SKETCHED = "doc_id {id}, text_hash long, n_shingles long, row long, node binary, keys binary, fold array<long>"
+SKETCHED = "doc_id {id}, text_hash long, n_shingles long, row long, node binary, keys binary, fold array<long>, tall binary"
 
 
 def _sketched(percent: int):
@@ -127,8 +149,8 @@ def _sketched(percent: int):
         for batch in small(batches):
             sets = [token_set(word_bytes(t), known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, sets), pa.int64()), pa.array(range(at, at + len(sets)), pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([keys_of(s, cut, percent).astype("<u8").tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([fold(s).view("<i8") if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "n_shingles", "row", "node", "keys", "fold"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, sets), pa.int64()), pa.array(range(at, at + len(sets)), pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([keys_of(s, cut, percent).astype("<u8").tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([fold(s).view("<i8") if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array([tall(s) for s in sets], pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "row", "node", "keys", "fold", "tall"],
             )
             at += len(sets)
 
@@ -136,10 +158,11 @@ def _sketched(percent: int):
 
 
 def _dealt(parts: int):
-    """Blocks of keys, cut by part: part, keys and rows. Parts from `parts` on hold what is known to be shared."""
+    """Blocks of keys, cut by part: part, keys and rows, counted from base. Parts from `parts` on hold what is known to be shared."""
 
     def block(sets: dict[bytes, tuple[int, np.ndarray]], at: int) -> pa.RecordBatch:
-        rows_ = np.repeat(np.array([r for r, _ in sets.values()], np.int64), [len(k) for _, k in sets.values()])
+        base = min(r for r, _ in sets.values())
+        rows_ = np.repeat(np.array([r - base for r, _ in sets.values()], np.int32), [len(k) for _, k in sets.values()])
         keys = np.concatenate([k for _, k in sets.values()])
         order = np.lexsort((rows_, keys))
         keys, rows_ = keys[order], rows_[order]
@@ -147,12 +170,12 @@ def _dealt(parts: int):
         busy = np.repeat(many := np.diff(np.r_[begin, len(keys)]) >= BUSY, np.diff(np.r_[begin, len(keys)]))
         # a busy key leaves one entry in its part, with no row, as a sign that it is shared
         part = np.r_[np.where(busy, parts + at % parts, ((keys >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)), ((keys[begin[many]] >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)]
-        keys, rows_ = np.r_[keys, keys[begin[many]]], np.r_[rows_, np.full(int(many.sum()), -1)]
+        keys, rows_ = np.r_[keys, keys[begin[many]]], np.r_[rows_, np.full(int(many.sum()), -1, np.int32)]
         order = np.argsort(part, kind="stable")
         own, first = np.unique(part[order], return_index=True)
         ends = np.r_[first[1:], len(part)]
         slices = [order[b:e] for b, e in zip(first, ends, strict=True)]
-        return pa.RecordBatch.from_pydict({"part": pa.array(own, pa.int64()), "keys": pa.array([keys[s].tobytes() for s in slices], pa.binary()), "rows": pa.array([rows_[s].tobytes() for s in slices], pa.binary())})
+        return pa.RecordBatch.from_pydict({"part": pa.array(own, pa.int64()), "base": pa.array([base] * len(own), pa.int64()), "keys": pa.array([keys[s].tobytes() for s in slices], pa.binary()), "rows": pa.array([rows_[s].tobytes() for s in slices], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[bytes, tuple[int, np.ndarray]] = {}
@@ -174,7 +197,7 @@ def _dealt(parts: int):
 def _shared(parts: int):
     def run(group: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(k, "<u8") for k in group.column("keys").to_pylist()])
-        rows_ = np.concatenate([np.frombuffer(r, "<i8") for r in group.column("rows").to_pylist()])
+        rows_ = np.concatenate([np.where((r := np.frombuffer(x, "<i4")) < 0, -1, r + np.int64(base)) for x, base in zip(group.column("rows").to_pylist(), group.column("base").to_pylist(), strict=True)])
         if group.column("part")[0].as_py() < parts:
             order = np.argsort(keys, kind="stable")
             keys, rows_ = keys[order], rows_[order]
@@ -187,9 +210,23 @@ def _shared(parts: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Words()
+    """The full sets of nodes. Copies of a text come to one task, and the first of them is enough."""
+    known, seen = _Words(), set()
     for batch in small(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([token_set(word_bytes(t), known).astype("<u8").tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "elements"])
+        fresh = [(node, text) for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True) if node not in seen and not seen.add(node)]
+        yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in fresh], pa.binary()), pa.array([token_set(word_bytes(t), known).astype("<u8").tobytes() for _, t in fresh], pa.binary())], names=["node", "elements"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link, on full sets, which are made of the texts of the pairs' nodes alone."""
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = ends.join(nodes.select("node", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("text_hash")), "node")
+    texts = docs.join(ends, (docs["text_hash"] == ends["text_hash"]) & docs["doc_id"].eqNullSafe(ends["_id"])).select("node", "text")
+    sets = durable(texts.mapInArrow(_sets, "node binary, elements binary"), "parity-sets")
+    sweep(docs.sparkSession)
+    links = _links(pairs, sets, percent).distinct()
+    discard(sets)
+    return links
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -203,14 +240,26 @@ def _as(df: DataFrame, side: str) -> DataFrame:
     return df.withColumnsRenamed({"node": side, "n": f"{side}_n", "fold": f"{side}_fold"})
 
 
-def _led(members: DataFrame, wide: DataFrame, percent: int, done: DataFrame | None, rest: Column) -> DataFrame:
-    """Pairs of each bucket's most central node that `rest` admits with the others; members: key, node, n, fold, share, label."""
-    lead = members.filter(rest).groupBy("key").agg(F.min(F.struct(-F.col("share"), "node", "n", "fold", "label")).alias("l"))
-    lead = lead.select("key", F.col("l.node").alias("a"), F.col("l.n").alias("a_n"), F.col("l.fold").alias("a_fold"), F.col("l.label").alias("a_label"))
-    met = spread_join(_as(members, "b").withColumnRenamed("label", "b_label"), lead, "key", "b", wide)
-    met = met.filter((F.col("a") != F.col("b")) & (F.col("a_label") != F.col("b_label")) & _may_link("a", "b", percent))
+def _led(members: DataFrame, nodes: DataFrame, wide: DataFrame, percent: int, done: DataFrame | None, rest: Column) -> DataFrame:
+    """Pairs of each bucket's most central node that `rest` admits with those elsewhere; members: key, node, share, label."""
+    lead = members.filter(rest).groupBy("key").agg(F.min(F.struct(-F.col("share"), "node", "label")).alias("l")).select("key", F.col("l.node").alias("a"), F.col("l.label").alias("a_label"))
+    met = spread_join(members.withColumnsRenamed({"node": "b", "label": "b_label"}), lead, "key", "b", wide).filter("a_label <> b_label")
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return durable(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "parity-pairs")
+    pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        pairs = pairs.join(_as(nodes.select("node", "n", "fold"), side), side)
+    return _closer(pairs.filter(_may_link("a", "b", percent)).select("a", "b"), nodes, percent)
+
+
+def _closer(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the third sketches admit too."""
+    stored = durable(pairs, "parity-near")
+    for side in ("a", "b"):
+        pairs = (stored if side == "a" else pairs).join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("tall").alias(f"{side}_tall")), side)
+    slim = pairs.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n"), "a_tall", "b_tall")
+    found = durable(slim.mapInArrow(lambda batches: _no_further(batches, percent), "a binary, b binary"), "parity-pairs")
+    discard(stored)
+    return found
 
 
 def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -222,34 +271,31 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     size = int(sketched.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
 
-    shared = sketched.filter("n_shingles > 0").select("row", "node", "keys").mapInArrow(_dealt(parts), "part long, keys binary, rows binary").groupBy("part").applyInArrow(_shared(parts), "key long, row long")
-    # copies of a set stand for one node, found again by the id and text hash of one of them
-    nodes = durable(sketched.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("fold").alias("fold"), F.first(F.octet_length("keys") / 8).alias("n_keys"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("copies")), "parity-nodes")
+    shared = sketched.filter("n_shingles > 0").select("row", "node", "keys").mapInArrow(_dealt(parts), "part long, base long, keys binary, rows binary").groupBy("part").applyInArrow(_shared(parts), "key long, row long")
     found = durable(shared.join(sketched.select("row", "node"), "row").select("key", "node").distinct(), "parity-shared")
+    # copies of a set stand for one node, found again by the id and text hash of one of them
+    nodes = durable(sketched.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("fold").alias("fold"), F.first("tall").alias("tall"), F.first(F.octet_length("keys") / 8).alias("n_keys"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("copies")), "parity-nodes")
+    every = durable(sketched.select("doc_id", "n_shingles", "node"), "parity-rows")
+    discard(sketched)
+    sweep(spark)
     crowded = durable(found.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "parity-crowded")
     wide = durable(hot_keys(crowded, "key", "many", crowded.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]), "parity-wide")
     buckets = durable(spread_join(found, crowded.select("key"), "key", "node", wide), "parity-buckets")
-    discard(found, crowded)
-    sweep(spark)
-    asked = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("met")).join(nodes, "node").select("node", "n", "fold", (F.col("met") / F.col("n_keys")).alias("share"), F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("text_hash"))
-    asked = durable(asked, "parity-asked")
-    texts = docs.join(asked.select("node", "_id", "text_hash"), (docs["text_hash"] == asked["text_hash"]) & docs["doc_id"].eqNullSafe(asked["_id"])).select("node", "text")
-    sets = durable(texts.mapInArrow(_sets, "node binary, elements binary").dropDuplicates(["node"]), "parity-sets")
-
-    facts = asked.select("node", "n", "fold", "share")
-    every = F.lit(True)
-    members = durable(buckets.join(facts, "node").withColumn("label", F.col("node")), "parity-members")
-    discard(buckets)
+    share = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("met")).join(nodes, "node").select("node", (F.col("met") / F.col("n_keys")).alias("share"))
+    members = durable(buckets.join(share, "node").withColumn("label", F.col("node")), "parity-members")
+    discard(found, crowded, buckets)
+
     total = members.count()
-    done = _led(members, wide, percent, None, every)
-    links = _links(done, sets, percent)
+    done = _led(members, nodes, wide, percent, None, F.lit(True))
+    sweep(spark)
+    links = _verified(done, docs, nodes, percent)
     labels = components(links)
     open_ = _still_open(members, labels, wide)
     discard(members)
     # further leaders, from outside the largest component, while pairs outnumber what a leader meets
     while (open_.agg(F.sum("minor")).first()[0] or 0) > SPLIT * total:
-        pairs = _led(open_, wide, percent, done, F.col("label") != F.col("major"))
-        new = _links(pairs, sets, percent)
+        pairs = _led(open_, nodes, wide, percent, done, F.col("label") != F.col("major"))
+        new = _verified(pairs, docs, nodes, percent)
         done = done.unionByName(pairs)
         if not new.limit(1).count():
             break
@@ -257,16 +303,16 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels, before = components(links), open_
         open_ = _still_open(open_.drop("major", "many", "minor"), labels, wide)
         discard(before)
-    if open_.limit(1).count():
-        pairs = _apart(open_, percent, done)
-        more = _links(pairs, sets, percent)
+    sweep(spark)
+    pairs = _apart(open_, nodes, percent, done)
+    discard(open_)
+    if pairs.limit(1).count():
+        more = _verified(pairs, docs, nodes, percent)
         if more.limit(1).count():
             labels = components(links.unionByName(more))
-        discard(pairs)
-    discard(open_, sets, asked)
     sweep(spark)
-    copied = hot_keys(nodes, "node", "copies", sketched.count())
-    named = spread_join(sketched.select("doc_id", "n_shingles", "node"), labels, "node", "doc_id", copied, "left")
+    copied = hot_keys(nodes, "node", "copies", every.count())
+    named = spread_join(every, labels, "node", "doc_id", copied, "left")
     return durable(named.withColumn("label", F.coalesce("label", "node")).drop("node"), "parity-documents")
 
 
@@ -285,7 +331,7 @@ def _mixed(members: DataFrame) -> DataFrame:
     return each.groupBy("key").agg(F.max(size)["label"].alias("major"), F.sum("_n").alias("many"), (F.sum("_n") - F.max("_n")).alias("minor")).filter("minor > 0")
 
 
-def _apart(open_: DataFrame, percent: int, done: DataFrame) -> DataFrame:
+def _apart(open_: DataFrame, nodes: DataFrame, percent: int, done: DataFrame) -> DataFrame:
     """The pairs that may link and lie in different components of a bucket: one of them is outside the largest.
 
     Linked sets share two words, so where many nodes of a large bucket lie outside its largest
@@ -296,15 +342,16 @@ def _apart(open_: DataFrame, percent: int, done: DataFrame) -> DataFrame:
     other = open_.select("node", F.col("key").alias("second"))
     twice = open_.filter(large).join(other, "node").filter("key <> second").withColumn("key", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")))
     cut = durable(twice.drop("second", "major", "many", "minor").dropDuplicates(["key", "node"]), "parity-twice")
-    fine = durable(open_.filter(~large).unionByName(cut.join(_mixed(cut), "key").select(open_.columns)), "parity-dealt")
+    fine = (open_.filter(~large).unionByName(cut.join(_mixed(cut), "key").select(open_.columns)))
     blocks, own = lambda c: F.ceil(F.col(c) / BLOCK_NODES).cast("int"), lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     outside = F.col("label") != F.col("major")
+    fine = durable(fine.join(nodes.select("node", "n", "fold"), "node"), "parity-dealt")
     side = lambda s, rows_, one, two: _as(rows_.select("key", "node", "n", "fold", F.col("label").alias(f"{s}_label"), outside.alias(f"{s}_out"), one.alias("one"), two.alias("two")), s)
     x = side("x", fine.filter(outside), own(blocks("minor")), every(blocks("many")))
     y = side("y", fine, every(blocks("minor")), own(blocks("many")))
     met = x.join(y, ["key", "one", "two"]).filter((~F.col("y_out") | (F.col("x") < F.col("y"))) & (F.col("x_label") != F.col("y_label")) & _may_link("x", "y", percent))
-    pairs = durable(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "parity-rest")
+    pairs = _closer(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), nodes, percent)
     discard(cut, fine)
     return pairs
 

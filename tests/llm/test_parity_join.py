@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import parity_join as m
@@ -96,8 +97,11 @@ def test_linked_sets_share_two_words_in_one_band_and_stay_within_the_bits(percen
             apart = len(one) + len(two) - 2 * both
             bits = int(np.bitwise_count(m.fold(one) ^ m.fold(two)).sum())
             assert bits <= apart
+            x, y = m.tall(one), m.tall(two)
+            kept = list(m._no_further([pa.RecordBatch.from_pydict({"a": [1], "b": [2], "n": [len(one) + len(two)], "a_tall": pa.array([x], pa.binary()), "b_tall": pa.array([y], pa.binary())})], percent))[0].num_rows
             if 100 * both >= percent * (len(one) + len(two) - both) and apart:
                 tried += 1
+                assert kept == 1
                 assert apart <= m.differ(len(one), len(two), percent)
                 assert len(np.intersect1d(m.keys_of(one, cut, percent), m.keys_of(two, cut, percent))) >= 2
     assert tried > 40
