@@ -6,10 +6,10 @@ sets differ in elements. A link of `percent` asks that sets of a and b elements
 more than (100 - percent) * (a + b) / (100 + percent) elements, which is used twice:
 
 1. Sizes are cut into bands, so that linked sets lie in one band or in two that adjoin. The
-   sketch of a band has two words of 64 bits more than the largest number of elements in which
-   sets that meet there may differ, so by the pigeonhole principle at least two of its words
-   are equal. Each set has a sketch for its own band and one for the band below, and sets with
-   an equal word in a place share a bucket. No link is missed.
+   sketch of a band has four words of 64 bits more than the largest number of elements in which
+   sets that meet there may differ, so by the pigeonhole principle at least four of its
+   words are equal. Each set has a sketch for its own band and one for the band below, and sets with
+   an equal word in a place share a bucket, linked ones four. No link is missed.
 2. A second sketch of 512 bits, whatever the band, bounds the difference of a pair before
    anything is verified, and a third one does so for large sets, with as many bits as they need.
 
@@ -18,7 +18,7 @@ sets of a block have is known to be shared and goes round the parts, so no part
 a key than a few entries a block. In every bucket a central node leads and is verified against
 the others on full sets; components of these links are formed, and only pairs that lie in
 different components of a bucket are left. While those are many, further leaders follow. Buckets
-that still hold many of them are cut by a second equal word, which all linked pairs have, and
+that still hold many of them are cut by a second equal word, which linked pairs have, and
 pairs of blocks are dealt over tasks.
 
 Null, empty and blank texts have no words, an empty set and no links; their component is their
@@ -47,7 +47,7 @@ from graphloom.llm.spread import hot_keys, spread_join
 
 WORDS, PERCENT = 4, 85
 #: Words of a sketch that linked sets share at least.
-SHARED = 2
+SHARED = 4
 #: Longs of the second sketch.
 FOLD = 8
 #: Elements from which on a set has a third sketch, of some four bits an element.
@@ -158,11 +158,10 @@ def _sketched(percent: int):
 
 
 def _dealt(parts: int):
-    """Blocks of keys, cut by part: part, keys and rows, counted from base. Parts from `parts` on hold what is known to be shared."""
+    """Blocks of keys, cut by part: part, keys and rows. Parts from `parts` on hold what is known to be shared."""
 
     def block(sets: dict[bytes, tuple[int, np.ndarray]], at: int) -> pa.RecordBatch:
-        base = min(r for r, _ in sets.values())
-        rows_ = np.repeat(np.array([r - base for r, _ in sets.values()], np.int32), [len(k) for _, k in sets.values()])
+        rows_ = np.repeat(np.array([r for r, _ in sets.values()], np.int64), [len(k) for _, k in sets.values()])
         keys = np.concatenate([k for _, k in sets.values()])
         order = np.lexsort((rows_, keys))
         keys, rows_ = keys[order], rows_[order]
@@ -170,12 +169,12 @@ def _dealt(parts: int):
         busy = np.repeat(many := np.diff(np.r_[begin, len(keys)]) >= BUSY, np.diff(np.r_[begin, len(keys)]))
         # a busy key leaves one entry in its part, with no row, as a sign that it is shared
         part = np.r_[np.where(busy, parts + at % parts, ((keys >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)), ((keys[begin[many]] >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)]
-        keys, rows_ = np.r_[keys, keys[begin[many]]], np.r_[rows_, np.full(int(many.sum()), -1, np.int32)]
+        keys, rows_ = np.r_[keys, keys[begin[many]]], np.r_[rows_, np.full(int(many.sum()), -1)]
         order = np.argsort(part, kind="stable")
         own, first = np.unique(part[order], return_index=True)
         ends = np.r_[first[1:], len(part)]
         slices = [order[b:e] for b, e in zip(first, ends, strict=True)]
-        return pa.RecordBatch.from_pydict({"part": pa.array(own, pa.int64()), "base": pa.array([base] * len(own), pa.int64()), "keys": pa.array([keys[s].tobytes() for s in slices], pa.binary()), "rows": pa.array([rows_[s].tobytes() for s in slices], pa.binary())})
+        return pa.RecordBatch.from_pydict({"part": pa.array(own, pa.int64()), "keys": pa.array([keys[s].tobytes() for s in slices], pa.binary()), "rows": pa.array([rows_[s].tobytes() for s in slices], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[bytes, tuple[int, np.ndarray]] = {}
@@ -197,7 +196,7 @@ def _dealt(parts: int):
 def _shared(parts: int):
     def run(group: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(k, "<u8") for k in group.column("keys").to_pylist()])
-        rows_ = np.concatenate([np.where((r := np.frombuffer(x, "<i4")) < 0, -1, r + np.int64(base)) for x, base in zip(group.column("rows").to_pylist(), group.column("base").to_pylist(), strict=True)])
+        rows_ = np.concatenate([np.frombuffer(r, "<i8") for r in group.column("rows").to_pylist()])
         if group.column("part")[0].as_py() < parts:
             order = np.argsort(keys, kind="stable")
             keys, rows_ = keys[order], rows_[order]
@@ -241,10 +240,10 @@ def _as(df: DataFrame, side: str) -> DataFrame:
 
 
 def _led(members: DataFrame, nodes: DataFrame, wide: DataFrame, percent: int, done: DataFrame | None, rest: Column) -> DataFrame:
-    """Pairs of each bucket's most central node that `rest` admits with those elsewhere; members: key, node, share, label."""
+    """Pairs of each bucket's most central node that `rest` admits with those elsewhere, if they share buckets enough; members: key, node, share, label."""
     lead = members.filter(rest).groupBy("key").agg(F.min(F.struct(-F.col("share"), "node", "label")).alias("l")).select("key", F.col("l.node").alias("a"), F.col("l.label").alias("a_label"))
     met = spread_join(members.withColumnsRenamed({"node": "b", "label": "b_label"}), lead, "key", "b", wide).filter("a_label <> b_label")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= SHARED).drop("_n")
     pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
     for side in ("a", "b"):
         pairs = pairs.join(_as(nodes.select("node", "n", "fold"), side), side)
@@ -271,7 +270,7 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     size = int(sketched.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
 
-    shared = sketched.filter("n_shingles > 0").select("row", "node", "keys").mapInArrow(_dealt(parts), "part long, base long, keys binary, rows binary").groupBy("part").applyInArrow(_shared(parts), "key long, row long")
+    shared = sketched.filter("n_shingles > 0").select("row", "node", "keys").mapInArrow(_dealt(parts), "part long, keys binary, rows binary").groupBy("part").applyInArrow(_shared(parts), "key long, row long")
     found = durable(shared.join(sketched.select("row", "node"), "row").select("key", "node").distinct(), "parity-shared")
     # copies of a set stand for one node, found again by the id and text hash of one of them
     nodes = durable(sketched.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("fold").alias("fold"), F.first("tall").alias("tall"), F.first(F.octet_length("keys") / 8).alias("n_keys"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("copies")), "parity-nodes")
@@ -281,7 +280,8 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     crowded = durable(found.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "parity-crowded")
     wide = durable(hot_keys(crowded, "key", "many", crowded.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]), "parity-wide")
     buckets = durable(spread_join(found, crowded.select("key"), "key", "node", wide), "parity-buckets")
-    share = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("met")).join(nodes, "node").select("node", (F.col("met") / F.col("n_keys")).alias("share"))
+    # a node in fewer shared buckets than linked sets have in common has no link
+    share = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= SHARED).join(nodes, "node").select("node", (F.col("met") / F.col("n_keys")).alias("share"))
     members = durable(buckets.join(share, "node").withColumn("label", F.col("node")), "parity-members")
     discard(found, crowded, buckets)
 
@@ -334,7 +334,7 @@ def _mixed(members: DataFrame) -> DataFrame:
 def _apart(open_: DataFrame, nodes: DataFrame, percent: int, done: DataFrame) -> DataFrame:
     """The pairs that may link and lie in different components of a bucket: one of them is outside the largest.
 
-    Linked sets share two words, so where many nodes of a large bucket lie outside its largest
+    Linked sets share several words, so where many nodes of a large bucket lie outside its largest
     component, the bucket is cut by the other buckets of its nodes; what shares both is large
     only where whole families share much of their text.
     """
@@ -342,16 +342,18 @@ def _apart(open_: DataFrame, nodes: DataFrame, percent: int, done: DataFrame) ->
     other = open_.select("node", F.col("key").alias("second"))
     twice = open_.filter(large).join(other, "node").filter("key <> second").withColumn("key", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")))
     cut = durable(twice.drop("second", "major", "many", "minor").dropDuplicates(["key", "node"]), "parity-twice")
-    fine = (open_.filter(~large).unionByName(cut.join(_mixed(cut), "key").select(open_.columns)))
+    fine = open_.filter(~large).withColumn("cut", F.lit(False)).unionByName(cut.join(_mixed(cut), "key").select(*open_.columns, F.lit(True).alias("cut")))
     blocks, own = lambda c: F.ceil(F.col(c) / BLOCK_NODES).cast("int"), lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     outside = F.col("label") != F.col("major")
     fine = durable(fine.join(nodes.select("node", "n", "fold"), "node"), "parity-dealt")
-    side = lambda s, rows_, one, two: _as(rows_.select("key", "node", "n", "fold", F.col("label").alias(f"{s}_label"), outside.alias(f"{s}_out"), one.alias("one"), two.alias("two")), s)
+    side = lambda s, rows_, one, two: _as(rows_.select("key", "cut", "node", "n", "fold", F.col("label").alias(f"{s}_label"), outside.alias(f"{s}_out"), one.alias("one"), two.alias("two")), s)
     x = side("x", fine.filter(outside), own(blocks("minor")), every(blocks("many")))
     y = side("y", fine, every(blocks("minor")), own(blocks("many")))
-    met = x.join(y, ["key", "one", "two"]).filter((~F.col("y_out") | (F.col("x") < F.col("y"))) & (F.col("x_label") != F.col("y_label")) & _may_link("x", "y", percent))
-    pairs = _closer(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), nodes, percent)
+    met = x.join(y, ["key", "cut", "one", "two"]).filter((~F.col("y_out") | (F.col("x") < F.col("y"))) & (F.col("x_label") != F.col("y_label")) & _may_link("x", "y", percent))
+    # a pair is met in every bucket that it shares, and a linked one shares four; where a bucket was cut, one meeting is enough
+    often = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum(F.when(F.col("cut"), SHARED).otherwise(1)).alias("_n")).filter(F.col("_n") >= SHARED).select("a", "b")
+    pairs = _closer(often.join(done, ["a", "b"], "left_anti"), nodes, percent)
     discard(cut, fine)
     return pairs
 
