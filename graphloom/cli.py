@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from graphloom import serve
 from graphloom.operators import commands, layout, metrics
 from graphloom.session import local_session
+from graphloom.sources import store
 from graphloom.sources.index import CodeGraph, index
 from graphloom.sources.parse import FRONTENDS
 
@@ -34,7 +35,7 @@ HOME = ".graphloom"
 def locate(start: str) -> Path:
     """The nearest index at or above a folder."""
     for folder in (Path(start).resolve(), *Path(start).resolve().parents):
-        if (folder / HOME / "nodes").exists():
+        if any((folder / HOME).glob(f"{store.VERSION}*/{store.DONE}")):
             return folder / HOME
     raise FileNotFoundError(f"no index at or above {start}; run index first")
 
@@ -42,11 +43,10 @@ def locate(start: str) -> Path:
 def build(spark: SparkSession, root: str, out: str | None = None, force: bool = False, everything: bool = False, frontends: bool | tuple[str, ...] = True) -> CodeGraph:
     """Index a tree, reusing the stored facts of unchanged files, and store it."""
     where = Path(out or Path(root) / HOME)
-    facts = where / "facts"
-    cached = spark.read.parquet(str(facts)) if facts.exists() and not force else None
+    before = store.current(spark, str(where))
+    cached = spark.read.parquet(f"{before}/facts") if before and not force else None
     graph, now = index(spark, root, not everything, frontends, cached)
-    graph.write(str(where))
-    now.write.mode("overwrite").parquet(str(where / "facts"))
+    graph.write(str(where), now)
     return CodeGraph.read(spark, str(where))
 
 

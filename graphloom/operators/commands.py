@@ -131,8 +131,8 @@ def outline(g: CodeGraph, target: str) -> Answer:
     node = _one(g, target, "file")
     a = Answer({"file": node["path"]})
     a.tables["symbols"] = g.nodes.filter((F.col("path") == node["path"]) & F.col("kind").isin("Class", "Function")).orderBy("line", "id").select("id", "kind", "name", "parent", "line", "length")
-    a.tables["imports"] = g.edges.filter((F.col("kind") == "imports") & (F.col("src") == node["id"])).select("dst").orderBy("dst")
-    importers = graph.one_hop(g.edges, node["id"], "in", "imports", IMPORTERS)
+    a.tables["imports"] = g.near("src", [node["id"]], ["imports"]).select("dst").orderBy("dst")
+    importers = graph.one_hop(g.near("dst", [node["id"]]), node["id"], "in", "imports", IMPORTERS)
     a.tables["importers"] = importers.select("id")
     first = importers.first()
     a.values["importer_total"] = first["total"] if first else 0
@@ -167,7 +167,7 @@ SITES = "path string, line int, caller string, conf double, code string"
 def who_calls(g: CodeGraph, target: str, source: Callable[[str], bytes] | None = None) -> Answer:
     """Callers of a symbol at their call sites, with the code there, and whether the list is complete."""
     node = _one(g, target, "function class")
-    hit = g.edges.filter((F.col("kind") == "calls") & (F.col("dst") == node["id"])).select(F.col("src").alias("id"), "conf", "lines")
+    hit = g.near("dst", [node["id"]], ["calls"]).select(F.col("src").alias("id"), "conf", "lines")
     open_ = g.unbound.filter(F.col("name") == node["name"])
     total, guesses, unresolved = hit.count(), hit.filter(F.col("conf") < GUESS_BELOW).count(), open_.count()
     a = Answer({"target": node["id"], "ambiguous": node["total"] - 1, "total": total, "guesses": guesses, "unresolved_total": unresolved, "complete": not guesses and not unresolved and total <= NEIGHBOURS})
@@ -195,7 +195,7 @@ def who_calls(g: CodeGraph, target: str, source: Callable[[str], bytes] | None =
 
 def calls(g: CodeGraph, target: str) -> Answer:
     node = _one(g, target, "function class file")
-    hop = graph.one_hop(g.edges, node["id"], "out", "calls", NEIGHBOURS)
+    hop = graph.one_hop(g.near("src", [node["id"]]), node["id"], "out", "calls", NEIGHBOURS)
     a = Answer({"target": node["id"], "ambiguous": node["total"] - 1})
     a.tables["callees"] = _named(g, hop.select("id", "conf")).withColumn("tag", conf_tag(F.col("conf"))).orderBy(F.desc("conf"), "path", "id")
     first = hop.first()
@@ -204,8 +204,10 @@ def calls(g: CodeGraph, target: str) -> Answer:
     return a
 
 
-def _used(g: CodeGraph, kinds: str | None) -> DataFrame:
-    return graph.of_kinds(g.edges, (kinds or "calls imports").replace(",", " ").split())
+def _reach(g: CodeGraph, kinds: str | list[str] | None, ids: list[str], depth: int, direction: str) -> DataFrame:
+    """graph.reach over edges of the given kinds, looked up hop by hop."""
+    kinds = (kinds or "calls imports").replace(",", " ").split() if not isinstance(kinds, list) else kinds
+    return graph.reach(graph.of_kinds(g.edges, kinds), _seed(g, *ids), depth, direction, near=lambda end, at: g.near(end, at, kinds))
 
 
 def _seed(g: CodeGraph, *ids: str) -> DataFrame:
@@ -214,7 +216,7 @@ def _seed(g: CodeGraph, *ids: str) -> DataFrame:
 
 def neighbors(g: CodeGraph, target: str, depth: int = 2, kinds: str | None = None, direction: str = "both") -> Answer:
     node = _one(g, target)
-    reached = graph.reach(_used(g, kinds), _seed(g, node["id"]), depth, direction)
+    reached = _reach(g, kinds, [node["id"]], depth, direction)
     a = Answer({"target": node["id"], "depth": depth, "capped": bool(reached.first()["capped"])})
     a.tables["neighbors"] = _named(g, reached.filter(F.col("id") != node["id"])).orderBy("hop", F.coalesce("path", F.lit("")), "id")
     _listed(a, f"within {depth} of {node['name']}" + (" (capped)" if a.values["capped"] else ""), a.tables["neighbors"], lambda r: f"{r['hop']} {_where(r)}")
@@ -223,7 +225,7 @@ def neighbors(g: CodeGraph, target: str, depth: int = 2, kinds: str | None = Non
 
 def _depends(g: CodeGraph, target: str, direction: str, transitive: bool) -> Answer:
     node = _one(g, target, "file dir library")
-    reached = graph.reach(graph.of_kinds(g.edges, ["imports"]), _seed(g, node["id"]), 12 if transitive else 1, direction)
+    reached = _reach(g, ["imports"], [node["id"]], 12 if transitive else 1, direction)
     a = Answer({"target": node["id"], "transitive": transitive, "capped": bool(reached.first()["capped"])})
     every = _named(g, reached.filter(F.col("id") != node["id"])).orderBy("hop", F.coalesce("path", F.lit("")), "id")
     a.values["total"] = every.count()
@@ -253,7 +255,7 @@ def _nearest(r) -> str:
 
 def impact(g: CodeGraph, target: str, depth: int = 3) -> Answer:
     node = _one(g, target)
-    reached = graph.reach(_used(g, None), _seed(g, node["id"]), depth, "in")
+    reached = _reach(g, None, [node["id"]], depth, "in")
     found = _named(g, reached.filter(F.col("id") != node["id"]))
     a = Answer({"target": node["id"], "depth": depth, "capped": bool(reached.first()["capped"]), "reached": found.count()})
     a.tables["by_file"] = _by_file(found)
@@ -269,7 +271,7 @@ def subgraph(g: CodeGraph, seeds: list[str], depth: int = 2, kinds: str | None =
     a = Answer({"seeds": ids, "unresolved": [s for s, r in hits.items() if not r], "depth": depth})
     if not ids:
         raise NotFound(f"nothing matches {seeds!r}")
-    reached = graph.reach(_used(g, kinds), _seed(g, *ids), depth, "both")
+    reached = _reach(g, kinds, ids, depth, "both")
     found = _named(g, reached)
     a.values |= {"capped": bool(reached.first()["capped"]), "nodes": found.count()}
     a.tables["by_file"] = _by_file(found.filter(~F.col("kind").isin("Dir", "Library")))

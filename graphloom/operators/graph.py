@@ -6,6 +6,7 @@ write their state to the shared folder each round, so lost executors cost one ro
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,42 +57,73 @@ def one_hop(edges: DataFrame, target: str, direction: str, kind: str, limit: int
     return hit.orderBy(F.desc("conf"), "id").limit(limit).join(F.broadcast(total))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", cap: int | None = VISITED_CAP) -> DataFrame:
+#: Ids of a frontier that go into a filter as they are; more, up to the cap, are broadcast.
+FEW = 500
+
+
+def _beyond(edges: DataFrame, direction: str, at: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """id of the far ends of the edges that at(edges, near end) keeps."""
+    sides = [(n, f) for n, f, d in (("src", "dst", "out"), ("dst", "src", "in")) if direction in (d, "both")]
+    return reduce(DataFrame.unionAll, [at(edges, n).select(F.col(f).alias("id")) for n, f in sides]).distinct()
+
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", cap: int | None = VISITED_CAP, near: Callable[[str, list], DataFrame] | None = None) -> DataFrame:
     """id, hop (least) and capped of all nodes within `depth` of the seeds (column id), these included.
 
-    When more than `cap` nodes are found, those of least (hop, id) stay and capped is true.
+    When more than `cap` nodes are found, those of least (hop, id) stay and capped is true. With
+    a cap, what is seen is bounded by it and stays with the driver, and each hop is one job that
+    reads the edges at its frontier: near(end, ids), if given, looks them up. Without a cap, or
+    with more seeds than it, state is written each hop. No hop copies the edges.
     """
-    steps = []
-    if direction in ("out", "both"):
-        steps.append(edges.select(F.col("src").alias("at"), F.col("dst").alias("id")))
-    if direction in ("in", "both"):
-        steps.append(edges.select(F.col("dst").alias("at"), F.col("src").alias("id")))
-    hops = durable(reduce(DataFrame.unionAll, steps).distinct(), "hops")
+    spark, kind = edges.sparkSession, seeds.schema["id"].dataType.simpleString()
+    first = [r.id for r in seeds.select("id").distinct().limit(cap + 1).collect()] if cap is not None else []
+    if cap is None or len(first) > cap:
+        return _reach_written(edges, seeds, depth, direction, cap)
+    hops, frontier, capped = dict.fromkeys(first, 0), first, False
+    for hop in range(1, depth + 1):
+        local = spark.createDataFrame([(i,) for i in frontier], f"id {kind}")
+        if len(frontier) > FEW:
+            at = lambda e, end, ids=local: e.join(F.broadcast(ids.select(F.col("id").alias(end))), end, "left_semi")
+        elif near is not None:
+            at = lambda _, end, ids=tuple(frontier): near(end, list(ids))
+        else:
+            at = lambda e, end, ids=tuple(frontier): e.filter(F.col(end).isin(*ids))
+        found, left = _beyond(edges, direction, at), cap - len(hops)
+        if len(hops) <= FEW:
+            found = found.filter(~F.col("id").isin(*hops))
+        else:
+            found = found.join(F.broadcast(spark.createDataFrame([(i,) for i in hops], f"id {kind}")), "id", "left_anti")
+        frontier = [r.id for r in found.filter("id is not null").orderBy("id").limit(left + 1).collect()]
+        capped = len(frontier) > left
+        hops |= dict.fromkeys(frontier[:left], hop)
+        if capped or not frontier:
+            break
+    return spark.createDataFrame([(i, h, capped) for i, h in hops.items()], f"id {kind}, hop int, capped boolean")
+
+
+def _reach_written(edges: DataFrame, seeds: DataFrame, depth: int, direction: str, cap: int | None) -> DataFrame:
+    """reach() for any number of nodes: one row a node, written each hop."""
     seen = durable(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "reach")
     frontier, capped = seen, False
     for hop in range(1, depth + 1):
-        found = hops.join(frontier.select(F.col("id").alias("at")), "at", "left_semi").select("id").distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
-        frontier = durable(found, "frontier")
-        new = frontier.limit(1).count()
-        if not new:
+        found = _beyond(edges, direction, lambda e, end, ids=frontier: e.join(ids.select(F.col("id").alias(end)), end, "left_semi"))
+        frontier = durable(found.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)), "frontier")
+        if not frontier.limit(1).count():
             break
         seen = seen.unionAll(frontier)
         if cap is not None and (n := seen.count()) > cap:
-            frontier = durable(frontier.orderBy("id").limit(cap - (n - frontier.count())), "frontier")
+            frontier = frontier.orderBy("id").limit(max(0, cap - (n - frontier.count())))
             seen, capped = durable(seen.filter(F.col("hop") < hop).unionAll(frontier), "reach"), True
             break
     return seen.withColumn("capped", F.lit(capped))
 
 
-def _spread(rest: DataFrame, turn: int) -> DataFrame:
+def _spread(rest: DataFrame, colour: DataFrame) -> DataFrame:
     """id and colour: of all nodes from which a node can be reached, the one of least rank, itself included.
 
-    Ranks are shuffled anew each turn. A step takes the least colour of those before a node and
-    then the colour of that colour, whose reach goes further back, so long paths shorten fast.
+    colour: written; each node's own rank and id. A step takes the least colour of those before a
+    node and then the colour of that colour, whose reach goes further back, so paths shorten.
     """
-    nodes = rest.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("of"))
-    colour = durable(nodes.select("id", rank("id").alias("colour")), "scc-colour")
     while True:
         came = rest.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("came"))
         near = durable(colour.join(came, "id", "left").select("id", F.col("colour").alias("was"), F.least("colour", "came").alias("colour")), "scc-near")
@@ -105,46 +137,91 @@ def _spread(rest: DataFrame, turn: int) -> DataFrame:
             return colour
 
 
+#: A round of shrinking follows another while it takes more than this share of the edges.
+SHRINK = 1 / 16
+
+
+def _shrunk(rest: DataFrame, passed: list[DataFrame]) -> DataFrame:
+    """rest without nodes that have no edge in or none out, and with paths drawn together.
+
+    A node with one edge in and one out lies on a cycle exactly when the nodes before and after
+    it are one or share a component; it gives way to an edge between these, and (id, before,
+    after) goes to passed. Of such nodes side by side the one of least rank goes, with ranks
+    dealt anew each round, so a path of any length is gone in a number of rounds that grows with
+    its logarithm.
+    """
+    before = rest.count()
+    while before:
+        into = rest.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("i"), F.min("src").alias("before"))
+        out = rest.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("o"), F.min("dst").alias("after"))
+        live = durable(into.join(out, "id"), "scc-live")
+        single = live.filter("i = 1 and o = 1").withColumn("rank", F.xxhash64("id", F.lit(len(passed))))
+        beside = lambda c: single.select(F.col("id").alias(c), F.struct("rank", "id").alias(f"{c}_rank"))
+        own = F.struct("rank", "id")
+        least = single.join(beside("before"), "before", "left").join(beside("after"), "after", "left").filter((F.col("before_rank").isNull() | (own < F.col("before_rank"))) & (F.col("after_rank").isNull() | (own < F.col("after_rank"))))
+        gone = durable(least.select("id", "before", "after"), "scc-passed")
+        stay = live.select("id").join(gone, "id", "left_anti")
+        kept = rest.join(stay.withColumnRenamed("id", "src"), "src", "left_semi").join(stay.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+        bridged = gone.filter("before <> after").select(F.col("before").alias("src"), F.col("after").alias("dst"))
+        now = durable(kept.unionByName(bridged).distinct(), "scc-edges")
+        passed.append(gone)
+        after = now.count()
+        discard(rest, live)
+        rest = now
+        if before - after <= SHRINK * before:
+            break
+        before = after
+    return rest
+
+
+def _regained(labels: DataFrame, passed: list[DataFrame]) -> DataFrame:
+    """labels (id, colour) with the nodes on cycles that were passed over, the last passed first."""
+    for gone in reversed(passed):
+        if not gone.limit(1).count():
+            continue
+        end = lambda c: labels.select(F.col("id").alias(c), F.col("colour").alias(f"{c}_colour"))
+        both = gone.join(end("before"), "before", "left").join(end("after"), "after", "left")
+        loop = F.col("before") == F.col("after")
+        own = both.select("id", F.when(loop, F.coalesce("before_colour", "before")).when(F.col("before_colour") == F.col("after_colour"), F.col("before_colour")).alias("colour")).filter("colour is not null")
+        anchors = both.filter(loop & F.col("before_colour").isNull()).select(F.col("before").alias("id"), F.col("before").alias("colour")).distinct()
+        labels = labels.unionByName(durable(own.unionByName(anchors), "scc-regained"))
+    return labels
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """id, component (its least member) and size of every node on a cycle, by colouring.
 
-    Each round trims nodes without an edge in or out, colours every node by what reaches it,
-    cuts the edges between colours, and takes back, within a colour, what reaches its root. The
-    rest goes into the next round with other ranks, until no edge is left.
+    Each turn shrinks the graph, colours every node by what reaches it, cuts the edges between
+    colours, and takes back, within a colour, what reaches its root, both by pointer jumping. The
+    rest goes into the next turn with other ranks, until no edge is left; nodes that shrinking
+    passed over come back at the end.
     """
+    kind = edges.schema["src"].dataType.simpleString()
     rest = durable(edges.select("src", "dst").distinct().filter("src <> dst"), "scc-edges")
     found: list[DataFrame] = []
+    passed: list[DataFrame] = []
     turn = 0
     while True:
-        while True:
-            kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            kept = durable(kept, "scc-trim")
-            before, after = rest.count(), kept.count()
-            discard(rest)
-            rest = kept
-            if before == after:
-                break
+        rest = _shrunk(rest, passed)
         if not rest.limit(1).count():
             break
-        colour = _spread(rest, turn)
-        inside = rest.join(colour.select(F.col("id").alias("src"), F.col("colour.of").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour.of").alias("d")), "dst").filter("c = d").select("src", "dst", "c")
+        nodes = rest.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        colour = _spread(rest, durable(nodes.select("id", F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), F.col("id").alias("of")).alias("colour")), "scc-colour"))
+        inside = rest.join(colour.select(F.col("id").alias("src"), F.col("colour.of").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour.of").alias("d")), "dst").filter("c = d").select("src", "dst")
         inside = durable(inside, "scc-inside")
-        member = durable(colour.select("id", F.col("colour.of").alias("colour")).filter("id = colour"), "scc-members")
-        front = member
-        while True:
-            back = inside.join(front.select(F.col("id").alias("dst"), F.col("colour").alias("c")), ["dst", "c"]).select(F.col("src").alias("id"), F.col("c").alias("colour")).distinct().join(member, ["id", "colour"], "left_anti")
-            front = durable(back, "scc-front")
-            if not front.limit(1).count():
-                break
-            member = durable(member.unionAll(front), "scc-members")
+        rank = F.when(F.col("id") == F.col("colour.of"), F.lit(-(1 << 63))).otherwise(F.greatest(F.xxhash64("id", F.lit(-1 - turn)), F.lit(1 - (1 << 63))))
+        back = _spread(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), durable(colour.select("id", F.struct(rank.alias("rank"), F.col("id").alias("of")).alias("colour")), "scc-back"))
+        member = durable(back.filter(F.col("colour.rank") == -(1 << 63)).select("id", F.col("colour.of").alias("colour")), "scc-members")
         found.append(member)
         after_ = durable(inside.join(member.select(F.col("id").alias("src")), "src", "left_anti").join(member.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc-edges")
-        discard(rest, inside, colour)
+        discard(rest, inside, colour, back)
         rest, turn = after_, turn + 1
-    none = edges.sparkSession.createDataFrame([], "id string, colour string")
+    none = edges.sparkSession.createDataFrame([], f"id {kind}, colour {kind}")
     every = reduce(DataFrame.unionAll, found) if found else none
-    large = every.groupBy("colour").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return every.join(large, "colour").select("id", "component", "size")
+    large = every.join(every.groupBy("colour").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "colour", "left_semi").select("id", "colour")
+    every = _regained(large, passed)
+    sizes = every.groupBy("colour").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
+    return every.join(sizes, "colour").select("id", "component", "size")
 
 
 def prune(nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:

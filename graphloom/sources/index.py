@@ -11,6 +11,7 @@ from graphloom.durable import durable
 from graphloom.functions.text import basename, dirname, duplicate_ids
 from graphloom.operators import calls, graph
 from graphloom.operators import imports as import_rules
+from graphloom.sources import store
 from graphloom.sources.parse import parse
 from graphloom.sources.scan import above, discover
 
@@ -28,14 +29,36 @@ class CodeGraph:
 
     TABLES = ("files", "nodes", "edges", "imports", "unbound", "counters")
 
-    def write(self, out: str) -> None:
-        for name in self.TABLES:
-            writer = getattr(self, name).write.mode("overwrite")
-            (writer.partitionBy("kind") if name == "edges" else writer).parquet(f"{out}/{name}")
+    #: Set where the graph is read from a store.
+    lookup: store.Lookup | None = None
+
+    def write(self, out: str, facts: DataFrame | None = None) -> None:
+        """A new version of the stored graph, and of the facts it was made from; it is seen once it is whole."""
+
+        def fill(folder: str) -> None:
+            for name in self.TABLES:
+                if name != "edges":
+                    getattr(self, name).write.parquet(f"{folder}/{name}")
+            store.Lookup.write(self.edges, folder)
+            if facts is not None:
+                facts.write.parquet(f"{folder}/facts")
+
+        store.publish(self.nodes.sparkSession, out, fill)
 
     @classmethod
     def read(cls, spark: SparkSession, where: str) -> CodeGraph:
-        return cls(**{name: spark.read.parquet(f"{where}/{name}") for name in cls.TABLES})
+        """The newest whole version, to which the tables read stay pinned."""
+        folder = store.current(spark, where)
+        if folder is None:
+            raise FileNotFoundError(f"no whole version of a graph in {where}")
+        lookup = store.Lookup.read(spark, folder)
+        tables = {name: spark.read.parquet(f"{folder}/{name}") for name in cls.TABLES if name != "edges"}
+        return cls(**tables, edges=lookup.out.drop("bucket"), lookup=lookup)
+
+    def near(self, end: str, ids: list[str], kinds: list[str] | None = None) -> DataFrame:
+        """The edges whose end, src or dst, is one of the ids: a lookup where the graph is stored."""
+        found = self.lookup.near(end, ids) if self.lookup else self.edges.filter(F.col(end).isin(ids))
+        return graph.of_kinds(found, kinds)
 
 
 def symbol_rows(facts: DataFrame) -> DataFrame:
