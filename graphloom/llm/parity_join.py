@@ -30,6 +30,7 @@ long one only has more words in its sketch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -58,6 +59,8 @@ BLOCK_BYTES, PART_BYTES, BUSY = 4 << 20, 16 << 20, 32
 BLOCK_NODES = 256
 #: Nodes outside the largest component of a bucket from which on a bucket of more than a block is cut.
 SPLIT = 64
+#: A round of leaders follows another if that has left no more than this share of comparisons.
+SHRINK = 0.75
 
 _PLACE = np.random.default_rng(0x9A71).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _BAND, _SEGMENT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -292,8 +295,9 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = components(links)
     open_ = _still_open(members, labels, wide)
     discard(members)
-    # further leaders, from outside the largest component, while pairs outnumber what a leader meets
-    while (open_.agg(F.sum("minor")).first()[0] or 0) > SPLIT * total:
+    # further leaders, from outside the largest component, while pairs outnumber what a leader meets and get fewer
+    cost, before_ = _comparisons(open_), math.inf
+    while SPLIT * total < cost < SHRINK * before_:
         pairs = _led(open_, nodes, wide, percent, done, F.col("label") != F.col("major"))
         new = _verified(pairs, docs, nodes, percent)
         done = done.unionByName(pairs)
@@ -303,6 +307,7 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels, before = components(links), open_
         open_ = _still_open(open_.drop("major", "many", "minor"), labels, wide)
         discard(before)
+        cost, before_ = _comparisons(open_), cost
     sweep(spark)
     pairs = _apart(open_, nodes, percent, done)
     discard(open_)
@@ -324,6 +329,10 @@ def _still_open(members: DataFrame, labels: DataFrame, wide: DataFrame) -> DataF
     return found
 
 
+def _comparisons(open_: DataFrame) -> int:
+    return open_.agg(F.coalesce(F.sum("minor"), F.lit(0))).first()[0]
+
+
 def _mixed(members: DataFrame) -> DataFrame:
     """key, major, many and minor of the buckets that hold several components."""
     each = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
