@@ -1,15 +1,16 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are paragraphs: the lines of a text, and long lines cut further at places their
-words choose, so that an edit moves only the cuts beside it. Where no word ends a leaf in
-time, a rolling hash of code points chooses, and a leaf of the largest size is cut in any
-case. Leaves that begin near the start of a text are smaller, so that short texts have
-several. A leaf's digest is the SHA-256 of its bytes. A section is a run of paragraphs that
-ends where a leaf's digest says so; its digest is the SHA-256 of its children's digests and
-sizes, and sections are grouped in the same way, level by level, until one node is left. The
-root thus follows from its children only, and equal roots mean equal texts. The fingerprint
-writes all levels as text, root first; likeness walks down from the roots: equal nodes are
-settled without their children, and only the differing branches are opened, to the leaves.
+Leaves are paragraphs: lines of a text, short ones together, and long lines cut further at
+places their words choose, so that an edit moves only the cuts beside it. Where no word ends a
+leaf in time, a rolling hash of code points chooses, and a leaf of the largest size is cut in
+any case. Leaves grow with their distance from the start of a text, so that short texts have
+several and long ones no more than they need. A digest is the first 16 bytes of a SHA-256; a
+leaf's is that of its bytes. A section is a run of paragraphs that ends where a leaf's digest
+says so; its digest is that of its children's digests and sizes, and sections are grouped in the
+same way, level by level, until one node is left. The root thus follows from its children only,
+and equal roots mean equal texts. The fingerprint writes root and leaves as text, from which the
+levels between are grown again. Likeness walks down from the roots: equal nodes are settled
+without their children, and only the differing branches are opened, to the leaves.
 
 Documents in ascending order of id (nulls first, equal ids by text hash) have a next one;
 the last is followed by the first. They are cut into ranges by sampled splitters, and the
@@ -40,32 +41,37 @@ from graphloom.durable import durable
 from graphloom.llm.common import small
 from graphloom.llm.splitters import range_of, ranges
 
-#: Code points at the start of a text whose leaves are smaller.
-NEAR_START = 1_024
-
 
 @dataclass(frozen=True)
 class _Cut:
-    """A word ends a leaf if its hash is 0 modulo `words`; a line end always does.
+    """How leaves are cut that begin at code point `begin` of a text or later.
 
-    A leaf longer than `long` is cut where the hash of the last `WINDOW` code points is 0
-    modulo `points`, `long` // 4 (more than WINDOW) after the last cut at the earliest and
-    `most` at the latest.
+    A leaf of at least `least` code points ends at a line end or after a word whose hash is 0
+    modulo `words`. One longer than `most` is cut where the hash of the last `WINDOW` code
+    points is 0 modulo `points`, `most` // 4 (more than WINDOW) after the last cut at the
+    earliest and `most` at the latest.
     """
 
+    begin: int
+    least: int
     words: int
-    long: int
     points: int
     most: int
 
 
-SMALL, LARGE = _Cut(4, 48, 16, 96), _Cut(12, 192, 64, 384)
+#: Leaves grow with their distance from the start, so that short texts have several and long ones few.
+#: Each modulus divides the next, so an edit moves only the cuts beside it. Cuts follow from what is
+#: before them, and no leaf is longer than 0.5 of its begin (but for the first, of 64): a text of 500
+#: code points or more whose last half is replaced keeps a likeness of a third at least.
+CUTS = [_Cut(begin, size // 2, size // 16, size // 2, 2 * size) for begin, size in ((0, 32), (256, 64), (640, 128), (1_280, 256), (2_560, 512), (8_192, 1_024))]
+BEGINS = [cut.begin for cut in CUTS]
 WINDOW = 8
 #: Code points that are hashed at once.
 STEP = 1 << 20
 #: A node ends its parent if its digest is 0 modulo this, and if the parent has that many children.
 CHILDREN, MOST_CHILDREN = 8, 64
-DIGEST = 32
+#: Bytes of a digest.
+DIGEST = 16
 RANGE_BYTES = 8 << 20
 MOST_RANGES = 65_536
 
@@ -73,8 +79,8 @@ _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDO
 
 
 def _cut_points(text: str) -> dict[_Cut, list[int]]:
-    """For either cut, after which code points of the text the hash of the last few says that a long leaf may end."""
-    found: dict[_Cut, list[int]] = {SMALL: [], LARGE: []}
+    """For each cut, after which code points of the text the hash of the last few says that a long leaf may end."""
+    found: dict[_Cut, list[int]] = {cut: [] for cut in CUTS}
     for begin in range(0, len(text), STEP):
         low = max(0, begin - WINDOW + 1)
         points = np.frombuffer(text[low : begin + STEP].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -87,51 +93,41 @@ def _cut_points(text: str) -> dict[_Cut, list[int]]:
     return found
 
 
-def _pieces(begin: int, end: int, cut: _Cut, points: list[int]) -> Iterator[tuple[int, int]]:
-    """Begin and end of the pieces of a long leaf."""
-    for at in [*points[bisect_right(points, begin) : bisect_left(points, end)], end]:
-        while at - begin > cut.most:
-            yield begin, begin + cut.most
-            begin += cut.most
-        if at - begin >= cut.long // 4 and at < end:
-            yield begin, at
-            begin = at
-    yield begin, end
+def _cut_at(begin: int) -> _Cut:
+    return CUTS[bisect_right(BEGINS, begin) - 1]
 
 
 def paragraphs(text: str) -> list[str]:
     """The leaves of a text, in order; joined they are the text."""
     out: list[str] = []
     points: dict[_Cut, list[int]] = {}
-    at = 0
-
-    def close(begin: int, end: int) -> None:
-        while begin < end:
-            small = begin < NEAR_START
-            cut = SMALL if small else LARGE
-            if end - begin <= cut.long:
-                out.append(text[begin:end])
-                return
+    begin, at, cut = 0, 0, CUTS[0]
+
+    def close(end: int) -> None:
+        nonlocal begin, cut
+        while end - begin > cut.most:
             if not points:
                 points.update(_cut_points(text))
-            # only what begins near the start is cut small
-            for first, last in _pieces(begin, min(end, NEAR_START + cut.most) if small else end, cut, points[cut]):
-                if small and first >= NEAR_START:
-                    break
-                out.append(text[first:last])
-                begin = last
+            near = points[cut]
+            i = bisect_left(near, begin + cut.most // 4)
+            stop = min(near[i] if i < len(near) else end, begin + cut.most, end)
+            out.append(text[begin:stop])
+            begin, cut = stop, _cut_at(stop)
+        if begin < end:
+            out.append(text[begin:end])
+            begin, cut = end, _cut_at(end)
 
     for line in text.splitlines(keepends=True) if "\n" in text else [text]:
         end = at + len(line)
-        begin = at
-        if len(line) >= 48:
+        if end - begin > cut.least:
             for word in line.split(" ")[:-1]:
                 at += len(word) + 1
-                if xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % (SMALL if at < NEAR_START else LARGE).words == 0:
-                    close(begin, at)
-                    begin = at
-        close(begin, end)
+                if at - begin >= cut.least and xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % cut.words == 0:
+                    close(at)
         at = end
+        if end - begin >= cut.least:
+            close(end)
+    close(len(text))
     return out
 
 
@@ -166,7 +162,7 @@ def parents(digests: list[bytes], weights: list[int]) -> tuple[list[bytes], list
         if i >= last or (n > 1 and digests[i][-1] % CHILDREN == 0) or n == MOST_CHILDREN:
             n = min(n, len(digests))
             covered = b"".join(digests[begin : begin + n]) + np.array(weights[begin : begin + n], "<u8").tobytes()
-            out.append(hashlib.sha256(b"\1" + covered).digest())
+            out.append(hashlib.sha256(b"\1" + covered).digest()[:DIGEST])
             counts.append(n)
             begin = i + 1
     return out, counts
@@ -184,7 +180,7 @@ class Digests(dict):
     """The digest of each leaf that was asked for."""
 
     def __missing__(self, leaf: str) -> bytes:
-        value = self[leaf] = hashlib.sha256(b"\0" + leaf.encode("utf-8", "surrogatepass")).digest()
+        value = self[leaf] = hashlib.sha256(b"\0" + leaf.encode("utf-8", "surrogatepass")).digest()[:DIGEST]
         return value
 
 
@@ -195,18 +191,20 @@ def tree(text: str, known: Digests | None = None) -> Tree:
 
 
 def mark(t: Tree) -> str:
-    """root|level|...|leaves: the root in hex, then for each level its weights and, in base 64, its digests."""
-    return "|".join([t.root.hex(), *(",".join(map(str, weights)) + ":" + base64.b64encode(b"".join(digests)).decode() for digests, weights in reversed(t.levels))])
+    """root|leaves: the root in hex, then the weights of the leaves and, in base 64, their digests; the levels between follow from them."""
+    digests, weights = t.levels[0]
+    return f"{t.root.hex()}|{','.join(map(str, weights))}:{base64.b64encode(b''.join(digests)).decode()}"
 
 
 def parse(written: str) -> Tree:
-    """The tree that mark() wrote."""
-    levels = []
-    for level in reversed(written.split("|")[1:]):
-        weights, _, digests = level.partition(":")
-        raw = base64.b64decode(digests)
-        levels.append(([raw[i : i + DIGEST] for i in range(0, len(raw), DIGEST)], [int(w) for w in weights.split(",") if w]))
-    return Tree(levels)
+    """The tree that mark() wrote, grown again; a root that does not follow from the leaves is an error."""
+    root, _, leaves = written.partition("|")
+    weights, _, digests = leaves.partition(":")
+    raw = base64.b64decode(digests)
+    found = grown(([raw[i : i + DIGEST] for i in range(0, len(raw), DIGEST)], [int(w) for w in weights.split(",") if w]))
+    if found.root.hex() != root:
+        raise ValueError("the root does not follow from the leaves")
+    return found
 
 
 def fingerprint(text: str) -> str:

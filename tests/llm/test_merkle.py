@@ -29,7 +29,7 @@ def test_leaves_cover_the_text_and_likeness_follows_edits():
 
 def levels(text):
     """The digests and weights of all levels, from the leaves up, by plain hashing."""
-    sha = lambda data: hashlib.sha256(data).digest()
+    sha = lambda data: hashlib.sha256(data).digest()[:16]
     found = [[(sha(b"\0" + p.encode()), len(p)) for p in m.paragraphs(text)]]
     while len(found) == 1 or len(found[-1]) > 1:
         groups, held = [], []
@@ -45,7 +45,7 @@ def levels(text):
 
 def written(text):
     found = levels(text)
-    return "|".join([found[-1][0][0].hex(), *(",".join(str(w) for _, w in level) + ":" + base64.b64encode(b"".join(d for d, _ in level)).decode() for level in reversed(found))])
+    return found[-1][0][0].hex() + "|" + ",".join(str(w) for _, w in found[0]) + ":" + base64.b64encode(b"".join(d for d, _ in found[0])).decode()
 
 
 def shared(a, b):
@@ -80,11 +80,11 @@ def test_a_root_follows_from_children_and_covers_every_leaf():
     for n in (0, 1, 40, 9000):
         text = prose(rng, n)
         t = m.parse(m.fingerprint(text))
-        assert t == m.tree(text) and m.grown(t.levels[0]).root == t.root and t.root.hex() == m.fingerprint(text)[:64]
+        assert t == m.tree(text) and m.grown(t.levels[0]).root == t.root and t.root.hex() == m.fingerprint(text)[:32]
         assert all(sum(weights) == len(below[0]) for (_, weights), below in zip(t.levels[1:], t.levels, strict=False))
         for i in range(0, len(t.levels[0][0]), 97):
             digests, weights = (list(x) for x in t.levels[0])
-            digests[i] = hashlib.sha256(b"other").digest()
+            digests[i] = hashlib.sha256(b"other").digest()[:16]
             assert m.grown((digests, weights)).root != t.root
     assert len(t.levels) > 3
     assert max(m.tree("same line of words\n" * 5000).levels[1][1]) <= m.MOST_CHILDREN
@@ -102,8 +102,24 @@ def test_texts_without_varied_words_keep_the_half_that_stays():
     few = " ".join(rng.choice(("alpha", "beta")) for _ in range(2000))
     for text in (signs, signs * 40, few, few.replace(" ", ""), "x" * 20_000, signs[:400], prose(rng, 100)):
         leaves = m.paragraphs(text)
-        assert "".join(leaves) == text and max(map(len, leaves)) <= m.LARGE.most
+        assert "".join(leaves) == text and max(map(len, leaves)) <= m.CUTS[-1].most
         other = "".join(chr(0x3041 + rng.randrange(80)) for _ in range(len(text)))
         assert m.likeness(m.tree(text), m.tree(m.edit(text, other))) > 0.35
     inserted = signs[:2000] + "?" + signs[2000:]
     assert m.likeness(m.tree(signs), m.tree(inserted)) > 0.9
+
+
+def test_fingerprints_are_small_and_halves_that_stay_count():
+    rng = random.Random(11)
+    sizes = []
+    for n in (500, 520, 700, 770, 1800, 3600, 7200, 40_000):
+        for text in (prose(rng, n)[:n], "".join(chr(97 + rng.randrange(26)) for _ in range(n)), "y" * n):
+            other = "".join(chr(0x3041 + rng.randrange(80)) for _ in range(n))
+            assert m.likeness(m.tree(text), m.tree(m.edit(text, other))) > 0.33
+            sizes.append((n, len(m.fingerprint(text))))
+    assert all(size < n for n, size in sizes) and all(size < 0.1 * n for n, size in sizes if n == 40_000)
+    try:
+        m.parse("00" * 16 + "|" + m.fingerprint("some text").partition("|")[2])
+        raise AssertionError("a wrong root was taken")
+    except ValueError:
+        pass
