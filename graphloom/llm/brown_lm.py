@@ -48,7 +48,7 @@ from graphloom.llm.common import id_crc, small, word_bytes
 
 FOLDS, HELD_OUT = 7, 2
 SHARE = 5e-5
-DEALS = 1
+DEALS = 2
 CLASSES = 64
 SHAPES = 16
 ROUNDS = 8
