@@ -6,14 +6,17 @@ deterministic starts: medians with median deviations, the plain mean and covaria
 covariance of squashed deviations, and the half of the rows nearest to the medians. In a step
 the share `KEEP` of rows nearest to the current centre gives the next mean and covariance,
 made consistent for normal rows by `CONSISTENCY`; after `TRIAL` steps the start with the
-smallest determinant goes on alone, until no determinant moves. Rows whose robust Mahalanobis distance is beyond a
-chi-square quantile go.
+smallest determinant goes on alone, and each group stops when its own determinant falls no
+more. Languages and all rows together are estimated in the same way. A group's estimate
+is then drawn towards that of its language, and the language's towards that of all, by weights
+that are equal at `PRIOR` rows: a group of any size has its own, a small one leans on what is
+around it, and no row count switches between the two. Rows whose robust Mahalanobis
+distance is beyond a chi-square quantile go.
 
 Everything is DataFrame work on one slim table; a group adds up through partial sums, and
 its quantiles come from counts per bin, so a group may hold any share of the rows. Centres
 and factors, a row for each group, travel to the rows as a broadcast up to `MOST_BROADCAST`
-groups and by a join beyond. Groups of fewer than `LEAST_ROWS` rows are judged with their
-language, and then with all rows.
+groups and by a join beyond.
 
 Null and empty texts have no words and fail the base rule; null languages and sources are
 groups of their own; repeated rows get a verdict each; ties at a quantile fall on one side
@@ -38,9 +41,10 @@ REPEAT_PERCENT = 50
 KEEP = 0.75
 #: KEEP over the chance that a chi-square variable with seven degrees is below the KEEP quantile with five.
 CONSISTENCY = 1.412
-#: Steps at most, and how little the log of a determinant moves once a start has settled.
-STEPS, TRIAL, SETTLED = 12, 3, 2e-3
-LEAST_ROWS = 200
+#: Steps of all starts, and how little the log of a determinant falls once the best has settled.
+TRIAL, SETTLED = 3, 2e-3
+#: At how many rows a group's own estimate and the one around it weigh the same.
+PRIOR = 100.0
 MOST_BROADCAST = 100_000
 #: Smallest standard deviation of each statistic: statistics that are nearly constant in clean text.
 FLOORS = {"v_word": 0.05, "v_symbol": 0.03, "v_line": 0.12, "v_repeat": 0.12, "v_upper": 0.05}
@@ -211,41 +215,68 @@ def _best(estimates_: DataFrame) -> DataFrame:
     return estimates_.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
 
 
-def estimates(rows: DataFrame, steps: int = STEPS, keep: float = KEEP, few: bool = True) -> DataFrame:
-    """One robust centre and Cholesky factor per group. rows: group and the vector; few: not many groups."""
+def _stepped(rows: DataFrame, current: DataFrame, keep: float, few: bool) -> DataFrame:
+    """The estimates after one concentration step, of the groups and starts in current."""
+    far = _distance(_beside(rows, current, few)).select("group", "start", F.log(F.col("d2") + 1e-12).alias("_log"))
+    edge = _bin_quantile(far, ["group", "start"], F.col("_log"), keep, LOG_BIN)
+    near = _distance(_beside(rows, current.join(edge, ["group", "start"]), few)).filter(F.log(F.col("d2") + 1e-12) < F.col("_edge"))
+    return _factor(_moments(near, ["group", "start"], CONSISTENCY))
+
+
+def estimates(rows: DataFrame, keep: float = KEEP, few: bool = True) -> DataFrame:
+    """One robust centre, covariance and Cholesky factor per group. rows: group and the vector; few: not many groups.
+
+    Every step of a group but its last lowers the log of its determinant by `SETTLED` at
+    least, and the floors bound that from below, so the steps end without a limit.
+    """
     current = durable(_factor(_starts(rows, few)), "mcd")
-    for step in range(1, steps + 1):
-        far = _distance(_beside(rows, current, few)).select("group", "start", F.log(F.col("d2") + 1e-12).alias("_log"))
-        edge = _bin_quantile(far, ["group", "start"], F.col("_log"), keep, LOG_BIN)
-        near = _distance(_beside(rows, current.join(edge, ["group", "start"]), few)).filter(F.log(F.col("d2") + 1e-12) < F.col("_edge"))
-        found = _factor(_moments(near, ["group", "start"], CONSISTENCY))
+    for step in range(1, TRIAL + 1):
+        found = _stepped(rows, current, keep, few)
         before, current = current, durable(_best(found) if step == TRIAL else found, "mcd")
-        if step <= TRIAL:
-            discard(before)
-        else:
-            moved = current.join(before.select("group", F.col("logdet").alias("_was")), "group").agg(F.max(F.abs(F.col("logdet") - F.col("_was")))).first()[0]
-            discard(before)
-            if moved is None or moved < SETTLED:
-                break
-    return _best(current).drop("start")
+        discard(before)
+    done = []
+    while True:
+        after = durable(_stepped(rows, current, keep, few), "mcd")
+        fell = current.select("group", F.col("logdet").alias("_was")).join(after.select("group", "logdet"), "group", "left")
+        moving = durable(fell.filter(F.col("_was") - F.col("logdet") >= SETTLED).select("group"), "mcd-moving")
+        done.append(durable(current.join(moving, "group", "left_anti"), "mcd-settled"))
+        discard(current)
+        current = durable(after.join(moving, "group", "left_semi"), "mcd")
+        discard(after)
+        discard(moving)
+        if current.isEmpty():
+            return reduce(DataFrame.unionByName, done).select("group", *[f"m_{v}" for v in VECTOR], *[f"{x}_{a}_{b}" for x in "cl" for a, b in PAIRS], "logdet")
+
+
+def _leaning(inner: DataFrame, outer: DataFrame, prior: float) -> DataFrame:
+    """Estimates of inner groups (group, outer, n), drawn towards the group around each.
+
+    Centres and covariances weigh n^2 to prior^2, as few rows, a third of them odd, say little. How far the two centres lie apart does not
+    widen the covariance, or a few odd rows that make up a small group would hide themselves.
+    A group without an estimate of its own has the outer one.
+    """
+    around = outer.select(F.col("group").alias("outer"), *[F.col(f"m_{v}").alias(f"o_m_{v}") for v in VECTOR], *[F.col(f"c_{a}_{b}").alias(f"o_c_{a}_{b}") for a, b in PAIRS])
+    both = inner.join(around, "outer").withColumn("_own", F.when(F.col(f"m_{VECTOR[0]}").isNull(), 0.0).otherwise(F.col("n") ** 2 / (F.col("n") ** 2 + prior**2)))
+    mixed = lambda c: F.when(F.col("_own") == 0, F.col(f"o_{c}")).otherwise(F.col("_own") * F.col(c) + (1 - F.col("_own")) * F.col(f"o_{c}"))
+    # written, so that the factor's sums are not spelt out for each of its uses
+    return durable(both.select("group", *[mixed(c).alias(c) for c in [*(f"m_{v}" for v in VECTOR), *(f"c_{a}_{b}" for a, b in PAIRS)]]), "mcd-leaning")
 
 
-def judge(docs: DataFrame, *keys: str | Column, least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+def judge(docs: DataFrame, *keys: str | Column, prior: float = PRIOR, cutoff: float = CUTOFF) -> DataFrame:
     """Key columns, the counts, base_failed, d2 (squared robust distance) and kept."""
     named_keys = docs.select(*keys).columns
-    counted = durable(statistics(docs, *keys).withColumn("base_failed", base_failed()).withColumns(vectors()), "quality-statistics")
     lang, source = (F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c)) for c in ("lang", "source"))
-    named = counted.withColumn("_own", F.to_json(F.struct(lang.alias("l"), source.alias("s")))).withColumn("_lang", F.to_json(F.struct(lang.alias("l"))))
-    size = named.filter(~F.col("base_failed")).groupBy("_own", "_lang").agg(F.count(F.lit(1)).alias("_rows"))
-    level = size.withColumn("_lang_rows", F.sum("_rows").over(Window.partitionBy("_lang")))
-    group = F.when(F.col("_rows") >= least_rows, F.col("_own")).when(F.col("_lang_rows") >= least_rows, F.col("_lang")).otherwise(F.lit("{}"))
-    level = durable(level.select("_own", group.alias("group")).filter(F.col("group") != "{}"), "quality-groups")
-    few = level.count() <= MOST_BROADCAST
-    grouped = named.join(F.broadcast(level) if few else level, "_own", "left").withColumn("group", F.coalesce("group", F.lit("{}")))
-    # what the steps read again and again, slim
-    vectors_ = durable(grouped.filter(~F.col("base_failed")).select("group", *VECTOR), "quality-vectors")
-    found = durable(estimates(vectors_, few=few), "mcd-best")
+    grouped = durable(statistics(docs, *keys).withColumn("base_failed", base_failed()).withColumns(vectors()).withColumns({"group": F.to_json(F.struct(lang.alias("l"), source.alias("s"))), "_lang": F.to_json(F.struct(lang.alias("l")))}), "quality-statistics")
+    every = F.lit("{}")
+    # what the steps read again and again, slim: each row in its group, its language and among all
+    vectors_ = durable(grouped.filter(~F.col("base_failed")).select(F.explode(F.array("group", "_lang", every)).alias("group"), *VECTOR), "quality-vectors")
+    size = durable(grouped.filter(~F.col("base_failed")).groupBy("group", "_lang").agg(F.count(F.lit(1)).alias("n")), "quality-groups")
+    few = size.count() <= MOST_BROADCAST
+    raw = durable(estimates(vectors_, few=few), "mcd-best")
     discard(vectors_)
+    langs = size.groupBy(F.col("_lang").alias("group")).agg(F.sum("n").alias("n")).withColumn("outer", every)
+    by_lang = _leaning(langs.join(raw, "group", "left"), raw.filter(F.col("group") == every), prior)
+    found = durable(_factor(_leaning(size.withColumnRenamed("_lang", "outer").join(raw, "group", "left"), by_lang, prior)), "mcd-factor")
     judged = _distance(_beside(grouped, found, few, "left"))
     outlier = F.coalesce(F.col("d2") > cutoff, F.lit(False))
     return judged.select(*named_keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", (~F.col("base_failed") & ~outlier).alias("kept"))

@@ -80,10 +80,10 @@ def test_counts_equal_brute_force(spark):
 
 def test_clean_stays_and_junk_goes(spark):
     docs = spark.createDataFrame(table(), "doc_id long, text string, lang string, source string, n_words string")
-    kept = {r.doc_id: r.kept for r in q.judge(docs, "doc_id", least_rows=50).collect()}
+    kept = {r.doc_id: r.kept for r in q.judge(docs, "doc_id", prior=50).collect()}
     assert all(kept[i] for i in range(400))
     assert not any(kept[1000 + i] for i in range(9))
-    assert sorted(r.doc_id for r in q.keep_documents(docs, least_rows=50).collect() if r.doc_id < 400) == sorted([*range(400), 0, 1] + [0, 1] * 2)
+    assert sorted(r.doc_id for r in q.keep_documents(docs, prior=50).collect() if r.doc_id < 400) == sorted([*range(400), 0, 1] + [0, 1] * 2)
 
 
 def test_concentration_steps_equal_numpy(spark):
@@ -109,3 +109,18 @@ def test_stage_keeps_columns_of_any_name_and_long_texts(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert q.judge(docs, "doc_id").collect() == []
+
+
+def test_small_groups_lean_on_what_is_around_them(spark):
+    rng = random.Random(8)
+    data = [(i, prose(rng, 120), "en", "big" if i < 300 else f"s{i % 40}" if i < 380 else "one" if i == 380 else "big") for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    alone = {r.doc_id: r for r in q.judge(docs, "doc_id").collect()}
+    assert all(r.kept for r in alone.values())
+    # beside its language of rows like its own, a row is as far off in a small group as in a large one
+    whole = {r.doc_id: r.d2 for r in q.judge(docs.drop("source").selectExpr("*", "'big' as source"), "doc_id").collect()}
+    assert all(alone[i].d2 <= whole[i] * 1.5 + 1 for i in range(300, 381))
+    # rows that come to another source of another language change little for these
+    more = [(1000 + i, prose(rng, 120), "de", "new") for i in range(500)]
+    got = {r.doc_id: r.d2 for r in q.judge(spark.createDataFrame(data + more, docs.schema), "doc_id").collect()}
+    assert all(abs(got[i] - alone[i].d2) < 0.25 * alone[i].d2 + 0.5 for i in range(400))
