@@ -11,8 +11,8 @@ from graphloom.durable import durable
 from graphloom.functions.text import basename, dirname, duplicate_ids
 from graphloom.operators import calls, graph
 from graphloom.operators import imports as import_rules
-from graphloom.sources import store
-from graphloom.sources.parse import parse
+from graphloom.sources import java_context, store
+from graphloom.sources.parse import java_surface, parse
 from graphloom.sources.scan import above, discover
 
 
@@ -124,20 +124,42 @@ def split_changed(files: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataF
 
     Files that are gone drop out, as only the present ones are asked for.
     """
-    now = files.withColumn("_hash", F.sha1("content"))
-    same = cached.join(now.select("path", F.col("_hash").alias("hash")), ["path", "hash"], "left_semi")
-    return same, now.join(same.select("path"), "path", "left_anti").drop("_hash")
+    # hashes are written once, so that contents are read again only to be parsed
+    now = durable(files.select("path", F.sha1("content").alias("hash")), "hashes")
+    same = cached.join(now, ["path", "hash"], "left_semi")
+    return same, files.join(now.join(same.select("path"), "path", "left_anti").select("path"), "path", "left_semi")
+
+
+def reread(files: DataFrame, same: DataFrame, changed: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """same and changed, with unchanged Java files moved over that depend on what has changed, and the tree's Java surface.
+
+    What the compiler bound holds places in other files, so those that reach a changed, new or
+    deleted file by the types they mention are read again. Without such an edit nothing moves.
+    """
+    touched = durable(changed.filter("lang = 'java'").select("path"), "java-touched")
+    kept = durable(same.filter("lang = 'java'").select("path"), "java-kept")
+    before = cached.filter("lang = 'java'").join(kept, "path", "left_anti")
+    lost = durable(before.select(F.explode("symbols").alias("s")).filter("s.kind = 'Class'").select("s.name").distinct(), "java-lost")
+    if touched.isEmpty() and lost.isEmpty():
+        return same, changed, None
+    surfaces = java_surface(files)
+    again = durable(java_context.dependents(surfaces, touched, lost).join(kept, "path", "left_semi"), "java-again")
+    return same.join(again, "path", "left_anti"), changed.unionByName(files.select(*changed.columns).join(again, "path", "left_semi")), surfaces
 
 
 def index(spark: SparkSession, root: str, respect_gitignore: bool = True, frontends: bool | tuple[str, ...] = True, cached: DataFrame | None = None) -> tuple[CodeGraph, DataFrame]:
     """The graph of a tree and its facts; facts of files whose content is unchanged come from `cached`.
 
-    Hashes are compared before parsing, so an unchanged file costs no parse.
+    Hashes are compared before parsing, so an unchanged file costs no parse, but for Java files
+    that depend on changed ones.
     """
     files = discover(spark, root, respect_gitignore)
     if cached is not None:
         same, changed = split_changed(files, cached)
-        facts = same.unionByName(parse(changed, frontends, root))
+        surfaces = None
+        if frontends is True or "java" in tuple(frontends or ()):
+            same, changed, surfaces = reread(files, same, changed, cached)
+        facts = same.unionByName(parse(changed, frontends, root, surfaces))
     else:
         facts = parse(files, frontends, root)
     facts = durable(facts, "facts")

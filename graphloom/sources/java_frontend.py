@@ -1,9 +1,10 @@
 """Java files read by the Java compiler, in batches, one process a batch.
 
 A batch is a group of files in one Arrow task; the helper in java/Facts.java parses and
-attributes them in memory. Files of the tree that are not in the batch are found through the
-source roots, folders that all workers see. What the compiler cannot read, and everything
-where no compiler is installed, is left to the patterns.
+attributes them in memory, beside the headers of other files that they depend on
+(java_context.py), so the size of a batch does not change what is found. Sources that are not
+rows are found through the source roots, folders that all workers see. What the compiler
+cannot read, and everything where no compiler is installed, is left to the patterns.
 """
 
 from __future__ import annotations
@@ -43,12 +44,16 @@ def _framed(text: str) -> bytes:
     return struct.pack(">i", len(raw)) + raw
 
 
-def read(files: list[tuple[str, str]], roots: list[str]) -> dict[str, dict]:
-    """path -> symbols, imports and calls of the files (path, text) that the compiler understands."""
+def read(files: list[tuple[str, str]], roots: list[str], around: list[tuple[str, str]] = ()) -> dict[str, dict]:
+    """path -> symbols, imports and calls of the files (path, text) that the compiler understands.
+
+    around: files (path, header) that calls may lead to, of which nothing is told.
+    """
     if not files or not available():
         return {}
-    fed = [(p, t) for p, t in files if "\t" not in p and "\n" not in p]
-    payload = struct.pack(">i", len(roots)) + b"".join(map(_framed, roots)) + struct.pack(">i", len(fed)) + b"".join(_framed(p) + _framed(t) for p, t in fed)
+    listed = lambda rows: struct.pack(">i", len(rows)) + b"".join(_framed(x) for row in rows for x in row)
+    named = lambda rows: sorted((p, t) for p, t in rows if "\t" not in p and "\n" not in p)
+    payload = listed([(r,) for r in roots]) + listed(named(files)) + listed(named(around))
     try:
         told = subprocess.run(["java", "-Xss8m", f"-Xmx{HEAP}", str(HELPER)], input=payload, capture_output=True, timeout=SECONDS).stdout
     except (OSError, subprocess.SubprocessError):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.sources import java_frontend
+from graphloom.sources import java_context, java_frontend
 from graphloom.sources.languages import BRANCHES, BY_NAME, DECLARATION_KEYWORD, DECLARATION_SHAPE, DOC_MARKERS, NOT_DECLARED, NOT_NAMES, STATEMENT_STARTERS, STOPWORDS, TYPE_HINTS, Language
 
 MAX_REFS = 256
@@ -398,8 +398,22 @@ def facts(path: str, lang: str, kind: str, content: bytes, frontends: bool | tup
     return out | {"imports": regex_imports(commentless, language), "symbols": symbols, "refs": regex_refs(clean, symbols), "unparsed": unparsed(clean, {s["line"] for s in symbols})}
 
 
-def parse(files: DataFrame, frontends: bool | tuple[str, ...] = True, root: str | None = None) -> DataFrame:
-    """One row of facts for each file (path, lang, kind, content); root: the folder of the tree, for Java's source roots."""
+def _without_noise(text: str) -> tuple[str, str]:
+    """A Java text without comments, and without strings too."""
+    return blank_noise(text, BY_NAME["java"], strings=False), blank_noise(text, BY_NAME["java"])
+
+
+def java_surface(files: DataFrame) -> DataFrame:
+    """What the Java files among files (path, lang, content) declare and mention."""
+    return java_context.surface(files.filter("lang = 'java'"), _without_noise)
+
+
+def parse(files: DataFrame, frontends: bool | tuple[str, ...] = True, root: str | None = None, surfaces: DataFrame | None = None) -> DataFrame:
+    """One row of facts for each file (path, lang, kind, content).
+
+    root: the folder of the tree, for Java's source roots; surfaces: java_surface() of a whole
+    tree of which the files are a part. Java files in several batches see each other's headers.
+    """
     schema = files.sparkSession.createDataFrame([], FACTS).toArrow().schema
     columns = ("path", "lang", "kind", "content")
     files = files.select(*columns)
@@ -413,15 +427,21 @@ def parse(files: DataFrame, frontends: bool | tuple[str, ...] = True, root: str
     if "java" not in _chosen(frontends):
         return files.mapInArrow(run, FACTS)
 
-    def compiled(group: pa.Table) -> pa.Table:
+    def compiled(group: pa.Table, around: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         texts = [(r["path"], r["content"].decode("utf-8", "ignore")) for r in rows]
         roots = sorted({found for p, t in texts if (found := java_frontend.source_root(p, t)) is not None}) if root else []
-        read = java_frontend.read(texts, [f"{root}/{r}".rstrip("/") for r in roots])
+        beside = [(r["path"], r["header"]) for r in around.select(["path", "header"]).to_pylist()]
+        read = java_frontend.read(texts, [f"{root}/{r}".rstrip("/") for r in roots], beside)
         return pa.Table.from_pylist([facts(*(r[c] for c in columns), frontends, read.get(r["path"])) for r in rows], schema=schema)
 
     java = files.filter("lang = 'java'")
     batches = max(1, -(-java.count() // java_frontend.BATCH_FILES))
     # files of one folder go together, so most of what a batch calls is in it
     dealt = java.withColumn("batch", F.pmod(F.xxhash64(F.substring_index("path", "/", 4)), F.lit(batches)))
-    return files.filter("lang is null or lang <> 'java'").mapInArrow(run, FACTS).unionByName(dealt.groupBy("batch").applyInArrow(compiled, FACTS))
+    others = files.filter("lang is null or lang <> 'java'").mapInArrow(run, FACTS)
+    if batches == 1 and surfaces is None:
+        nothing = pa.table({"path": pa.array([], pa.string()), "header": pa.array([], pa.string())})
+        return others.unionByName(dealt.groupBy("batch").applyInArrow(lambda group: compiled(group, nothing), FACTS))
+    headers = java_context.needed(surfaces if surfaces is not None else java_surface(java), dealt.select("path", "batch"))
+    return others.unionByName(dealt.groupBy("batch").cogroup(headers.groupBy("batch")).applyInArrow(compiled, FACTS))
