@@ -55,9 +55,12 @@ def best_hit(nodes: DataFrame, text: str, hidden: tuple[str, ...] = ()) -> DataF
 def budget_cut(lines: DataFrame, limit: int, group: str | None = None) -> DataFrame:
     """Lines (ord, line) that fit the budget: a line costs its length over four, rounded up, plus one.
 
-    The cut is sticky: once a line does not fit, none after it does.
+    The cut is sticky: once a line does not fit, none after it does. A null line costs as an empty
+    one. As every line costs something, no more lines than the budget has tokens can fit: without
+    a group the first so many by ord are taken task by task, and only they are summed.
     """
     most = max(64, limit) - 12
-    cost = F.ceil(F.length("line") / 4) + 1
+    cost = F.ceil(F.coalesce(F.length("line"), F.lit(0)) / 4) + 1
     order = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("used", F.sum(cost).over(order)).filter(F.col("used") <= most)
+    first = lines if group else lines.orderBy("ord").limit(most)
+    return first.withColumn("used", F.sum(cost).over(order)).filter(F.col("used") <= most)
