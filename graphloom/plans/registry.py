@@ -270,7 +270,7 @@ def kind_counts(s, d):
 
 
 def stable_ids(s, d):
-    rows = A.table(s, d, "part").select(F.col("p_brand").alias("path"), F.col("p_name").alias("name"), F.col("p_type").alias("body"), F.col("p_partkey").alias("line"))
+    rows = A.table(s, d, "part").select(F.col("p_brand").alias("path"), F.col("p_name").alias("name"), F.sha1("p_type").alias("body"), F.col("p_partkey").alias("line"))
     return rows.select("line", T.duplicate_ids("path", "name", "body").alias("id"))
 
 
