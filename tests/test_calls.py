@@ -1,4 +1,4 @@
-"""Names through imports, against brute force and in rows that meet."""
+"""Names through imports and the nearest symbol, against brute force and in rows that meet."""
 
 import random
 
@@ -42,3 +42,19 @@ def test_names_do_not_meet_imports_one_by_one(spark):
     whole = calls.resolve(asked, table(symbols, "id string, path string, name string, line int"), deps)
     assert whole.count() == len(refs)
     assert most_joined(whole) <= 2 * len(refs)
+
+
+def test_the_nearest_symbol_takes_no_product_of_lines_and_symbols(spark):
+    rng = random.Random(5)
+    symbols = [("a", "x", rng.randrange(4000), rng.randrange(10**6)) for _ in range(600)] + [("a", "y", 5, 9), ("a", "y", 5, 3), ("a", "y", 9, 1), ("b", "x", 1, 8), ("c", "x", None, 4), ("c", "x", 70, 6), ("d", "x", None, 5), ("d", "x", None, 2)]
+    at = [("a", rng.randrange(-50, 4100), "x") for _ in range(500)] + [("a", 7, "y"), ("a", 0, "y"), ("a", 5, "y"), ("a", None, "y"), ("b", 99, "x"), ("c", 3, "x"), ("d", 3, "x"), ("e", 1, "x"), (None, 1, "x"), ("a", 1, None)]
+    high = 10**9
+    want = {}
+    for tp, tl, name in at:
+        hit = [(high if line is None or tl is None else abs(line - tl), high if line is None else line, id_) for p, n, line, id_ in symbols if (p, n) == (tp, name)]
+        if hit:
+            want[tp, tl, name] = min(hit)[2]
+    df = calls.nearest(spark.createDataFrame(at, "tp string, tl int, name string"), spark.createDataFrame(symbols, "path string, name string, line int, id long"))
+    got = [((r.tp, r.tl, r.name), r.d_at) for r in df.collect()]
+    assert dict(got) == want and len(got) == len(want)
+    assert most_joined(df) <= len(at) + len(symbols)
