@@ -5,7 +5,7 @@ import pytest
 from graphloom.sources import index as ix
 from graphloom.sources import java_context, java_frontend
 from graphloom.sources.languages import BY_NAME
-from graphloom.sources.parse import blank_noise, parse
+from graphloom.sources.parse import blank_noise, java_batches, parse
 
 CODE = """package p.q;
 
@@ -138,3 +138,21 @@ def test_an_edit_reads_dependents_again_and_others_not(spark, compiler, tmp_path
     put({"z/New.java": "package c2;\n\n\npublic class K2 {\n\n    public int go() {\n        return new c0.K0().go();\n    }\n}\n"})
     _, again = after_edit(facts)
     assert again == {"c1/K1.java", "z/New.java"}
+
+
+def test_batches_hold_so_many_bytes_and_long_files_are_read_alone(spark, compiler, monkeypatch):
+    tree = ring(6)
+    for i in (1, 4):
+        path = f"h{i}/e/f/gb{i}/Base.java"
+        tree[path] = tree[path].rstrip("}\n") + "}\n" + "    // long\n" * 300 + "}\n"
+    files = rows_of(spark, tree)
+    whole = told(parse(files))
+    monkeypatch.setattr(java_frontend, "BATCH_BYTES", 4 * 1500)
+    n, dealt = java_batches(files)
+    of = {}
+    for r in dealt.collect():
+        of.setdefault(r.batch, []).append(len(r.content))
+    long_ = sorted(len(t.encode()) for t in tree.values() if len(t) > 1500)
+    assert len(long_) == 2 and sorted(s for sizes in of.values() for s in sizes if len(sizes) == 1 and s > 1500) == long_
+    assert n == 2 + max(1, -(-sum(len(t.encode()) for t in tree.values() if len(t) <= 1500) // 6000)) and sum(map(len, of.values())) == len(tree)
+    assert told(parse(files)) == whole
