@@ -45,3 +45,45 @@ def test_no_more_sites_are_shuffled_at_once_than_a_slice_has(spark, facts, monke
     monkeypatch.setattr(ix, "durable", counted)
     ix.build(facts)
     assert sum(written) == sites and len(written) > 3 and max(written) < sites / 2
+
+
+def test_sources_made_in_parts_are_those_of_the_whole_and_no_part_holds_all(spark, monkeypatch):
+    """Line items and texts of a large tree go round part by part; nothing but the files stays written."""
+    items = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    monkeypatch.setattr(ix, "SLICE_SITES", items // 4)
+    monkeypatch.setattr(code_tree, "PARTS_PER_FILE", 20)
+    whole = rows(code_tree._texts(code_tree.functions(spark, SMALL), code_tree.callee_names(spark, SMALL, code_tree.pairs(spark, SMALL))))
+    made, real = {}, durable.durable
+
+    def counted(df, name):
+        stored = real(df, name)
+        made.setdefault(name, []).append((stored, stored.count()))
+        return stored
+
+    monkeypatch.setattr(durable, "durable", counted)
+    files = code_tree.sources(spark, SMALL)
+    assert rows(files) == whole
+    for name in ("tree-pairs", "tree-files"):
+        sizes = [n for _, n in made[name]]
+        assert len(sizes) > 2 and max(sizes) < 0.6 * sum(sizes), name
+    assert not any(durable.written(t) for t, _ in made["tree-pairs"]) and durable.written(files)
+
+
+def test_call_sites_and_symbols_do_not_stay_once_the_graph_is_made(spark, facts, monkeypatch):
+    made, real = {}, ix.durable
+
+    def kept(df, name):
+        made.setdefault(name, []).append(real(df, name))
+        return made[name][-1]
+
+    monkeypatch.setattr(ix, "durable", kept)
+    graph = ix.build(facts)
+    assert not any(durable.written(t) for name in ("calls", "seen", "symbols") for t in made[name])
+    assert all(durable.written(t) for t in (graph.edges, graph.nodes, graph.imports, graph.unbound))
+    assert graph.counters.first()["ambiguous"] == graph.unbound.count()
+
+
+def test_files_of_a_tree_are_made_without_its_graph(spark, monkeypatch):
+    monkeypatch.setattr(code_tree, "_FILES", {})
+    monkeypatch.setattr(code_tree, "built", None)
+    assert code_tree.tree_patterns(spark, SMALL).count() > 0
