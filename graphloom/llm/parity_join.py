@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import discard, durable, sweep
+from graphloom.durable import discard, durable, sweep, together
 from graphloom.llm.common import rows, small, word_bytes
 from graphloom.llm.components import components
 from graphloom.llm.near_dedup import _links, _Words, digest, mixed
@@ -59,6 +59,8 @@ BLOCK_BYTES, PART_BYTES, BUSY = 4 << 20, 16 << 20, 32
 BLOCK_NODES = 256
 #: Nodes outside the largest component of a bucket from which on a bucket of more than a block is cut.
 SPLIT = 64
+#: Rows of buckets that are met pair by pair at once, and the most slices that they are cut into for it.
+SLICE_ROWS, MOST_SLICES = 3_000_000, 16
 #: A round of leaders follows another if that has left no more than this share of comparisons.
 SHRINK = 0.75
 
@@ -351,20 +353,37 @@ def _apart(open_: DataFrame, nodes: DataFrame, percent: int, done: DataFrame) ->
     other = open_.select("node", F.col("key").alias("second"))
     twice = open_.filter(large).join(other, "node").filter("key <> second").withColumn("key", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")))
     cut = durable(twice.drop("second", "major", "many", "minor").dropDuplicates(["key", "node"]), "parity-twice")
-    fine = open_.filter(~large).withColumn("cut", F.lit(False)).unionByName(cut.join(_mixed(cut), "key").select(*open_.columns, F.lit(True).alias("cut")))
+    sweep(nodes.sparkSession)
+    whole = open_.filter(~large)
+    n = max(1, min(MOST_SLICES, -(-(whole.count() + cut.count()) // SLICE_ROWS)))
+    parts = []
+    for i in range(n):
+        # of a pair met in several slices the sums are added up
+        own = F.lit(True) if n == 1 else F.pmod(F.xxhash64("key"), F.lit(n)) == i
+        mine = cut.filter(own)
+        fine = whole.filter(own).withColumn("cut", F.lit(False)).unionByName(mine.join(_mixed(mine), "key").select(*open_.columns, F.lit(True).alias("cut")))
+        parts.append(_met(fine, nodes, percent))
+        sweep(nodes.sparkSession)
+    often = together(parts).groupBy("a", "b").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= SHARED).select("a", "b")
+    pairs = _closer(often.join(done, ["a", "b"], "left_anti"), nodes, percent)
+    discard(cut, *parts)
+    return pairs
+
+
+def _met(fine: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b and _n: how often the pairs that may link meet in these buckets, outside of a component; written."""
     blocks, own = lambda c: F.ceil(F.col(c) / BLOCK_NODES).cast("int"), lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     outside = F.col("label") != F.col("major")
-    fine = durable(fine.join(nodes.select("node", "n", "fold"), "node"), "parity-dealt")
+    fine = durable(fine.join(nodes.select("node", "n", "fold"), "node").drop("share"), "parity-dealt")
     side = lambda s, rows_, one, two: _as(rows_.select("key", "cut", "node", "n", "fold", F.col("label").alias(f"{s}_label"), outside.alias(f"{s}_out"), one.alias("one"), two.alias("two")), s)
     x = side("x", fine.filter(outside), own(blocks("minor")), every(blocks("many")))
     y = side("y", fine, every(blocks("minor")), own(blocks("many")))
     met = x.join(y, ["key", "cut", "one", "two"]).filter((~F.col("y_out") | (F.col("x") < F.col("y"))) & (F.col("x_label") != F.col("y_label")) & _may_link("x", "y", percent))
     # a pair is met in every bucket that it shares, and a linked one shares four; where a bucket was cut, one meeting is enough
-    often = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum(F.when(F.col("cut"), SHARED).otherwise(1)).alias("_n")).filter(F.col("_n") >= SHARED).select("a", "b")
-    pairs = _closer(often.join(done, ["a", "b"], "left_anti"), nodes, percent)
-    discard(cut, fine)
-    return pairs
+    found = durable(met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum(F.when(F.col("cut"), SHARED).otherwise(1)).alias("_n")), "parity-met")
+    discard(fine)
+    return found
 
 
 def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -105,3 +105,22 @@ def test_linked_sets_share_words_in_one_band_and_stay_within_the_bits(percent):
                 assert apart <= m.differ(len(one), len(two), percent)
                 assert len(np.intersect1d(m.keys_of(one, cut, percent), m.keys_of(two, cut, percent))) >= m.SHARED
     assert tried > 40
+
+
+def test_buckets_met_in_slices_give_the_components_of_the_whole(spark, monkeypatch):
+    """No slice is dealt all rows of the open buckets, and counts of a pair add up over slices."""
+    for name, value in (("BLOCK_NODES", 4), ("SPLIT", 0), ("SLICE_ROWS", 20)):
+        monkeypatch.setattr(m, name, value)
+    dealt, real = [], m.durable
+
+    def counted(df, name):
+        stored = real(df, name)
+        if name == "parity-dealt":
+            dealt.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(m, "durable", counted)
+    monkeypatch.setattr(m, "MOST_SLICES", 4)
+    data = table(7, spread=5)
+    assert run(spark, data) == brute(data)
+    assert len(dealt) == 4 and max(dealt) < 0.6 * sum(dealt)
