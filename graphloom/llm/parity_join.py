@@ -17,9 +17,10 @@ Equal sets become one node first. Keys of words are dealt to parts in blocks; a
 sets of a block have is known to be shared and goes round the parts, so no part holds more of
 a key than a few entries a block. In every bucket a central node leads and is verified against
 the others on full sets; components of these links are formed, and only pairs that lie in
-different components of a bucket are left. While those are many, further leaders follow. Buckets
-that still hold many of them are cut by a second equal word, which linked pairs have, and
-pairs of blocks are dealt over tasks.
+different components of a bucket are left. While those are many, further leaders follow. What is
+left is met pair by pair, in blocks dealt over tasks; as linked pairs share four buckets, each
+node leaves out the three most crowded of its own. Pairs of large sets, for which 512 bits are
+few, must pass 4,096 bits before their third sketches are looked up.
 
 Null, empty and blank texts have no words, an empty set and no links; their component is their
 own id. Repeated rows are copies; a null id belongs to the component of its set, whose id is
@@ -39,6 +40,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.durable import discard, durable, sweep, together
 from graphloom.llm.common import rows, small, word_bytes
@@ -53,11 +55,15 @@ SHARED = 4
 FOLD = 8
 #: Elements from which on a set has a third sketch, of some four bits an element.
 TALL = 512
+#: Elements from which on a set has the third sketch folded to so many longs too.
+LARGE, BROAD = 1024, 64
+#: Remainders of text hashes by which texts that no pair asks for are told from others before they are dealt.
+ASKED = 1 << 18
 #: Bytes of keys in a block and in a part; sets of a block with a key that make it go round the parts.
 BLOCK_BYTES, PART_BYTES, BUSY = 4 << 20, 16 << 20, 32
 #: Nodes of a bucket that are listed pair by pair in one task.
 BLOCK_NODES = 256
-#: Nodes outside the largest component of a bucket from which on a bucket of more than a block is cut.
+#: Comparisons for each member of a bucket from which on further leaders follow.
 SPLIT = 64
 #: Rows of buckets that are met pair by pair at once, and the most slices that they are cut into for it.
 SLICE_ROWS, MOST_SLICES = 3_000_000, 16
@@ -117,6 +123,11 @@ def tall(elements: np.ndarray) -> bytes | None:
     return parity(mixed(elements ^ _BAND), 1 << (len(elements) // 16).bit_length()).tobytes() if len(elements) >= TALL else None
 
 
+def broad(elements: np.ndarray) -> np.ndarray | None:
+    """The third sketch of a large set, folded to a fixed number of longs."""
+    return parity(mixed(elements ^ _BAND), BROAD).view("<i8") if len(elements) >= LARGE else None
+
+
 def _no_further(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose third sketches, where both have one, differ in no more bits than linked sets differ in elements."""
     for batch in small(batches):
@@ -145,7 +156,7 @@ def keys_of(elements: np.ndarray, cut: list[int], percent: int = PERCENT) -> np.
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-SKETCHED = "doc_id {id}, text_hash long, n_shingles long, row long, node binary, keys binary, fold array<long>, tall binary"
+SKETCHED = "doc_id {id}, text_hash long, n_shingles long, row long, node binary, keys binary, fold array<long>, tall binary, broad array<long>"
 
 
 def _sketched(percent: int):
@@ -154,8 +165,8 @@ def _sketched(percent: int):
         for batch in small(batches):
             sets = [token_set(word_bytes(t), known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, sets), pa.int64()), pa.array(range(at, at + len(sets)), pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([keys_of(s, cut, percent).astype("<u8").tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([fold(s).view("<i8") if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array([tall(s) for s in sets], pa.binary())],
-                names=["doc_id", "text_hash", "n_shingles", "row", "node", "keys", "fold", "tall"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, sets), pa.int64()), pa.array(range(at, at + len(sets)), pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([keys_of(s, cut, percent).astype("<u8").tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([fold(s).view("<i8") if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array([tall(s) for s in sets], pa.binary()), pa.array([broad(s) for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "row", "node", "keys", "fold", "tall", "broad"],
             )
             at += len(sets)
 
@@ -224,20 +235,38 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, on full sets, which are made of the texts of the pairs' nodes alone."""
     ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = ends.join(nodes.select("node", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("text_hash")), "node")
+    ends = durable(ends.join(nodes.select("node", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("text_hash")), "node"), "parity-ends")
+    docs = _asked(docs, ends)
     texts = docs.join(ends, (docs["text_hash"] == ends["text_hash"]) & docs["doc_id"].eqNullSafe(ends["_id"])).select("node", "text")
     sets = durable(texts.mapInArrow(_sets, "node binary, elements binary"), "parity-sets")
+    discard(ends)
     sweep(docs.sparkSession)
     links = _links(pairs, sets, percent).distinct()
     discard(sets)
     return links
 
 
+def _asked(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """docs without most of those whose text_hash ends does not have; they need not be dealt to be left out."""
+    rest = lambda df: F.pmod(df["text_hash"], F.lit(ASKED)).alias("_rest")
+    return docs.select("*", rest(docs)).join(F.broadcast(ends.select(rest(ends)).distinct()), "_rest", "left_semi").drop("_rest")
+
+
 def _may_link(x: str, y: str, percent: int) -> Column:
-    """Whether the second sketches differ in no more bits than linked sets differ in elements."""
+    """Whether the sizes, and the bits of the second sketches, differ by no more than linked sets differ in elements."""
     f = lambda side: F.col(f"{side}_fold")
     apart = reduce(lambda a, b: a + b, [F.bit_count(F.get(f(x), F.lit(i)).bitwiseXOR(F.get(f(y), F.lit(i)))) for i in range(FOLD)])
-    return (100 + percent) * apart <= (100 - percent) * (F.col(f"{x}_n") + F.col(f"{y}_n"))
+    most = (100 - percent) * (F.col(f"{x}_n") + F.col(f"{y}_n"))
+    return ((100 + percent) * F.abs(F.col(f"{x}_n") - F.col(f"{y}_n")) <= most) & ((100 + percent) * apart <= most)
+
+
+def _broadly(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs but for those of two large sets whose folded third sketches differ in more bits than linked sets differ in elements."""
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("broad").alias(f"{side}_broad")), side)
+    bits = F.zip_with("a_broad", "b_broad", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+    return pairs.filter(F.coalesce((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n")), F.lit(True))).select("a", "b")
 
 
 def _as(df: DataFrame, side: str) -> DataFrame:
@@ -277,8 +306,9 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     shared = sketched.filter("n_shingles > 0").select("row", "node", "keys").mapInArrow(_dealt(parts), "part long, keys binary, rows binary").groupBy("part").applyInArrow(_shared(parts), "key long, row long")
     found = durable(shared.join(sketched.select("row", "node"), "row").select("key", "node").distinct(), "parity-shared")
+    sweep(spark)
     # copies of a set stand for one node, found again by the id and text hash of one of them
-    nodes = durable(sketched.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("fold").alias("fold"), F.first("tall").alias("tall"), F.first(F.octet_length("keys") / 8).alias("n_keys"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("copies")), "parity-nodes")
+    nodes = durable(sketched.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("fold").alias("fold"), F.first("tall").alias("tall"), F.first("broad").alias("broad"), F.first(F.octet_length("keys") / 8).alias("n_keys"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("copies")), "parity-nodes")
     every = durable(sketched.select("doc_id", "n_shingles", "node"), "parity-rows")
     discard(sketched)
     sweep(spark)
@@ -342,46 +372,46 @@ def _mixed(members: DataFrame) -> DataFrame:
     return each.groupBy("key").agg(F.max(size)["label"].alias("major"), F.sum("_n").alias("many"), (F.sum("_n") - F.max("_n")).alias("minor")).filter("minor > 0")
 
 
-def _apart(open_: DataFrame, nodes: DataFrame, percent: int, done: DataFrame) -> DataFrame:
-    """The pairs that may link and lie in different components of a bucket: one of them is outside the largest.
+def _limits(open_: DataFrame) -> DataFrame:
+    """node and limit: the size and key of the most crowded open bucket in which a node is met pair by pair.
 
-    Linked sets share several words, so where many nodes of a large bucket lie outside its largest
-    component, the bucket is cut by the other buckets of its nodes; what shares both is large
-    only where whole families share much of their text.
+    Sets that link share at least SHARED buckets, all of them open while the sets lie in different
+    components. Of these the least crowded is within the limits of both: a node leaves out its
+    SHARED - 1 most crowded ones, in an order that is the same for all. A node in fewer has no limit.
     """
-    large = (F.col("minor") > SPLIT) & (F.col("many") > BLOCK_NODES)
-    other = open_.select("node", F.col("key").alias("second"))
-    twice = open_.filter(large).join(other, "node").filter("key <> second").withColumn("key", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")))
-    cut = durable(twice.drop("second", "major", "many", "minor").dropDuplicates(["key", "node"]), "parity-twice")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("many"), F.desc("key")))
+    ranked = open_.select("node", "many", "key").withColumn("_place", place).filter(F.col("_place") <= SHARED)
+    return ranked.filter(F.col("_place") == SHARED).select("node", F.struct("many", "key").alias("limit"))
+
+
+def _apart(open_: DataFrame, nodes: DataFrame, percent: int, done: DataFrame) -> DataFrame:
+    """The pairs that may link and lie in different components of a bucket: one of them is outside the largest."""
+    limited = durable(nodes.select("node", "n", "fold").join(_limits(open_), "node"), "parity-limits")
     sweep(nodes.sparkSession)
-    whole = open_.filter(~large)
-    n = max(1, min(MOST_SLICES, -(-(whole.count() + cut.count()) // SLICE_ROWS)))
+    n = max(1, min(MOST_SLICES, -(-open_.count() // SLICE_ROWS)))
     parts = []
     for i in range(n):
-        # of a pair met in several slices the sums are added up
         own = F.lit(True) if n == 1 else F.pmod(F.xxhash64("key"), F.lit(n)) == i
-        mine = cut.filter(own)
-        fine = whole.filter(own).withColumn("cut", F.lit(False)).unionByName(mine.join(_mixed(mine), "key").select(*open_.columns, F.lit(True).alias("cut")))
-        parts.append(_met(fine, nodes, percent))
+        parts.append(_met(open_.filter(own), limited, percent))
         sweep(nodes.sparkSession)
-    often = together(parts).groupBy("a", "b").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= SHARED).select("a", "b")
-    pairs = _closer(often.join(done, ["a", "b"], "left_anti"), nodes, percent)
-    discard(cut, *parts)
+    # a pair can be met in several slices
+    met = together(parts).distinct().join(done, ["a", "b"], "left_anti")
+    pairs = _closer(_broadly(met, nodes, percent), nodes, percent)
+    discard(limited, *parts)
     return pairs
 
 
-def _met(fine: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b and _n: how often the pairs that may link meet in these buckets, outside of a component; written."""
+def _met(open_: DataFrame, limited: DataFrame, percent: int) -> DataFrame:
+    """a and b: the pairs that may link and meet in these buckets, outside of a component; written."""
     blocks, own = lambda c: F.ceil(F.col(c) / BLOCK_NODES).cast("int"), lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     outside = F.col("label") != F.col("major")
-    fine = durable(fine.join(nodes.select("node", "n", "fold"), "node").drop("share"), "parity-dealt")
-    side = lambda s, rows_, one, two: _as(rows_.select("key", "cut", "node", "n", "fold", F.col("label").alias(f"{s}_label"), outside.alias(f"{s}_out"), one.alias("one"), two.alias("two")), s)
+    fine = durable(open_.join(limited, "node").filter(F.struct("many", "key") <= F.col("limit")).drop("share", "limit"), "parity-dealt")
+    side = lambda s, rows_, one, two: _as(rows_.select("key", "node", "n", "fold", F.col("label").alias(f"{s}_label"), outside.alias(f"{s}_out"), one.alias("one"), two.alias("two")), s)
     x = side("x", fine.filter(outside), own(blocks("minor")), every(blocks("many")))
     y = side("y", fine, every(blocks("minor")), own(blocks("many")))
-    met = x.join(y, ["key", "cut", "one", "two"]).filter((~F.col("y_out") | (F.col("x") < F.col("y"))) & (F.col("x_label") != F.col("y_label")) & _may_link("x", "y", percent))
-    # a pair is met in every bucket that it shares, and a linked one shares four; where a bucket was cut, one meeting is enough
-    found = durable(met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum(F.when(F.col("cut"), SHARED).otherwise(1)).alias("_n")), "parity-met")
+    met = x.join(y, ["key", "one", "two"]).filter((~F.col("y_out") | (F.col("x") < F.col("y"))) & (F.col("x_label") != F.col("y_label")) & _may_link("x", "y", percent))
+    found = durable(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "parity-met")
     discard(fine)
     return found
 

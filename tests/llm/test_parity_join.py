@@ -124,3 +124,46 @@ def test_buckets_met_in_slices_give_the_components_of_the_whole(spark, monkeypat
     data = table(7, spread=5)
     assert run(spark, data) == brute(data)
     assert len(dealt) == 4 and max(dealt) < 0.6 * sum(dealt)
+
+
+def test_nodes_that_share_four_open_buckets_meet_in_one_that_neither_leaves_out(spark):
+    """Crowded buckets are left out by all nodes that have three more crowded ones or none, and no link goes with them."""
+    rng = random.Random(3)
+    held = {n: set(range(3)) | set(rng.sample(range(3, 40), rng.randrange(0, 9))) for n in range(60)}
+    many = {k: sum(k in keys for keys in held.values()) for k in range(40)}
+    open_ = spark.createDataFrame([(n, k, many[k]) for n, keys in held.items() for k in keys], "node long, key long, many long")
+    limits = {r.node: (r.limit.many, r.limit.key) for r in m._limits(open_).collect()}
+    kept = {n: {k for k in keys if n in limits and (many[k], k) <= limits[n]} for n, keys in held.items()}
+    for a in held:
+        assert len(kept[a]) == max(0, len(held[a]) - 3)
+        for b in held:
+            if a < b and len(held[a] & held[b]) >= m.SHARED:
+                assert kept[a] & kept[b]
+    # what all nodes have in common they no longer meet in
+    assert not any(keys & set(range(3)) for keys in kept.values())
+
+
+def test_large_sets_that_512_bits_cannot_part_are_parted_before_their_third_sketches_are_looked_up(spark):
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 30_000, dtype=np.uint64)
+    sets = [np.unique(pool[:5000]), np.unique(np.r_[pool[:4900], pool[10_000:10_100]]), np.unique(np.r_[pool[:1500], pool[20_000:23_500]]), np.unique(pool[:900])]
+    nodes = spark.createDataFrame([(bytes([i]), len(s), m.fold(s).view("<i8").tolist(), None if (b := m.broad(s)) is None else b.tolist()) for i, s in enumerate(sets)], "node binary, n long, fold array<long>, broad array<long>")
+    pairs = nodes.select(m.F.col("node").alias("a")).crossJoin(nodes.select(m.F.col("node").alias("b"))).filter("a < b")
+    both = pairs.join(m._as(nodes.drop("broad"), "a"), "a").join(m._as(nodes.drop("broad"), "b"), "b")
+    two = {(r.a[0], r.b[0]) for r in both.filter(m._may_link("a", "b", 85)).collect()}
+    assert two == {(0, 1), (0, 2), (1, 2)}  # the sizes alone part a small set from the others
+    assert {(r.a[0], r.b[0]) for r in m._broadly(pairs, nodes, 85).collect()} == {(0, 1), (0, 3), (1, 3), (2, 3)}
+
+
+def test_texts_that_no_pair_asks_for_are_left_where_they_are(spark):
+    docs = spark.range(5000).selectExpr("id doc_id", "cast(id as string) text").withColumn("text_hash", m.F.xxhash64("text"))
+    asked = {r.doc_id for r in m._asked(docs, docs.filter("doc_id % 100 = 0")).collect()}
+    assert asked >= set(range(0, 5000, 100)) and len(asked) < 60
+
+
+def test_what_links_is_told_by_the_last_listing_too(spark, monkeypatch):
+    """Leaders verify nothing here, so every link is found by meeting in the buckets that nodes keep."""
+    none = m._led
+    monkeypatch.setattr(m, "_led", lambda *a: none(*a[:-1], m.F.lit(False)))
+    data = table(4)
+    assert run(spark, data) == brute(data)
