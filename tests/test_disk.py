@@ -1,5 +1,8 @@
 """Trees whose calls are resolved in slices."""
 
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +90,27 @@ def test_files_of_a_tree_are_made_without_its_graph(spark, monkeypatch):
     monkeypatch.setattr(code_tree, "_FILES", {})
     monkeypatch.setattr(code_tree, "built", None)
     assert code_tree.tree_patterns(spark, SMALL).count() > 0
+
+
+def test_a_sweep_leaves_no_shuffle_files_of_the_last_table_written(spark):
+    """Spark deletes them in the background, so they are looked for until they are gone."""
+    dirs = [Path(d.getPath()) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for d in dirs for f in d.rglob("shuffle_*.data")}
+    before = shuffled()
+    for _ in range(3):
+        stored = durable.durable(spark.range(1000).repartition(3, "id").withColumn("n", F.col("id") % 7), "swept")
+        made = shuffled() - before
+        assert made
+        durable.sweep(spark)
+        until = time.monotonic() + 5
+        while made & shuffled() and time.monotonic() < until:
+            time.sleep(0.1)
+        assert not made & shuffled()
+        durable.discard(stored)
+
+
+def test_blocks_are_dealt_to_parts_evenly(spark, monkeypatch):
+    monkeypatch.setattr(ix, "MOST_SLICES", 4)
+    blocks = spark.range(13).selectExpr("id - 1 k")
+    sizes = [blocks.filter(within(F.col("k"))).count() for within in ix.parted(10 * ix.SLICE_SITES, lambda c: c)]
+    assert sum(sizes) == 13 and max(sizes) - min(sizes) <= 1
