@@ -96,7 +96,7 @@ def show(folder: Path, root: str, port: int, browse: bool) -> None:
 
 
 def _tool(name: str) -> dict:
-    kinds = {"int": "integer", "bool": "boolean", "str": "string", "str | None": "string", "list[str]": "array"}
+    kinds = {"int": "integer", "int | None": "integer", "bool": "boolean", "str": "string", "str | None": "string", "list[str]": "array"}
     props = {p.name: {"type": kinds.get(str(p.annotation), "string")} | ({"items": {"type": "string"}} if p.annotation == "list[str]" else {}) for p in list(inspect.signature(commands.COMMANDS[name]).parameters.values())[1:] if p.name != "source"}
     return {"name": name, "description": (commands.COMMANDS[name].__doc__ or f"The {name} of the indexed tree").strip().split("\n")[0], "inputSchema": {"type": "object", "properties": props | {"budget": {"type": "integer"}}}}
 

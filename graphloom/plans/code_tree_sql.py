@@ -148,15 +148,15 @@ def oracle_sql() -> dict[str, str]:
         "tree_reindex": f"WITH {TREE}, z AS (SELECT path, {_NUMBER} x FROM hd) SELECT path, CASE WHEN x % 10 = 0 OR x % 7 = 0 THEN 'parsed' ELSE 'same' END state FROM z WHERE x % 11 <> 0",
         "tree_scan": f"WITH {_SCAN} SELECT path, lang, CASE lang WHEN 'markdown' THEN 'doc' WHEN 'config' THEN 'config' ELSE 'code' END kind FROM named WHERE lang IS NOT NULL",
         "import_resolution": f"WITH {_FORMS}, {library('l')} SELECT path, raw, resolved, CASE WHEN resolved IS NULL AND lv = 0 THEN library END AS library FROM lib",
-        "cmd_entry_points": f"WITH {CALLS}, code AS (SELECT * FROM deg WHERE kind = 'File'), mains AS (SELECT DISTINCT path FROM fn WHERE name = 'main'), pool AS (SELECT * FROM (SELECT * FROM code ORDER BY outdeg DESC, id LIMIT 2000) UNION SELECT * FROM code WHERE path IN (SELECT path FROM mains)), sco AS (SELECT id, path, outdeg, path IN (SELECT path FROM mains) m, id NOT IN (SELECT dst FROM ied) u FROM pool) SELECT path, CASE WHEN m THEN 'main()' ELSE 'unimported' END why, 100 * m::int + 10 * u::int score FROM sco ORDER BY score DESC, outdeg DESC, id LIMIT 8",
+        "cmd_entry_points": f"WITH {CALLS}, code AS (SELECT * FROM deg WHERE kind = 'File'), mains AS (SELECT DISTINCT path FROM fn WHERE name = 'main'), sco AS (SELECT id, path, outdeg, path IN (SELECT path FROM mains) m, id NOT IN (SELECT dst FROM ied) u FROM code) SELECT path, CASE WHEN m THEN 'main()' ELSE 'unimported' END why, 100 * m::int + 10 * u::int score FROM sco ORDER BY score DESC, outdeg DESC, id LIMIT 8",
         "cmd_overview": f"WITH {CALLS}, fl AS (SELECT path, max(h) + sum(length + 1) loc FROM fn GROUP BY path), dr AS (SELECT d AS name, count(*) files, sum(loc)::bigint n FROM (SELECT loc, unnest(['.', split_part(path, '/', 1)]) d FROM fl) GROUP BY 1), big AS (SELECT max(files) most FROM dr WHERE name <> '.') SELECT * FROM (SELECT 'dirs' section, name, n FROM dr ORDER BY n DESC, name LIMIT 12) UNION ALL SELECT * FROM (SELECT 'hubs', dst, count(*) n FROM ied WHERE dst LIKE 'f:%' GROUP BY dst ORDER BY n DESC, dst LIMIT 8) UNION ALL SELECT 'libraries', dst, count(*) FROM ied WHERE dst LIKE 'lib:%' GROUP BY dst UNION ALL SELECT 'languages', 'python', count(*) FROM hd UNION ALL SELECT 'edges', 'calls', count(*) FROM ced UNION ALL SELECT 'edges', 'imports', count(*) FROM ied UNION ALL SELECT 'edges', 'contains', (SELECT count(*) FROM dirs) + (SELECT count(*) FROM hd) + (SELECT count(*) FROM fn)",
         "cmd_find": f"WITH {CALLS}, m AS (SELECT deg.id, indeg + outdeg g FROM deg JOIN fn USING (id) WHERE contains(name, 'blue_bolt') OR contains(fn.path, 'blue_bolt')) SELECT id, 8 tier, (SELECT count(*) FROM m) total FROM m ORDER BY g DESC, id LIMIT 50",
         "cmd_outline": f"WITH {CALLS}, t AS (SELECT {_busiest('File', 'indeg')} id) SELECT 'symbols' section, fn.id, line FROM fn, t WHERE 'f:' || path = t.id UNION ALL SELECT 'imports', dst, NULL FROM ied, t WHERE src = t.id UNION ALL SELECT * FROM (SELECT 'importers', src, NULL FROM ied, t WHERE dst = t.id ORDER BY src LIMIT 200)",
         "cmd_who_calls": f"WITH {CALLS}, t AS (SELECT id, name FROM fn WHERE id = {CALLED}), c AS (SELECT ced.* FROM ced, t WHERE dst = t.id), u AS (SELECT res.* FROM res, t WHERE res.name = t.name AND res.dst IS NULL), s AS (SELECT * FROM c ORDER BY conf DESC, src LIMIT 500) SELECT 'verdict' section, t.id path, (SELECT count(*) FROM c)::int line, (SELECT count(*) FROM c WHERE conf < 0.95)::int guesses, (SELECT count(*) FROM u)::int unresolved, (SELECT count(*) FROM u) = 0 AND (SELECT count(*) FROM c WHERE conf < 0.95) = 0 AND (SELECT count(*) FROM c) <= 500 complete FROM t UNION ALL SELECT 'site', fn.path, unnest(ls), NULL, NULL, NULL FROM s JOIN fn ON fn.id = s.src UNION ALL SELECT 'open', path, line, NULL, NULL, NULL FROM (SELECT path, line FROM u ORDER BY path, line LIMIT 50)",
-        "cmd_calls": f"WITH {CALLS}, c AS (SELECT * FROM ced WHERE src = {CALLING}) SELECT dst id, conf, CASE WHEN conf >= 0.95 THEN '' WHEN conf >= 0.8 THEN ' ~' ELSE ' ?' END tag, (SELECT count(*) FROM c) total FROM c ORDER BY conf DESC, dst LIMIT 500",
+        "cmd_calls": f"WITH {CALLS}, c AS (SELECT * FROM ced WHERE src = {CALLING}) SELECT dst id, conf, CASE WHEN conf >= 0.95 THEN '' WHEN conf >= 0.8 THEN ' ~' ELSE ' ?' END tag, (SELECT count(*) FROM c) total FROM c",
         "cmd_neighbors": f"WITH RECURSIVE {CALLS}, {_reach(f'SELECT {CALLED}, 0', _BOTH, 2)} SELECT id, hop FROM near WHERE hop > 0",
         "cmd_deps": f"WITH {CALLS}, c AS (SELECT DISTINCT dst id FROM ied WHERE src = {_busiest('File', 'outdeg')}) SELECT id, 1 hop, (SELECT count(*) FROM c) total FROM c ORDER BY CASE WHEN id = 'lib:os' THEN '' ELSE substr(id, 3) END, id LIMIT 500",
-        "cmd_dependents": f"WITH {CALLS}, c AS (SELECT src id FROM ied WHERE dst = 'lib:os') SELECT id, 1 hop, (SELECT count(*) FROM c) total FROM c ORDER BY id LIMIT 500",
+        "cmd_dependents": f"WITH {CALLS}, c AS (SELECT src id FROM ied WHERE dst = 'lib:os') SELECT id, 1 hop, (SELECT count(*) FROM c) total FROM c",
         "cmd_impact": f"WITH RECURSIVE {CALLS}, {_reach(f'SELECT {CALLED}, 0', 'ced', 2, into=True)}, g AS (SELECT path, hop FROM near JOIN fn USING (id) WHERE hop > 0) SELECT path, min(hop) hop, count(*)::int symbols, (SELECT count(*) FROM g) reached FROM g GROUP BY path",
         "cmd_subgraph": f"WITH RECURSIVE {CALLS}, {_reach(f'SELECT unnest([{CALLED}, {CALLING}]), 0', _BOTH, 1)} SELECT path, min(hop) hop, count(*)::int symbols, 1 missed FROM near JOIN fn USING (id) GROUP BY path",
         "cmd_span": f"WITH {CALLS}, t AS (SELECT * FROM fn WHERE id = {CALLING}), ls AS (SELECT CASE WHEN (SELECT brand FROM t) % 5 = 0 THEN ['import os'] ELSE [] END || coalesce((SELECT list('import ' || replace(replace(dep, '.py', ''), '/', '.') ORDER BY 'import ' || replace(replace(dep, '.py', ''), '/', '.')) FROM imp WHERE path = (SELECT path FROM t)), []) || (SELECT string_split(string_agg(raw || chr(10), chr(10) ORDER BY k), chr(10)) FROM fn WHERE path = (SELECT path FROM t)) x), n AS (SELECT unnest(x) text, generate_subscripts(x, 1)::int line FROM ls) SELECT n.line, n.text, false stale FROM n, t WHERE n.line BETWEEN t.line - 1 AND t.line + t.length",
