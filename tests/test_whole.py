@@ -46,3 +46,43 @@ def test_an_entry_point_is_found_whatever_it_depends_on(spark):
     none = spark.createDataFrame([], "path string"), spark.createDataFrame([], "src string, dst string, kind string")
     first = commands.entry_points(code, *none).first()
     assert (first["path"], first["why"], first["score"]) == ("zz/server.py", "named", 50)
+
+
+def test_what_asks_for_no_calls_resolves_none_and_finds_the_same(spark, monkeypatch):
+    """Files, symbols, imports and degrees of files do not wait for the calls of functions; a call outside of them still counts."""
+    text = "import lib.a\nfrom lib.b import two\n\ntwo()\n\ndef one():\n    two()\n    three()\n"
+    read = parse(tree(spark, {"lib/a.py": "def three():\n    return 3\n", "lib/b.py": "def two():\n    return 2\n", "top.py": text}))
+    whole = ix.build(read)
+    resolved, real = [], ix.call_sites
+
+    def counted(*args):
+        resolved.append(real(*args))
+        return resolved[-1]
+
+    monkeypatch.setattr(ix, "call_sites", counted)
+    monkeypatch.setattr(ix, "discard", lambda *tables: None)
+    part = ix.build(ix.outside(read))
+    rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    assert sum(t.count() for t in resolved) == 1
+    for name in ("imports", "files"):
+        assert rows(getattr(part, name).drop("refs")) == rows(getattr(whole, name).drop("refs"))
+    assert rows(part.nodes.filter("kind <> 'Function'")) == rows(whole.nodes.filter("kind <> 'Function'"))
+    assert rows(part.nodes.drop("indeg", "outdeg")) == rows(whole.nodes.drop("indeg", "outdeg"))
+    assert rows(part.edges.filter("kind <> 'calls' or src like 'f:%'")) == rows(whole.edges.filter("kind <> 'calls' or src like 'f:%'"))
+    resolved.clear()
+    bare = ix.build(ix.outside(read.filter("path <> 'top.py'")))
+    assert not resolved and bare.counters.first()["bound"] == 0 and bare.edges.filter("kind = 'calls'").isEmpty()
+
+
+def test_imports_are_resolved_once_for_a_folder_and_language(spark):
+    """A file never resolves to itself, though what an import may mean is looked up for its whole folder."""
+    from graphloom.operators import imports as rules
+
+    files = spark.createDataFrame([("a/x.py", "python"), ("a/y.py", "python"), ("a/x.js", "javascript"), ("b/x.py", "python"), ("c/only.py", "python")], "path string, lang string")
+    asked = files.select("path", F.explode(F.array(*map(F.lit, ("x", ".x", "only", "a.x", "./y")))).alias("raw"))
+    got = {(r.path, r.raw): r.resolved for r in rules.resolve(asked.union(asked), files).collect()}
+    assert len(got) == 25
+    assert got["a/y.py", "x"] == "a/x.py" and got["a/x.py", "x"] == "b/x.py" and got["a/x.js", "x"] is None
+    assert got["c/only.py", "x"] is None and got["a/x.py", "only"] == "c/only.py" and got["c/only.py", "only"] is None
+    assert got["a/x.py", ".x"] is None and got["a/y.py", ".x"] == "a/x.py" and got["b/x.py", "a.x"] == "a/x.py"
+    assert {(r.path, r.raw): r.resolved for r in rules.resolve(asked.join(files, "path"), files).collect()} == got
