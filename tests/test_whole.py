@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import commands, graph
+from graphloom.plans import code_tree
 from graphloom.sources import index as ix
+from graphloom.sources import java_frontend
 from graphloom.sources.parse import compiled_java, facts, parse
 
 MANY = 700
@@ -86,3 +88,37 @@ def test_imports_are_resolved_once_for_a_folder_and_language(spark):
     assert got["c/only.py", "x"] is None and got["a/x.py", "only"] == "c/only.py" and got["c/only.py", "only"] is None
     assert got["a/x.py", ".x"] is None and got["a/y.py", ".x"] == "a/x.py" and got["b/x.py", "a.x"] == "a/x.py"
     assert {(r.path, r.raw): r.resolved for r in rules.resolve(asked.join(files, "path"), files).collect()} == got
+
+
+CLASS = "public class A { int one() { return two(); } int two() { return 2; } }\n"
+
+
+def test_a_compiler_that_fails_raises_and_a_file_it_cannot_read_is_told(spark, monkeypatch):
+    if not java_frontend.available():
+        pytest.skip("no Java compiler")
+    assert java_frontend.read([("A.java", CLASS), ("B.java", "class {")], []).keys() == {"A.java"}
+    java = lambda text: facts("A.java", "java", "code", text.encode(), True, java_frontend.read([("A.java", text)], []).get("A.java"))["frontend"]
+    assert java(CLASS) == "javac" and java("class {") == "regex"
+    for heap, seconds in (("2m", 3600), ("1g", 0.01)):
+        with monkeypatch.context() as m:
+            m.setattr(java_frontend, "HEAP", heap)
+            m.setattr(java_frontend, "SECONDS", seconds)
+            with pytest.raises(java_frontend.CompilerFailed):
+                java_frontend.read([("A.java", CLASS)], [])
+
+
+def test_what_the_compiler_tells_is_whole(monkeypatch, tmp_path):
+    """A process that ends well but before its last line has failed as well."""
+    if not java_frontend.available():
+        pytest.skip("no Java compiler")
+    helper = tmp_path / "Early.java"
+    helper.write_text('public class Early { public static void main(String[] none) { System.out.println("F\\tA.java"); } }')
+    monkeypatch.setattr(java_frontend, "HELPER", helper)
+    with pytest.raises(java_frontend.CompilerFailed):
+        java_frontend.read([("A.java", CLASS)], [])
+
+
+def test_java_calls_are_no_result_where_the_compiler_has_not_read_a_file(spark, monkeypatch):
+    monkeypatch.setattr(code_tree, "parse", lambda files: parse(files, frontends=False))
+    with pytest.raises(RuntimeError, match="has not read 25 files"):
+        code_tree.tree_java(spark, "/root/testdata/sf0.001")
