@@ -1,12 +1,16 @@
 """Nothing is left out of a long list: call sites of a symbol, callees, dependents, candidates."""
 
+import graphloom.sources.parse as reader
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import durable
 from graphloom.operators import commands, graph
 from graphloom.plans import code_tree
 from graphloom.sources import index as ix
 from graphloom.sources import java_frontend
+
 from graphloom.sources.parse import compiled_java, facts, parse
 
 MANY = 700
@@ -122,3 +126,28 @@ def test_java_calls_are_no_result_where_the_compiler_has_not_read_a_file(spark,
     monkeypatch.setattr(code_tree, "parse", lambda files: parse(files, frontends=False))
     with pytest.raises(RuntimeError, match="has not read 25 files"):
         code_tree.tree_java(spark, "/root/testdata/sf0.001")
+
+
+def test_facts_of_few_files_are_held_at_once(spark, monkeypatch):
+    """An Arrow batch of many files is read in portions; a long file is one, and empty batches and files are none."""
+    sizes = [300, 300, 300, 2000, 0, 10, 990, 5]
+    batch = pa.RecordBatch.from_pylist([{"path": str(i), "content": b"x" * n} for i, n in enumerate(sizes)])
+    monkeypatch.setattr(reader, "PORTION_BYTES", 1000)
+    held = [[len(c) for c in few["content"].to_pylist()] for few in reader._portions(batch)]
+    assert held == [[300, 300, 300], [2000], [0, 10, 990], [5]]
+    assert list(reader._portions(batch.slice(0, 0))) == []
+
+
+def test_patterns_read_each_file_once(spark, monkeypatch):
+    """What the patterns read is written before it is asked for symbols and for calls, without the bodies."""
+    made, real = [], durable.durable
+
+    def kept(df, name):
+        made.append((name, real(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(durable, "durable", kept)
+    found = code_tree.tree_patterns(spark, "/root/testdata/sf0.001")
+    read = dict(made)["tree-patterns"]
+    assert "body" not in read.schema["symbols"].dataType.elementType.names
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
